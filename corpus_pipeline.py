@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, quality_rules
+from lexweave.llm import decontaminate, ngram_join, quality_rules
 from lexweave.llm.common import stage, table
 
 
@@ -13,12 +13,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked by five-word shingles at a similarity of 0.8."""
+    return ngram_join.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of the benchmark."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality", quality), ("decontaminated", decontaminated)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated)]
 
 #: Expectation-maximisation, signature joins and byte-pair merges are beyond SQL; the stages are tested one by one.
 ORACLE_SQL = None

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, quality_rules
+from lexweave.llm import decontaminate, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
