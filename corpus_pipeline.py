@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, ngram_join, quality_rules
+from lexweave.llm import decontaminate, ngram_join, quality_rules, secret_scan
 from lexweave.llm.common import stage, table
 
 
@@ -23,7 +23,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; every document stays."""
+    return secret_scan.redact(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("secrets", secrets)]
 
 #: Expectation-maximisation, signature joins and byte-pair merges are beyond SQL; the stages are tested one by one.
 ORACLE_SQL = None

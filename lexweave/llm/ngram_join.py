@@ -25,12 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import frame, map_rows, stage, table
+from lexweave.llm.common import map_rows, stage, table
+from lexweave.llm.spans import maybe_in
 
 _U = np.uint64
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-#: Bits of the filter that selects the texts to verify; its size is the same for every corpus (8 MB).
-FILTER_BITS = 1 << 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -179,14 +178,9 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that can be among ``ids`` (one column, id), by a bitmap of fixed size; few others pass."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    bitmap = ids.select(bit("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    place = F.bitmap_bit_position(F.col("h"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(h) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return named.withColumn("h", bit("doc_id")).withColumn("bucket", F.bitmap_bucket_number("h")).join(F.broadcast(bitmap), "bucket").where(hit).select("doc_id", "text")
+    """The documents that can be among ``ids`` (one column); few others pass."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return maybe_in(named.where("text IS NOT NULL"), "doc_id", ids)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, ngram_join, quality_rules
+from lexweave.llm import decontaminate, ngram_join, pii, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_pii": pii.op8_pii,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
