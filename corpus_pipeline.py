@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontaminate, ngram_join, quality_rules, secret_scan
+from lexweave.llm import bpe_lexicon, decontaminate, ngram_join, quality_rules, secret_scan
 from lexweave.llm.common import stage, table
 
 
@@ -28,7 +28,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("secrets", secrets)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    return bpe_lexicon.encode(docs, digests=True)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("secrets", secrets), ("tokens", tokens)]
 
 #: Expectation-maximisation, signature joins and byte-pair merges are beyond SQL; the stages are tested one by one.
 ORACLE_SQL = None
