@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bpe_lexicon, decontaminate, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
+from lexweave.llm import bpe_lexicon, decontaminate, html_extract, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": sharding.op4_sharding,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_token_store": token_store.op6_token_store,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_pii": pii.op8_pii,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
