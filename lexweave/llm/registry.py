@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bpe_lexicon, decontaminate, html_extract, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
+from lexweave.llm import bpe_lexicon, decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_bpe": bpe_lexicon.op3_bpe,
     "op4_sharding": sharding.op4_sharding,
