@@ -169,7 +169,7 @@ def project_rollup(files: DataFrame, by: str) -> DataFrame:
 def renumbered(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """sort_index from 0 in each document: by severity, page (null last), the rule's order, then line."""
     place = one_of("severity", {s: i for i, s in enumerate(SEVERITIES)}, 3)
-    order = Window.partitionBy("document").orderBy(place, F.coalesce("page", F.lit(10**6)), F.coalesce("sort_order", F.lit(0)), "line")
+    order = Window.partitionBy("document").orderBy(place, F.coalesce("page", F.lit(10**6)), F.coalesce("sort_order", F.lit(0)), "line", "rule")
     index = F.row_number().over(order) - 1
     joined = findings.join(rules.select("rule", "sort_order"), "rule", "left").withColumn("sort_index", index.cast("long"))
     return joined.withColumn("number", F.when(F.col("severity") != "GREEN", F.col("sort_index") + 1))
@@ -206,7 +206,7 @@ def protocol_rows(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Risks with a page, unknown ones left out, numbered within each document."""
     named = findings.join(rules.select("rule", "title"), "rule", "left").where("severity IN ('RED', 'YELLOW', 'LOW') AND page IS NOT NULL")
     place = one_of("severity", {s: i for i, s in enumerate(SEVERITIES)}, 3)
-    number = F.row_number().over(Window.partitionBy("document").orderBy(place, "page", "line"))
+    number = F.row_number().over(Window.partitionBy("document").orderBy(place, "page", "line", "title", "rule"))
     return named.select("document", "line", number.cast("long").alias("number"), "severity", F.coalesce("title", F.lit("No rule")).alias("title"), "page")
 
 

@@ -1,4 +1,4 @@
-"""Queries of the document-review operators, and DuckDB SQL for each that SQL can express."""
+"""All queries of the document-review operators, and DuckDB SQL for each that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexweave.plans import evidence, rollups
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = rollups.QUERIES | evidence.QUERIES
+ORACLE_SQL: dict[str, str] = rollups.ORACLE_SQL | evidence.ORACLE_SQL
 FLAGSHIP = "lexical_rank"
