@@ -30,7 +30,11 @@ from lexweave.llm.common import frame, map_rows, table
 
 MAX_WORDS = 20_000
 #: Words in a worker's table of words met before; it starts anew when full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
+#: Ids are packed in so many bits.
+_BITS = 20
+_MASK = (1 << _BITS) - 1
+_NONE = 1 << 60
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -54,15 +58,17 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.added).items()}
-        self.rank = {tuple(m): r for r, m in enumerate(model["merges"])}
+        # left id and right id -> rank and new id, packed into integers
+        ids = self.ids
+        self.pairs = {ids[a] << _BITS | ids[b]: r << _BITS | ids[a + b] for r, (a, b) in enumerate(model["merges"])}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace("\\s", _SPACE)).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.alphabet = byte_alphabet()
+        alphabet, suffix = byte_alphabet(), model["end_of_word_suffix"] or ""
+        self.inner, self.final = [ids[c] for c in alphabet], [ids[c + suffix] for c in alphabet]
         self.spaces = regex.compile(f"[{_SPACE}]+")
 
     def normal(self, text: str) -> str:
@@ -78,37 +84,44 @@ class Bpe:
 
     def merge(self, piece: str) -> list[int]:
         """Exact merges of one piece: the pair of least rank first, the leftmost of equals."""
-        parts = [self.alphabet[b] for b in piece.encode()]
-        parts[-1] += self.suffix
-        rank = self.rank
-        if len(parts) > 48:
-            return self._merge_long(parts)
-        while len(parts) > 1:
-            best, at = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 30:
+        data = piece.encode()
+        ids = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
+        if len(ids) > 256:
+            return self._merge_long(ids)
+        get = self.pairs.get
+        ranks = [get(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == _NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
-
-    def _merge_long(self, parts: list[str | None]) -> list[int]:
+            i = ranks.index(least)
+            ids[i : i + 2] = [least & _MASK]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << _BITS | ids[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << _BITS | ids[i + 1], _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap and links, so that one very long word costs n log n."""
-        after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
-        rank = self.rank
-        heap = [(r, i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank.get(p)) is not None]
+        after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+        get = self.pairs.get
+        heap = [(r, i) for i in range(len(ids) - 1) if (r := get(ids[i] << _BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = after[i]
-            if parts[i] is None or j < 0 or (parts[i], parts[j]) != pair:
+            if ids[i] < 0 or j < 0 or get(ids[i] << _BITS | ids[j]) != r:
                 continue
-            parts[i], parts[j] = parts[i] + parts[j], None
+            ids[i], ids[j] = r & _MASK, -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := rank.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, (parts[a], parts[b])))
-        return [self.ids[p] for p in parts if p is not None]
+                if a >= 0 and b >= 0 and (new := get(ids[a] << _BITS | ids[b])) is not None:
+                    heapq.heappush(heap, (new, a))
+        return [i for i in ids if i >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
@@ -268,7 +281,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, max_words: int = MAX_WORDS)
         for b in batches:
             for text in b.column("text").to_pylist():
                 seen.update(model.words(model.normal(text or "")))
-                if len(seen) > CACHE_WORDS:
+                if len(seen) > CACHE_WORDS // 2:
                     yield emit()
         yield emit()
 
