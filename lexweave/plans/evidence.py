@@ -215,10 +215,10 @@ def events_stream_diff(spark: SparkSession, d: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/lexweave-streams"
     out = f"{folder}/lexweave-stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).parquet(f"{source}*").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    changed = feeds.changes_stream(stream, "user_id", "ts", "event_type")
+    changed = feeds.changes_stream(stream, "user_id", "ts", "event_type", forget=False)
     query = changed.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -31,10 +31,11 @@ def notifications(snapshots: DataFrame, key: str, order: list[str]) -> DataFrame
     return snapshots.withColumn("previous", previous).where(ended).withColumn("kind", kind).drop("previous")
 
 
-def changes_stream(events: DataFrame, key: str, time: str, state: str) -> DataFrame:
+def changes_stream(events: DataFrame, key: str, time: str, state: str, forget: bool = True) -> DataFrame:
     """The same over a stream: (key, time, before, state) for each change. Rows of a batch are taken in order of time.
 
-    A key is forgotten after ``DEADLINE`` minutes without rows, so the state stays as large as what is active.
+    A key is forgotten after ``DEADLINE`` minutes without rows, so the state stays as large as what is active. A query
+    that drains a table and stops takes ``forget=False``: timers would keep it alive.
     """
     kinds = dict(events.dtypes)
     output = f"{key} {kinds[key]}, {time} {kinds[time]}, before string, {state} string"
@@ -50,10 +51,11 @@ def changes_stream(events: DataFrame, key: str, time: str, state: str) -> DataFr
                 out.append((k[0], t, last, s))
                 last = s
         held.update((last,))
-        held.setTimeoutDuration(DEADLINE * 60 * 1000)
+        if forget:
+            held.setTimeoutDuration(DEADLINE * 60 * 1000)
         yield pd.DataFrame(out, columns=[key, time, "before", state])
 
-    return events.groupBy(key).applyInPandasWithState(step, output, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, output, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def event_windows(events: DataFrame, time: str, by: str, value: str, width: str = "1 hour", late: str | None = None) -> DataFrame:
