@@ -4,7 +4,7 @@ Information-theoretic sanitisation: an e-mail address, card, phone number or IP
 protected entity. How strongly a term t reveals an entity c is their pointwise mutual information over the corpus,
 compared with the entity's own information: PMI(c, t) / -log p(c). At 1 the term occurs with this entity only. Terms at
 ``threshold`` or above are spans of kind ``term`` in the documents that hold the entity. Evidence counts once for each
-different context of the entity, so that copies of one document are one witness. All of it is DataFrame functions.
+different context of the entity and once for each text, so that copies of one document are one witness. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -55,11 +55,16 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int
     texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
     own = stage(S.maybe_in(texts, "digest", held.select("digest")).join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "entity-texts")
     words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    pairs = words(own, "digest").join(held, "digest").groupBy("entity", "term").agg(F.countDistinct("context").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= support)
-    pairs = stage(pairs, "pairs")
+    log = lambda c: F.log(F.greatest(c, F.lit(1.0001)))
+    n = F.lit(float(max(total, 2)))
+    ratio = lambda n_t: F.log(n * F.col("n_ct") / (F.col("n_c") * F.greatest(n_t, "n_ct"))) / log(n / F.col("n_c"))
+    own_words = stage(words(own, "digest"), "own-words")
+    pairs = own_words.join(held, "digest").groupBy("entity", "term").agg(F.countDistinct("context").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= support)
+    # A term too common in these documents alone is too common in the corpus: it needs no count there.
+    within = own_words.groupBy("term").agg(F.count("*").alias("n_own"))
+    pairs = stage(pairs.join(within, "term").where(ratio(F.col("n_own")) >= threshold).drop("n_own"), "pairs")
     counted = S.maybe_in(words(docs.select(F.col("text").cast("string").alias("text"))), "term", pairs.select("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    ratio = F.log(F.lit(float(max(total, 2))) * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct"))) / F.log(F.greatest(F.lit(float(max(total, 2))) / F.col("n_c"), F.lit(1.0001)))
-    telling = pairs.join(counted, "term").where(ratio >= threshold).select("entity", "term")
+    telling = pairs.join(counted, "term").where(ratio(F.col("n_t")) >= threshold).select("entity", "term")
     return held.select("digest", "entity").join(telling, "entity").select("digest", "term").distinct(), own
 
 
@@ -74,6 +79,7 @@ def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
     found = stage(found.select("doc_id", "digest", "base", F.transform("base", context).alias("contexts")), "pii")
     seen = found.where(F.size("base") > 0).select("digest", F.explode(F.arrays_zip("base", "contexts")).alias("e"))
     held = seen.select("digest", F.concat_ws(":", "e.base.kind", "e.base.value").alias("entity"), F.col("e.contexts").alias("context"))
+    held = held.groupBy("digest", "entity").agg(F.min("context").alias("context"))  # a text is one witness, however often it names the entity
     total = found.agg(F.count("*")).first()[0]
     terms, texts = disclosing_terms(docs, held, total, support, threshold)
 
