@@ -2,7 +2,8 @@
 
 One first-order model describes random strings, another ordinary identifiers; a long run of identifier characters
 whose mean ratio per character pair is high enough is a span of kind ``random``. The labels come from the fixed
-patterns: the values they match are random strings, and the other runs of a bounded sample of documents are ordinary.
+patterns: the values they match are random strings, and the short runs around them in a bounded sample of documents
+are ordinary.
 All of it is DataFrame functions.
 """
 
@@ -22,6 +23,8 @@ ACCESS = r"AKIA[A-Z0-9]++"
 #: A run of hex digits is maximal, so runs of under 32 need not be matched at all.
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs that train the model of ordinary identifiers: longer ones are what it has to judge.
+SHORT = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Expected number of documents, chosen by a hash of their text, whose ordinary runs train the model.
 TRAIN_DOCS = 400
@@ -77,7 +80,7 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_R
     total = found.agg(F.count("*")).first()[0]
     chosen = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(17)), F.lit(max(1, total // train_docs))) == 0
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = docs.where(chosen).select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9+/_=-]{4,}+"), F.lit(0))).alias("value"))
+    ordinary = docs.where(chosen).select(F.explode(F.regexp_extract_all(bare, F.lit(SHORT), F.lit(0))).alias("value"))
     random = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"))
     model = fit(spark, random, ordinary)
 
