@@ -101,9 +101,9 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    texts = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    candidates = _fused(spark, d).join(vectors, "doc_id", "left").join(texts, "doc_id", "left")
+    found = _fused(spark, d)
+    texts = table(spark, d, "documents").join(found.select("doc_id"), "doc_id", "left_semi")
+    candidates = found.join(retrieval.hash_embeddings(texts, "doc_id", "text"), "doc_id", "left").withColumn("content", F.lit(""))
     return retrieval.in_document_order(retrieval.mmr(candidates, "item_id", "doc_id"), "item_id", "doc_id")
 
 
