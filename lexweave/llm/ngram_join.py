@@ -10,7 +10,8 @@ subsets are left out while a set has fewer than G of them, and only the fullest
 
 Candidates are verified on the texts themselves. Members of a signature group are first compared with its smallest
 member; only members that are still in different components afterwards are compared with each other, so a group of
-copies costs as many comparisons as it has members.
+copies costs as many comparisons as it has members. Members of crowded groups, such as copies that drifted apart, are
+compared block by block, where one matrix product gives the intersections of all pairs and only similar pairs leave.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,6 +33,12 @@ from lexweave.llm.spans import maybe_in
 _U = np.uint64
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
+#: A signature group with more members in different components is compared block by block.
+CROWD = 16
+#: Documents in a block, and shingles that a comparison of blocks holds at a time.
+BLOCK = 192
+COLUMNS = 4096
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -198,6 +206,44 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return stage(map_rows(joined, compare, "a long, b long"), "links")
 
 
+def _crowd_pairs(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of similar members of crowded signature groups that are in different components.
+
+    ``members`` has sig, head (of the group), doc and component. Groups that share members form a family; each of its
+    documents is compared once with the others, block by block, by the exact sizes of all intersections in a block.
+    """
+    families = connected(members.select(F.col("doc").alias("a"), F.col("head").alias("b")), "families").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    placed = stage(members.select("doc", "component").distinct().join(families, "doc"), "families")
+    blocks = placed.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    texts = _texts_of(docs, placed.select("doc")).dropDuplicates(["doc_id"])
+    in_block = placed.join(blocks, "family").join(texts, F.col("doc") == F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = in_block.withColumn("other", other).select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "text")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t, n) for t in rows["text"]]
+        sizes = np.array([len(s) for s in sets])
+        owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        _, column = np.unique(flat, return_inverse=True)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for first in range(0, int(column[-1]) + 1, COLUMNS):  # so many shingles at a time, whatever the texts' lengths
+            p, q = np.searchsorted(column, [first, first + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[owner[p:q], column[p:q] - first] = 1
+            both += has @ has.T
+        both = both.astype(np.int64)
+        close = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+        block, component, doc = (rows[c].to_numpy() for c in ("block", "component", "doc"))
+        close &= component[:, None] != component[None]
+        close &= (block[:, None] == key[1]) & (block[None] == key[2])
+        i, j = np.nonzero(close)
+        return pd.DataFrame({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])}).drop_duplicates()
+
+    return dealt.groupBy("family", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
@@ -230,8 +276,11 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     placed = to_reps(everyone, "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     open_ = stage(placed.join(mixed, "sig", "left_semi"), "open")
-    x, y = (open_.select("sig", F.col("doc").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
-    rest = x.join(y, "sig").where("a < b AND component_a <> component_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    crowded = stage(open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc").alias("head")).where(F.col("n") > CROWD).select("sig", "head"), "crowded")
+    quiet = open_.join(crowded, "sig", "left_anti")
+    x, y = (quiet.select("sig", F.col("doc").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
+    rest = x.join(y, "sig").where("a < b AND component_a <> component_b").select("a", "b")
+    rest = rest.unionByName(_crowd_pairs(docs, open_.join(crowded, "sig"), n, percent)).distinct().join(first, ["a", "b"], "left_anti")
     more = _verify(docs, stage(rest, "pairs"), n, percent)
 
     no_ids = copies.select(F.col("copy").alias("a"), F.col("rep").alias("b"))
