@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,5 +41,12 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(fn, schema)
 
 
+def make_room(cache: dict, most: int) -> None:
+    """Drops the older half of a full cache; what is frequent soon returns."""
+    if len(cache) >= most:
+        for key in list(islice(cache, most // 2)):
+            del cache[key]
+
+
 def frame(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))

@@ -14,7 +14,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.bpe_lexicon import _SPACE
-from lexweave.llm.common import frame, map_rows, shared_dir, stage, table
+from lexweave.llm.common import frame, make_room, map_rows, shared_dir, stage, table
 
 END_ID = 0
 SEGMENT_IDS = 4_000_000
-#: Chunks of text in a worker's table of chunks met before; it starts anew when full.
-CACHE_CHUNKS = 400_000
+#: Chunks of text in a worker's table of chunks met before, about 200 bytes each.
+CACHE_CHUNKS = 1_000_000
 SAMPLE = 256
 _HEAD = struct.Struct("<8s4Q")
 _SEQ = struct.Struct("<4Qq")
@@ -118,6 +120,7 @@ class ChunkEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         other = _SPACE.replace("\t-\r ", "\t\x0b-\r")
         self.irregular = re.compile(rf"[{other}]|[ \n][ \n]|\A[ \n]|[ \n]\Z").search
@@ -125,19 +128,17 @@ class ChunkEncoder(dict):
         self.whole: dict[str, bytes] = {}
 
     def _encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
+        make_room(self, CACHE_CHUNKS)
         ids = self[word] = self._encode(word if word[:1] == "\n" else " " + word)
         return ids
 
     def chunk(self, chunk: str) -> bytes:
         ids = self.whole.get(chunk)
         if ids is None:
-            if len(self.whole) >= CACHE_CHUNKS // 4:
-                self.whole.clear()
+            make_room(self.whole, CACHE_CHUNKS // 4)
             ids = self.whole[chunk] = self._encode(chunk)
         return ids
 
@@ -152,6 +153,12 @@ class ChunkEncoder(dict):
         return self._encode(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One for each worker process, which runs many tasks."""
+    return ChunkEncoder(path)
+
+
 def write_segments(docs: DataFrame, folder: str, tokenizer: str, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Writes all documents' ids under ``folder`` (a URI that executors share); returns the staged list of segments:
     part, seq, path, n_docs, n_ids, start (ids before the segment)."""
@@ -160,7 +167,7 @@ def write_segments(docs: DataFrame, folder: str, tokenizer: str, segment_ids: in
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encoder, end = ChunkEncoder(tokenizer), None
+        encoder = chunk_encoder(tokenizer)
         end = np.array([END_ID], encoder.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         fs.create_dir(root, recursive=True)
