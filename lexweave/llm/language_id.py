@@ -132,7 +132,7 @@ def identify(records: DataFrame, langs: list[str], weights: np.ndarray) -> DataF
     tree = by_host.join(by_domain.withColumnRenamed("suffix", "_s"), "domain").drop("_s").join(by_suffix, by_host["suffix"].eqNullSafe(by_suffix["suffix"])).select("host", "host_n", "domain_n", "suffix_n")
     tree = stage(tree.dropDuplicates(["host"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "hosts")
     # P(declared | language), with add-one smoothing over the declarations seen
-    by_declared = _sums(scored.where("declared IS NOT NULL"), ["declared"], n, "declared_n").limit(10_000_000)
+    by_declared = _sums(scored.where("declared IS NOT NULL"), ["declared"], n, "declared_n")
     n_declared = by_declared.count()
     declared = by_declared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     totals = by_declared.agg(*[F.sum(F.col("declared_n")[i]) for i in range(n)]).first()

@@ -147,15 +147,15 @@ def _signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             ids, counts, sigs = b.column("doc_id").to_pylist(), [], []
             for i, text in zip(ids, b.column("text").to_pylist(), strict=True):
                 digest = xxhash.xxh3_128_digest((text or "").encode())
-                size = seen.get(digest)  # a copy within the task needs no signatures: copies are joined by their text
+                size, own = seen.get(digest), []  # a copy within the task needs no signatures: copies are joined by their text
                 if size is None:
                     h = shingles(text, n)
                     size = len(h)
-                    if len(seen) < 200_000:
-                        seen[digest] = size
-                    sigs.append([] if i is None else scheme.signatures(h).view(np.int64))
-                else:
-                    sigs.append([])
+                    if i is not None:
+                        own = scheme.signatures(h).view(np.int64)
+                        if len(seen) < 200_000:
+                            seen[digest] = size
+                sigs.append(own)
                 counts.append(size)
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
             flat = np.concatenate([np.asarray(s, np.int64) for s in sigs]) if sigs else np.zeros(0, np.int64)

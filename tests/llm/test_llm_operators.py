@@ -51,6 +51,13 @@ def test_join_finds_every_link(spark, n, percent):
     assert found[None].component_id is None and len(found) == len(texts) + len(AWKWARD)
 
 
+def test_a_text_without_an_id_hides_no_link(spark):
+    base = words(random.Random(17), 60)
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in ((None, base), (1, base), (2, [*base, "x"]), (3, words(random.Random(18), 60)))]
+    found = ngram_join.similar_components(spark.createDataFrame(rows, DOCS).coalesce(1))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {None: None, 1: 1, 2: 1, 3: 3}
+
+
 def test_join_of_a_drifting_crowd(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWD", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
