@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import frame, map_rows, table
+from lexweave.llm.common import frame, make_room, map_rows, stage, table
 
 MAX_WORDS = 20_000
-#: Words in a worker's table of words met before; it starts anew when full.
-CACHE_WORDS = 600_000
+#: Words in a worker's table of words met before; about 300 bytes each.
+CACHE_WORDS = 800_000
 #: Ids are packed in so many bits.
 _BITS = 20
 _MASK = (1 << _BITS) - 1
@@ -222,14 +222,14 @@ class Lexicon:
         return self.out[self.bounds[place] : self.bounds[place + 1]].tolist() if self.final[state] else None
 
 
-def open_lexicon(blob: bytes) -> Lexicon:
-    """Writes the bytes once to this machine's temporary folder and maps them; workers of a machine share the pages."""
+def place_lexicon(blob: bytes) -> str:
+    """Writes the bytes once to this machine's temporary folder, where its workers map them and share the pages."""
     path = os.path.join(tempfile.gettempdir(), f"lexweave-{hashlib.sha256(blob).hexdigest()[:24]}.lex")
     if not os.path.exists(path):
         with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
             f.write(blob)
         os.replace(f.name, path)
-    return Lexicon(path)
+    return path
 
 
 class Encoder(dict):
@@ -244,8 +244,7 @@ class Encoder(dict):
         return self.model.merge(piece) if ids is None else ids
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+        make_room(self, CACHE_WORDS)
         ids = [i for piece in self.model.pieces(word) for i in self.piece_ids(piece)]
         entry = (" ".join(map(str, ids)), self.model.decode(ids))
         if len(word) <= 64:
@@ -263,8 +262,14 @@ class Encoder(dict):
         return " ".join([e[0] for e in entries]), " ".join([e[1] for e in entries])
 
 
+@lru_cache(maxsize=1)
+def encoder_for(tokenizer: str, lexicon: str) -> Encoder:
+    """One for each worker process, which runs many tasks."""
+    return Encoder(bpe(tokenizer), Lexicon(lexicon))
+
+
 def frequent_words(docs: DataFrame, tokenizer: str, max_words: int = MAX_WORDS) -> list[str]:
-    """The most frequent pieces of all texts; ties go to the smaller piece."""
+    """The most frequent pieces of all texts, at most ``max_words``; pieces of one frequency class go together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = bpe(tokenizer), Counter()
@@ -286,7 +291,14 @@ def frequent_words(docs: DataFrame, tokenizer: str, max_words: int = MAX_WORDS)
         yield emit()
 
     counted = map_rows(docs.select(F.col("text").cast("string")), count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(max_words).collect()]
+    # Sixteen classes of frequency to each doubling: the driver sees a count for each class, then one class after another.
+    classed = stage(counted.withColumn("class", F.floor(F.log2("n") * 16)), "words")
+    taken, least = 0, None
+    for r in classed.groupBy("class").agg(F.count("*").alias("pieces")).orderBy(F.desc("class")).collect():
+        if taken + r["pieces"] > max_words:
+            break
+        taken, least = taken + r["pieces"], r["class"]
+    return [] if least is None else [r["piece"] for r in classed.where(F.col("class") >= least).select("piece").collect()]
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, max_words: int = MAX_WORDS, digests: bool = False) -> DataFrame:
@@ -302,7 +314,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, max_words: int = MAX_W
     sent = docs.sparkSession.sparkContext.broadcast(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(bpe(path), open_lexicon(sent.value))
+        encoder = encoder_for(path, place_lexicon(sent.value))
         for b in batches:
             rows = [encoder(t) for t in b.column("text").to_pylist()]
             out = {"doc_id": (b.column("doc_id").to_pylist(), pa.int64()), "n_tokens": ([r[0].count(" ") + 1 if r[0] else 0 for r in rows], pa.int64())}
