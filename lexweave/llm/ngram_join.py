@@ -16,6 +16,7 @@ compared block by block, where one matrix product gives the intersections of all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -36,7 +37,7 @@ _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 #: A signature group with more members in different components is compared block by block.
 CROWD = 16
 #: Documents in a block, and shingles that a comparison of blocks holds at a time.
-BLOCK = 192
+BLOCK = 768
 COLUMNS = 4096
 
 
@@ -209,16 +210,20 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
 def _crowd_pairs(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of similar members of crowded signature groups that are in different components.
 
-    ``members`` has sig, head (of the group), doc and component. Groups that share members form a family; each of its
-    documents is compared once with the others, block by block, by the exact sizes of all intersections in a block.
+    ``members`` has sig, head (of the group), doc, component and size. Groups that share members form a family; each of
+    its documents is compared with those of its own and of the next band of sizes, block by block, by the exact sizes
+    of all intersections in a block.
     """
     families = connected(members.select(F.col("doc").alias("a"), F.col("head").alias("b")), "families").select(F.col("node").alias("doc"), F.col("component").alias("family"))
-    placed = stage(members.select("doc", "component").distinct().join(families, "doc"), "families")
-    blocks = placed.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    texts = _texts_of(docs, placed.select("doc")).dropDuplicates(["doc_id"])
-    in_block = placed.join(blocks, "family").join(texts, F.col("doc") == F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    width = math.log(100 / percent) * 1.0001  # so that similar sets are at most one band apart in floating point too
+    band = F.floor(F.log("size") / width)
+    zones = F.explode(F.array(band, band + 1)).alias("zone")
+    placed = stage(members.select("doc", "component", "size").distinct().join(families, "doc").select("doc", "component", "family", zones), "families")
+    blocks = placed.groupBy("family", "zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    texts = _texts_of(docs, placed.select("doc").distinct()).dropDuplicates(["doc_id"])
+    in_block = placed.join(blocks, ["family", "zone"]).join(texts, F.col("doc") == F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = in_block.withColumn("other", other).select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "text")
+    dealt = in_block.withColumn("other", other).select("family", "zone", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "text")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, n) for t in rows["text"]]
@@ -237,11 +242,11 @@ def _crowd_pairs(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
         close = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
         block, component, doc = (rows[c].to_numpy() for c in ("block", "component", "doc"))
         close &= component[:, None] != component[None]
-        close &= (block[:, None] == key[1]) & (block[None] == key[2])
+        close &= (block[:, None] == key[2]) & (block[None] == key[3])
         i, j = np.nonzero(close)
         return pd.DataFrame({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])}).drop_duplicates()
 
-    return dealt.groupBy("family", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("family", "zone", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -275,11 +280,13 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     everyone = members.select("sig", F.col("leader").alias("doc")).distinct().unionByName(members.select("sig", F.col("doc_id").alias("doc")))
     placed = to_reps(everyone, "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    open_ = stage(placed.join(mixed, "sig", "left_semi"), "open")
+    of_size = sizes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")).dropDuplicates(["doc"])
+    open_ = stage(placed.join(mixed, "sig", "left_semi").join(of_size, "doc"), "open")
     crowded = stage(open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc").alias("head")).where(F.col("n") > CROWD).select("sig", "head"), "crowded")
     quiet = open_.join(crowded, "sig", "left_anti")
-    x, y = (quiet.select("sig", F.col("doc").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
-    rest = x.join(y, "sig").where("a < b AND component_a <> component_b").select("a", "b")
+    x, y = (quiet.select("sig", F.col("doc").alias(c), F.col("component").alias(f"component_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    rest = x.join(y, "sig").where(f"a < b AND component_a <> component_b AND {fit}").select("a", "b")
     rest = rest.unionByName(_crowd_pairs(docs, open_.join(crowded, "sig"), n, percent)).distinct().join(first, ["a", "b"], "left_anti")
     more = _verify(docs, stage(rest, "pairs"), n, percent)
 
