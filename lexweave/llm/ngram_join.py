@@ -273,19 +273,21 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         return df
 
     starts = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = stage(to_reps(starts, "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    of_size = sizes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")).dropDuplicates(["doc"])
+    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    size_a, size_b = (of_size.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}")) for c in "ab")
+    first = to_reps(starts, "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = stage(first.join(size_a, "a").join(size_b, "b").where(fit).select("a", "b"), "pairs")
     links = _verify(docs, first, n, percent)
     found = connected(links, "component")
 
     everyone = members.select("sig", F.col("leader").alias("doc")).distinct().unionByName(members.select("sig", F.col("doc_id").alias("doc")))
     placed = to_reps(everyone, "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    of_size = sizes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")).dropDuplicates(["doc"])
     open_ = stage(placed.join(mixed, "sig", "left_semi").join(of_size, "doc"), "open")
     crowded = stage(open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc").alias("head")).where(F.col("n") > CROWD).select("sig", "head"), "crowded")
     quiet = open_.join(crowded, "sig", "left_anti")
     x, y = (quiet.select("sig", F.col("doc").alias(c), F.col("component").alias(f"component_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
-    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
     rest = x.join(y, "sig").where(f"a < b AND component_a <> component_b AND {fit}").select("a", "b")
     rest = rest.unionByName(_crowd_pairs(docs, open_.join(crowded, "sig"), n, percent)).distinct().join(first, ["a", "b"], "left_anti")
     more = _verify(docs, stage(rest, "pairs"), n, percent)
