@@ -1,9 +1,11 @@
 """Main text of web pages, with the template of a site removed.
 
 A page is parsed into a flat list of blocks, each with the hashes of the element subtrees around it. Spark counts the
-subtrees for each host; one that recurs on many pages of its host is template, and the blocks inside it go. Subtrees
-of the article itself are exempt, since sentences that sites repeat in articles are text. Elements that never hold the
-main text (menus, forms, scripts, comments of readers and the like) go by their names and class words.
+subtrees for each host; one that recurs on many different pages of its host is template, and the blocks inside it go,
+wherever they stand. Only single blocks inside an article are exempt, since sentences that sites repeat in articles are
+text. Where a host has too few pages to count, an article or main element that holds most of the text stands for the
+page. Elements that never hold the main text (menus, forms, scripts, comments of readers and the like) go by their names
+and class words.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import frame, map_rows, stage, table
 
-#: A subtree is template if it is on at least this many pages of the host and on this share of them.
+#: A subtree is template if it is on at least this many pages of the host, different in their texts, and on this share
+#: of them.
 MIN_PAGES = 3
 MIN_SHARE = 0.3
 #: (host, subtree) rows that are broadcast at most; about 20 bytes each. More are joined by page instead.
 MAX_BROADCAST = 1_000_000
+#: Stands among the subtrees of a host that has enough pages to count; no subtree has this hash but by chance.
+JUDGED = -(1 << 63)
 
 DROP = frozenset("script style noscript template svg math iframe object embed canvas audio video form button select textarea input nav header footer aside menu dialog head title".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
@@ -49,10 +54,10 @@ class Block:
 
 
 class Node:
-    __slots__ = ("article", "blocks", "digest", "dropped", "name")
+    __slots__ = ("article", "blocks", "digest", "dropped", "name", "prose")
 
-    def __init__(self, name: str, dropped: bool, article: bool) -> None:
-        self.name, self.dropped, self.article, self.digest, self.blocks = name, dropped, article, xxhash.xxh64(name.encode()), 0
+    def __init__(self, name: str, dropped: bool, article: bool, prose: bool) -> None:
+        self.name, self.dropped, self.article, self.prose, self.digest, self.blocks = name, dropped, article, prose, xxhash.xxh64(name.encode()), 0
 
 
 def _dropped(name: str, attributes: str, article: bool) -> bool:
@@ -70,13 +75,13 @@ def _dropped(name: str, attributes: str, article: bool) -> bool:
 
 
 def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
-    """(text, in an article, hashes of the subtrees around it outside the article) of each block, in page order.
+    """(text, in an article or main, hashes of the countable subtrees around it) of each block, in page order.
 
-    Elements that never hold main text are left out. An element without its end tag ends with its parent, a
+    All subtrees count but those of a single block inside an article. Elements that never hold main text are left out. An element without its end tag ends with its parent, a
     paragraph at the next block, and a stray end tag is ignored.
     """
     html = html or ""
-    stack = [Node("", False, False)]
+    stack = [Node("", False, False, False)]
     blocks: list[Block] = []
     open_block: Block | None = None
     at = 0
@@ -133,7 +138,7 @@ def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
         if name in VOID:
             continue
         top = stack[-1]
-        node = Node(name, top.dropped or _dropped(name, m[3], top.article), top.article or name in ("article", "main"))
+        node = Node(name, top.dropped or _dropped(name, m[3], top.article), top.article or name in ("article", "main"), top.prose or top.name == "article")
         node.digest.update((m[3] or "").encode(errors="replace"))
         if m[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue
@@ -141,19 +146,31 @@ def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
     while len(stack) > 1:
         close(stack.pop())
 
-    found = []
+    kept = []
     for b in blocks:
         words = _TEXT.sub(" ", unescape("".join(b.parts))).strip()
         if words:
-            outside = [n for n in b.path if n.name not in ("", "html", "body") and not n.article]
-            found.append((words, b.in_article, [n.digest.intdigest() - (1 << 63) for n in outside]))
+            kept.append((words, b))
+            for n in b.path:
+                n.blocks += 1
+    found = []
+    for words, b in kept:
+        counted = [n for n in b.path if n.name not in ("", "html", "body") and not (n.prose and n.blocks == 1)]
+        found.append((words, b.in_article, [n.digest.intdigest() - (1 << 63) for n in counted]))
     return found
 
 
-def main_text(blocks: list[tuple[str, bool, list[int]]], template: set[int]) -> str:
-    """The article's blocks; without an article, all blocks outside the template."""
+def main_text(blocks: list[tuple[str, bool, list[int]]], template: set[int], judged: bool = False) -> str:
+    """All blocks outside the template, whatever their tags, if the host's pages were ``judged`` by counts.
+
+    A page with nothing but template keeps its article: it is a text that the host shows in several frames. Without
+    counts the blocks of article and main stand for the page if they hold at least half of its characters.
+    """
     inside = [t for t, in_article, _ in blocks if in_article]
-    return "\n\n".join(inside or [t for t, _, around in blocks if template.isdisjoint(around)])
+    if judged:
+        return "\n\n".join([t for t, _, around in blocks if template.isdisjoint(around)] or inside)
+    every = [t for t, _, _ in blocks]
+    return "\n\n".join(inside if 2 * sum(map(len, inside)) >= sum(map(len, every)) else every)
 
 
 def host_of(url) -> F.Column:
@@ -161,29 +178,33 @@ def host_of(url) -> F.Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) of the subtrees that recur on many pages of their host."""
+    """(host, subtree) of the subtrees that recur on many pages of their host; a null subtree for each host with enough
+    pages to judge by counts. Pages of a host with the same text are one page."""
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes = [], []
+            hosts, contents, hashes = [], [], []
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                blocks = parse(html)
                 hosts.append(host)
-                hashes.append(sorted({h for _, in_article, around in parse(html) if not in_article for h in around}))
-            yield frame({"host": (hosts, pa.string()), "subtrees": (hashes, pa.list_(pa.int64()))})
+                contents.append(xxhash.xxh64("\0".join(t for t, _, _ in blocks).encode(errors="replace")).intdigest() - (1 << 63))
+                hashes.append(sorted({h for _, _, around in blocks for h in around}))
+            yield frame({"host": (hosts, pa.string()), "content": (contents, pa.int64()), "subtrees": (hashes, pa.list_(pa.int64()))})
 
-    seen = map_rows(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")), subtrees, "host string, subtrees array<long>")
-    rows = seen.select("host", F.explode(F.array_append("subtrees", F.lit(None).cast("long"))).alias("subtree"))  # the null row counts the page
+    seen = map_rows(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")), subtrees, "host string, content long, subtrees array<long>")
+    # The null row counts the page. Copies of a text are one page, whatever their number.
+    rows = seen.select("host", "content", F.explode(F.array_append("subtrees", F.lit(None).cast("long"))).alias("subtree")).distinct()
     counts = stage(rows.groupBy("host", "subtree").agg(F.count("*").alias("n")), "subtrees")
     sizes = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
     enough = (F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))
-    return counts.where("subtree IS NOT NULL").join(sizes, "host").where(enough).select("host", "subtree")
+    return counts.join(sizes, "host").where(enough).select("host", "subtree")
 
 
 def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per page row: page_id, url, text.
 
     A null or empty html has an empty text. Pages whose url is null or has no host share one nameless host. Equal rows
-    stay apart and count as pages of their own; other columns are ignored.
+    stay apart and count as one page, as do pages of a host with the same text; other columns are ignored.
     """
     templates = stage(site_templates(pages), "templates")
     named = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
@@ -191,18 +212,18 @@ def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     if templates.count() <= max_broadcast:
         by_host: dict[str, set[int]] = {}
         for r in templates.toLocalIterator():
-            by_host.setdefault(r["host"], set()).add(r["subtree"])
+            by_host.setdefault(r["host"], set()).add(JUDGED if r["subtree"] is None else r["subtree"])
         sent = spark.sparkContext.broadcast(by_host)
         rows = named.withColumn("subtrees", F.lit(None).cast("array<long>"))
     else:
         sent = None
-        lists = templates.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+        lists = templates.groupBy("host").agg(F.collect_list(F.coalesce("subtree", F.lit(JUDGED))).alias("subtrees"))
         rows = named.join(lists, "host", "left")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [sent.value.get(h, ()) for h in b.column("host").to_pylist()] if sent else [set(x or ()) for x in b.column("subtrees").to_pylist()]
-            texts = [main_text(parse(h), set(t)) for h, t in zip(b.column("html").to_pylist(), own, strict=True)]
+            texts = [main_text(parse(h), set(t), JUDGED in t) for h, t in zip(b.column("html").to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     id_type = dict(pages.dtypes)["page_id"]

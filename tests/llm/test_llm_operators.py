@@ -257,6 +257,23 @@ def test_site_template_goes(spark, most):
     assert found[0] == "Story n0 about n0" and found[9] == "Welcome to our site\n\nNews\n\nStory n9 about n9"
 
 
+@pytest.mark.parametrize("most", [html_extract.MAX_BROADCAST, 0])
+def test_host_counts_decide_before_tags(spark, most):
+    box = "<div><p>Follow us</p><p>Write to us</p></div>"
+    teaser = "<article><h2>Offer</h2><p>Buy now</p></article><div><p>Story {0} tells {0}.</p><p>It ends {0}.</p></div>"
+    main = f"<main><div><p>Lead {{0}}</p></div>{box}<article><p>News {{0}}</p><p>Sources say so.</p>{box}</article></main>"
+    rows = [(i, f"http://teaser.com/{i}", teaser.format(f"n{i}")) for i in range(6)]
+    rows += [(10 + i, f"http://main.com/{i}", main.format(f"n{i}")) for i in range(6)]
+    rows += [(20 + i, f"http://copies.com/{i}", "<div><p>One</p><p>text</p></div>") for i in range(4)] + [(30 + i, f"http://copies.com/x{i}", f"<div><p>other {i}</p></div>") for i in range(4)]
+    rows += [(40, "http://few.com/", "<article>Short</article><div>A far longer text beside it</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract(pages, max_broadcast=most).collect()}
+    assert found[0] == "Story n0 tells n0.\n\nIt ends n0."
+    assert found[10] == "Lead n0\n\nNews n0\n\nSources say so."
+    assert found[20] == found[23] == "One\n\ntext" and found[30] == "other 0"
+    assert found[40] == "Short\n\nA far longer text beside it"
+
+
 # --- personal data and secrets
 
 
