@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators import context, dedup, evaluate, quotes, reports, retrieval, structure
@@ -201,10 +201,13 @@ def token_normal(spark: SparkSession, d: str) -> DataFrame:
 
 def clause_of_quotes(spark: SparkSession, d: str) -> DataFrame:
     lines = structure.lines_of(numbered_pages(spark, d))
-    words = lines.select("document", "line", F.posexplode(F.split(F.btrim("text"), r"\s+")).alias("at", "token"))
-    # a line holds far fewer than 2 ** 20 words, so positions grow along the document
-    tokens = words.select("document", (F.col("line") * 1024 + F.col("at")).alias("position"), "token", (F.col("at") == 0).alias("starts_line"))
-    asked = lines.where("line % 3 = 2").select("document", F.col("line").alias("quote"), (F.col("line") * 1024).alias("position"))
+    # positions number the tokens of a document through all its lines; a token without a normal form has none
+    written = F.transform(F.filter(F.split("text", r"\s+"), lambda t: t != ""), lambda t, i: F.struct(t.alias("token"), (i == 0).alias("starts_line")))
+    solid = lines.withColumn("tokens", F.filter(written, lambda t: quotes.normal_token(t["token"]) != ""))
+    before = Window.partitionBy("document").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = solid.withColumn("base", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)).cast("long"))
+    tokens = placed.select("document", "base", F.posexplode("tokens").alias("at", "t")).select("document", (F.col("base") + F.col("at")).alias("position"), "t.token", "t.starts_line")
+    asked = placed.where("line % 3 = 2").select("document", F.col("line").alias("quote"), F.col("base").alias("position"))
     return quotes.clause_of_quotes(tokens, asked)
 
 

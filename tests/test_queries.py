@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import random
+import re
 
 import pytest
 
+from lexweave.operators import quotes
 from lexweave.plans import registry
 from tests.oracle import connect, same
 
@@ -28,3 +31,35 @@ def test_same_as_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.ORACLE_SQL.keys()))
 def test_has_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_clause_of_quotes_equals_brute_force(spark, tmp_path):
+    rng = random.Random(1)
+    line = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    texts = ["\n".join(line(rng.choice((1, 5, 40, 199, 1500))) for _ in range(rng.randrange(1, 30))) for _ in range(12)]
+    texts += ["a\nb\n\td\n" + line(590) + "\n! c\n\u2013 e f\n1.1 g", "\n\n\n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {}
+    for doc, text in enumerate(texts):
+        tokens, asked = [], []
+        for i, x in enumerate((text or "").split("\n")):
+            words = x.split(" ")
+            if i % 6 == 0:
+                x = f"{i // 6 % 90 + 1}. " + " ".join(words[:3])
+            elif i % 3 == 0:
+                x = f"{i // 6 % 90 + 1}.{i % 6 // 3 + 1} {x}"
+            if text is not None and x.strip():
+                if i % 3 == 2:
+                    asked.append((i, len(tokens)))
+                tokens += [(t, k == 0) for k, t in enumerate(x.split()) if t.strip(quotes.STRIP)]
+        for i, at in asked:
+            wanted[doc, i] = None
+            for t, first in tokens[max(0, at - 599) : at + 1][::-1]:
+                if first and re.fullmatch(r"\d{1,2}\.", t):
+                    break
+                if first and re.fullmatch(r"\d{1,2}(\.\d{1,3}){1,3}", t.strip(quotes.STRIP)):
+                    wanted[doc, i] = t.strip(quotes.STRIP)
+                    break
+    found = registry.QUERIES["clause_of_quotes"](spark, str(tmp_path)).collect()
+    assert {(r.document, r.quote): r.clause for r in found} == wanted and len(found) == len(wanted)
+    assert len(set(wanted.values())) > 3
