@@ -3,8 +3,8 @@
 Information-theoretic sanitisation: an e-mail address, card, phone number or IP address that the patterns find is a
 protected entity. How strongly a term t reveals an entity c is their pointwise mutual information over the corpus,
 compared with the entity's own information: PMI(c, t) / -log p(c). At 1 the term occurs with this entity only. Terms at
-``threshold`` or above are spans of kind ``term`` in the documents that hold the entity. Evidence counts once for each
-different context of the entity and once for each text, so that copies of one document are one witness. All of it is DataFrame functions.
+``threshold`` or above are spans of kind ``term`` wherever they stand, also in documents without the entity. All counts
+are of different texts, so that copies of one document are one witness. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Chains of 12 to 19 digits only: others fail the rule whatever they hold.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}\p{N}]{4,}+"
-#: Fewest contexts of an entity, and of an entity with a term, from which anything is concluded.
+TERM = r"[\p{L}\p{N}]{2,}+"
+#: Fewest texts with an entity, and with an entity and a term, from which anything is concluded.
 SUPPORT = 3
 THRESHOLD = 0.9
 
@@ -44,28 +44,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int = SUPPORT, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """From (digest, entity, context) of all documents: (digest, term) to mask, and (digest, text) of these documents.
+def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """From (digest, entity) of all texts: (digest, term) of every text that holds a term to mask.
 
-    Only entities with ``support`` contexts matter, so the words of other documents are never exploded. How often their
-    terms occur is counted over the whole corpus.
+    ``total`` is the number of different texts, and all counts are of these. Only entities in ``support`` texts matter,
+    so terms come from their texts alone; how often a term occurs is counted over the whole corpus.
     """
-    known = held.groupBy("entity").agg(F.countDistinct("context").alias("n_c")).where(F.col("n_c") >= support)
-    held = stage(held.join(known, "entity").distinct(), "entities")
+    known = held.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
+    held = stage(held.join(known, "entity"), "entities")
     texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
-    own = stage(S.maybe_in(texts, "digest", held.select("digest")).join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "entity-texts")
-    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    own = S.maybe_in(texts, "digest", held.select("digest")).join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    words = lambda df: df.select("digest", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     log = lambda c: F.log(F.greatest(c, F.lit(1.0001)))
     n = F.lit(float(max(total, 2)))
     ratio = lambda n_t: F.log(n * F.col("n_ct") / (F.col("n_c") * F.greatest(n_t, "n_ct"))) / log(n / F.col("n_c"))
-    own_words = stage(words(own, "digest"), "own-words")
-    pairs = own_words.join(held, "digest").groupBy("entity", "term").agg(F.countDistinct("context").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= support)
+    own_words = stage(words(own), "own-words")
+    pairs = own_words.join(held, "digest").groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where(F.col("n_ct") >= support)
     # A term too common in these documents alone is too common in the corpus: it needs no count there.
     within = own_words.groupBy("term").agg(F.count("*").alias("n_own"))
     pairs = stage(pairs.join(within, "term").where(ratio(F.col("n_own")) >= threshold).drop("n_own"), "pairs")
-    counted = S.maybe_in(words(docs.select(F.col("text").cast("string").alias("text"))), "term", pairs.select("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    telling = pairs.join(counted, "term").where(ratio(F.col("n_t")) >= threshold).select("entity", "term")
-    return held.select("digest", "entity").join(telling, "entity").select("digest", "term").distinct(), own
+    holding = stage(S.maybe_in(words(texts), "term", pairs.select("term")).join(pairs.select("term").distinct(), "term", "left_semi").select("digest", "term").distinct(), "holding")
+    counted = holding.groupBy("term").agg(F.count("*").alias("n_t"))
+    telling = pairs.join(counted, "term").where(ratio(F.col("n_t")) >= threshold).select("term").distinct()
+    return holding.join(telling, "term", "left_semi")
 
 
 def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,25 +75,24 @@ def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
     A null or empty text has no spans. Equal rows stay apart, and are one witness; other columns are ignored.
     """
     text = F.col("text")
-    context = lambda s: F.xxhash64(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)).cast("int"), F.least(s["start"], F.lit(24)).cast("int")))
-    found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"), base_spans(text).alias("base"))
-    found = stage(found.select("doc_id", "digest", "base", F.transform("base", context).alias("contexts")), "pii")
-    seen = found.where(F.size("base") > 0).select("digest", F.explode(F.arrays_zip("base", "contexts")).alias("e"))
-    held = seen.select("digest", F.concat_ws(":", "e.base.kind", "e.base.value").alias("entity"), F.col("e.contexts").alias("context"))
-    held = held.groupBy("digest", "entity").agg(F.min("context").alias("context"))  # a text is one witness, however often it names the entity
-    total = found.agg(F.count("*")).first()[0]
-    terms, texts = disclosing_terms(docs, held, total, support, threshold)
+    found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), base_spans(text).alias("base"))
+    found = stage(found, "pii")
+    # A text is one witness, however often it stands in the corpus and however often it names the entity.
+    held = found.where(F.size("base") > 0).select("digest", F.explode("base").alias("e")).select("digest", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
+    total = found.select("digest").distinct().count()
+    terms = stage(disclosing_terms(docs, held, total, support, threshold), "terms")
 
+    texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
+    marked_texts = S.maybe_in(texts, "digest", terms.select("digest")).join(terms.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
     zipped = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("m")))
-    every = texts.join(terms.select("digest").distinct(), "digest", "left_semi").select("digest", F.posexplode(zipped).alias("pos", "p"))
+    every = marked_texts.select("digest", F.posexplode(zipped).alias("pos", "p"))
     end = F.sum(F.col("p.gap") + F.coalesce(F.length("p.m"), F.lit(0))).over(Window.partitionBy("digest").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     placed = every.withColumn("end", end).where("p.m IS NOT NULL").withColumn("term", F.lower("p.m")).join(terms, ["digest", "term"], "left_semi")
     span = F.struct((F.col("end") - F.length("p.m")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("end"), F.col("p.m").alias("value")).cast(S.SPAN)
     marked = placed.groupBy("digest").agg(F.collect_list(span).alias("terms"))
     clear = lambda base: lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
-    plain = found.where(F.size("base") == 0).select("doc_id", "digest", "base", F.col("base").alias("spans"))
-    joined = found.where(F.size("base") > 0).join(marked, "digest", "left")
-    return plain.unionByName(joined.select("doc_id", "digest", "base", F.array_sort(F.concat("base", F.filter(F.coalesce("terms", S.no_spans()), clear(F.col("base"))))).alias("spans")))
+    joined = found.join(marked, "digest", "left")
+    return joined.select("doc_id", "digest", "base", F.array_sort(F.concat("base", F.filter(F.coalesce("terms", S.no_spans()), clear(F.col("base"))))).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
