@@ -1,9 +1,10 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of the
-distinct vote patterns of the whole corpus estimates how each rule votes on good and on bad documents; the
-posterior probability of a good document replaces an all-must-pass filter. There are at most 3 ** len(RULES)
-patterns, so the driver's share of the work does not grow with the corpus.
+distinct vote patterns of the whole corpus estimates the posterior probability of a good document, which replaces an
+all-must-pass filter. How each rule votes on good and on bad documents is counted over the labelled documents, where
+there are any; without labels, constraints keep a fault that one rule alone sees from being taken for that rule's noise.
+There are at most 3 ** len(RULES) patterns, so the driver's share of the work does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ SPACE = " \t\n\x0b\x0c\r"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "top_word")
 FALSE_ALARM = 0.002
 MISSED = 0.75
+#: Share of bad votes on bad and on good documents before any label, and the votes that this is worth.
+PRIOR = (0.125, 0.02)
+PRIOR_VOTES = 10.0
 _UPPER = [chr(c) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]]
 
 
@@ -123,8 +127,39 @@ def fit(patterns: dict[str, int], rounds: int = 100, smooth: float = 1.0) -> dic
     return {p: float(round(g, 6)) for p, g in zip(names, good, strict=True)}
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, the features, votes, posterior, base_failed, kept.
+def fit_labelled(patterns: dict[str, int], labelled: dict[str, tuple[int, int]], rounds: int = 100) -> dict[str, float]:
+    """The posteriors as in ``fit``, with each rule's votes by class counted over labelled documents.
+
+    ``labelled`` has the bad and the good labelled documents of each pattern. Only the class shares of the corpus are
+    estimated in rounds; the votes are used as they were counted, so a rule that is noisy on good documents rejects none
+    of them on its own. Abstaining is no evidence.
+    """
+    names = sorted(patterns)
+    if not names:
+        return {}
+    count = np.array([patterns[p] for p in names], float)
+    vote = np.array([["-0+".index(c) for c in p] for p in names])
+    known = np.array([["-0+".index(c) for c in p] for p in labelled])
+    mass = np.array(list(labelled.values()), float)
+    evidence = np.zeros(len(names))
+    for j in range(vote.shape[1]):
+        by = np.array([[mass[known[:, j] == v, c].sum() for v in (0, 2)] for c in (0, 1)]) + PRIOR_VOTES * np.array([[b, 1 - b] for b in PRIOR])
+        on_bad, on_good = by / by.sum(1, keepdims=True)
+        evidence += np.array([math.log(on_good[0] / on_bad[0]), 0.0, math.log(on_good[1] / on_bad[1])])[vote[:, j]]
+    share = mass[:, 1].sum() / mass.sum()
+    for _ in range(rounds):
+        good = 1 / (1 + np.exp(-np.clip(evidence + math.log(share / (1 - share)), -500, 500)))
+        before, share = share, ((count * good).sum() + 1) / (count.sum() + 2)
+        if abs(share - before) < 1e-12:
+            break
+    return {p: float(round(g, 6)) for p, g in zip(names, good, strict=True)}
+
+
+def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Per document row: doc_id, digest (of the text), the features, votes, posterior, base_failed, kept.
+
+    ``labels`` (doc_id, quality 0 or 1) trains the rules if it covers good and bad documents; a doc_id with both is left
+    out. All labels count: only sums by pattern reach the driver.
 
     A null or empty text has no words and fails the base rule. Equal rows stay apart; other columns are ignored.
     """
@@ -132,25 +167,32 @@ def score(docs: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features(t) for t in b.column("text").to_pylist()]
-            yield frame({"doc_id": (b.column("doc_id").to_pylist(), pa.int64())} | {c: ([r[c] for r in rows], pa.int64()) for c in FEATURES} | {"votes": ([votes(r) for r in rows], pa.string())})
+            yield frame({"doc_id": (b.column("doc_id").to_pylist(), pa.int64()), "digest": (b.column("digest").to_pylist(), pa.binary())} | {c: ([r[c] for r in rows], pa.int64()) for c in FEATURES} | {"votes": ([votes(r) for r in rows], pa.string())})
 
     spark = docs.sparkSession
-    measured = stage(map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), measure, "doc_id long, " + ", ".join(f"{c} long" for c in FEATURES) + ", votes string"), "quality")
+    text = F.col("text").cast("string")
+    measured = stage(map_rows(docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest")), measure, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in FEATURES) + ", votes string"), "quality")
     seen = {r["votes"]: r["n"] for r in measured.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    fitted = spark.createDataFrame([(k, v) for k, v in fit(seen).items()], "votes string, posterior double")
+    known = {}
+    if labels is not None:
+        sure = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
+        counts = measured.join(sure, "doc_id").groupBy("votes").agg(F.sum((F.col("lo") == 0).cast("long")).alias("bad"), F.sum((F.col("lo") == 1).cast("long")).alias("good"))
+        known = {r["votes"]: (r["bad"], r["good"]) for r in counts.collect()}
+    both = all(sum(n[c] for n in known.values()) for c in (0, 1))
+    fitted = spark.createDataFrame(list((fit_labelled(seen, known) if both else fit(seen)).items()), "votes string, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.join(F.broadcast(fitted), "votes", "left").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Documents that ``score`` keeps, with their own columns."""
     columns = docs.columns
     named = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("doc_id"))
     # A doc_id that repeats with other texts is kept if any of its rows is: a rejected row never removes a good one.
-    good = score(docs).where("kept").select(F.col("doc_id").alias("good_id")).distinct()
+    good = score(docs, labels).where("kept").select(F.col("doc_id").alias("good_id")).distinct()
     return named.join(good, named["doc_id"].eqNullSafe(good["good_id"]), "left_semi").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return score(table(spark, sf_dir, "documents")).select(*base, "posterior", "votes")
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*base, "posterior", "votes")

@@ -138,6 +138,18 @@ def test_quality_keeps_clean_and_drops_faults(spark):
     assert quality_rules.score(docs_of(spark, [], [])).count() == 0
 
 
+def test_one_bad_vote_of_a_noisy_rule_rejects_nothing(spark):
+    rng = random.Random(22)
+    clean = ["\n".join(" ".join(words(rng, 12, 5000)) + "." for _ in range(8)) for _ in range(95)]
+    code = [" ".join(f"w{rng.randrange(5000)} <{rng.choice('abcdefgh')}>" for _ in range(60)) for _ in range(5)]
+    junk = ["%%% ### ".join(words(rng, 60, 5000)) for _ in range(12)]
+    docs = docs_of(spark, clean + code + junk)
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(112) if i % 2 or 95 <= i < 98], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality_rules.score(docs, labels).collect()}
+    assert {found[i].votes.count("-") for i in range(95, 100)} == {1}
+    assert all(found[i].kept for i in range(100)) and not any(found[i].kept for i in range(100, 112))
+
+
 # --- byte-pair encoding
 
 
