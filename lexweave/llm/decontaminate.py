@@ -93,13 +93,15 @@ def _windows(benchmark: DataFrame, n: int) -> DataFrame:
     return cut_rows.groupBy("gram").agg(F.collect_set("item_id").alias("items"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_windows: int = BLOCK_WINDOWS, digests: bool = False) -> DataFrame:
     """Per document row: doc_id, n_words, hit (sorted word positions), items (sorted item ids as strings).
 
     Nulls and empty texts have no words and no hits; a null item_id owns no window; equal rows give equal rows.
-    Other columns of the inputs are ignored. The result keeps one row for each input row.
+    Other columns of the inputs are ignored. The result keeps one row for each input row. With ``digests`` a column
+    digest (SHA-256 of the text, null as empty) follows.
     """
     spark = docs.sparkSession
+    added = [F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("digest")] if digests else []
     windows = stage(_windows(benchmark, n), "windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
     keyed = docs.select("doc_id", "text")
@@ -122,26 +124,27 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
                     counts.append(len(w))
                     hits.append(sorted(hit))
                     owners.append(sorted(items))
-                yield frame({"doc_id": (b.column("doc_id").to_pylist(), pa.int64()), "row_key": (b.column("row_key").to_pylist(), pa.int64()), "n_words": (counts, pa.int64()), "hit": (hits, pa.list_(pa.int32())), "items": (owners, pa.list_(pa.string()))})
+                own = {"digest": (b.column("digest").to_pylist(), pa.binary())} if digests else {}
+                yield frame(own | {"doc_id": (b.column("doc_id").to_pylist(), pa.int64()), "row_key": (b.column("row_key").to_pylist(), pa.int64()), "n_words": (counts, pa.int64()), "hit": (hits, pa.list_(pa.int32())), "items": (owners, pa.list_(pa.string()))})
 
-        found = map_rows(keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row_key"), scan, "doc_id long, row_key long, n_words long, hit array<int>, items array<string>")
+        found = map_rows(keyed.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "row_key", *added), scan, ("digest binary, " if digests else "") + "doc_id long, row_key long, n_words long, hit array<int>, items array<string>")
         out = found if out is None else out.unionByName(found)
     if n_blocks > 1:
         out = out.groupBy("row_key").agg(
-            F.first("doc_id").alias("doc_id"),
+            *[F.first(c).alias(c) for c in ("doc_id", "digest")[: 1 + digests]],
             F.first("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
-    return out.select("doc_id", "n_words", "hit", "items")
+    return out.select("doc_id", "n_words", "hit", "items", *(["digest"] if digests else []))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Documents without any hit, with their own columns. A row with a null doc_id is kept only if its text is clean."""
+    """Documents without any hit, with their own columns. The text alone decides, whatever the doc_id."""
     columns = docs.columns
-    named = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    dirty = find_overlaps(named.select("doc_id", "text"), benchmark, n).where(F.size("hit") > 0).select("doc_id").distinct()
-    return named.join(dirty, named["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti").select("row.*")
+    named = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)).alias("digest"))
+    dirty = find_overlaps(docs.select("doc_id", "text"), benchmark, n, digests=True).where(F.size("hit") > 0).select("digest").distinct()
+    return named.join(dirty, "digest", "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,15 +298,21 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The smallest doc_id of each component, with its own columns; repeated rows of one doc_id become one.
+    """One row of each component, with its own columns: the smallest doc_id, and the first row among its rows.
 
-    Rows with a null doc_id and documents without words stay.
+    Groups are of rows: rows that repeat a doc_id with different texts are documents of their own, and rows without a
+    doc_id belong to groups as any others. Rows without words stay.
     """
     columns = docs.columns
-    named = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"))
-    gone = similar_components(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = named.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")).select("row.*")
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*[docs[c] for c in columns]).alias("row")), "rows")
+    texts = keyed.select(F.col("row_key").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    placed = similar_components(texts, n, percent).where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id")
+    ids = keyed.select("row_key", F.col("row.doc_id").cast("long").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    shared = stage(placed.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").join(placed, "component_id").join(ids, "row_key").select("component_id", order.alias("place")), "shared")
+    first = shared.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = shared.join(first, "component_id").where("place <> first").select("place.row_key")
+    return keyed.join(gone, "row_key", "left_anti").select("row.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

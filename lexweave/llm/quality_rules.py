@@ -185,12 +185,11 @@ def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Documents that ``score`` keeps, with their own columns."""
+    """Documents that ``score`` keeps, with their own columns. The text alone decides, whatever the doc_id."""
     columns = docs.columns
-    named = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("doc_id"))
-    # A doc_id that repeats with other texts is kept if any of its rows is: a rejected row never removes a good one.
-    good = score(docs, labels).where("kept").select(F.col("doc_id").alias("good_id")).distinct()
-    return named.join(good, named["doc_id"].eqNullSafe(good["good_id"]), "left_semi").select("row.*")
+    named = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)).alias("digest"))
+    good = score(docs, labels).where("kept").select("digest").distinct()
+    return named.join(good, "digest", "left_semi").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

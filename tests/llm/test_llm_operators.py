@@ -90,6 +90,22 @@ def test_one_of_each_keeps_columns_and_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, i) for i in (0, 3, 900, 901, 902, 903)]
 
 
+def test_stages_decide_by_text_and_not_by_doc_id(spark):
+    rng = random.Random(23)
+    good = ["\n".join(" ".join(words(rng, 12, 5000)) + "." for _ in range(8)) for _ in range(20)]
+    dirty, bad = good[0] + "\none two three four five six seven eight nine ten eleven", "spam " * 80
+    texts = [dirty, bad, *good, good[3], ""]
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)], DOCS)
+        left = lambda df: sorted(r.text for r in df.collect())
+        assert left(quality_rules.keep_good(docs)) == sorted([dirty, *good, good[3]])
+        bench = spark.createDataFrame([("b", "two three four five six seven eight nine ten eleven")], "item_id string, text string")
+        assert left(decontaminate.remove_contaminated(docs, bench)) == sorted(texts[1:])
+        assert left(ngram_join.one_of_each(docs, percent=95)) == sorted(set(texts))
+    null = docs_of(spark, [], [(None, None, "en", "s", 0), (None, "one two", "en", "s", 7)])
+    assert ngram_join.one_of_each(null).count() == 2
+
+
 # --- decontamination
 
 
