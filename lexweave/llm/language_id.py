@@ -14,17 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import frame, map_rows, stage, table
 from lexweave.llm.html_extract import host_of, main_text, parse
 
 BUCKETS = 1 << 14
-#: Labelled texts that train the trigram models, expected; chosen by a hash of the text.
+#: Different labelled texts that train the trigram models, shared equally by the languages.
 TRAIN_DOCS = 4_000
-#: Languages kept at most: the labelled sample decides.
-MAX_LANGUAGES = 64
+#: Texts of each language at least, if it has as many, however many languages there are.
+MIN_TRAIN = 100
 #: A text's log-likelihood counts as that of so many trigrams at most: trigrams are not independent.
 EVIDENCE = 60.0
 #: Records that each level of the hierarchy is worth to the level below.
@@ -46,12 +46,18 @@ def trigrams(text: str | None) -> np.ndarray:
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities by bucket, from rows (text, lang).
 
-    Trained on about ``train_docs`` labelled rows. Each task returns one count vector for each language.
+    Every language of a labelled row is one, however rare. Each trains on its first texts by hash: the share of
+    ``train_docs`` that falls to it, ``MIN_TRAIN`` at least, or all if it has fewer. Copies of a text are one text.
+    Each task returns one count vector for each language.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    total = labelled.count()
-    sample = labelled.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(max(1, total // train_docs))) == 0)
-    top = [r["lang"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    share = max(MIN_TRAIN, train_docs // max(1, len(langs)))
+    # Only hashes are ranked; the texts of the chosen ones follow.
+    hashed = labelled.select("lang", F.xxhash64("text", F.lit(5)).alias("hash")).distinct()
+    ranked = hashed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= share).select("lang", "hash")
+    sample = labelled.withColumn("hash", F.xxhash64("text", F.lit(5))).join(F.broadcast(ranked), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -62,11 +68,11 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
         rows = [(lang, k, int(v[k])) for lang, v in sums.items() for k in np.flatnonzero(v).tolist()]
         yield frame({"lang": ([r[0] for r in rows], pa.string()), "bucket": ([r[1] for r in rows], pa.int32()), "n": ([r[2] for r in rows], pa.int64())})
 
-    counted = map_rows(sample.where(F.col("lang").isin(top)).select("lang", "text"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(top)
+    counted = map_rows(sample.select("lang", "text"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    index = {lang: k for k, lang in enumerate(langs)}
     weights = np.full((len(langs), BUCKETS), 0.5)
     for r in counted.collect():  # languages times buckets at most
-        weights[langs.index(r["lang"]), r["bucket"]] += r["n"]
+        weights[index[r["lang"]], r["bucket"]] += r["n"]
     return langs, np.log(weights / weights.sum(1, keepdims=True))
 
 

@@ -406,3 +406,15 @@ def test_evidence_is_fused(spark):
     assert all(abs(sum(r.posteriors) - 1) < 1e-9 for r in found.values())
     held_out = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary[x]) for _ in range(12)), None, None, None, x) for i, x in enumerate(list(vocabulary) * 20)], "doc_id long, text string, html string, url string, host string, truth string")
     assert language_id.identify(held_out, langs, weights).where("lang = truth").count() == 60
+
+
+def test_rare_languages_are_kept_and_copies_count_once(spark):
+    rows = [(f"common words {i}", "aa") for i in range(900)] + [("zuzu text", "aa")] * 300
+    rows += [(f"rare{k} speech{k} number{k}", f"r{k:02}") for k in range(80)]
+    langs, weights = language_id.train(spark.createDataFrame(rows, "text string, lang string"), train_docs=50)
+    assert langs == ["aa", *[f"r{k:02}" for k in range(80)]] and weights.shape == (81, language_id.BUCKETS)
+    for k in (0, 79):
+        own = np.exp(weights[1 + k])
+        assert np.bincount(language_id.trigrams(rows[1200 + k][0]), minlength=language_id.BUCKETS)[own > own.min() * 2].sum() > 0
+    copied = np.exp(weights[0])[language_id.trigrams("zuzu")[1:3]]
+    assert copied.max() < np.exp(weights[0])[language_id.trigrams("common")].max() / 10
