@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-One first-order model describes random strings, another ordinary identifiers; a long run of identifier characters
-whose mean ratio per character pair is high enough is a span of kind ``random``. The labels come from the fixed
+One first-order model describes random strings, another ordinary identifiers. A run of identifier characters, less what
+a pattern matched in it, is judged as a whole and, if it fails, by the stretches of good pieces between its separators;
+one whose log-likelihood ratio is high enough in the mean and in sum is a span of kind ``random``. The labels come from the fixed
 patterns: the values they match are random strings, and the short runs around them in a bounded sample of documents
 are ordinary.
 All of it is DataFrame functions.
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm import spans as S
@@ -32,6 +33,10 @@ TRAIN_DOCS = 400
 SMOOTH = 0.5
 #: Least mean log-likelihood ratio of a character pair, in nats.
 MIN_RATIO = 0.5
+#: Least sum of them, in nats: that of the shortest run at the least mean. It decides how short a piece can be.
+MIN_SUM = 19 * MIN_RATIO
+#: Ends a piece of a run.
+SEPARATOR = "[/_=+-]"
 
 
 def base_spans(text: Column) -> Column:
@@ -64,6 +69,35 @@ def fit(spark: SparkSession, random: DataFrame, ordinary: DataFrame) -> DataFram
     return spark.createDataFrame(rows, "pair string, ratio double")
 
 
+def _cut(run: Column, base: Column) -> Column:
+    """What the base spans leave of a run, as spans."""
+    inner = F.filter(base, lambda s: (s["start"] < run["end"]) & (run["start"] < s["end"]))
+    part = lambda start, end: F.struct(start.alias("start"), run["kind"].alias("kind"), end.alias("end"), F.substring(run["value"], (start - run["start"] + 1).cast("int"), (end - start).cast("int")).alias("value")).cast(S.SPAN)
+    first = F.struct(run["start"].alias("at"), S.no_spans().alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        out = F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], s["start"])))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    end = lambda acc: F.when(acc["at"] < run["end"], F.concat(acc["out"], F.array(part(acc["at"], run["end"])))).otherwise(acc["out"])
+    return F.aggregate(inner, first, add, end)
+
+
+def random_spans(runs: DataFrame, model: DataFrame, min_ratio: float = MIN_RATIO, min_sum: float = MIN_SUM) -> DataFrame:
+    """From (row_id, run): (row_id, span) of the runs, or of stretches of their pieces, that look random."""
+    enough = (F.col("sum") >= min_sum) & (F.col("sum") >= min_ratio * F.col("n"))
+    score = lambda df, *keys: df.select(*keys, F.explode_outer(_pairs(F.col("value"))).alias("pair")).join(F.broadcast(model), "pair", "left").groupBy(*keys).agg(F.coalesce(F.sum("ratio"), F.lit(0.0)).alias("sum"), F.count("ratio").alias("n"))
+    whole = stage(score(runs.withColumn("value", F.col("run.value")), "row_id", "run").withColumn("random", enough), "runs")
+    cut = F.filter(S.find(F.col("run.value"), f"[^{SEPARATOR[1:]}+", 3, F.lit(True)), lambda s: s["end"] > s["start"])
+    pieces = whole.where(~F.col("random")).select("row_id", "run", F.posexplode(cut).alias("k", "p")).select("row_id", "run", "k", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.value").alias("value"))
+    # A piece of one character has no pair and breaks no stretch.
+    judged = score(pieces, "row_id", "run", "k", "start", "end", "value").withColumn("good", F.col("sum") >= min_ratio * F.col("n"))
+    order = Window.partitionBy("row_id", "run").orderBy("k")
+    stretches = judged.withColumn("island", F.sum((~F.col("good")).cast("int")).over(order)).where("good AND n > 0").groupBy("row_id", "run", "island").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("start").alias("lo"), F.max("end").alias("hi")).where(enough)
+    part = F.struct((F.col("run.start") + F.col("lo")).alias("start"), F.col("run.kind").alias("kind"), (F.col("run.start") + F.col("hi")).alias("end"), F.substring(F.col("run.value"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("value")).cast(S.SPAN)
+    return whole.where("random").select("row_id", F.col("run").alias("span")).unionByName(stretches.select("row_id", part.alias("span")))
+
+
 def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_RATIO) -> DataFrame:
     """Per document row: doc_id, digest (of the text), base and spans (sorted arrays of spans).
 
@@ -73,9 +107,8 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_R
     spark = docs.sparkSession
     text = F.col("text")
     long_runs = S.find(text, RUN, 3, text.rlike(RUN))
-    free = lambda base: lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
     found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("sample"), F.unhex(F.sha2("text", 256)).alias("digest"), base_spans(text).alias("base"), long_runs.alias("runs"))
-    found = stage(found.withColumn("runs", F.filter("runs", free(F.col("base")))).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
+    found = stage(found.withColumn("runs", F.flatten(F.transform("runs", lambda r: _cut(r, F.col("base"))))).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
 
     total = found.agg(F.count("*")).first()[0]
     chosen = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(17)), F.lit(max(1, total // train_docs))) == 0
@@ -84,9 +117,8 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_R
     random = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"))
     model = fit(spark, random, ordinary)
 
-    pairs = found.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("run")).select("row_id", "run", F.explode(_pairs(F.col("run.value"))).alias("pair"))
-    scored = pairs.join(F.broadcast(model), "pair").groupBy("row_id", "run").agg(F.avg("ratio").alias("mean")).where(F.col("mean") >= min_ratio)
-    flagged = scored.groupBy("row_id").agg(F.collect_list("run").alias("random"))
+    runs = found.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("run"))
+    flagged = random_spans(runs, model, min_ratio).groupBy("row_id").agg(F.collect_list("span").alias("random"))
     return found.join(flagged, "row_id", "left").select("doc_id", "digest", "base", F.array_sort(F.concat("base", F.coalesce("random", S.no_spans()))).alias("spans"))
 
 
