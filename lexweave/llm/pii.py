@@ -53,7 +53,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int
     known = held.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
     held = stage(held.join(known, "entity"), "entities")
     texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
-    own = S.maybe_in(texts, "digest", held.select("digest")).join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    own = S.maybe_in(texts, "digest", held.select("digest")).join(held.select("digest").distinct(), "digest").dropDuplicates(["digest"])
     words = lambda df: df.select("digest", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     log = lambda c: F.log(F.greatest(c, F.lit(1.0001)))
     n = F.lit(float(max(total, 2)))
@@ -63,7 +63,8 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int
     # A term too common in these documents alone is too common in the corpus: it needs no count there.
     within = own_words.groupBy("term").agg(F.count("*").alias("n_own"))
     pairs = stage(pairs.join(within, "term").where(ratio(F.col("n_own")) >= threshold).drop("n_own"), "pairs")
-    holding = stage(S.maybe_in(words(texts), "term", pairs.select("term")).join(pairs.select("term").distinct(), "term", "left_semi").select("digest", "term").distinct(), "holding")
+    # An inner join: a semi join would be moved before the bitmap, and all words of the corpus shuffled.
+    holding = stage(S.maybe_in(words(texts), "term", pairs.select("term")).join(pairs.select("term").distinct(), "term").select("digest", "term").distinct(), "holding")
     counted = holding.groupBy("term").agg(F.count("*").alias("n_t"))
     telling = pairs.join(counted, "term").where(ratio(F.col("n_t")) >= threshold).select("term").distinct()
     return holding.join(telling, "term", "left_semi")
@@ -83,7 +84,7 @@ def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
     terms = stage(disclosing_terms(docs, held, total, support, threshold), "terms")
 
     texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
-    marked_texts = S.maybe_in(texts, "digest", terms.select("digest")).join(terms.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    marked_texts = S.maybe_in(texts, "digest", terms.select("digest")).join(terms.select("digest").distinct(), "digest").dropDuplicates(["digest"])
     zipped = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("m")))
     every = marked_texts.select("digest", F.posexplode(zipped).alias("pos", "p"))
     end = F.sum(F.col("p.gap") + F.coalesce(F.length("p.m"), F.lit(0))).over(Window.partitionBy("digest").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
