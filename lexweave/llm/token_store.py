@@ -20,18 +20,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.bpe_lexicon import _SPACE
+from lexweave.llm.bpe_lexicon import _SPACE, byte_alphabet
 from lexweave.llm.common import frame, make_room, map_rows, shared_dir, stage, table
 
 END_ID = 0
 SEGMENT_IDS = 4_000_000
-#: Chunks of text in a worker's table of chunks met before, about 200 bytes each.
-CACHE_CHUNKS = 1_000_000
+#: Entries in each of a worker's tables of text met before, about 200 bytes each.
+CACHE_CHUNKS = 700_000
+#: Bytes of text that a task encodes at a time, and one text more.
+ENCODE_BYTES = 8 << 20
 SAMPLE = 256
 _HEAD = struct.Struct("<8s4Q")
 _SEQ = struct.Struct("<4Qq")
@@ -106,11 +109,13 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, EliasFano, list[int | None]
 
 
 class ChunkEncoder(dict):
-    """Ids of a text by the tokenizers library, which sees each different chunk once.
+    """Ids of texts by the tokenizers library, which sees each different piece of text once.
 
     A chunk is white space and the run of other characters after it. The vocabulary's pattern never joins a character
-    to one before white space, so a text's ids are those of its chunks. Keys are words after a single space, or after
-    the line break that they then begin with; ``whole`` holds chunks as they stand.
+    to one before white space, so a text's ids are those of its chunks. Arrow cuts the texts of a batch and finds their
+    different chunks; this table is asked once for each of these. Its keys are words after a single space, or after the
+    line break that they then begin with. Letters and the punctuation after them are two pieces for the pattern:
+    ``pieces`` holds them alone, as the vocabulary writes them. ``whole`` holds chunks as they stand.
     """
 
     def __init__(self, path: str) -> None:
@@ -123,16 +128,36 @@ class ChunkEncoder(dict):
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         other = _SPACE.replace("\t-\r ", "\t\x0b-\r")
-        self.irregular = re.compile(rf"[{other}]|[ \n][ \n]|\A[ \n]|[ \n]\Z").search
+        self.irregular = rf"[{other}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
         self.chunks = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+        self.letters = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?]*)").fullmatch
+        self.written = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+        self.line = self._encode("\n")
+        self.pieces: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
 
     def _encode(self, chunk: str) -> bytes:
         return array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the pattern does not cut, from the library's model alone."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            make_room(self.pieces, CACHE_CHUNKS)
+            written = piece.encode().decode("latin-1").translate(self.written)
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        return ids
+
     def __missing__(self, word: str) -> bytes:
         make_room(self, CACHE_CHUNKS)
-        ids = self[word] = self._encode(word if word[:1] == "\n" else " " + word)
+        m = self.letters(word)
+        if m is None:
+            ids = self._encode(word if word[:1] == "\n" else " " + word)
+        else:
+            ids = self.line + self._piece(m[2]) if m[1] else self._piece(" " + m[2])
+            if m[3]:
+                ids += self._piece(m[3])
+        self[word] = ids
         return ids
 
     def chunk(self, chunk: str) -> bytes:
@@ -142,15 +167,50 @@ class ChunkEncoder(dict):
             ids = self.whole[chunk] = self._encode(chunk)
         return ids
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text with other white space than single spaces and line breaks, or with a special token's string."""
         if any(s in text for s in self.special):
             return self._encode(text)
-        if self.irregular(text):
-            return b"".join(map(self.chunk, self.chunks(text)))
-        words = text.replace("\n", " \n").split(" ")
-        return self._encode(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+        return b"".join(map(self.chunk, self.chunks(text)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each text's followed by ``END_ID``; and how many ids each text has with it."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        filled = pc.greater(pc.binary_length(texts), 0)
+        plain = pc.and_(filled, pc.invert(pc.match_substring_regex(texts, self.irregular)))
+        for s in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, s)))
+        # The line break in front makes the first word one like others; its id is taken off again below.
+        line, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        words = pc.split_pattern(pc.binary_join_element_wise(line, pc.replace_substring(texts.filter(plain), "\n", " \n"), nothing), " ")
+        coded = words.flatten().dictionary_encode()
+        entries = [self[w] for w in coded.dictionary.to_pylist()]
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        first, at = np.unique(place[bounds[:-1]], return_inverse=True)
+        place[bounds[:-1]] = len(entries) + at
+        entries += [entries[k][len(self.line) :] for k in first.tolist()]
+
+        is_plain, is_filled = (x.to_numpy(zero_copy_only=False) for x in (plain, filled))
+        odd = np.flatnonzero(is_filled & ~is_plain)
+        odd_place = len(entries) + np.arange(len(odd))
+        entries += [self._odd(t) for t in texts.take(pa.array(odd)).to_pylist()]
+        entries.append(np.array([END_ID], self.dtype).tobytes())
+        parts = is_filled.astype(np.int64)  # chunks of each text: those of a plain one, one for an odd one, none
+        parts[is_plain] = np.diff(bounds)
+        stop = np.cumsum(parts + 1)
+        sequence = np.full(int(stop[-1]) if len(stop) else 0, len(entries) - 1)
+        of_text, is_end = np.repeat(np.arange(len(parts)), parts + 1), np.zeros(len(sequence), bool)
+        is_end[stop - 1] = True
+        sequence[is_plain[of_text] & ~is_end] = place
+        sequence[(is_filled & ~is_plain)[of_text] & ~is_end] = odd_place
+
+        data = np.frombuffer(b"".join(entries), self.dtype)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
+        own = sizes[sequence]
+        ends = np.cumsum(own)
+        source = np.repeat((np.cumsum(sizes) - sizes)[sequence] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return data[source], np.diff(ends[stop - 1], prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -159,6 +219,25 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], most: int = ENCODE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in batches of about so many bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        done = 0
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0)).to_numpy()
+        while done < len(batch):
+            before = int(ends[done - 1]) if done else 0
+            stop = min(len(batch), int(np.searchsorted(ends, before + most - size)) + 1)
+            held.append(batch.slice(done, stop - done))
+            size += int(ends[stop - 1]) - before
+            done = stop
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write_segments(docs: DataFrame, folder: str, tokenizer: str, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Writes all documents' ids under ``folder`` (a URI that executors share); returns the staged list of segments:
     part, seq, path, n_docs, n_ids, start (ids before the segment)."""
@@ -168,7 +247,6 @@ def write_segments(docs: DataFrame, folder: str, tokenizer: str, segment_ids: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         encoder = chunk_encoder(tokenizer)
-        end = np.array([END_ID], encoder.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         fs.create_dir(root, recursive=True)
         seq, chunks, ends, ids, total = 0, [], [], [], 0
@@ -183,11 +261,12 @@ def write_segments(docs: DataFrame, folder: str, tokenizer: str, segment_ids: in
             seq, chunks, ends, ids, total = seq + 1, [], [], [], 0
             return row
 
-        for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                coded = encoder(text) + end
-                chunks.append(coded)
-                total += len(coded) // encoder.dtype.itemsize
+        for b in blocks(batches):
+            coded, counts = encoder.encode(b.column("text"))
+            stops = np.cumsum(counts).tolist()
+            for i, p, q in zip(b.column("doc_id").to_pylist(), [0, *stops], stops, strict=False):
+                chunks.append(coded[p:q].tobytes())
+                total += q - p
                 ends.append(total)
                 ids.append(i)
                 if total >= segment_ids:
@@ -215,10 +294,10 @@ def read_segments(segments: DataFrame, folder: str) -> DataFrame:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
                 with fs.open_input_stream(path) as f:
                     ids, ends, doc_ids = unpack_segment(f.read())
-                ends = ends.all()
-                begins = np.concatenate(([0], ends[:-1]))
-                crcs = [zlib.crc32(ids[p:q].astype("<u4").tobytes()) for p, q in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield frame({"doc_id": (doc_ids, pa.int64()), "start": ((begins + start).tolist(), pa.int64()), "n_tokens": ((ends - begins).tolist(), pa.int64()), "ids_crc32": (crcs, pa.int64())})
+                stops = [ends.select(i) for i in range(ends.n)]
+                begins = [0, *stops[:-1]]
+                crcs = [zlib.crc32(ids[p:q].astype("<u4").tobytes()) for p, q in zip(begins, stops, strict=True)]
+                yield frame({"doc_id": (doc_ids, pa.int64()), "start": ([start + p for p in begins], pa.int64()), "n_tokens": ([q - p for p, q in zip(begins, stops, strict=True)], pa.int64()), "ids_crc32": (crcs, pa.int64())})
 
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return map_rows(segments.select("path", "start").repartition(parts, "path"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -231,6 +310,9 @@ def default_tokenizer() -> str:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A null text counts as empty; null doc_ids come first, repeated ones in order of their texts."""
+    """A null text counts as empty; null doc_ids come first, repeated ones in order of their texts; equal rows stay apart.
+
+    An empty table leaves no file and no row. Other columns are ignored, whatever their names.
+    """
     folder = f"{shared_dir(spark)}/lexweave-tokens-{uuid.uuid4().hex}"
     return read_segments(write_segments(table(spark, sf_dir, "documents"), folder, default_tokenizer()), folder)
