@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch; texts may be long, so a batch stays small.
@@ -35,6 +36,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spent(*staged: DataFrame) -> None:
+    """Deletes what ``stage`` wrote, once everything that reads it has been written itself.
+
+    Tables on file systems that Arrow does not know stay for whoever clears the folder.
+    """
+    for df in staged:
+        folder = next((f.rsplit("/", 1)[0] for f in df.inputFiles()), "")
+        if "/lexweave-" in folder and folder.split(":")[0] in ("file", "hdfs"):
+            fs, path = pafs.FileSystem.from_uri(folder)
+            fs.delete_dir(path)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches that stay small although texts can be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -8,10 +8,12 @@ sets agree on some subset of n2 - k2 parts there, and the hash of what a set hol
 that both share. With n1 above the least number, G groups are sure to agree, which allows two exact savings: empty
 subsets are left out while a set has fewer than G of them, and only the fullest ``all - G + 1`` are sent.
 
-Candidates are verified on the texts themselves. Members of a signature group are first compared with its smallest
-member; only members that are still in different components afterwards are compared with each other, so a group of
-copies costs as many comparisons as it has members. Members of crowded groups, such as copies that drifted apart, are
-compared block by block, where one matrix product gives the intersections of all pairs and only similar pairs leave.
+Candidates are screened by exact bounds and then verified on the texts themselves. The bounds are those of the sizes and
+of sketches: a sketch counts a set's n-grams in buckets, and two sets differ in at least as many n-grams as their
+sketches differ. Members of a signature group are first compared with its smallest member; only members that are still
+in different components afterwards are compared with each other, so a group of copies costs as many comparisons as it
+has members. Members of crowded groups, such as copies that drifted apart, are compared block by block, where one
+matrix product gives the intersections of all pairs and only similar pairs leave.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import map_rows, stage, table
+from lexweave.llm.common import map_rows, spent, stage, table
 from lexweave.llm.spans import maybe_in
 
 _U = np.uint64
@@ -39,6 +41,10 @@ CROWD = 16
 #: Documents in a block, and shingles that a comparison of blocks holds at a time.
 BLOCK = 768
 COLUMNS = 4096
+#: Equal texts are joined to their first one in so many parts, so that a text with many copies is no hot key.
+SALTS = 16
+#: Most buckets of a sketch, one byte each.
+MAX_SKETCH = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +92,24 @@ def same_enough(a: str, b: str, n: int, percent: int) -> bool:
     return 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Counts of the hashes in two to four times fewer buckets; nothing where a count does not fit a byte."""
+    bits = min(max(len(hashes) // 2, 1), MAX_SKETCH).bit_length() - 1
+    counts = np.bincount((hashes >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(hashes)])
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def can_be_similar(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool:
+    """False where the sketches prove that two sets of these sizes differ too much. Missing sketches prove nothing."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    differing = int(np.abs(x.reshape(len(y), -1).sum(1) - y).sum())
+    return (100 + percent) * differing <= (100 - percent) * (size_a + size_b)
+
+
 class PartEnum:
     """Signatures of a set of 64-bit hashes for a Jaccard similarity of ``percent`` / 100."""
 
@@ -106,7 +130,8 @@ class PartEnum:
         self._band(self.low[-1])
         most = self.high[band]
         k = 2 * most * (100 - self.percent) // (100 + self.percent)
-        n2, k2 = (1, 0) if k == 0 else (3, 1) if k < 48 else (2, 1)
+        # Small sets take larger subsets, which are hardly ever empty: all sets with an empty one share its signature.
+        n2, k2 = (1, 0) if k == 0 else (4, 1) if k == 1 else (5, 2) if k < 12 else (3, 1) if k < 48 else (2, 1)
         least = k // (k2 + 1) + 1
         n1 = least + least * 12 // 100
         parts = n1 * n2
@@ -140,32 +165,36 @@ class PartEnum:
 
 
 def _signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, doc_id, n_shingles): a row for each signature with n_shingles null, and one for each document with sig null."""
+    """(sig, doc_id, own): a row for each signature with own null, and one for each document with sig null. ``own`` has
+    the set's size n and its sketch, which is null where another row of the same text has it."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, seen = PartEnum(percent), {}
         for b in batches:
-            ids, counts, sigs = b.column("doc_id").to_pylist(), [], []
+            ids, counts, sigs, sketches = b.column("doc_id").to_pylist(), [], [], []
             for i, text in zip(ids, b.column("text").to_pylist(), strict=True):
                 digest = xxhash.xxh3_128_digest((text or "").encode())
-                size, own = seen.get(digest), []  # a copy within the task needs no signatures: copies are joined by their text
+                size, own, counted = seen.get(digest), [], None  # a copy within the task needs no signatures: copies are joined by their text
                 if size is None:
                     h = shingles(text, n)
                     size = len(h)
                     if i is not None:
-                        own = scheme.signatures(h).view(np.int64)
+                        own, counted = scheme.signatures(h).view(np.int64), sketch(h)
                         if len(seen) < 200_000:
                             seen[digest] = size
                 sigs.append(own)
                 counts.append(size)
+                sketches.append(counted)
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
             flat = np.concatenate([np.asarray(s, np.int64) for s in sigs]) if sigs else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), lists], ["doc_id", "n_shingles", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()), lists], ["doc_id", "n", "sketch", "sigs"])
 
-    signed = map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, "doc_id long, n_shingles long, sigs array<long>")
-    rows = F.array_insert(F.transform("sigs", lambda s: F.struct(s.alias("sig"), F.lit(None).cast("long").alias("n"))), 1, F.struct(F.lit(None).cast("long").alias("sig"), F.col("n_shingles").alias("n")))
-    return signed.select("doc_id", F.explode(rows).alias("r")).select("r.sig", "doc_id", F.col("r.n").alias("n_shingles"))
+    signed = map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, "doc_id long, n long, sketch binary, sigs array<long>")
+    own = F.struct("n", "sketch")
+    none = F.lit(None).cast("struct<n: bigint, sketch: binary>")
+    rows = F.array_insert(F.transform("sigs", lambda s: F.struct(s.alias("sig"), none.alias("own"))), 1, F.struct(F.lit(None).cast("long").alias("sig"), own.alias("own")))
+    return signed.select("doc_id", F.explode(rows).alias("r")).select("r.sig", "doc_id", "r.own")
 
 
 def connected(edges: DataFrame, label: str) -> DataFrame:
@@ -178,7 +207,8 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = stage(small, label)
+        before, edges = edges, stage(small, label)
+        spent(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -192,6 +222,21 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return maybe_in(named.where("text IS NOT NULL"), "doc_id", ids)
 
 
+def _screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches of ``sets`` (doc, size, sketch) don't rule out."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b"))
+            ok = [can_be_similar(*row, percent) for row in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (sets.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    joined = pairs.join(left, "a").join(right, "b").where(fit)
+    return stage(map_rows(joined.select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b"), look, "a long, b long"), "pairs")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -204,7 +249,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stage(map_rows(joined, compare, "a long, b long"), "links")
+    links = stage(map_rows(joined, compare, "a long, b long"), "links")
+    spent(texts)
+    return links
 
 
 def _crowd_pairs(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -249,38 +296,35 @@ def _crowd_pairs(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     return dealt.groupBy("family", "zone", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id that links reach).
-
-    A null or empty text, or one of white space, has no shingles, links with nothing and is its own component. Rows that
-    share a doc_id count as one document for the components. A null doc_id cannot be linked: its component is null.
-    Other columns of the input are ignored.
-    """
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``similar_components`` of rows in which each doc_id has one text."""
     rows = _signature_rows(docs, n, percent)
     in_group = Window.partitionBy("sig").orderBy("doc_id")
     salted = rows.withColumn("sig", F.coalesce("sig", F.xxhash64(F.lit(7), "doc_id")))  # the documents' own rows ride along
-    grouped = salted.withColumn("leader", F.first(F.when(F.col("n_shingles").isNull(), F.col("doc_id")), ignorenulls=True).over(in_group))
-    kept = stage(grouped.where("n_shingles IS NOT NULL OR leader < doc_id"), "groups")
-    sizes, members = kept.where("n_shingles IS NOT NULL"), kept.where("n_shingles IS NULL").select("sig", "leader", "doc_id")
+    grouped = salted.withColumn("leader", F.first(F.when(F.col("own").isNull(), F.col("doc_id")), ignorenulls=True).over(in_group))
+    kept = stage(grouped.where("own IS NOT NULL OR leader < doc_id"), "groups")
+    sizes, members = kept.where("own IS NOT NULL").select("doc_id", F.col("own.n").alias("n_shingles")), kept.where("own IS NULL").select("sig", "leader", "doc_id")
 
-    digests = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    digests = _digests(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("digest", "rep")
-    copies = stage(digests.join(firsts, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("copy"), "rep").distinct(), "copies")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = stage(digests.join(firsts, ["digest", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy"), "rep").distinct(), "copies")
 
     def to_reps(df: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
             df = df.join(copies, df[c] == copies["copy"], "left").withColumn(c, F.coalesce("rep", c)).drop("copy", "rep")
         return df
 
+    sent = kept.where("own.sketch IS NOT NULL AND own.n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("own.n").alias("size"), "own.sketch")
+    sets = stage(to_reps(sent, "doc").dropDuplicates(["doc"]), "sets")
     starts = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    of_size = sizes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")).dropDuplicates(["doc"])
-    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
-    size_a, size_b = (of_size.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}")) for c in "ab")
-    first = to_reps(starts, "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = stage(first.join(size_a, "a").join(size_b, "b").where(fit).select("a", "b"), "pairs")
-    links = _verify(docs, first, n, percent)
+    first = stage(to_reps(starts, "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "starts")
+    likely = _screened(first, sets, percent)
+    links = _verify(docs, likely, n, percent)
+    spent(likely)
     found = connected(links, "component")
 
+    of_size = sets.select("doc", "size")
     everyone = members.select("sig", F.col("leader").alias("doc")).distinct().unionByName(members.select("sig", F.col("doc_id").alias("doc")))
     placed = to_reps(everyone, "doc").distinct().join(found, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
@@ -288,25 +332,56 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     crowded = stage(open_.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc").alias("head")).where(F.col("n") > CROWD).select("sig", "head"), "crowded")
     quiet = open_.join(crowded, "sig", "left_anti")
     x, y = (quiet.select("sig", F.col("doc").alias(c), F.col("component").alias(f"component_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
-    rest = x.join(y, "sig").where(f"a < b AND component_a <> component_b AND {fit}").select("a", "b")
-    rest = rest.unionByName(_crowd_pairs(docs, open_.join(crowded, "sig"), n, percent)).distinct().join(first, ["a", "b"], "left_anti")
-    more = _verify(docs, stage(rest, "pairs"), n, percent)
+    fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
+    rest = x.join(y, "sig").where(f"a < b AND component_a <> component_b AND {fit}").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    others = _screened(rest, sets, percent)
+    crowd = stage(_crowd_pairs(docs, open_.join(crowded, "sig"), n, percent).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = _verify(docs, others.unionByName(crowd).distinct(), n, percent)
 
     no_ids = copies.select(F.col("copy").alias("a"), F.col("rep").alias("b"))
     final = connected(links.unionByName(more).unionByName(no_ids), "component")
+    spent(first, sets, open_, crowded, others, crowd, links, more, copies)
     return sizes.join(final, sizes["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"))
+
+
+def similar_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id (smallest doc_id that links reach).
+
+    A null or empty text, or one of white space, has no shingles, links with nothing and is its own component. Rows that
+    share a doc_id are one document for the components, linked by any of their texts; n_shingles is the row's own. A
+    null doc_id cannot be linked: its component is null. An empty table has an empty result. Other columns of the input
+    are ignored, whatever their names.
+    """
+    several = _digests(docs).groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        return _components(docs, n, percent)
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "rows")
+    found = stage(_components(keyed.where("doc_id IS NOT NULL").select(F.col("row_key").alias("doc_id"), "text"), n, percent).withColumnRenamed("doc_id", "row_key"), "rows")
+    named = found.join(keyed.select("row_key", "doc_id"), "row_key")
+    heads = named.groupBy("doc_id").agg(F.min("row_key").alias("head"))
+    ties = named.join(heads, "doc_id").select(F.col("row_key").alias("a"), F.col("head").alias("b"))
+    nodes = connected(ties.unionByName(named.select(F.col("row_key").alias("a"), F.col("component_id").alias("b"))), "component")
+    grouped = stage(named.join(nodes, named["row_key"] == nodes["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "row_key").alias("component")), "rows")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    nameless = keyed.where("doc_id IS NULL").select(F.col("row_key").alias("doc_id"), "text")
+    unlinked = _signature_rows(nameless, n, percent).where("own IS NOT NULL").select(F.lit(None).cast("long").alias("doc_id"), F.col("own.n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return grouped.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(unlinked)
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, with its own columns: the smallest doc_id, and the first row among its rows.
 
     Groups are of rows: rows that repeat a doc_id with different texts are documents of their own, and rows without a
-    doc_id belong to groups as any others. Rows without words stay.
+    doc_id belong to groups as any others. Rows without words stay, and columns of any names are carried along.
     """
     columns = docs.columns
     keyed = stage(docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*[docs[c] for c in columns]).alias("row")), "rows")
     texts = keyed.select(F.col("row_key").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    placed = similar_components(texts, n, percent).where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id")
+    placed = _components(texts, n, percent).where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id")
     ids = keyed.select("row_key", F.col("row.doc_id").cast("long").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
     shared = stage(placed.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").join(placed, "component_id").join(ids, "row_key").select("component_id", order.alias("place")), "shared")
