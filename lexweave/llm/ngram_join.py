@@ -9,11 +9,10 @@ that both share. With n1 above the least number, G groups are sure to agree, whi
 subsets are left out while a set has fewer than G of them, and only the fullest ``all - G + 1`` are sent.
 
 Candidates are screened by exact bounds and then verified on the texts themselves. The bounds are those of the sizes and
-of sketches: a sketch counts a set's n-grams in buckets, and two sets differ in at least as many n-grams as their
-sketches differ. Members of a signature group are first compared with its smallest member; only members that are still
+of sketches: a sketch has the parity of a set's n-grams in each of two to four times as many buckets, and two sets differ
+in at least as many n-grams as their sketches in bits, and hardly in more. Members of a signature group are first compared with its smallest member; only members that are still
 in different components afterwards are compared with each other, so a group of copies costs as many comparisons as it
-has members. Members of crowded groups, such as copies that drifted apart, are compared block by block, where one
-matrix product gives the intersections of all pairs and only similar pairs leave.
+has members. Members of crowded groups, such as copies that drifted apart, are compared sketch by sketch in blocks, and only pairs that can be similar leave.
 """
 
 from __future__ import annotations
@@ -38,13 +37,12 @@ _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 
 #: A signature group with more members in different components is compared block by block.
 CROWD = 16
-#: Documents in a block, and shingles that a comparison of blocks holds at a time.
-BLOCK = 768
-COLUMNS = 4096
+#: Documents in a block.
+BLOCK = 2048
 #: Equal texts are joined to their first one in so many parts, so that a text with many copies is no hot key.
 SALTS = 16
-#: Most buckets of a sketch, one byte each.
-MAX_SKETCH = 1 << 16
+#: Most buckets of a sketch, one bit each.
+MAX_SKETCH = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,20 +91,24 @@ def same_enough(a: str, b: str, n: int, percent: int) -> bool:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Counts of the hashes in two to four times fewer buckets; nothing where a count does not fit a byte."""
-    bits = min(max(len(hashes) // 2, 1), MAX_SKETCH).bit_length() - 1
-    counts = np.bincount((hashes >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(hashes)])
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    """The parity of the number of hashes in each of up to four times as many buckets, at least 64, one bit each."""
+    bits = min(max(4 * len(hashes), 64), MAX_SKETCH).bit_length() - 1
+    odd = np.bincount((hashes >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(data: bytes, size: int) -> np.ndarray:
+    """A sketch in ``size`` bytes: that of the same hashes in fewer buckets."""
+    bits = np.frombuffer(data, np.uint8)
+    if len(bits) > size:
+        bits = np.packbits(np.unpackbits(bits).reshape(size * 8, -1).sum(1, dtype=np.int64).astype(np.uint8) & 1)
+    return bits.view(np.uint64)
 
 
 def can_be_similar(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool:
-    """False where the sketches prove that two sets of these sizes differ too much. Missing sketches prove nothing."""
-    if not a or not b:
-        return True
-    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
-    if len(x) < len(y):
-        x, y = y, x
-    differing = int(np.abs(x.reshape(len(y), -1).sum(1) - y).sum())
+    """False where the sketches prove that two sets of these sizes differ too much."""
+    least = min(len(a), len(b))
+    differing = int(np.bitwise_count(folded(a, least) ^ folded(b, least)).sum())
     return (100 + percent) * differing <= (100 - percent) * (size_a + size_b)
 
 
@@ -254,44 +256,37 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return links
 
 
-def _crowd_pairs(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of similar members of crowded signature groups that are in different components.
+def _crowd_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of crowded signature groups that can be similar and are in different components.
 
     ``members`` has sig, head (of the group), doc, component and size. Groups that share members form a family; each of
-    its documents is compared with those of its own and of the next band of sizes, block by block, by the exact sizes
-    of all intersections in a block.
+    its documents is compared with those of its own and of the next band of sizes, block by block, by their sketches.
     """
     families = connected(members.select(F.col("doc").alias("a"), F.col("head").alias("b")), "families").select(F.col("node").alias("doc"), F.col("component").alias("family"))
     width = math.log(100 / percent) * 1.0001  # so that similar sets are at most one band apart in floating point too
     band = F.floor(F.log("size") / width)
     zones = F.explode(F.array(band, band + 1)).alias("zone")
-    placed = stage(members.select("doc", "component", "size").distinct().join(families, "doc").select("doc", "component", "family", zones), "families")
+    placed = stage(members.select("doc", "component", "size").distinct().join(families, "doc").select("doc", "component", "size", "family", zones), "families")
     blocks = placed.groupBy("family", "zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    texts = _texts_of(docs, placed.select("doc").distinct()).dropDuplicates(["doc_id"])
-    in_block = placed.join(blocks, ["family", "zone"]).join(texts, F.col("doc") == F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    in_block = placed.join(blocks, ["family", "zone"]).join(sets.select("doc", "sketch"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = in_block.withColumn("other", other).select("family", "zone", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "text")
+    dealt = in_block.withColumn("other", other).select("family", "zone", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "size", "sketch")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, n) for t in rows["text"]]
-        sizes = np.array([len(s) for s in sets])
-        owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-        _, column = np.unique(flat, return_inverse=True)
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for first in range(0, int(column[-1]) + 1, COLUMNS):  # so many shingles at a time, whatever the texts' lengths
-            p, q = np.searchsorted(column, [first, first + COLUMNS])
-            has = np.zeros((len(sets), COLUMNS), np.float32)
-            has[owner[p:q], column[p:q] - first] = 1
-            both += has @ has.T
-        both = both.astype(np.int64)
-        close = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
-        block, component, doc = (rows[c].to_numpy() for c in ("block", "component", "doc"))
-        close &= component[:, None] != component[None]
-        close &= (block[:, None] == key[2]) & (block[None] == key[3])
-        i, j = np.nonzero(close)
-        return pd.DataFrame({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])}).drop_duplicates()
+        least = min(map(len, rows["sketch"]))
+        left, right = rows[rows["block"] == key[2]], rows[rows["block"] == key[3]]
+        bits = np.stack([folded(s, least) for s in right["sketch"]]) if len(right) else None
+        size, doc, component = (right[c].to_numpy() for c in ("size", "doc", "component"))
+        found = []
+        for a, own, mine, data in zip(left["doc"], left["component"], left["size"], left["sketch"], strict=True):
+            if bits is None:
+                break
+            differing = np.bitwise_count(bits ^ folded(data, least)).sum(1, dtype=np.int64)
+            near = ((100 + percent) * differing <= (100 - percent) * (size + mine)) & (component != own)
+            if key[2] == key[3]:
+                near &= doc > a
+            found.extend((min(a, b), max(a, b)) for b in doc[near].tolist())
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return dealt.groupBy("family", "zone", "lo", "hi").applyInPandas(compare, "a long, b long")
 
@@ -335,7 +330,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     fit = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
     rest = x.join(y, "sig").where(f"a < b AND component_a <> component_b AND {fit}").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     others = _screened(rest, sets, percent)
-    crowd = stage(_crowd_pairs(docs, open_.join(crowded, "sig"), n, percent).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    crowd = stage(_crowd_pairs(open_.join(crowded, "sig"), sets, percent).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = _verify(docs, others.unionByName(crowd).distinct(), n, percent)
 
     no_ids = copies.select(F.col("copy").alias("a"), F.col("rep").alias("b"))

@@ -61,7 +61,6 @@ def test_a_text_without_an_id_hides_no_link(spark):
 def test_join_of_a_drifting_crowd(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWD", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
     rng = random.Random(5)
     base = words(rng, 120)
     texts = [" ".join(mutated(rng, base, rng.random() * 0.08)) for _ in range(60)]
@@ -82,6 +81,34 @@ def test_signatures_are_shared_by_all_similar_sets():
                 assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
 
 
+def test_sketches_rule_out_no_similar_sets():
+    rng, ruled_out = np.random.default_rng(4), 0
+    for n in (1, 2, 6, 20, 55, 130, 700, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[rng.integers(0, max(1, n // 3)) :], rng.integers(0, 2**64, rng.integers(0, max(2, n // 3)), dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            possible = ngram_join.can_be_similar(ngram_join.sketch(a), ngram_join.sketch(b), len(a), len(b), 80)
+            assert possible or 100 * both < 80 * (len(a) + len(b) - both)
+            ruled_out += not possible
+    assert ruled_out > 20
+
+
+def test_join_of_rows_that_repeat_a_doc_id(spark):
+    rng = random.Random(41)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a + " x"), (3, b), (3, b), (4, c), (5, "  "), (None, c), (6, None)]
+    found = ngram_join.similar_components(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS))
+    assert sorted((str(r.doc_id), r.component_id) for r in found.collect()) == [("1", 1), ("2", 1), ("2", 1), ("3", 1), ("3", 1), ("4", 4), ("5", 5), ("6", 6), ("None", None)]
+
+
+def test_join_ignores_clashing_columns(spark):
+    docs = docs_of(spark, near_copies()[:8]).select("*", *[F.lit(7).alias(c) for c in ("sig", "own", "a", "b", "salt", "digest", "component", "size", "row_key", "row")])
+    assert ngram_join.similar_components(docs).count() == 8 + len(AWKWARD)
+    assert ngram_join.one_of_each(docs).columns == docs.columns
+    assert ngram_join.similar_components(docs_of(spark, [], [])).count() == 0 == ngram_join.one_of_each(docs_of(spark, [], [])).count()
+
+
 def test_one_of_each_keeps_columns_and_odd_rows(spark):
     texts = ["a b c d e f g h"] * 3 + ["other words stand here alone now"]
     docs = docs_of(spark, texts).unionByName(docs_of(spark, texts[:1], []))
