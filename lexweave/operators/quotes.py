@@ -15,11 +15,13 @@ from lexweave.operators.retrieval import indel_ratio
 STRIP = "«»\"'“”„()[]{}.,;:!?…"
 FUZZY = 82.0
 SNIPPET = 12
-LEXEME = re.compile(r"[+\-−]?\d+(?:[.,:/]\d+)*(?:[%‰])?|[^\W\d_]+|[^\w\s]|[\w]")
-WRAP = re.compile(r"([^\W\d_]{3,})[-­][ \t]*\r?\n[ \t]*([^\W\d_])")
-SOFT_HYPHEN = re.compile(r"(?<=[^\W\d_])­(?=[^\W\d_])")
-NEGATIONS = frozenset(("не", "ни", "без"))
-SIGNS = frozenset("-+−±<>≤≥=")
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LEXEME = rf"[+\-−]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*[%‰]?|{_LETTER}+|(?U)[^\p{{L}}\p{{N}}_\s]|_"
+#: A word that a hyphen cuts at the end of a line, if the rest is in lower case; a negation with a hyphen is no such word.
+WRAPPED = rf"((?<!{_LETTER})(?!(?iu:без)[-\u00AD]){_LETTER}{{3,}}+)[-\u00AD][ \t]*\r?\n[ \t]*(?=\p{{Ll}})"
+SOFT_HYPHEN = rf"(?<={_LETTER})\u00AD(?={_LETTER})"
+NO_NEGATION = r"(?<!\n(?iu:не|ни|без))"
+NO_SIGN = r"(?<!\n[-+−±<>≤≥=])"
 
 
 def normal_token(token: Column) -> Column:
@@ -67,52 +69,41 @@ def box_union(words: DataFrame) -> DataFrame:
     return words.groupBy("document", "page", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def evidence_lexemes(text: str, join_wraps: bool) -> list[str]:
-    """Lexemes with case, numbers, signs and punctuation; a word that a line break cuts is joined if asked for."""
+def lexeme_line(text: Column, join_wraps: bool) -> Column:
+    """The lexemes of a text, which keep case, numbers, signs and punctuation, each between line breaks.
 
-    def join(m: re.Match) -> str:
-        keeps = m[1].casefold() in NEGATIONS or not m[2].islower()
-        return m[0] if keeps else m[1] + m[2]
-
-    return LEXEME.findall(SOFT_HYPHEN.sub("", WRAP.sub(join, text) if join_wraps else text))
-
-
-def strict_at(hay: list[str], needle: list[str]) -> int | None:
-    """Where the needle begins, unless a negation or a sign before it changes what it says."""
-    if not needle:
-        return None
-    for i in range(len(hay) - len(needle) + 1):
-        if hay[i] == needle[0] and hay[i : i + len(needle)] == needle:
-            before = hay[i - 1] if i else ""
-            if before.casefold() in NEGATIONS or needle[0][:1].isdigit() and before in SIGNS:
-                continue
-            return i
-    return None
+    With ``join_wraps`` a word that a hyphen cuts at the end of a line is one lexeme.
+    """
+    whole = F.regexp_replace(text, WRAPPED, "$1") if join_wraps else text
+    lexemes = F.regexp_extract_all(F.regexp_replace(whole, SOFT_HYPHEN, ""), F.lit(LEXEME), F.lit(0))
+    return F.concat(F.lit("\n"), F.array_join(lexemes, "\n"), F.lit("\n"))
 
 
-def strictly_verified(quote: str | None, fragment: str | None, page: str | None) -> bool:
-    """The quote stands word for word in the fragment and on the pages it comes from."""
-    if quote is None or fragment is None or page is None:
-        return False
-    for join_wraps in (False, True):
-        needle = evidence_lexemes(quote, join_wraps)
-        if not any(c.isalnum() for part in needle for c in part):
-            return False
-        if all(strict_at(evidence_lexemes(text, join_wraps), needle) is not None for text in (fragment, page)):
-            return True
-    return False
+def stands_in(quote: Column, text: Column) -> Column:
+    """Whether a line of lexemes stands in another one, with no negation before it and no sign before its number."""
+    unsigned = F.when(quote.rlike(r"^\n[\p{Nd}²³¹⁰⁴-⁹₀-₉]"), F.lit(NO_SIGN)).otherwise(F.lit(""))
+    return F.rlike(text, F.concat(F.lit(NO_NEGATION), unsigned, F.lit("\\Q"), quote, F.lit("\\E")))
 
 
 def verify_quotes(quotes: DataFrame) -> DataFrame:
-    """Rows (quote, fragment, page_text) with ``verified``; a missing part verifies nothing."""
+    """Rows (quote, fragment, page_text) with ``verified``: the quote stands word for word in both other texts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            clean = pdf[["quote", "fragment", "page_text"]].astype(object).where(pdf[["quote", "fragment", "page_text"]].notna(), None)
-            yield pdf.assign(verified=[strictly_verified(*r) for r in clean.itertuples(index=False)])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in quotes.dtypes)
-    return quotes.mapInPandas(run, schema + ", verified boolean")
+    It may do so as it is written or with words joined across lines, in both texts alike. A missing part verifies
+    nothing, nor does a quote without a letter or a digit.
+    """
+    names = ("quote", "fragment", "page_text")
+    ways = [{c: lexeme_line(F.col(c), join_wraps) for c in names} for join_wraps in (False, True)]
+    found = [stands_in(w["quote"], w["fragment"]) & stands_in(w["quote"], w["page_text"]) for w in ways]
+    says = F.regexp_replace("quote", SOFT_HYPHEN, "").rlike(r"[\p{L}\p{N}]")
+    return quotes.withColumn("verified", F.coalesce(says & (found[0] | found[1]), F.lit(False)))
+
+
+def with_page_texts(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Quotes (document, quote_id, page, page_end, ...) with ``page_text``: the texts of these pages, in order."""
+    span = quotes.select("document", "quote_id", F.explode(F.sequence("page", "page_end")).alias("page"))
+    texts = span.join(pages.select("document", "page", "text"), ["document", "page"]).groupBy("document", "quote_id")
+    joined = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("page_text"))
+    return quotes.join(joined, ["document", "quote_id"], "left")
 
 
 def best_window(quote: str, text: str) -> tuple[int, int, float]:

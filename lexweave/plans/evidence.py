@@ -150,10 +150,17 @@ def phrase_search_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_verification(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's second line as a quote of the document: as it is, and with its first digit changed."""
-    second = F.try_element_at(F.split("text", "\n"), F.lit(2))
-    rows = table(spark, d, "documents").select("doc_id", second.alias("quote"), F.col("text").alias("fragment"), F.col("text").alias("page_text"))
-    return quotes.verify_quotes(rows.where("quote <> ''")).select("doc_id", "verified")
+    """Each document's second line as a quote: as it is, with its first digit changed, with its second half cited
+    without a negation that stands before it in the document, and looked for on the wrong page (that of its first line)."""
+    lines = F.split("text", "\n")
+    second = F.try_element_at(lines, F.lit(2))
+    half = F.array_join(F.slice(F.split(second, " "), F.floor(F.size(F.split(second, " ")) / 2).cast("int") + 1, F.lit(1000)), " ")
+    digit = F.regexp_replace(F.concat(F.lit("7 "), second), r"^7", "8")
+    denied = F.concat_ws(" ", "text", F.lit("не"), half)
+    forms = [("as it is", second, F.col("text"), F.col("text")), ("digit", digit, F.concat(F.lit("7 "), second), F.col("text")), ("negation", F.concat_ws(" ", half, F.lit("end")), F.concat(denied, F.lit(" end")), F.concat(denied, F.lit(" end"))), ("page", second, F.col("text"), F.element_at(lines, 1))]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), q.alias("quote"), f.alias("fragment"), p.alias("page_text")) for k, q, f, p in forms])).alias("e")
+    rows = table(spark, d, "documents").where(second != "").select("doc_id", each).select("doc_id", "e.*")
+    return quotes.verify_quotes(rows).select("doc_id", "form", "verified")
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +287,15 @@ ORACLE_SQL = {
       p AS (SELECT a.document, a.seq AS a, b.seq AS b, a.clause AS ca, b.clause AS cb, a.page AS pa, b.page AS pb, CASE WHEN least(len(a.words), len(b.words)) > 0 THEN len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)) ELSE 0 END AS overlap
         FROM w a JOIN w b ON a.document = b.document AND a.seq < b.seq)
       SELECT document, a, b, round(overlap, 4) AS overlap FROM p WHERE overlap >= 0.7 OR coalesce(ca = cb AND CASE WHEN contains(ca, '.') THEN pa IS NULL OR pb IS NULL OR pa = pb ELSE overlap >= 0.35 END, false)""",
+    "quote_verification": r"""WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+      s AS (SELECT *, lines[2] AS second, array_to_string(string_split(lines[2], ' ')[len(string_split(lines[2], ' ')) // 2 + 1 :], ' ') AS half FROM p WHERE lines[2] <> ''),
+      f AS (SELECT doc_id, 'as it is' AS form, second AS quote, text AS fragment, text AS page FROM s UNION ALL SELECT doc_id, 'digit', '8 ' || second, '7 ' || second, text FROM s
+        UNION ALL SELECT doc_id, 'negation', half || ' end', text || ' не ' || half || ' end', text || ' не ' || half || ' end' FROM s UNION ALL SELECT doc_id, 'page', second, text, lines[1] FROM s),
+      x AS (SELECT doc_id, form, regexp_matches(quote, '[\p{L}\p{N}]') AS says, list_transform([quote, fragment, page], t -> chr(10) || array_to_string(regexp_extract_all(replace(t, chr(173), ''),
+        '[+\-−]?\p{Nd}+(?:[.,:/]\p{Nd}+)*[%‰]?|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s]|_'), chr(10)) || chr(10)) AS l FROM f),
+      y AS (SELECT doc_id, form, says, l[1] AS q, list_transform(l[2:3], t -> string_split(t, l[1])) AS cuts FROM x)
+      SELECT doc_id, form, says AND list_min(list_transform(cuts, c -> CAST(len(list_filter(c[1:len(c) - 1], b -> NOT regexp_matches(b, '(?i)\n(не|ни|без)$')
+        AND NOT (regexp_matches(q, '^\n\p{Nd}') AND regexp_matches(b, '\n[-+−±<>≤≥=]$')))) > 0 AS INT))) = 1 AS verified FROM y""".replace("\\", "\"),
     "passage_scores": f"WITH {_PASSAGES} SELECT document, page, part, score, n_chars FROM ps",
     "budget_prefix": f"""WITH {_PASSAGES}, b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY document ORDER BY score DESC, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
       row_number() OVER (PARTITION BY document ORDER BY score DESC, part) AS n FROM ps) SELECT document, page, part, score, CAST(least(n_chars, 8000 - before) AS BIGINT) AS n_chars FROM b WHERE n <= 80 AND before < 8000""",
