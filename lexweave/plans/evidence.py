@@ -295,7 +295,7 @@ ORACLE_SQL = {
         '[+\-−]?\p{Nd}+(?:[.,:/]\p{Nd}+)*[%‰]?|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s]|_'), chr(10)) || chr(10)) AS l FROM f),
       y AS (SELECT doc_id, form, says, l[1] AS q, list_transform(l[2:3], t -> string_split(t, l[1])) AS cuts FROM x)
       SELECT doc_id, form, says AND list_min(list_transform(cuts, c -> CAST(len(list_filter(c[1:len(c) - 1], b -> NOT regexp_matches(b, '(?i)\n(не|ни|без)$')
-        AND NOT (regexp_matches(q, '^\n\p{Nd}') AND regexp_matches(b, '\n[-+−±<>≤≥=]$')))) > 0 AS INT))) = 1 AS verified FROM y""".replace("\\", "\"),
+        AND NOT (regexp_matches(q, '^\n\p{Nd}') AND regexp_matches(b, '\n[-+−±<>≤≥=]$')))) > 0 AS INT))) = 1 AS verified FROM y""",
     "passage_scores": f"WITH {_PASSAGES} SELECT document, page, part, score, n_chars FROM ps",
     "budget_prefix": f"""WITH {_PASSAGES}, b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY document ORDER BY score DESC, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
       row_number() OVER (PARTITION BY document ORDER BY score DESC, part) AS n FROM ps) SELECT document, page, part, score, CAST(least(n_chars, 8000 - before) AS BIGINT) AS n_chars FROM b WHERE n <= 80 AND before < 8000""",
