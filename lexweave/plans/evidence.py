@@ -291,10 +291,10 @@ ORACLE_SQL = {
       s AS (SELECT *, lines[2] AS second, array_to_string(string_split(lines[2], ' ')[len(string_split(lines[2], ' ')) // 2 + 1 :], ' ') AS half FROM p WHERE lines[2] <> ''),
       f AS (SELECT doc_id, 'as it is' AS form, second AS quote, text AS fragment, text AS page FROM s UNION ALL SELECT doc_id, 'digit', '8 ' || second, '7 ' || second, text FROM s
         UNION ALL SELECT doc_id, 'negation', half || ' end', text || ' не ' || half || ' end', text || ' не ' || half || ' end' FROM s UNION ALL SELECT doc_id, 'page', second, text, lines[1] FROM s),
-      x AS (SELECT doc_id, form, regexp_matches(quote, '[\p{L}\p{N}]') AS says, list_transform([quote, fragment, page], t -> chr(10) || array_to_string(regexp_extract_all(replace(t, chr(173), ''),
+      x AS (SELECT doc_id, form, regexp_matches(quote, '[\p{L}\p{N}]') AS says, list_transform([quote, fragment, page], lambda t: chr(10) || array_to_string(regexp_extract_all(replace(t, chr(173), ''),
         '[+\-−]?\p{Nd}+(?:[.,:/]\p{Nd}+)*[%‰]?|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s]|_'), chr(10)) || chr(10)) AS l FROM f),
-      y AS (SELECT doc_id, form, says, l[1] AS q, list_transform(l[2:3], t -> string_split(t, l[1])) AS cuts FROM x)
-      SELECT doc_id, form, says AND list_min(list_transform(cuts, c -> CAST(len(list_filter(c[1:len(c) - 1], b -> NOT regexp_matches(b, '(?i)\n(не|ни|без)$')
+      y AS (SELECT doc_id, form, says, l[1] AS q, list_transform(l[2:3], lambda t: string_split(t, l[1])) AS cuts FROM x)
+      SELECT doc_id, form, says AND list_min(list_transform(cuts, lambda c: CAST(len(list_filter(c[1:len(c) - 1], lambda b: NOT regexp_matches(b, '(?i)\n(не|ни|без)$')
         AND NOT (regexp_matches(q, '^\n\p{Nd}') AND regexp_matches(b, '\n[-+−±<>≤≥=]$')))) > 0 AS INT))) = 1 AS verified FROM y""",
     "passage_scores": f"WITH {_PASSAGES} SELECT document, page, part, score, n_chars FROM ps",
     "budget_prefix": f"""WITH {_PASSAGES}, b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY document ORDER BY score DESC, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
