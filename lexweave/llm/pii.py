@@ -44,11 +44,13 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing_terms(docs: DataFrame, held: DataFrame, repeated: DataFrame, total: int, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """From (digest, entity) of all texts: (digest, term) of every text that holds a term to mask.
 
-    ``total`` is the number of different texts, and all counts are of these. Only entities in ``support`` texts matter,
-    so terms come from their texts alone; how often a term occurs is counted over the whole corpus.
+    ``total`` is the number of different texts, ``repeated`` the digests of those with copies, and all counts are of
+    different texts. Only entities in ``support`` texts matter, so terms come from their texts alone; how often a term
+    occurs is counted over the whole corpus. A text without copies adds to sums within its task; only for the others do
+    their terms move, so that copies count once.
     """
     known = held.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
     held = stage(held.join(known, "entity"), "entities")
@@ -63,11 +65,14 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, total: int, support: int
     # A term too common in these documents alone is too common in the corpus: it needs no count there.
     within = own_words.groupBy("term").agg(F.count("*").alias("n_own"))
     pairs = stage(pairs.join(within, "term").where(ratio(F.col("n_own")) >= threshold).drop("n_own"), "pairs")
+    sums = lambda df: df.groupBy("term").agg(F.count("*").alias("n_t"))
+    each = S.maybe_marked(texts, "digest", repeated, "copied")
+    once = sums(S.maybe_in(words(each.where("NOT copied")), "term", pairs.select("term")))
+    copied = sums(S.maybe_in(words(each.where("copied")), "term", pairs.select("term")).distinct())
+    counted = once.unionByName(copied).groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    telling = stage(pairs.join(counted, "term").where(ratio(F.col("n_t")) >= threshold).select("term").distinct(), "telling")
     # An inner join: a semi join would be moved before the bitmap, and all words of the corpus shuffled.
-    holding = stage(S.maybe_in(words(texts), "term", pairs.select("term")).join(pairs.select("term").distinct(), "term").select("digest", "term").distinct(), "holding")
-    counted = holding.groupBy("term").agg(F.count("*").alias("n_t"))
-    telling = pairs.join(counted, "term").where(ratio(F.col("n_t")) >= threshold).select("term").distinct()
-    return holding.join(telling, "term", "left_semi")
+    return S.maybe_in(words(texts), "term", telling).join(telling, "term").select("digest", "term").distinct()
 
 
 def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -80,8 +85,9 @@ def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
     found = stage(found, "pii")
     # A text is one witness, however often it stands in the corpus and however often it names the entity.
     held = found.where(F.size("base") > 0).select("digest", F.explode("base").alias("e")).select("digest", F.concat_ws(":", "e.kind", "e.value").alias("entity")).distinct()
-    total = found.select("digest").distinct().count()
-    terms = stage(disclosing_terms(docs, held, total, support, threshold), "terms")
+    copies = stage(found.groupBy("digest").agg(F.count("*").alias("n")).groupBy((F.col("n") > 1).alias("many"), F.when(F.col("n") > 1, F.col("digest")).alias("digest")).agg(F.count("*").alias("texts")), "copies")
+    total = copies.agg(F.sum("texts")).first()[0] or 0
+    terms = stage(disclosing_terms(docs, held, copies.where("many").select("digest"), total, support, threshold), "terms")
 
     texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
     marked_texts = S.maybe_in(texts, "digest", terms.select("digest")).join(terms.select("digest").distinct(), "digest").dropDuplicates(["digest"])

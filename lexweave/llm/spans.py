@@ -60,14 +60,19 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, end)).otherwise(text)
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` can be among ``keys`` (one column): a bitmap of fixed size is broadcast.
+def maybe_marked(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean: false only where ``column`` is not among ``keys`` (one column), or null.
 
-    All rows with a key pass, and few others; an exact join follows. Nulls don't pass.
+    A bitmap of fixed size is broadcast. It is true for all rows with a key, and for few others.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
     bitmap = keys.select(bit(keys.columns[0]).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_h) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_h) % 8 as int)) % 2 = 1")
-    marked = df.where(F.col(column).isNotNull()).withColumn("_h", bit(column)).withColumn("_bucket", F.bitmap_bucket_number("_h"))
-    return marked.join(F.broadcast(bitmap), "_bucket").withColumn("_byte", byte).where(hit).select(*df.columns)
+    marked = df.withColumn("_h", F.when(F.col(column).isNotNull(), bit(column))).withColumn("_bucket", F.bitmap_bucket_number("_h"))
+    return marked.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_byte", byte).select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` can be among ``keys`` (one column), as ``maybe_marked`` says; an exact join follows."""
+    return maybe_marked(df, column, keys, "_in").where("_in").drop("_in")
