@@ -6,18 +6,43 @@ of spans sorts by start, then by the order in which the kinds are listed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 #: Bits of a membership filter; its size is the same for every corpus (8 MB).
 FILTER_BITS = 1 << 26
+#: Values that one fold gathers.
+BLOCK = 256
 
 
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression that names a value and computes it once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an array of longs from its first value to each. Block by block, as each step of a fold copies what the
+    fold has gathered."""
+
+    def sums(part: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out"))
+        return F.aggregate(part, zero, add, lambda acc: acc["out"])
+
+    zero = F.lit(0).cast("long")
+    blocks = let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
+    whole = lambda all_blocks: sums(F.transform(all_blocks, lambda b: F.aggregate(b, zero, lambda x, y: x + y)), zero)
+    before = lambda ends, k: F.coalesce(F.get(ends, k - 1), zero)
+    return let(blocks, lambda all_blocks: let(whole(all_blocks), lambda ends: F.flatten(F.transform(all_blocks, lambda b, k: sums(b, before(ends, k))))))
+
+
 def find(text: Column, pattern: str, kind: int, possible: Column, group: int = 0) -> Column:
     """Leftmost matches that do not overlap. ``split`` returns what lies between the same matches, so the lengths of
     both add up to the positions. ``value`` is the ``group`` of the match. ``possible`` is a cheap test that a match
@@ -26,15 +51,10 @@ def find(text: Column, pattern: str, kind: int, possible: Column, group: int = 0
     pieces = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), m.alias("m")))
     if group:
         pieces = F.zip_with(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda p, v: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), v.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), no_spans().alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.coalesce(p["len"], F.lit(0).cast("long"))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["m"].alias("value")).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(p["len"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
-
-    return F.when(possible, F.aggregate(pieces, start, add, lambda acc: acc["out"])).otherwise(no_spans())
+    size = lambda p: p["gap"] + F.coalesce(p["len"], F.lit(0).cast("long"))
+    span = lambda p, end: F.struct((end - p["len"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["m"].alias("value")).cast(SPAN)
+    spans = let(pieces, lambda all_pieces: F.zip_with(all_pieces, running_sums(F.transform(all_pieces, size)), span))
+    return F.when(possible, F.filter(spans, lambda s: s["start"].isNotNull())).otherwise(no_spans())
 
 
 def written(spans: Column, kinds: tuple[str, ...]) -> Column:

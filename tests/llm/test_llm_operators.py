@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe_lexicon, decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
+from lexweave.llm import bpe_lexicon, decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, secret_scan, sharding, spans, token_store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [(900, None, None, None, None), (901, "", "en", "s", 0), (902, " \n\t ", "en", "s", 4), (None, "text without an id", "en", "s", 18), (903, "one", "en", "s", 3)]
@@ -461,3 +462,13 @@ def test_rare_languages_are_kept_and_copies_count_once(spark):
         assert np.bincount(language_id.trigrams(rows[1200 + k][0]), minlength=language_id.BUCKETS)[own > own.min() * 2].sum() > 0
     copied = np.exp(weights[0])[language_id.trigrams("zuzu")[1:3]]
     assert copied.max() < np.exp(weights[0])[language_id.trigrams("common")].max() / 10
+
+
+def test_spans_of_one_long_text(spark):
+    n = 60_000
+    df = spark.createDataFrame([(1, "x a@b.c é\n" * n), (2, "a@b.c"), (3, "none"), (4, None), (5, "a@b.c " * 256)], "doc_id long, text string")
+    started = time.monotonic()
+    found = {r.doc_id: r.s for r in df.select("doc_id", F.transform(spans.find(F.col("text"), pii.EMAIL, 0, F.col("text").contains("@")), lambda s: F.array(s["start"], s["end"])).alias("s")).collect()}
+    assert time.monotonic() - started < 60
+    assert found[1] == [[10 * k + 2, 10 * k + 7] for k in range(n)]
+    assert found[2] == [[0, 5]] and found[3] == [] == found[4] and found[5] == [[6 * k, 6 * k + 5] for k in range(256)]
