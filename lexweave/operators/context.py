@@ -81,9 +81,9 @@ def fitting(rows: DataFrame, by: str, order: list[str], size: str, budget: int,
 
 
 def fingerprint(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """(by, fingerprint): digest of a key's rows in their own order."""
-    packed = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(packed)), "\n"), 256).alias("fingerprint"))
+    """(by, fingerprint): digest of a key's rows, sorted, as JSON with its nulls."""
+    packed = F.to_json(F.array_sort(F.collect_list(F.struct(*columns))), {"ignoreNullFields": "false"})
+    return rows.groupBy(by).agg(F.sha2(packed, 256).alias("fingerprint"))
 
 
 def fragments(chunks: DataFrame, by: str, order: str) -> DataFrame:

@@ -202,12 +202,23 @@ def lists_for_reports(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return risks.withColumn("part", F.lit("issue")).unionByName(clean.withColumn("part", F.lit("clean")))
 
 
-def protocol_rows(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Risks with a page, unknown ones left out, numbered within each document."""
-    named = findings.join(rules.select("rule", "title"), "rule", "left").where("severity IN ('RED', 'YELLOW', 'LOW') AND page IS NOT NULL")
-    place = one_of("severity", {s: i for i, s in enumerate(SEVERITIES)}, 3)
-    number = F.row_number().over(Window.partitionBy("document").orderBy(place, "page", "line", "title", "rule"))
-    return named.select("document", "line", number.cast("long").alias("number"), "severity", F.coalesce("title", F.lit("No rule")).alias("title"), "page")
+# What a protocol says where a finding has no quote or no proposal.
+NO_QUOTE = "Условие отсутствует"
+NO_PROPOSAL = "Просим уточнить / исключить условие"
+
+
+def protocol_rows(findings: DataFrame, rules: DataFrame, documents: DataFrame) -> DataFrame:
+    """(parent, number, document, line, quote, proposal, reason): known risks with a quote or a proposal.
+
+    ``findings`` also have quote, proposal, comment and reference, ``documents`` their parent: a protocol is of a parent,
+    and its rows are numbered through all its documents, each in the order of its findings.
+    """
+    said = renumbered(findings, rules).where("severity IN ('RED', 'YELLOW', 'LOW') AND (quote <> '' OR proposal <> '')")
+    number = F.row_number().over(Window.partitionBy("parent").orderBy("document", "sort_index"))
+    filled = lambda c, default: F.when(F.col(c) != "", F.col(c)).otherwise(default)
+    reason = F.concat(F.coalesce("comment", F.lit("")), F.coalesce(F.concat(F.lit(" ("), F.nullif("reference", F.lit("")), F.lit(")")), F.lit("")))
+    rows = said.join(documents.select("document", "parent"), "document").withColumn("number", number.cast("long"))
+    return rows.select("parent", "number", "document", "line", filled("quote", NO_QUOTE).alias("quote"), filled("proposal", NO_PROPOSAL).alias("proposal"), reason.alias("reason"))
 
 
 def transition(status: Column, started: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from lexweave.operators.retrieval import indel_ratio
 STRIP = "«»\"'“”„()[]{}.,;:!?…"
 FUZZY = 82.0
 SNIPPET = 12
+#: Phrases of one automaton, about 1 kB each.
+PHRASES = 20_000
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 LEXEME = rf"[+\-−]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*[%‰]?|{_LETTER}+|(?U)[^\p{{L}}\p{{N}}_\s]|_"
 #: A word that a hyphen cuts at the end of a line, if the rest is in lower case; a negation with a hyphen is no such word.
@@ -34,34 +37,53 @@ def normal_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != ""), normal_token), lambda t: t != "")
 
 
-def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limit: int = 20) -> DataFrame:
-    """(key, phrase, total, positions): non-overlapping occurrences of a phrase in the normalised text of a row.
+def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limit: int = 20, block: int = PHRASES) -> DataFrame:
+    """(key, phrase, total, positions): non-overlapping occurrences of a phrase in the normalised text of a row, inside
+    longer words too.
 
-    ``rows`` and ``phrases`` have a column ``text``. Phrases are found by their rarest word, so a row is compared only
-    with phrases it can hold. ``positions`` are the first ``limit`` character offsets in the normalised text; ``total``
-    counts all.
+    ``rows`` and ``phrases`` have a column ``text``. The phrases are the query set: they go to all rows in blocks of at
+    most ``block``, each as one automaton that reads a text once for all of them. ``positions`` are the first ``limit``
+    character offsets in the normalised text; ``total`` counts all. Phrases without a token and null texts have no hits.
     """
-    wanted = phrases.select(phrase, normal_tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    tokens = rows.select(key, normal_tokens(F.col("text")).alias("tokens"))
-    vocabulary = wanted.select(F.explode("words").alias("word")).distinct()
-    held = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("word")).join(vocabulary, "word", "left_semi")
-    common = held.groupBy("word").agg(F.count("*").alias("n"))
-    each = wanted.select(phrase, F.explode(F.array_distinct("words")).alias("word")).join(common, "word", "left")
-    rarest = each.groupBy(phrase).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"))).alias("least")).select(phrase, F.col("least.word").alias("word"))
-    candidates = held.join(rarest, "word").select(key, phrase)
-    texts = tokens.select(key, F.array_join("tokens", " ").alias("hay"))
-    needles = wanted.select(phrase, F.array_join("words", " ").alias("needle"))
-    both = candidates.join(texts, key).join(needles, phrase)
-    pieces = F.split(F.col("hay"), F.concat(F.lit("\\Q"), F.col("needle"), F.lit("\\E")), -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, gap: Column) -> Column:
-        at = acc["at"] + F.length(gap)
-        return F.struct((at + F.length("needle")).cast("long").alias("at"), F.concat(acc["out"], F.array(at.cast("long"))).alias("out"))
-
-    found = both.withColumn("pieces", pieces).withColumn("total", (F.size("pieces") - 1).cast("long")).where("total > 0")
-    positions = F.aggregate(F.slice("pieces", 1, F.least(F.col("total"), F.lit(limit)).cast("int")), start, step, lambda acc: acc["out"])
-    return found.select(key, phrase, "total", positions.alias("positions"))
+    spark = rows.sparkSession
+    types = {key: dict(rows.dtypes)[key], phrase: dict(phrases.dtypes)[phrase]}
+    needles = phrases.select(phrase, F.array_join(normal_tokens(F.col("text")), " ").alias("needle")).where("needle <> ''")
+    hay = rows.select(key, F.array_join(normal_tokens(F.col("text")), " ").alias("hay")).where("hay <> ''")
+    found = None
+    n_blocks = max(1, -(-needles.count() // block))
+    for k in range(n_blocks):
+        part = needles.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == k)
+        names: dict[str, list] = {}
+        for r in part.toLocalIterator():
+            names.setdefault(r["needle"], []).append(r[phrase])
+        sent = spark.sparkContext.broadcast(names)
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for needle in sent.value:
+                automaton.add_word(needle, needle)
+            if not sent.value:
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                out: list[tuple] = []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    starts: dict[str, list[int]] = {}
+                    for last, needle in automaton.iter(text):
+                        at, own = last + 1 - len(needle), starts.setdefault(needle, [])
+                        if not own or at >= own[-1] + len(needle):
+                            own.append(at)
+                    out.extend((i, p, len(own), own[:limit]) for needle, own in starts.items() for p in sent.value[needle])
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                arrow = [batch.schema.field(0).type, None, pa.int64(), pa.list_(pa.int64())]
+                arrow[1] = pa.array([x for v in sent.value.values() for x in v]).type
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[key, phrase, "total", "positions"])
+
+        hits = hay.mapInArrow(search, f"{key} {types[key]}, {phrase} {types[phrase]}, total long, positions array<long>")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def box_union(words: DataFrame) -> DataFrame:

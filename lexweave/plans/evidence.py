@@ -270,7 +270,9 @@ ORACLE_SQL = {
       regexp_replace(string_agg(trim(text), chr(10) ORDER BY line), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS text FROM carried GROUP BY document, segment""",
     "outline_sections": f"""WITH {_LINES} SELECT document, section, CAST(1 AS BIGINT) AS page, count(c) AS n, coalesce(string_agg(c, ',' ORDER BY segment), '') AS clauses FROM
       (SELECT document, section, segment, CASE WHEN regexp_matches(clause, '^\\d+\\.\\d+$') THEN clause END AS c FROM carried QUALIFY row_number() OVER (PARTITION BY document, segment ORDER BY line) = 1) GROUP BY document, section""",
-    "law_count": "SELECT doc_id, CASE WHEN lang = 'en' THEN '44-FZ' WHEN lang = 'de' THEN '223-FZ' END AS law FROM documents",
+    "law_count": r"""WITH c AS (SELECT doc_id, text || CASE lang WHEN 'en' THEN ' 44-ФЗ' WHEN 'de' THEN ' 223 - фз, № 44' ELSE '' END AS t FROM documents),
+      n AS (SELECT doc_id, len(regexp_extract_all(t, '(?i)44\s*-\s*ФЗ|№\s*44\s*-?\s*ФЗ|от\s+05\.04\.2013')) AS a, len(regexp_extract_all(t, '(?i)223\s*-\s*ФЗ|№\s*223\s*-?\s*ФЗ|от\s+18\.07\.2011')) AS b FROM c)
+      SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN a >= b THEN '44-FZ' ELSE '223-FZ' END AS law FROM n""",
     "rule_cache_key": "SELECT item_id, 'local-hash#' || left(sha256(text), 12) AS key FROM benchmark",
     "stem_sets": f"SELECT stem, count(*) AS n FROM (SELECT unnest(list_distinct({_STEMS})) AS stem FROM documents) GROUP BY stem",
     "noise_filter": rf"""WITH {_BY_LINE}, s AS (SELECT *, length(regexp_replace(text, '[\s\p{{Z}}\x85\x0b]', '', 'g')) AS solid FROM x)

@@ -215,7 +215,11 @@ def box_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def protocol_rows(spark: SparkSession, d: str) -> DataFrame:
-    return findings.protocol_rows(visible(spark, d), rules(spark, d))
+    """Findings with a page have a quote, those of every third rule a proposal, of every second one a reference."""
+    name = lambda text, c: F.concat(F.lit(text), F.col(c).cast("string"))
+    said = visible(spark, d).withColumn("quote", F.when(F.col("page").isNotNull(), name("Line ", "line"))).withColumn("proposal", F.when(F.col("rule") % 3 == 0, name("Change ", "rule")))
+    told = said.withColumn("comment", name("Page ", "page")).withColumn("reference", F.when(F.col("rule") % 2 == 0, name("Art. ", "rule")).otherwise(""))
+    return findings.protocol_rows(told, rules(spark, d), documents(spark, d))
 
 
 def report_detailed(spark: SparkSession, d: str) -> DataFrame:
@@ -310,8 +314,10 @@ ORACLE_SQL = {
       SELECT s.state, count(x.state) AS n FROM (VALUES ('processing'), ('failed'), ('ready'), ('empty')) s(state) LEFT JOIN x ON x.state = s.state GROUP BY 1""",
     "box_union": """SELECT l_orderkey AS document, CAST(l_linenumber % 2 AS BIGINT) AS page, CAST(l_linenumber % 3 AS BIGINT) AS line, min(l_partkey % 500) AS x0, min(l_suppkey % 700) AS y0,
       max(l_partkey % 500 + CAST(l_quantity AS BIGINT)) AS x1, max(l_suppkey % 700 + 10) AS y1 FROM lineitem GROUP BY 1, 2, 3""",
-    "protocol_rows": f"""WITH {FINDINGS} SELECT document, line, row_number() OVER (PARTITION BY document ORDER BY {_PLACE}, page, line, title NULLS FIRST, rule NULLS FIRST) AS number, severity, coalesce(title, 'No rule') AS title, page
-      FROM v LEFT JOIN r USING (rule) WHERE severity IN ('RED', 'YELLOW', 'LOW') AND page IS NOT NULL""",
+    "protocol_rows": f"""WITH {FINDINGS} SELECT o_custkey AS parent, row_number() OVER (PARTITION BY o_custkey ORDER BY document, {_PLACE}, coalesce(page, 1000000), coalesce(sort_order, 0), line, rule NULLS FIRST) AS number, document, line,
+      CASE WHEN page IS NULL THEN 'Условие отсутствует' ELSE 'Line ' || line END AS quote, CASE WHEN rule % 3 = 0 THEN 'Change ' || rule ELSE 'Просим уточнить / исключить условие' END AS proposal,
+      coalesce('Page ' || page, '') || CASE WHEN rule % 2 = 0 THEN ' (Art. ' || rule || ')' ELSE '' END AS reason
+      FROM v LEFT JOIN r USING (rule) JOIN orders ON o_orderkey = document WHERE severity IN ('RED', 'YELLOW', 'LOW') AND (page IS NOT NULL OR rule % 3 = 0)""",
     "report_detailed": f"""WITH {FINDINGS}, n AS (SELECT v.*, coalesce(title, 'No rule') AS title FROM v LEFT JOIN r USING (rule))
       SELECT document, line, CASE WHEN severity = 'GREEN' THEN 'clean' ELSE 'issue' END AS part, severity, title FROM n
       WHERE severity <> 'GREEN' OR NOT EXISTS (SELECT 1 FROM n i WHERE i.severity <> 'GREEN' AND i.document = n.document AND i.title = n.title)""",
@@ -319,8 +325,8 @@ ORACLE_SQL = {
       count(*) FILTER (WHERE status = 'COMPLETED' AND rules_checked > 0 AND score IS NULL) AS unscored, sum(critical) AS critical, sum(warning) AS warning, sum(unknown) AS unknown, CAST(sum(rules_checked) AS BIGINT) AS rules_checked FROM docs GROUP BY parent)
       SELECT parent, documents, open, CASE WHEN open = 0 AND unscored = 0 THEN top END AS score, CASE WHEN open > 0 THEN 'UNKNOWN' ELSE {_LIGHT} END AS light, rules_checked FROM x""",
     "annotated_allowed": f"WITH {DOCS} SELECT parent, count(*) = 1 AND sum(unknown) = 0 AS allowed FROM docs GROUP BY parent",
-    "result_fingerprint": f"""WITH {FINDINGS}, x AS (SELECT document, concat_ws('|', line, coalesce(CAST(rule AS VARCHAR), ''), severity, review_status) AS s FROM v)
-      SELECT document, sha256(string_agg(s, chr(10) ORDER BY s)) AS fingerprint FROM x GROUP BY document""",
+    "result_fingerprint": f"""WITH {FINDINGS} SELECT document, sha256(CAST(to_json(list({{'line': line, 'rule': rule, 'severity': severity, 'review_status': review_status}}
+      ORDER BY line, rule NULLS FIRST, severity, review_status)) AS VARCHAR)) AS fingerprint FROM v GROUP BY document""",
     "name_projections": r"""SELECT c_custkey, 'CX' AS initials, c_name || '.PDF' AS base, 'n' || c_custkey || '.PDF' AS renamed, regexp_replace(c_name, '[^\w]+', '_', 'g') AS slug,
       lower(regexp_extract(c_name, '^\D+')) || lpad(regexp_replace(regexp_extract(c_name, '\d+'), '^0+', ''), 20, '0') AS sort_key FROM customer""",
     "cascade_delete": f"""WITH {FINDINGS} SELECT document, line FROM f WHERE document NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN

@@ -60,58 +60,64 @@ def member_name(info: zipfile.ZipInfo) -> str:
 
 
 def safe_path(name: str) -> str | None:
-    """A relative path, or None for one that leaves the folder or is junk of the operating system."""
+    """A path below the folder, or None for one that leaves it or is junk of the operating system."""
     parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".")]
-    if not parts or ".." in parts or name.startswith("/") or ":" in parts[0]:
+    if not parts or ".." in parts or ":" in parts[0]:
         return None
     if any(p in JUNK_DIRS for p in parts) or parts[-1].startswith(JUNK_PREFIXES) or parts[-1] in JUNK_NAMES:
         return None
     return "/".join(parts)
 
 
-class Budget:
-    """Files and bytes that one upload may unpack, its nested archives included."""
-
-    def __init__(self, files: int, unpacked: int) -> None:
-        self.files, self.unpacked = files, unpacked
-
-
-def unpack(content: bytes, budget: Budget, depth: int = 0, prefix: str = "") -> Iterator[tuple[str, bytes | None, str | None]]:
-    """(path, content, error) of an archive's members in order of their paths; too deep archives are left out."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        yield prefix, None, "not a ZIP"
-        return
-    members = sorted(((path, i) for i in archive.infolist() if not i.is_dir() and (path := safe_path(member_name(i)))), key=lambda m: m[0].lower())
-    for path, info in members:
-        full = f"{prefix}/{path}" if prefix else path
-        if info.flag_bits & 1:
-            yield full, None, "encrypted"
-            return
-        if path.lower().endswith(".zip"):
-            if depth + 1 < MAX_DEPTH:
-                budget.unpacked -= info.file_size
-                if budget.unpacked < 0:
-                    yield full, None, "too large"
-                    return
-                yield from unpack(archive.read(info), budget, depth + 1, full)
-            continue
-        budget.files -= 1
-        budget.unpacked -= info.file_size
-        if budget.files < 0 or budget.unpacked < 0:
-            yield full, None, "too many files" if budget.files < 0 else "too large"
-            return
-        yield full, archive.read(info), None
+class Refused(Exception):
+    """An archive that is not taken, with the member that decides it and the reason."""
+
+
+def unpack(content: bytes, max_files: int, max_bytes: int, depth: int = MAX_DEPTH) -> list[tuple[str, bytes]]:
+    """(path, content) of all members in order of their paths, those of archives inside down to ``depth`` levels.
+
+    Archives count as files of the upload. Those that lie deeper are left out. One member that is encrypted, or one
+    file or byte too many, refuses the upload.
+    """
+    waiting, taken, files, size = [("", content, depth)], [], 0, 0
+    while waiting:
+        folder, data, levels = waiting.pop()
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile:
+            raise Refused(folder, "not a ZIP") from None
+        for info in archive.infolist():
+            own = None if info.is_dir() else safe_path(member_name(info))
+            if own is None:
+                continue
+            path = f"{folder}/{own}" if folder else own
+            files, size = files + 1, size + info.file_size
+            reason = "encrypted" if info.flag_bits & 1 else "too many files" if files > max_files else "too large" if size > max_bytes else None
+            if reason:
+                raise Refused(path, reason)
+            if not own.lower().endswith(".zip"):
+                taken.append((path, archive.read(info)))
+            elif levels:
+                waiting.append((path, archive.read(info), levels - 1))
+    return sorted(taken, key=lambda m: m[0].lower())
 
 
 def exploded_archives(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_UNPACKED) -> DataFrame:
-    """(path, member, size, suffix, supported, error, content) of ZIP files, one row for each member."""
+    """(path, member, size, suffix, supported, error, content) of ZIP files: a row for each member, or one with the error.
+
+    An empty or null content is not a ZIP.
+    """
+
+    def members(content: bytes | None) -> list[tuple[str, bytes | None, str | None]]:
+        try:
+            return [(member, data, None) for member, data in unpack(content or b"", max_files, max_bytes)]
+        except Refused as refused:
+            return [(refused.args[0], None, refused.args[1])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for member, data, error in unpack(content or b"", Budget(max_files, max_bytes)):
+                for member, data, error in members(content):
                     yield pd.DataFrame({"path": [path], "member": [member], "size": [len(data or b"")], "error": [error], "content": [data]})
 
     rows = files.select("path", "content").mapInPandas(run, "path string, member string, size long, error string, content binary")

@@ -203,6 +203,47 @@ def test_archives(spark):
     assert rows["bad.zip", ""].error == "not a ZIP"
 
 
+def zipped(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_archives_in_archives():
+    third = zipped([("d.pdf", b"4")])
+    second = zipped([("c.pdf", b"3"), ("n3.zip", third)])
+    first = zipped([("b.pdf", b"2"), ("n2.zip", second)])
+    outer = zipped([("n1.zip", first), ("/abs/A.pdf", b"1")])
+    assert [p for p, _ in uploads.unpack(outer, 300, 10**6)] == ["abs/A.pdf", "n1.zip/b.pdf", "n1.zip/n2.zip/c.pdf"]
+    for files, size, reason in ((5, 10**6, "too many files"), (300, 100, "too large")):
+        with pytest.raises(uploads.Refused, match=reason):
+            uploads.unpack(outer, files, size)
+    assert len(uploads.unpack(outer, 6, 10**6)) == 3
+    locked = bytearray(zipped([("a.pdf", b"1"), ("b.pdf", b"2")]))
+    at = locked.rindex(b"PK\x01\x02") + 8
+    locked[at] |= 1
+    with pytest.raises(uploads.Refused, match="encrypted"):
+        uploads.unpack(bytes(locked), 300, 10**6)
+
+
+def test_phrases_inside_longer_words(spark):
+    texts = spark.createDataFrame([(1, "Unterlagen, die Lage der Anlagen"), (2, "lage lagelage\n«Die» LAGE der"), (3, None), (4, "ababab abab")], "d long, text string")
+    phrases = spark.createDataFrame([("p", "lage"), ("q", "die lage d"), ("r", "..."), ("s", "abab"), ("t", "Lage")], "q string, text string")
+    wanted = {(1, "p"): [5, 15, 26], (1, "q"): [11], (2, "p"): [0, 5, 9, 18], (2, "q"): [14], (4, "s"): [0, 7]}
+    wanted |= {(d, "t"): at for (d, p), at in wanted.items() if p == "p"}
+    for block in (2, 100):
+        hits = quotes.phrase_hits(texts, phrases, "d", "q", block=block).collect()
+        assert {(r.d, r.q): r.positions for r in hits} == wanted and all(r.total == len(r.positions) for r in hits)
+
+
+def test_fingerprints_tell_nulls_and_separators_apart(spark):
+    rows = [("a", "x|y", "z"), ("b", "x", "y|z"), ("c", None, "z"), ("d", "", "z"), ("e", "x|y", "z")]
+    found = {r.k: r.fingerprint for r in context.fingerprint(spark.createDataFrame(rows, "k string, u string, v string"), "k", ["u", "v"]).collect()}
+    assert len(set(found.values())) == 4 and found["a"] == found["e"]
+
+
 def test_upload_checks(spark):
     rows = [("a.pdf", 9, bytearray(b"junk%PDF-1")), ("b.pdf", 4, bytearray(b"nope")), ("c.exe", 1, bytearray(b"x")), ("d.docx", 0, bytearray(b""))]
     df = spark.createDataFrame(rows, "path string, length long, content binary")
