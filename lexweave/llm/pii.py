@@ -9,7 +9,7 @@ are of different texts, so that copies of one document are one witness. All of i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import spans as S
@@ -90,13 +90,10 @@ def scan(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
     terms = stage(disclosing_terms(docs, held, copies.where("many").select("digest"), total, support, threshold), "terms")
 
     texts = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"), F.col("text").cast("string").alias("text"))
-    marked_texts = S.maybe_in(texts, "digest", terms.select("digest")).join(terms.select("digest").distinct(), "digest").dropDuplicates(["digest"])
-    zipped = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("m")))
-    every = marked_texts.select("digest", F.posexplode(zipped).alias("pos", "p"))
-    end = F.sum(F.col("p.gap") + F.coalesce(F.length("p.m"), F.lit(0))).over(Window.partitionBy("digest").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    placed = every.withColumn("end", end).where("p.m IS NOT NULL").withColumn("term", F.lower("p.m")).join(terms, ["digest", "term"], "left_semi")
-    span = F.struct((F.col("end") - F.length("p.m")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("end"), F.col("p.m").alias("value")).cast(S.SPAN)
-    marked = placed.groupBy("digest").agg(F.collect_list(span).alias("terms"))
+    listed = terms.groupBy("digest").agg(F.collect_set("term").alias("telling"))
+    marked_texts = S.maybe_in(texts, "digest", terms.select("digest")).dropDuplicates(["digest"]).join(listed, "digest")
+    words = S.find(F.col("text"), TERM, KINDS.index("term"), F.lit(True))
+    marked = marked_texts.select("digest", F.filter(words, lambda s: F.array_contains("telling", F.lower(s["value"]))).alias("terms"))
     clear = lambda base: lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
     joined = found.join(marked, "digest", "left")
     return joined.select("doc_id", "digest", "base", F.array_sort(F.concat("base", F.filter(F.coalesce("terms", S.no_spans()), clear(F.col("base"))))).alias("spans"))
