@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.operators.columns import let
 from lexweave.operators.retrieval import stems
 
 SENSITIVITIES = ("strict", "balanced", "sensitive")
@@ -71,7 +72,10 @@ def is_noise(sentence: Column) -> Column:
 
 def is_heading_quote(quote: Column) -> Column:
     """Too short, a bare title, short capitals, a label without content, or numbers only."""
-    text = F.btrim(F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return let(F.btrim(F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?U)^\s+|\s+$", "")), _is_heading)
+
+
+def _is_heading(text: Column) -> Column:
     capitals = (F.regexp_count(text, F.lit(r"\p{L}")) > 0) & (F.regexp_count(text, F.lit(r"\p{L}")) == F.regexp_count(text, F.lit(r"\p{Lu}")))
     return (F.length(text) < 15) | text.rlike(TITLE_ONLY) | ((F.length(text) < 90) & capitals) | text.rlike(r"(?U)^[\w\s]{1,30}:\s*(\d+(\.\d+)*\.?)?$") | text.rlike(r"(?U)^[\d\.\s\(\)\-]+$")
 
@@ -84,9 +88,8 @@ def contradicts_itself(comment: Column, summary: Column) -> Column:
 def sentences(content: Column) -> Column:
     """Sentences of over 20 characters, or the whole content; without headings and noise if anything is left then."""
     parts = F.filter(F.split(F.replace(content, F.lit("\n"), F.lit(" ")), r"(?U)(?<=[.;!?])\s+"), lambda s: F.length(F.btrim(s)) > 20)
-    long = F.when(F.size(parts) > 0, parts).otherwise(F.array(content))
-    solid = F.filter(long, lambda s: ~is_heading_quote(s) & ~is_noise(s))
-    return F.when(F.size(solid) > 0, solid).otherwise(long)
+    some = lambda found, other: let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(other))
+    return let(some(parts, F.array(content)), lambda long: some(F.filter(long, lambda s: ~is_heading_quote(s) & ~is_noise(s)), long))
 
 
 def recommendation(prompt: Column) -> Column:
@@ -97,7 +100,8 @@ def recommendation(prompt: Column) -> Column:
 def keyword_findings(contexts: DataFrame, rules: DataFrame, sensitivity: str = "balanced") -> DataFrame:
     """(document, rule, chunk, severity, quote, confidence, comment, proposal): at most one finding for each document and rule.
 
-    ``contexts`` has document, rule, chunk, content, score and fts_hit. Sensitive takes every chunk with a score; strict
+    ``contexts`` has document, rule, chunk, content, score and fts_hit; a chunk of a document has one content, which is
+    cut into sentences once, whatever the number of its rules. Sensitive takes every chunk with a score; strict
     asks for two shared stems. A rule with a guard looks only at chunks that the guard allows. A marked sentence of the
     best marked chunk wins, else the sentence of the best chunk that shares most stems with the query.
     """
@@ -113,9 +117,11 @@ def keyword_findings(contexts: DataFrame, rules: DataFrame, sensitivity: str = "
     some = F.max(F.col("allowed")).over(of_rule)
     relevant = relevant.withColumn("some", some).where(F.col("allowed") | (~F.col("some") & F.lit(sensitivity == "sensitive")))
 
-    each = relevant.withColumn("first", F.row_number().over(of_rule.orderBy(F.desc("score"), "chunk"))).select("*", F.posexplode(sentences(F.col("content"))).alias("pos", "sentence"))
+    told = contexts.dropDuplicates(["document", "chunk"]).select("document", "chunk", F.posexplode(sentences(F.col("content"))).alias("pos", "sentence"))
+    told = told.withColumn("sentence_stems", stems(F.col("sentence")))
+    each = relevant.withColumn("first", F.row_number().over(of_rule.orderBy(F.desc("score"), "chunk"))).drop("content").join(told, ["document", "chunk"])
     marked = F.coalesce(F.expr("sentence rlike marker") & ~F.coalesce(F.expr("sentence rlike exception"), F.lit(False)), F.lit(False))
-    overlap = F.size(F.array_intersect(stems(F.col("sentence")), F.col("query_stems")))
+    overlap = F.size(F.array_intersect("sentence_stems", "query_stems"))
     each = each.withColumn("marked", marked).where(F.col("marked") | (F.col("first") == 1)).withColumn("overlap", overlap)
     choice = Window.partitionBy("document", "rule").orderBy(F.desc("marked"), F.when(F.col("marked"), F.col("first")), F.when(F.col("marked"), F.col("pos")), F.desc("overlap"), "pos")
     best = each.withColumn("_n", F.row_number().over(choice)).where("_n = 1")
