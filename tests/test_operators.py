@@ -107,9 +107,17 @@ def test_chunks_respect_limits(spark):
     ("quote", "text", "verified"),
     [("цена 100 рублей", "Указана цена 100 рублей.", True), ("допускается замена", "Не допускается замена товара", False), ("цена 10 рублей", "Указана цена 100 рублей.", False), ("5 процентов", "штраф -5 процентов", False), ("исполнения договора", "срок испол-\nнения договора", True), ("1,5 процента", "1.5 процента", False), ("...", "...", False)],
 )
-def test_strict_quotes(quote, text, verified):
-    assert quotes.strictly_verified(quote, text, text) is verified
-    assert quotes.strictly_verified(quote, None, text) is False
+def test_strict_quotes(spark, quote, text, verified):
+    rows = [(1, quote, text, text), (2, quote, None, text), (3, quote, text, None), (4, None, text, text), (5, quote, "other", text), (6, quote, text, "other")]
+    found = {r.k: r.verified for r in quotes.verify_quotes(spark.createDataFrame(rows, "k long, quote string, fragment string, page_text string")).collect()}
+    assert found == {1: verified} | dict.fromkeys(range(2, 7), False)
+
+
+def test_quotes_over_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "Срок испол-"), (1, 2, "нения договора"), (1, 3, "иное")], "document long, page long, text string")
+    asked = spark.createDataFrame([(1, 1, 1, 2, "исполнения договора"), (1, 2, 2, 3, "исполнения договора"), (1, 3, 9, 9, "иное")], "document long, quote_id long, page long, page_end long, quote string")
+    rows = quotes.with_page_texts(asked, pages).withColumn("fragment", F.lit("Срок испол-\nнения договора, иное"))
+    assert {r.quote_id: r.verified for r in quotes.verify_quotes(rows).collect()} == {1: True, 2: False, 3: False}
 
 
 def test_fuzzy_hint(spark):
