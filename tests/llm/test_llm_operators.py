@@ -287,8 +287,47 @@ def test_sharding_laws(spark):
     assert sharding.assign(docs_of(spark, [], [])).count() == 0
 
 
+def placed_one_by_one(sizes, shards):
+    """Longest processing time first as it is defined: the loads after each group went to the least loaded shard."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
 def test_schedule_is_longest_first():
-    assert sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert sharding.deal([(5, 1), (4, 1), (3, 2)], 2) == [[1, 0], [0, 1], [1, 1]]
+    rng = random.Random(11)
+    for _ in range(200):
+        shards = rng.randrange(1, 9)
+        counts = [(s, rng.choice((1, 2, 7, 300))) for s in sorted(rng.sample(range(1, 2000), rng.randrange(0, 12)), reverse=True)]
+        dealt = sharding.deal(counts, shards)
+        assert [sum(t) for t in dealt] == [n for _, n in counts]
+        loads = [sum(t[k] * size for t, (size, _) in zip(dealt, counts)) for k in range(shards)]
+        assert loads == placed_one_by_one([size for size, n in counts for _ in range(n)], shards)
+
+
+def test_sharding_places_groups_as_one_by_one(spark):
+    rng = random.Random(12)
+    texts = ["x" * min(int(rng.paretovariate(0.7)), 1900) for _ in range(700)] + [f"y{i}" for i in range(300)] + [None, None, ""]
+    rows = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("shard", F.lit(7)).withColumn("rank", F.lit("r")), shards=5).collect()
+    groups, load = {}, dict.fromkeys(range(5), 0)
+    for i, t in enumerate(texts):
+        key = (i,) if t is None else t
+        groups[key] = groups.get(key, 0) + len(t or "") + 1
+    for r in rows:
+        load[r.shard] += r.size
+    exact = [size for size in groups.values() if size < 2**sharding.BITS]
+    slow = placed_one_by_one(groups.values(), 5)
+    assert len(exact) < len(groups)  # sizes above are told apart by their leading bits
+    assert all(abs(a - b) <= sum(groups.values()) / 2 ** (sharding.BITS - 1) for a, b in zip(sorted(load.values()), sorted(slow)))
+
+
+def test_size_classes_grow_and_stay_few(spark):
+    sizes = [1, 2, 2047, 2048, 2049, 2050, 4095, 4096, 10**6, 10**6 + 1, 2**40, 2**40 + 1, 2**62]
+    found = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "size long").select(sharding.size_class(F.col("size"))).collect()]
+    assert found == sorted(found) and found[4] == found[3] and found[5] > found[4] and len(set(found[:4])) == 4
+    assert found[-1] < 64 * 2**sharding.BITS
 
 
 # --- HTML
