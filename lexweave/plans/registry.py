@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans import evidence, rollups
+from lexweave.plans import evidence, rollups, worklists
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = rollups.QUERIES | evidence.QUERIES
-ORACLE_SQL: dict[str, str] = rollups.ORACLE_SQL | evidence.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = rollups.QUERIES | evidence.QUERIES | worklists.QUERIES
+ORACLE_SQL: dict[str, str] = rollups.ORACLE_SQL | evidence.ORACLE_SQL | worklists.ORACLE_SQL
 FLAGSHIP = "lexical_rank"
