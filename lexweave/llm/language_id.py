@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lexweave.llm.common import frame, map_rows, stage, table
 from lexweave.llm.html_extract import host_of, main_text, parse
@@ -30,6 +31,7 @@ EVIDENCE = 60.0
 #: Records that each level of the hierarchy is worth to the level below.
 STRENGTH = 5.0
 SALTS = 32
+RESULTS = ("host", "declared", "suffix", "lang", "posterior", "posteriors")
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -93,8 +95,7 @@ def _text_log_likelihoods(records: DataFrame, langs: list[str], weights: np.ndar
                     scores.append([0.0] * len(langs))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(scores, pa.list_(pa.float64()))], [*keep, "text_score"])
 
-    types = dict(records.dtypes)
-    return map_rows(records.select(*keep, "text", "html"), score, ", ".join(f"{c} {types[c]}" for c in keep) + ", text_score array<double>")
+    return map_rows(records.select(*keep, "text", "html"), score, records.select(*keep).schema.add("text_score", ArrayType(DoubleType())))
 
 
 def _softmax(scores: Column) -> Column:
@@ -113,21 +114,23 @@ def identify(records: DataFrame, langs: list[str], weights: np.ndarray) -> DataF
 
     A record has text or html (the main text is taken from it), and may have a url and a host. Missing evidence (null
     or empty text, no declaration, no host) is neutral; with none at all the corpus decides. Ties go to the language
-    that comes first. Without languages (an empty training table) lang and posterior are null.
+    that comes first. Without languages (an empty training table) lang and posterior are null. Repeated rows are
+    records of their own. A record's own column with the name of a result gives way to it; other names cannot clash.
     """
     n = len(langs)
     known = F.array(*[F.lit(x) for x in langs]) if n else F.array().cast("array<string>")
     html_lang = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     host = F.coalesce(F.col("host"), host_of(F.col("url")))
-    named = records.withColumn("host", F.when(host == "", None).otherwise(host)).withColumn("declared", F.when(html_lang == "", None).otherwise(html_lang))
-    keep = [c for c in named.columns if c not in ("text", "html")]
-    scored = _text_log_likelihoods(named, langs, weights, keep)
+    own = [F.col(f"`{c}`") for c in records.columns if c.lower() not in ("text", "html", "url", *RESULTS)]
+    named = records.select(F.struct(*own or [F.lit(None).cast("string").alias("none")]).alias("own"), F.nullif(host, F.lit("")).alias("host"), F.nullif(html_lang, F.lit("")).alias("declared"), "text", "html")
+    scored = _text_log_likelihoods(named, langs, weights, ["own", "host", "declared"])
+    of_record = ["own.*"] if own else []
     labels = F.split("host", r"\.")
     # Equal evidence is summed once: hosts are salted, so that one that holds a third of all rows is no hot group.
     scored = scored.withColumn("suffix", F.when(F.size(labels) > 1, F.element_at(labels, -1))).withColumn("domain", F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")))
     scored = stage(scored.withColumn("soft", _softmax(F.col("text_score"))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "language")
     if not n:
-        return scored.select(*[c for c in keep if c != "url"], "suffix", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.array().cast("array<double>").alias("posteriors"))
+        return scored.select(*of_record, "host", "declared", "suffix", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.array().cast("array<double>").alias("posteriors"))
 
     whole = scored.agg(*[F.sum(F.col("soft")[i]) for i in range(n)]).first()
     whole = [x or 0.0 for x in whole]
@@ -147,9 +150,9 @@ def identify(records: DataFrame, langs: list[str], weights: np.ndarray) -> DataF
     joined = scored.join(tree, ["host", "salt"], "left").join(declared, ["declared", "salt"], "left")
     prior = F.array(*[F.lit(x) for x in base])
     for level in ("suffix_n", "domain_n", "host_n"):  # each level leaves the record itself out
-        own = F.zip_with(F.col(level), F.col("soft"), lambda a, s: F.greatest(a - s, F.lit(0.0)))
-        size = F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
-        prior = F.when(F.col(level).isNull(), prior).otherwise(F.zip_with(own, prior, lambda a, p: (a + STRENGTH * p) / (size + STRENGTH)))
+        others = F.zip_with(F.col(level), F.col("soft"), lambda a, s: F.greatest(a - s, F.lit(0.0)))
+        size = F.aggregate(others, F.lit(0.0), lambda a, b: a + b)
+        prior = F.when(F.col(level).isNull(), prior).otherwise(F.zip_with(others, prior, lambda a, p: (a + STRENGTH * p) / (size + STRENGTH)))
         joined = joined.withColumn("prior", prior)
         prior = F.col("prior")
     said = F.array(*[F.log((F.greatest(F.col("declared_n")[i] - F.col("soft")[i], F.lit(0.0)) + 0.1) / F.lit(totals[i] + 0.1 * (n_declared + 1))) for i in range(n)])
@@ -157,7 +160,7 @@ def identify(records: DataFrame, langs: list[str], weights: np.ndarray) -> DataF
     fused = F.when(F.col("declared_n").isNull(), fused).otherwise(F.zip_with(fused, said, lambda a, b: a + b))
     joined = joined.withColumn("posteriors", _softmax(fused)).withColumn("posterior", F.array_max("posteriors"))
     lang = F.element_at(known, F.array_position("posteriors", F.col("posterior")).cast("int"))
-    return joined.select(*[c for c in keep if c != "url"], "suffix", lang.alias("lang"), "posterior", "posteriors")
+    return joined.select(*of_record, "host", "declared", "suffix", lang.alias("lang"), "posterior", "posteriors")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,6 +491,25 @@ def test_evidence_is_fused(spark):
     assert language_id.identify(held_out, langs, weights).where("lang = truth").count() == 60
 
 
+def test_host_and_declaration_decide_an_ambiguous_text(spark):
+    vocabulary = {"de": ["das", "haus", "mit", "wasser", "radio", "taxi"], "en": ["the", "house", "with", "water", "radio", "taxi"]}
+    rng = random.Random(16)
+    speech = lambda x: " ".join(rng.choice(vocabulary[x]) for _ in range(20))
+    langs, weights = language_id.train(spark.createDataFrame([(speech(x), x) for x in vocabulary for _ in range(30)], "text string, lang string"))
+    page = lambda x, body: f"<html lang='{x}'><p>{body}</p>"
+    rows = [(f"{x}{i}", None, page(x, speech(x)), f"http://{x}.example.org/{i}") for x in vocabulary for i in range(40)]
+    rows += [(f"host {x}", "radio taxi", None, f"http://{x}.example.org/short") for x in vocabulary]
+    rows += [(f"said {x}", None, page(x, "radio taxi"), "http://else.where.net/") for x in vocabulary]
+    rows += [("against", None, page("de", " ".join(vocabulary["en"] * 6)), "http://de.example.org/z")]
+    # columns of its own with the names of results and of intermediate values; "lang" gives way, the rest stay
+    records = spark.createDataFrame([(*r, None, "xx", 7, "s", "r") for r in rows], "id string, text string, html string, url string, host string, lang string, salt int, soft string, `prior.x` string")
+    found = {r.id: r for r in language_id.identify(records, langs, weights).collect()}
+    assert len(found) == len(rows) and found["de0"].salt == 7 and found["de0"].soft == "s" and found["de0"]["prior.x"] == "r"
+    assert {k: found[k].lang for k in ("host de", "host en", "said de", "said en", "against")} == {"host de": "de", "host en": "en", "said de": "de", "said en": "en", "against": "en"}
+    none = language_id.identify(records.where("false"), langs, weights)
+    assert none.count() == 0 and none.columns == ["id", "salt", "soft", "prior.x", "host", "declared", "suffix", "lang", "posterior", "posteriors"]
+
+
 def test_rare_languages_are_kept_and_copies_count_once(spark):
     rows = [(f"common words {i}", "aa") for i in range(900)] + [("zuzu text", "aa")] * 300
     rows += [(f"rare{k} speech{k} number{k}", f"r{k:02}") for k in range(80)]
