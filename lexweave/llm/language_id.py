@@ -58,7 +58,11 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
     share = max(MIN_TRAIN, train_docs // max(1, len(langs)))
     # Only hashes are ranked; the texts of the chosen ones follow.
     hashed = labelled.select("lang", F.xxhash64("text", F.lit(5)).alias("hash")).distinct()
-    ranked = hashed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= share).select("lang", "hash")
+    # First within parts of a language, so that the rank of a common one reads SALTS shares at most.
+    ranked = hashed.withColumn("part", F.pmod("hash", F.lit(SALTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).where(F.col("place") <= share)
+    ranked = ranked.select("lang", "hash")
     sample = labelled.withColumn("hash", F.xxhash64("text", F.lit(5))).join(F.broadcast(ranked), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
