@@ -77,3 +77,21 @@ def heuristic_note(findings: DataFrame, by: str) -> DataFrame:
 def annotated_allowed(documents: DataFrame, by: str) -> DataFrame:
     """(by, allowed): exactly one document, and no unknown finding that is not dismissed."""
     return documents.groupBy(by).agg(((F.count("*") == 1) & (F.sum("unknown") == 0)).alias("allowed"))
+
+
+#: Fixed: suffixes of archives, and what a report calls its source.
+ARCHIVES = (".zip", ".tar", ".gz", ".7z", ".rar")
+SOURCE_ARCHIVE, SOURCE_FILE = "Исходный архив", "Исходный файл"
+
+
+def source_label(upload: Column, n_documents: Column) -> Column:
+    """How a report of a whole upload names it: an archive by its suffix or by holding several documents."""
+    packed = F.lower(upload).rlike("(?:" + "|".join(a.replace(".", r"\.") for a in ARCHIVES) + ")$")
+    return F.when(F.coalesce(packed, F.lit(False)) | (n_documents > 1), SOURCE_ARCHIVE).otherwise(SOURCE_FILE)
+
+
+def from_archive(upload: Column, file_name: Column, path: Column) -> Column:
+    """Whether a document's report names the upload too: an archive, or a document with a name or path of its own."""
+    packed = F.lower(upload).rlike("(?:" + "|".join(a.replace(".", r"\.") for a in ARCHIVES) + ")$")
+    elsewhere = (F.coalesce(path, F.lit("")) != "") & (path != upload)
+    return F.coalesce(packed, F.lit(False)) | F.coalesce(elsewhere, F.lit(False)) | ~file_name.eqNullSafe(upload)

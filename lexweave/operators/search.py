@@ -104,13 +104,23 @@ def progress(done: Column, total: Column) -> Column:
     return (10 + F.bround(40 * done / F.greatest(total, F.lit(1)))).cast("long")
 
 
-# What the history calls each action.
+# What the history calls each action and each kind of report.
 ACTIONS = {
-    "PROJECT_CREATED": "Создан проект", "PROJECT_UPDATED": "Изменён проект", "PROJECT_DELETED": "Удалён проект",
-    "FILE_UPLOADED": "Загружен файл", "ANALYSIS_STARTED": "Запущен анализ", "ANALYSIS_COMPLETED": "Анализ завершён",
-    "ANALYSIS_FAILED": "Ошибка анализа", "REPORT_DOWNLOADED": "Скачан отчёт", "FINDING_REVIEWED": "Изменён статус замечания",
-    "RULE_CREATED": "Создано правило", "RULE_UPDATED": "Изменено правило", "RULE_DELETED": "Удалено правило",
+    "PROJECT_CREATED": "Проект создан", "PROJECT_UPDATED": "Проект изменён", "PROJECT_DELETED": "Проект удалён",
+    "ANALYSIS_CREATED": "Документ добавлен", "ANALYSIS_STARTED": "Анализ запущен",
+    "ANALYSIS_COMPLETED": "Проверка документа завершена", "ANALYSIS_FAILED": "Проверка не удалась",
+    "ANALYSIS_RERUN": "Запущена повторная проверка", "DOCUMENT_REANALYZE": "Запущена повторная проверка",
+    "ANALYSIS_DELETED": "Файл удалён", "DOCUMENT_RENAMED": "Документ переименован",
+    "FINDING_REVIEWED": "Статус замечания изменён", "RULE_CREATED": "Правило добавлено", "RULE_UPDATED": "Правило изменено",
+    "RULE_TOGGLED": "Правило отключено", "RULE_DELETED": "Правило удалено", "REPORT_DOWNLOADED": "Отчёт скачан",
 }
+IN_PROJECT = "Файл добавлен в проект"
+TURNED_ON = "Правило включено"
+REPORTS = {"brief": "Краткий отчёт", "detailed": "Подробный отчёт", "protocol": "Протокол разногласий", "annotated": "Документ с пометками"}
+DOCUMENTS = ("документ", "документа", "документов")
+RULES = ("правило", "правила", "правил")
+CRITICAL = ("критическое замечание", "критических замечания", "критических замечаний")
+DETAILS = "file string, project string, title string, documents long, rules long, critical long, warning long, low long, error string, `from` string, `to` string, status string, enabled boolean, mode string, format string"
 
 
 def plural(n: Column, one: str, few: str, many: str) -> Column:
@@ -125,3 +135,45 @@ def history(events: DataFrame, action: str, actions: list[str] | None = None) ->
         events = events.where(F.upper(F.trim(F.col(action))).isin([a.strip().upper() for a in actions]))
     title = F.coalesce(*[F.when(F.upper(action) == k, F.lit(v)) for k, v in ACTIONS.items()], F.col(action))
     return events.withColumn("title", title)
+
+
+def _details() -> dict[str, list[Column]]:
+    """What follows the title of an action, from the fields of ``d``; empty and missing parts are left out."""
+    d = lambda name: F.col(f"d.{name}")
+    number = lambda name: F.coalesce(d(name), F.lit(0))
+    counted = lambda n, forms: F.concat_ws(" ", n, plural(n, *forms))
+    mode = F.coalesce(*[F.when(d("mode") == k, F.lit(v)) for k, v in REPORTS.items()], d("mode"))
+    renamed_to = F.concat(F.coalesce(d("from"), F.lit("None")), F.lit(" → "), F.coalesce(d("to"), F.lit("None")))
+    own_title = dict.fromkeys(("PROJECT_CREATED", "PROJECT_UPDATED", "PROJECT_DELETED", "RULE_CREATED", "RULE_UPDATED", "RULE_TOGGLED", "RULE_DELETED"), [d("title")])
+    own_file = dict.fromkeys(("ANALYSIS_RERUN", "DOCUMENT_REANALYZE", "ANALYSIS_DELETED"), [d("file")])
+    several = F.when(d("documents") > 1, F.concat(counted(d("documents"), DOCUMENTS), F.lit(" в архиве")))
+    return own_title | own_file | {
+        "ANALYSIS_CREATED": [d("project"), d("file"), several],
+        "ANALYSIS_STARTED": [d("project"), d("file")],
+        "ANALYSIS_COMPLETED": [
+            d("file"), counted(number("rules"), RULES), counted(number("critical"), CRITICAL),
+            F.concat(number("warning"), F.lit(" требуют внимания")), F.when(d("low") != 0, F.concat(d("low"), F.lit(" с низким риском"))),
+        ],
+        "ANALYSIS_FAILED": [d("file"), d("error")],
+        "DOCUMENT_RENAMED": [renamed_to],
+        "FINDING_REVIEWED": [d("title"), d("status")],
+        "REPORT_DOWNLOADED": [mode, F.upper(d("format"))],
+    }
+
+
+def described(events: DataFrame, action: str, details: str) -> DataFrame:
+    """Events with a title and a detail line from their details, a JSON object; null and broken JSON say nothing.
+
+    Files of a project and rules that are turned on have titles of their own. An unknown action is its own title.
+    """
+    parsed = events.withColumn("d", F.from_json(F.coalesce(details, F.lit("{}")), DETAILS))
+    joined = {k: F.concat_ws(" · ", *[F.nullif(p.cast("string"), F.lit("")) for p in parts]) for k, parts in _details().items()}
+    title = F.when((F.col(action) == "ANALYSIS_CREATED") & (F.col("d.project") != ""), IN_PROJECT).when((F.col(action) == "RULE_TOGGLED") & F.col("d.enabled"), TURNED_ON)
+    title = title.otherwise(F.coalesce(*[F.when(F.col(action) == k, F.lit(v)) for k, v in ACTIONS.items()], F.col(action)))
+    line = F.coalesce(*[F.when(F.col(action) == k, v) for k, v in joined.items()], F.lit(""))
+    return parsed.withColumn("title", title).withColumn("detail", line).drop("d")
+
+
+def audited(log: str, rows: DataFrame) -> None:
+    """Appends rows (user, action, entity_type, entity, details) to the audit log with the time of writing."""
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(log)

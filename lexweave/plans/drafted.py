@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import drafts, located
+from lexweave.operators import drafts, located, reports, search
 from lexweave.plans.rollups import table
 
 #: Lines that stand on one page.
@@ -82,7 +82,30 @@ def retold_rules(spark: SparkSession, d: str) -> DataFrame:
     return drafts.retold_rules(rules).select("p_partkey", "query", "prompt", F.col("vector").isNotNull().alias("has_vector"))
 
 
-QUERIES = {f.__name__: f for f in (page_scan_texts, word_tokens, quote_boxes, draft_findings, retold_rules)}
+def history_details(spark: SparkSession, d: str) -> DataFrame:
+    """Events as an audit log: their ids choose action and details."""
+    k = F.col("event_id")
+    names = F.array(*[F.lit(a) for a in (*search.ACTIONS, "OTHER")])
+    action = F.get(names, (k % (len(search.ACTIONS) + 1)).cast("int"))
+    mode = F.get(F.array(*[F.lit(m) for m in (*search.REPORTS, "other")]), (k % 5).cast("int"))
+    text = lambda head: F.concat(F.lit(head), k)
+    fields = {"file": F.when(k % 3 > 0, text("f")), "project": F.when(k % 2 == 0, text("p")), "title": text("t"), "documents": k % 30, "rules": k % 25, "critical": k % 22, "warning": k % 4, "low": k % 2, "error": text("e"), "from": text("a"), "to": text("b"), "status": F.lit("NEW"), "enabled": k % 5 == 0, "mode": mode, "format": F.lit("csv")}
+    log = table(spark, d, "events").select("event_id", action.alias("action"), F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])).alias("details"))
+    return search.described(log, "action", "details").select("event_id", "title", "detail")
+
+
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents of their customers' uploads; every third upload is an archive."""
+    k = F.col("o_custkey")
+    upload = F.concat(F.lit("up"), k, F.when(k % 3 == 0, ".ZIP").otherwise(".pdf"))
+    name = F.when(F.col("o_orderkey") % 2 == 0, upload).otherwise(F.concat(F.lit("doc"), F.col("o_orderkey")))
+    path = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("in/"), upload))
+    docs = table(spark, d, "orders").select("o_orderkey", "o_custkey", upload.alias("upload"), name.alias("name"), path.alias("path"))
+    counts = docs.groupBy("o_custkey", "upload").agg(F.count("*").alias("n"), F.count_if(reports.from_archive(F.col("upload"), F.col("name"), F.col("path"))).alias("named"))
+    return counts.select("o_custkey", reports.source_label(F.col("upload"), F.col("n")).alias("label"), "named")
+
+
+QUERIES = {f.__name__: f for f in (page_scan_texts, word_tokens, quote_boxes, draft_findings, retold_rules, history_details, source_labels)}
 
 _STRIP = "«»\"''“”„()[]{}.,;:!?…"
 
@@ -101,7 +124,26 @@ k AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY document, page ORDER BY li
 _TOKENS = f"""{_SCAN},
 n AS (SELECT *, {_norm("CASE WHEN head THEN left(word, length(word) - 1) || rest ELSE word END")} AS norm FROM k WHERE NOT taken),
 t AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY page, line, i) - 1 AS position FROM n WHERE norm <> '')"""
+
+
+def _plural(n: str, forms: tuple[str, str, str]) -> str:
+    return f"{n} || ' ' || CASE WHEN {n} % 10 = 1 AND {n} % 100 <> 11 THEN '{forms[0]}' WHEN {n} % 10 BETWEEN 2 AND 4 AND {n} % 100 NOT BETWEEN 12 AND 14 THEN '{forms[1]}' ELSE '{forms[2]}' END"
+
+
+_TITLES = f"[{', '.join(repr(t) for t in search.ACTIONS.values())}, 'OTHER']"
+_NAMES = f"[{', '.join(repr(t) for t in search.ACTIONS)}, 'OTHER']"
+_MODES = f"[{', '.join(repr(t) for t in search.REPORTS.values())}, 'other']"
 ORACLE_SQL = {
+    "history_details": f"""WITH e AS (SELECT event_id AS k, {_NAMES}[event_id % {len(search.ACTIONS) + 1} + 1] AS a, {_TITLES}[event_id % {len(search.ACTIONS) + 1} + 1] AS t,
+        CASE WHEN event_id % 3 > 0 THEN 'f' || event_id END AS f, CASE WHEN event_id % 2 = 0 THEN 'p' || event_id END AS p FROM events)
+      SELECT k AS event_id, CASE WHEN a = 'ANALYSIS_CREATED' AND p IS NOT NULL THEN '{search.IN_PROJECT}' WHEN a = 'RULE_TOGGLED' AND k % 5 = 0 THEN '{search.TURNED_ON}' ELSE t END AS title,
+      CASE WHEN a LIKE 'PROJECT%' OR a LIKE 'RULE%' THEN 't' || k WHEN a IN ('ANALYSIS_RERUN', 'DOCUMENT_REANALYZE', 'ANALYSIS_DELETED') THEN coalesce(f, '')
+        WHEN a = 'ANALYSIS_CREATED' THEN concat_ws(' · ', p, f, CASE WHEN k % 30 > 1 THEN {_plural("(k % 30)", search.DOCUMENTS)} || ' в архиве' END) WHEN a = 'ANALYSIS_STARTED' THEN concat_ws(' · ', p, f)
+        WHEN a = 'ANALYSIS_COMPLETED' THEN concat_ws(' · ', f, {_plural("(k % 25)", search.RULES)}, {_plural("(k % 22)", search.CRITICAL)}, (k % 4) || ' требуют внимания', CASE WHEN k % 2 = 1 THEN '1 с низким риском' END)
+        WHEN a = 'ANALYSIS_FAILED' THEN concat_ws(' · ', f, 'e' || k) WHEN a = 'DOCUMENT_RENAMED' THEN 'a' || k || ' → b' || k WHEN a = 'FINDING_REVIEWED' THEN 't' || k || ' · NEW'
+        WHEN a = 'REPORT_DOWNLOADED' THEN {_MODES}[k % 5 + 1] || ' · CSV' ELSE '' END AS detail FROM e""",
+    "source_labels": f"""WITH d AS (SELECT o_custkey, o_custkey % 3 = 0 AS packed, o_orderkey % 2 = 1 OR o_orderkey % 4 = 0 AS own FROM orders)
+      SELECT o_custkey, CASE WHEN packed OR count(*) > 1 THEN '{reports.SOURCE_ARCHIVE}' ELSE '{reports.SOURCE_FILE}' END AS label, count(*) FILTER (WHERE packed OR own) AS named FROM d GROUP BY o_custkey, packed""",
     "page_scan_texts": f"""WITH {_SCAN}, j AS (SELECT document, page, line, string_agg(word, ' ' ORDER BY i) AS text FROM s GROUP BY ALL)
       SELECT document, page, sha256(string_agg(text, chr(10) ORDER BY line)) AS digest FROM j GROUP BY ALL""",
     "word_tokens": f"WITH {_TOKENS} SELECT document, position, page, norm, last_line IS NULL OR last_line <> line AS starts_line, 1 + CAST(head AS BIGINT) AS n_words FROM t",

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexweave.operators import drafts, located
+from lexweave.operators import drafts, located, reports, search
 from lexweave.operators.quotes import STRIP
 
 SCAN = "document long, page long, seq int, x0 double, y0 double, x1 double, y1 double, word string, block int, line int"
@@ -120,3 +120,15 @@ def test_texts_of_a_rule_follow_its_title(spark):
     made = [tuple(r) for r in drafts.retold_rules(auto).select("title", "query", "prompt", F.size("vector")).collect()]
     assert made == [("C", "C", "own", None), ("A", "A", None, 1), ("C", "own", None, 1)]
     assert auto.limit(1).select(drafts.embedding_text(F.lit(""), F.lit("x")), drafts.embedding_text(F.lit("t"), F.lit("x"))).first()[:] == ("x", "t\nx")
+
+
+def test_history_and_labels_of_odd_rows(spark, tmp_path):
+    events = spark.createDataFrame([("ANALYSIS_COMPLETED", '{"rules": 21, "critical": 12}'), ("RULE_TOGGLED", None), ("ANALYSIS_CREATED", '{"project": "", "documents": 1, "file": "x"}'), ("DOCUMENT_RENAMED", "{broken"), ("ODD", "{}"), (None, None)], "action string, details string")
+    found = [(r.title, r.detail) for r in search.described(events, "action", "details").collect()]
+    assert found == [("Проверка документа завершена", "21 правило · 12 критических замечаний · 0 требуют внимания"), ("Правило отключено", ""), ("Документ добавлен", "x"), ("Документ переименован", "None → None"), ("ODD", ""), (None, "")]
+    files = spark.createDataFrame([("a.ZIP", 1, "x", None), ("a.pdf", 1, "a.pdf", "a.pdf"), ("a.pdf", 2, "a.pdf", "d/a.pdf"), (None, 1, None, None)], "upload string, n int, name string, path string")
+    labels = files.select(reports.source_label(F.col("upload"), F.col("n")), reports.from_archive(F.col("upload"), F.col("name"), F.col("path"))).collect()
+    assert [tuple(r) for r in labels] == [(reports.SOURCE_ARCHIVE, True), (reports.SOURCE_FILE, False), (reports.SOURCE_ARCHIVE, True), (reports.SOURCE_FILE, False)]
+    for k in range(2):
+        search.audited(str(tmp_path / "log"), spark.createDataFrame([(k, "ODD")], "user int, action string"))
+    assert spark.read.parquet(str(tmp_path / "log")).where("at IS NOT NULL").count() == 2
