@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators import context, dedup, evaluate, quotes, reports, retrieval, structure
+from lexweave.operators import context, dedup, evaluate, findings, quotes, reports, retrieval, structure, worklists
 from lexweave.plans.rollups import table
+from lexweave.plans.session import shared_dir, staged
 from lexweave.streaming import feeds
 
 
@@ -222,8 +223,7 @@ def events_stream_diff(spark: SparkSession, d: str) -> DataFrame:
     """Changes of each user's event type, by a streaming query that drains the table and stops."""
     source = f"{d}/events.parquet"
     events = spark.read.parquet(source)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/lexweave-streams"
-    out = f"{folder}/lexweave-stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/lexweave-stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).parquet(f"{source}*").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     changed = feeds.changes_stream(stream, "user_id", "ts", "event_type", forget=False)
     query = changed.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -231,11 +231,28 @@ def events_stream_diff(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def review_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The whole review: lines, segments, chunks, ranks, keyword findings, merged findings, then counts, score and light
+    of each document with a finding. Each rule looks at its best chunks of the corpus."""
+    parts = structure.segments(structure.lines_of(numbered_pages(spark, d)))
+    chunks = staged(structure.chunks(parts).withColumn("key", F.concat_ws("/", "document", "chunk")), "chunks")
+    ranks = retrieval.lexical_ranks(table(spark, d, "benchmark"), chunks.select("key", F.col("content").alias("text")), "item_id", "key", retrieval.candidates_for(retrieval.TOP_K))
+    contexts = ranks.join(chunks, "key").select("document", F.col("item_id").alias("rule"), "chunk", "content", F.col("rank_value").alias("score"), F.lit(True).alias("fts_hit"))
+    rules = _rules(spark, d)
+    found = evaluate.guarded(evaluate.keyword_findings(staged(contexts, "contexts"), rules))
+    placed = found.join(chunks.select("document", "chunk", "page", F.col("title").alias("place")), ["document", "chunk"]).join(rules.select("rule", "title"), "rule")
+    clause = worklists.clause_label(F.lit(None).cast("string"), F.col("place"))
+    drafts = placed.select("document", F.col("rule").alias("seq"), "severity", "title", F.lit(None).cast("string").alias("reference"), "comment", "proposal", "page", clause.alias("clause"), "quote", F.array().cast("array<string>").alias("boxes"), F.lit(True).alias("verified"), "confidence")
+    merged = dedup.merged_findings(drafts).withColumn("rule", F.col("seq")).withColumn("review_status", F.lit("NEW"))
+    counts = findings.severity_counts(merged, "document")
+    return counts.select("document", "critical", "warning", "low", "rules_checked", findings.score().alias("score"), findings.light().alias("light"))
+
+
 QUERIES = {f.__name__: f for f in (
     lexical_rank, carry_section, line_segments, outline_sections, page_paragraphs, chunk_pack, law_count, vector_rank,
     rrf_fusion, mmr_select, hash_embedding, rule_cache_key, stem_sets, noise_filter, heading_filter, keyword_evaluate,
     phrase_search_count, quote_verification, duplicate_pairs, dedup_greedy, passage_scores, budget_prefix, budget_skipfit,
-    csv_guard, token_normal, clause_of_quotes, events_stream_diff,
+    csv_guard, token_normal, clause_of_quotes, events_stream_diff, review_chain,
 )}
 
 _STEMS = "list_transform(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}_]{4,}'), lambda w: left(w, 6))"

@@ -63,3 +63,15 @@ def test_clause_of_quotes_equals_brute_force(spark, tmp_path):
     found = registry.QUERIES["clause_of_quotes"](spark, str(tmp_path)).collect()
     assert {(r.document, r.quote): r.clause for r in found} == wanted and len(found) == len(wanted)
     assert len(set(wanted.values())) > 3
+
+
+def test_review_chain_of_two_documents(spark, tmp_path):
+    first = "Delivery terms of the goods\nThe goods come in ten days after the order was placed.\nPenalty of ten percent of the price is due when payments come late."
+    docs = [(1, first), (2, "Some other words that stand here\nNothing in this text concerns the rules at all."), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(0, "Penalty clause for late payments"), (1, "Unrelated zebra question"), (4, "Penalty for late payments again")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = registry.QUERIES["review_chain"](spark, str(tmp_path)).collect()
+    assert [r.document for r in found] == [1]
+    # both rules quote one sentence, so their findings are one
+    assert (found[0].critical, found[0].warning, found[0].light) == (1, 0, "RED") and found[0].score > 0
