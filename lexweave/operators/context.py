@@ -63,21 +63,25 @@ def last_messages(messages: DataFrame, by: str, order: list[str], n: int = KEPT_
 def fitting(rows: DataFrame, by: str, order: list[str], size: str, budget: int, most: int | None = None) -> DataFrame:
     """Rows taken in order while they fit; one too large is skipped and later ones may fit.
 
-    What fits depends on all that was taken before, so a key's sizes are folded in order; only sizes and the columns of
-    ``order`` are gathered, and keys are conversations or documents, which are small.
+    What fits depends on all that was taken before, so a key's sizes are folded in order; only sizes and places are
+    gathered, and keys are conversations or documents, which are small. Equal rows are rows of their own, a row without
+    a size takes no room, and rows without a key are one key.
     """
-    in_order = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size"))))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("taken"))
+    others = [c for c in rows.columns if c not in (by, *order)]
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order, *others)))
+    in_order = F.array_sort(F.collect_list(F.struct("_place", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("taken"))
 
     def step(acc: Column, row: Column) -> Column:
         fits = row["_size"] <= acc["left"]
         if most is not None:
             fits = fits & (acc["n"] < most)
-        return F.struct((acc["left"] - F.when(fits, row["_size"]).otherwise(0)).alias("left"), (acc["n"] + fits.cast("int")).alias("n"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+        taken = F.when(fits, F.array_append(acc["taken"], row["_place"])).otherwise(acc["taken"])
+        return F.struct((acc["left"] - F.when(fits, row["_size"]).otherwise(0)).alias("left"), (acc["n"] + fits.cast("int")).alias("n"), taken.alias("taken"))
 
-    folded = rows.groupBy(by).agg(in_order.alias("rows")).withColumn("taken", F.aggregate("rows", start, step, lambda acc: acc["taken"]))
-    kept = folded.select(by, F.explode(F.arrays_zip("rows", "taken")).alias("r")).where("r.taken").select(by, *[F.col(f"r.rows.{c}").alias(c) for c in order])
-    return rows.join(kept, [by, *order], "left_semi")
+    folded = placed.groupBy(by).agg(in_order.alias("rows")).withColumn("taken", F.aggregate("rows", start, step, lambda acc: acc["taken"]))
+    kept = folded.select(F.col(by).alias("_by"), F.explode("taken").alias("_taken"))
+    return placed.join(kept, placed[by].eqNullSafe(kept["_by"]) & (placed["_place"] == kept["_taken"]), "left_semi").drop("_place")
 
 
 def fingerprint(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:

@@ -318,6 +318,11 @@ ORACLE_SQL = {
     "passage_scores": f"WITH {_PASSAGES} SELECT document, page, part, score, n_chars FROM ps",
     "budget_prefix": f"""WITH {_PASSAGES}, b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY document ORDER BY score DESC, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
       row_number() OVER (PARTITION BY document ORDER BY score DESC, part) AS n FROM ps) SELECT document, page, part, score, CAST(least(n_chars, 8000 - before) AS BIGINT) AS n_chars FROM b WHERE n <= 80 AND before < 8000""",
+    "budget_skipfit": """WITH RECURSIVE m AS (SELECT *, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS i FROM conversations),
+      r AS (SELECT conv_id, turn, role, size, i, size <= 300 AS took, CASE WHEN size <= 300 THEN 300 - size ELSE 300 END AS room, CAST(size <= 300 AS INT) AS n FROM m WHERE i = 1
+        UNION ALL SELECT m.conv_id, m.turn, m.role, m.size, m.i, m.size <= room AND n < 12, CASE WHEN m.size <= room AND n < 12 THEN room - m.size ELSE room END, n + CAST(m.size <= room AND n < 12 AS INT)
+        FROM r JOIN m ON m.conv_id = r.conv_id AND m.i = r.i + 1)
+      SELECT conv_id, turn, role, size FROM r WHERE took""",
     "csv_guard": r"""WITH c AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN ' -' WHEN 2 THEN chr(9) ELSE '' END || text AS t FROM documents)
       SELECT doc_id, sha256(CASE WHEN regexp_matches(t, '^(?:[\s\x00-\x1f]*[=+\-@]|[\t\r\n])') THEN '''' || t ELSE t END) AS cell FROM c""",
     "token_normal": f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n, sha256(array_to_string({_TOKENS}, ' ')) AS digest FROM documents",

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexweave.operators import drafts, located, reports, search
+from lexweave.operators import context, drafts, located, reports, search
 from lexweave.operators.quotes import STRIP
 
 SCAN = "document long, page long, seq int, x0 double, y0 double, x1 double, y1 double, word string, block int, line int"
@@ -132,3 +132,9 @@ def test_history_and_labels_of_odd_rows(spark, tmp_path):
     for k in range(2):
         search.audited(str(tmp_path / "log"), spark.createDataFrame([(k, "ODD")], "user int, action string"))
     assert spark.read.parquet(str(tmp_path / "log")).where("at IS NOT NULL").count() == 2
+
+
+def test_equal_rows_fit_one_by_one(spark):
+    rows = spark.createDataFrame([("a", 1, "xx", 2)] * 3 + [("a", 2, None, None), ("a", 3, "y", 1), (None, 1, "zz", 2)], "k string, at int, text string, size int")
+    found = sorted(((r.k or ""), r.at, r.text or "") for r in context.fitting(rows, "k", ["at"], "size", 5).collect())
+    assert found == [("", 1, "zz"), ("a", 1, "xx"), ("a", 1, "xx"), ("a", 2, ""), ("a", 3, "y")]
