@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bpe_lexicon, decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, secret_scan, sharding, token_store
+from lexweave.llm import bpe_lexicon, decontaminate, html_extract, language_id, merkle, ngram_join, pii, quality_rules, secret_scan, sharding, subvectors, token_counts, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_centroids": subvectors.op13_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op13_centroids": subvectors.ORACLE_SQL}
