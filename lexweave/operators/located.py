@@ -35,7 +35,7 @@ def page_texts(words: DataFrame) -> DataFrame:
 
 
 def positioned_tokens(words: DataFrame) -> DataFrame:
-    """(document, position, page, token, norm, starts_line, boxes) of the words of ``laid_out_words``.
+    """(document, position, page, token, norm, starts_line, boxes, words) of the words of ``laid_out_words``.
 
     A word of three characters and more that ends in a hyphen is one token with a next word in lower case on another
     line. A word that such a token took up starts no other, so of a run of cut words every second one does. Tokens
@@ -59,9 +59,10 @@ def positioned_tokens(words: DataFrame) -> DataFrame:
     taken = heads.withColumn("taken", F.coalesce(F.lag("head").over(page), F.lit(False))).where("NOT taken")
     token = F.when(F.col("head"), F.concat(F.substring("word", F.lit(1), F.length("word") - 1), "rest")).otherwise(F.col("word"))
     boxes = F.when(F.col("head"), F.array("own", "next")).otherwise(F.array("own"))
-    tokens = taken.select("document", "page", "at", token.alias("token"), "starts_line", boxes.alias("boxes")).withColumn("norm", normal_token(F.col("token"))).where("norm <> ''")
+    written = F.when(F.col("head"), F.array("word", "rest")).otherwise(F.array("word"))
+    tokens = taken.select("document", "page", "at", token.alias("token"), "starts_line", boxes.alias("boxes"), written.alias("words")).withColumn("norm", normal_token(F.col("token"))).where("norm <> ''")
     position = F.row_number().over(Window.partitionBy("document").orderBy("page", "at")) - 1
-    return tokens.select("document", position.alias("position"), "page", "token", "norm", "starts_line", "boxes")
+    return tokens.select("document", position.alias("position"), "page", "token", "norm", "starts_line", "boxes", "words")
 
 
 def located_quotes(tokens: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexweave.operators.retrieval import indel_ratio
+from lexweave.operators.asof import last_mark
 
 # Characters stripped from tokens, the fuzzy threshold, lexemes of strict comparison, and negations.
 STRIP = "«»\"'“”„()[]{}.,;:!?…"
-FUZZY = 82.0
-SNIPPET = 12
+FUZZY = 82
+#: Tokens that the search for a clause goes back, and those of a block where it looks inside a quote.
+BACK, INSIDE = 600, 64
 #: Phrases of one automaton, about 1 kB each.
 PHRASES = 20_000
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
@@ -37,6 +38,18 @@ def normal_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != ""), normal_token), lambda t: t != "")
 
 
+@lru_cache(maxsize=4)
+def _automaton(needles: tuple[str, ...]):
+    """One for each worker and block of phrases, as workers run many tasks."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for needle in needles:
+        automaton.add_word(needle, needle)
+    automaton.make_automaton()
+    return automaton
+
+
 def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limit: int = 20, block: int = PHRASES) -> DataFrame:
     """(key, phrase, total, positions): non-overlapping occurrences of a phrase in the normalised text of a row, inside
     longer words too.
@@ -45,10 +58,17 @@ def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limi
     most ``block``, each as one automaton that reads a text once for all of them. ``positions`` are the first ``limit``
     character offsets in the normalised text; ``total`` counts all. Phrases without a token and null texts have no hits.
     """
-    spark = rows.sparkSession
-    types = {key: dict(rows.dtypes)[key], phrase: dict(phrases.dtypes)[phrase]}
+    hay = rows.select(key, F.array_join(normal_tokens(F.col("text")), " ").alias("hay"))
+    return hits_in(hay, phrases, key, phrase, limit, block)
+
+
+def hits_in(hay: DataFrame, phrases: DataFrame, key: str, phrase: str, limit: int = 20, block: int = PHRASES) -> DataFrame:
+    """``phrase_hits`` of rows (key, hay) whose texts are normalised already, with ``size``, the length of the phrase."""
+    spark = hay.sparkSession
+    types = {key: dict(hay.dtypes)[key], phrase: dict(phrases.dtypes)[phrase]}
     needles = phrases.select(phrase, F.array_join(normal_tokens(F.col("text")), " ").alias("needle")).where("needle <> ''")
-    hay = rows.select(key, F.array_join(normal_tokens(F.col("text")), " ").alias("hay")).where("hay <> ''")
+    hay = hay.select(key, "hay").where("hay <> ''")
+    asked = to_arrow_type(phrases.schema[phrase].dataType)
     found = None
     n_blocks = max(1, -(-needles.count() // block))
     for k in range(n_blocks):
@@ -59,14 +79,9 @@ def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limi
         sent = spark.sparkContext.broadcast(names)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for needle in sent.value:
-                automaton.add_word(needle, needle)
             if not sent.value:
                 return
-            automaton.make_automaton()
+            automaton = _automaton(tuple(sent.value))
             for batch in batches:
                 out: list[tuple] = []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -75,13 +90,12 @@ def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limi
                         at, own = last + 1 - len(needle), starts.setdefault(needle, [])
                         if not own or at >= own[-1] + len(needle):
                             own.append(at)
-                    out.extend((i, p, len(own), own[:limit]) for needle, own in starts.items() for p in sent.value[needle])
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                arrow = [batch.schema.field(0).type, None, pa.int64(), pa.list_(pa.int64())]
-                arrow[1] = pa.array([x for v in sent.value.values() for x in v]).type
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[key, phrase, "total", "positions"])
+                    out.extend((i, p, len(own), own[:limit], len(needle)) for needle, own in starts.items() for p in sent.value[needle])
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                arrow = [batch.schema.field(0).type, asked, pa.int64(), pa.list_(pa.int64()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[key, phrase, "total", "positions", "size"])
 
-        hits = hay.mapInArrow(search, f"{key} {types[key]}, {phrase} {types[phrase]}, total long, positions array<long>")
+        hits = hay.mapInArrow(search, f"{key} {types[key]}, {phrase} {types[phrase]}, total long, positions array<long>, size long")
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -128,43 +142,105 @@ def with_page_texts(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return quotes.join(joined, ["document", "quote_id"], "left")
 
 
-def best_window(quote: str, text: str) -> tuple[int, int, float]:
-    """(start, end, score 0..100) of the stretch of the text most like the quote, by words; a hint, never a proof."""
-    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    n = max(1, len(quote.split()))
-    best = (0, 0, 0.0)
-    for i in range(max(1, len(words) - n + 1)):
-        if not words:
-            break
-        start, end = words[i][0], words[min(i + n, len(words)) - 1][1]
-        score = 100 * indel_ratio(quote, text[start:end])
-        if score > best[2]:
-            best = (start, end, score)
-    return best
+class Likeness:
+    """The longest common subsequence of a quote with stretches of a text, by bit rows, and their Indel likeness."""
 
+    def __init__(self, quote: str, text: str) -> None:
+        self.quote, self.text, self.full = quote, text, (1 << len(quote)) - 1
+        self.where: dict[str, int] = {}
+        for i, c in enumerate(quote):
+            self.where[c] = self.where.get(c, 0) | 1 << i
 
-def fuzzy_hints(quotes: DataFrame) -> DataFrame:
-    """Rows (quote, page_text) with hint_start, hint_end and hint_score where the likeness is at least 82 of 100."""
+    def common(self, start: int, end: int) -> int:
+        row, get = self.full, self.where.get
+        for c in self.text[start:end]:
+            hit = row & get(c, 0)
+            row = ((row + hit) | (row - hit)) & self.full
+        return len(self.quote) - row.bit_count()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [best_window((q or "").lower(), (t or "").lower()) for q, t in zip(pdf["quote"], pdf["page_text"], strict=True)]
-            found = [f if f[2] >= FUZZY else (None, None, None) for f in found]
-            yield pdf.assign(hint_start=pd.array([f[0] for f in found], "Int64"), hint_end=pd.array([f[1] for f in found], "Int64"), hint_score=[f[2] for f in found])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in quotes.dtypes)
-    return quotes.mapInPandas(run, schema + ", hint_start long, hint_end long, hint_score double")
+def seeded(quote: str, text: str, size: int = 6) -> int | None:
+    """Where the quote would begin by most of the shingles that it shares with the text."""
+    where: dict[str, list[int]] = {}
+    for i in range(0, len(quote) - size + 1):
+        where.setdefault(quote[i : i + size], []).append(i)
+    votes: dict[int, int] = {}
+    for at in range(0, len(text) - size + 1):
+        for i in where.get(text[at : at + size], ())[:4]:
+            votes[(at - i) // 8] = votes.get((at - i) // 8, 0) + 1
+    return max(votes, key=lambda k: (votes[k], -k)) * 8 if votes else None
+
+
+def best_stretch(quote: str, text: str, least: float = FUZZY) -> tuple[int, int, float] | None:
+    """(start, end, score) of the stretch of the text most like the quote, the first of equals; None under ``least``.
+
+    Stretches have the quote's length, or less where the text begins or ends; if the text is the shorter one, it is
+    compared with stretches of the quote and found as a whole. The score is the Indel likeness, 0 to 100.
+
+    Moving a stretch by one place changes the common subsequence by one at most, so that stretches too near to a bad one
+    are passed over. Where most shared shingles point is tried first, which bars what can't be better. The score is
+    the best of all stretches nonetheless, and for a given quote the time is linear in the text.
+    """
+    if not quote or not text:
+        return None
+    if len(text) < len(quote):
+        found = best_stretch(text, quote, least)
+        return found and (0, len(text), found[2])
+    m, n = len(quote), len(text)
+    likeness = Likeness(quote, text)
+    bounds = lambda at: (max(0, at), min(n, at + m))
+    # the score 200 * common / (m + size) as a fraction; at first a bar that ``least`` itself passes
+    best: tuple[int, int, int] | None = None
+
+    def reaches(common: int, size: int, at: int) -> bool:
+        if best is None:
+            return 200 * common >= least * (m + size)
+        left, right = common * best[1], best[0] * (m + size)
+        return left > right or left == right and at < best[2]
+
+    guess = seeded(quote, text)
+    order = [] if guess is None else [x for x in range(guess, guess + 8) if -m < x < n]
+    known: dict[int, int] = {}
+    for at in order:
+        start, end = bounds(at)
+        known[at] = common = likeness.common(start, end)
+        if reaches(common, end - start, at):
+            best = (common, m + end - start, at)
+    room, at = 1, 1 - m  # how much the stretch at ``at`` can have in common at most
+    while at < n:
+        start, end = bounds(at)
+        if reaches(min(room, end - start), end - start, at):
+            room = known.get(at)
+            if room is None:
+                room = likeness.common(start, end)
+            if reaches(room, end - start, at):
+                best = (room, m + end - start, at)
+        room += 1
+        at += 1
+    if best is None:
+        return None
+    start, end = bounds(best[2])
+    return start, end, 200 * best[0] / best[1]
 
 
 def clause_of_quotes(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(document, quote, clause): the clause number nearest before a quote, no further back than 600 tokens or a section.
+    """(document, quote, clause): the clause number nearest before a quote, no further back than 600 tokens or a section;
+    else the first one inside the quote.
 
-    ``tokens`` has document, position, token (as written) and starts_line; ``quotes`` has document, quote and position.
+    ``tokens`` has document, position, token (as written) and starts_line; ``quotes`` has document, quote (of any type),
+    first and last position. Clauses that stand before are looked up as of the quote's start; for the other quotes the
+    blocks of tokens that they cover meet the clauses in these blocks.
     """
-    bare = F.btrim("token", F.lit(STRIP))
-    clause = F.when(F.col("starts_line") & bare.rlike(r"^\d{1,2}(?:\.\d{1,3}){1,3}$"), bare)
-    section = F.col("starts_line") & F.col("token").rlike(r"^\d{1,2}\.$")
-    marks = tokens.withColumn("clause", F.when(section, F.lit("")).otherwise(clause)).where("clause IS NOT NULL").select("document", F.col("position").alias("at"), "clause")
-    near = quotes.join(marks, "document").where((F.col("at") <= F.col("position")) & (F.col("at") > F.col("position") - 600))
-    last = near.groupBy("document", "quote").agg(F.max_by("clause", "at").alias("clause"))
-    return quotes.select("document", "quote").join(last, ["document", "quote"], "left").withColumn("clause", F.when(F.col("clause") != "", F.col("clause")))
+    norm = normal_token(F.col("token"))
+    lines = tokens.where("starts_line").withColumn("norm", norm)
+    clause = F.when(F.col("norm").rlike(r"^\d{1,2}(?:\.\d{1,3}){1,3}$"), F.col("norm"))
+    section = F.col("norm").rlike(r"^\d{1,2}$") & F.endswith("token", F.lit("."))
+    at = F.col("position").cast("long")
+    marks = lines.withColumn("mark", F.when(section, F.lit("")).otherwise(clause)).where("mark IS NOT NULL").select("document", at.alias("at"), (at + BACK - 1).alias("until"), "mark")
+    asked = last_mark(quotes.select("document", "quote", F.col("first").cast("long").alias("at"), F.col("last").cast("long").alias("last")), marks)
+    before = asked.where("mark <> ''").select("document", "quote", F.col("mark").alias("clause"))
+    covered = F.sequence(F.floor(F.col("at") / INSIDE), F.floor(F.col("last") / INSIDE))
+    open_quotes = asked.where("coalesce(mark, '') = ''").select("document", "quote", F.col("at").alias("first"), "last", F.explode(covered).alias("block"))
+    blocks = marks.where("mark <> ''").select("document", "at", "mark", F.floor(F.col("at") / INSIDE).alias("block"))
+    inside = open_quotes.join(blocks, ["document", "block"], "left").withColumn("mark", F.when(F.col("at").between(F.col("first"), F.col("last")), F.col("mark")))
+    return before.unionByName(inside.groupBy("document", "quote").agg(F.min_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("clause")))

@@ -13,8 +13,12 @@ PAGE = 10
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as scans: ten lines a page, and a hyphen after the last word of every third line."""
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    return scanned(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"))
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """Texts (document, text) as scans: ten lines a page, and a hyphen after the last word of every third line."""
+    lines = pages.select("document", F.posexplode(F.split("text", "\n")).alias("line", "x"))
     split = lines.withColumn("words", F.split("x", " "))
     words = split.select("document", "line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     cut = (F.col("line") % 3 == 0) & (F.col("i") == F.col("n") - 1) & (F.col("word") != "")
@@ -110,20 +114,22 @@ QUERIES = {f.__name__: f for f in (page_scan_texts, word_tokens, quote_boxes, dr
 _STRIP = "«»\"''“”„()[]{}.,;:!?…"
 
 
-def _norm(word: str) -> str:
+def norm(word: str) -> str:
     return f"replace(replace(trim(replace(lower({word}), 'ё', 'е'), '{_STRIP}'), '–', '-'), '—', '-')"
 
 
-_SCAN = """
-l AS (SELECT doc_id AS document, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+_SPLIT = "l AS (SELECT doc_id AS document, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),"
+WORDS = """
 w AS (SELECT document, line, unnest(string_split(x, ' ')) AS word, unnest(range(len(string_split(x, ' ')))) AS i, len(string_split(x, ' ')) AS n FROM l),
 c AS (SELECT document, line // 10 + 1 AS page, line, i, trim(translate(word || CASE WHEN line % 3 = 0 AND i = n - 1 AND word <> '' THEN '-' ELSE '' END, chr(173) || chr(160) || chr(8239) || chr(9), '-   '), ' ' || chr(10) || chr(13)) AS word FROM w),
 s AS (SELECT *, lead(word) OVER p AS rest, lead(line) OVER p AS rest_line, lead(i) OVER p AS rest_i, lag(line) OVER p AS last_line FROM c WHERE word <> '' WINDOW p AS (PARTITION BY document, page ORDER BY line, i)),
 h AS (SELECT *, coalesce(word LIKE '%-' AND length(word) > 2 AND rest_line <> line AND regexp_matches(rest, '^\\p{Ll}'), false) AS head FROM s),
 k AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY document, page ORDER BY line, i), false) AS taken FROM h)"""
-_TOKENS = f"""{_SCAN},
-n AS (SELECT *, {_norm("CASE WHEN head THEN left(word, length(word) - 1) || rest ELSE word END")} AS norm FROM k WHERE NOT taken),
+_SCAN = _SPLIT + WORDS
+TOKENS = f"""{WORDS},
+n AS (SELECT *, {norm("CASE WHEN head THEN left(word, length(word) - 1) || rest ELSE word END")} AS norm FROM k WHERE NOT taken),
 t AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY page, line, i) - 1 AS position FROM n WHERE norm <> '')"""
+_TOKENS = _SPLIT + TOKENS
 
 
 def _plural(n: str, forms: tuple[str, str, str]) -> str:
@@ -148,7 +154,7 @@ ORACLE_SQL = {
       SELECT document, page, sha256(string_agg(text, chr(10) ORDER BY line)) AS digest FROM j GROUP BY ALL""",
     "word_tokens": f"WITH {_TOKENS} SELECT document, position, page, norm, last_line IS NULL OR last_line <> line AS starts_line, 1 + CAST(head AS BIGINT) AS n_words FROM t",
     "quote_boxes": f"""WITH {_TOKENS}, y AS (SELECT document, chr(10) || string_agg(norm, chr(10) ORDER BY position) || chr(10) AS hay FROM t GROUP BY document),
-      a AS (SELECT document, line AS quote_id, list_filter(list_transform(list_filter(string_split(x, ' ')[2:5], lambda v: v <> ''), lambda v: {_norm("v")}), lambda v: v <> '') AS q FROM l WHERE line % 5 = 1),
+      a AS (SELECT document, line AS quote_id, list_filter(list_transform(list_filter(string_split(x, ' ')[2:5], lambda v: v <> ''), lambda v: {norm("v")}), lambda v: v <> '') AS q FROM l WHERE line % 5 = 1),
       f AS (SELECT document, quote_id, len(q) AS n, hay, instr(hay, chr(10) || array_to_string(q, chr(10)) || chr(10)) AS spot FROM a JOIN y USING (document) WHERE len(q) > 0),
       r AS (SELECT document, quote_id, len(string_split(left(hay, spot), chr(10))) - 2 AS first, n FROM f WHERE spot > 0),
       b AS (SELECT r.document, quote_id, page, unnest(CASE WHEN head THEN [line, rest_line] ELSE [line] END) AS line, unnest(CASE WHEN head THEN [i, rest_i] ELSE [i] END) AS i FROM r JOIN t ON t.document = r.document AND position BETWEEN first AND first + n - 1),

@@ -30,10 +30,11 @@ def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("document", "page", F.array_join(F.transform(lines, laid_out), "\n").alias("text"))
 
 
-_LINES = """
+LAID = """
 raw AS (SELECT doc_id AS document, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
 laid AS (SELECT document, line, CASE WHEN line % 6 = 0 THEN CAST(line // 6 % 90 + 1 AS VARCHAR) || '. ' || array_to_string(string_split(x, ' ')[1:3], ' ')
-  WHEN line % 3 = 0 THEN CAST(line // 6 % 90 + 1 AS VARCHAR) || '.' || CAST(line % 6 // 3 + 1 AS VARCHAR) || ' ' || x ELSE x END AS text FROM raw),
+  WHEN line % 3 = 0 THEN CAST(line // 6 % 90 + 1 AS VARCHAR) || '.' || CAST(line % 6 // 3 + 1 AS VARCHAR) || ' ' || x ELSE x END AS text FROM raw)"""
+_LINES = LAID + """,
 lines AS (SELECT * FROM laid WHERE trim(regexp_replace(text, '\\s', ' ', 'g')) <> ''),
 shaped AS (SELECT *, nullif(regexp_extract(text, '^\\s*(\\d{1,2}(?:\\.\\d{1,3}){1,3})\\.?\\s+(\\S.*)$', 1), '') AS clause,
   regexp_matches(text, '(?i)^\\s*(?:(?:раздел|статья|глава)\\s+)?(\\d{1,2}|[IVXLC]{1,6})\\.?\\s+([\\p{L}][^\\n]{2,120})$') AS shape,
@@ -215,7 +216,7 @@ def clause_of_quotes(spark: SparkSession, d: str) -> DataFrame:
     before = Window.partitionBy("document").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, -1)
     placed = solid.withColumn("base", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)).cast("long"))
     tokens = placed.select("document", "base", F.posexplode("tokens").alias("at", "t")).select("document", (F.col("base") + F.col("at")).alias("position"), "t.token", "t.starts_line")
-    asked = placed.where("line % 3 = 2").select("document", F.col("line").alias("quote"), F.col("base").alias("position"))
+    asked = placed.where("line % 3 = 2").select("document", F.col("line").alias("quote"), F.col("base").alias("first"), F.col("base").alias("last"))
     return quotes.clause_of_quotes(tokens, asked)
 
 
@@ -273,8 +274,12 @@ ps AS (SELECT document, CAST(1 AS BIGINT) AS page, part, CAST(len(list_intersect
   list_distinct(list_transform(list_filter(regexp_extract_all(lower(ask), '[а-яёa-z0-9]+'), lambda w: length(w) > 2), lambda w: left(w, 5))))) AS BIGINT)
   + CASE WHEN list_contains(list_transform(regexp_extract_all(lower(ask), '(?:стр(?:аниц[аеуы]?)?\.?|page)\s*(\d+)', 1), lambda n: TRY_CAST(n AS BIGINT)), 1) THEN 500 ELSE 0 END AS score,
   length(content) AS n_chars FROM y)"""
+def _norm(word: str) -> str:
+    return f"replace(replace(trim(replace(lower({word}), 'ё', 'е'), '{_TRIM}'), '–', '-'), '—', '-')"
+
+
 _TRIM = "«»\"''“”„()[]{}.,;:!?…"
-_TOKENS = f"list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> ''), lambda t: replace(replace(trim(replace(lower(t), 'ё', 'е'), '{_TRIM}'), '–', '-'), '—', '-')), lambda t: t <> '')"
+_TOKENS = f"list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> ''), lambda t: {_norm('t')}), lambda t: t <> '')"
 _BY_LINE = "x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)"
 ORACLE_SQL = {
     "lexical_rank": f"WITH {_LEXICAL} SELECT item_id, doc_id, rank_value, lexical_rank FROM lex",
@@ -315,6 +320,11 @@ ORACLE_SQL = {
       y AS (SELECT doc_id, form, says, l[1] AS q, list_transform(l[2:3], lambda t: string_split(t, l[1])) AS cuts FROM x)
       SELECT doc_id, form, says AND list_min(list_transform(cuts, lambda c: CAST(len(list_filter(c[1:len(c) - 1], lambda b: NOT regexp_matches(b, '(?i)\n(не|ни|без)$')
         AND NOT (regexp_matches(q, '^\n\p{Nd}') AND regexp_matches(b, '\n[-+−±<>≤≥=]$')))) > 0 AS INT))) = 1 AS verified FROM y""",
+    "clause_of_quotes": f"""WITH {_LINES}, k AS (SELECT document, line, list_filter(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> ''), lambda t, i: {{'t': t, 'n': {_norm("t")}, 'i': i}}), lambda t: t.n <> '') AS words FROM lines),
+      p AS (SELECT *, coalesce(sum(len(words)) OVER (PARTITION BY document ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM k),
+      m AS (SELECT document, base AS at, CASE WHEN regexp_matches(words[1].n, '^\\d{{1,2}}$') AND words[1].t LIKE '%.' THEN '' ELSE words[1].n END AS mark FROM p WHERE words[1].i = 1
+        AND (regexp_matches(words[1].n, '^\\d{{1,2}}(\\.\\d{{1,3}}){{1,3}}$') OR regexp_matches(words[1].n, '^\\d{{1,2}}$') AND words[1].t LIKE '%.'))
+      SELECT q.document, line AS quote, CASE WHEN base - m.at < 600 THEN nullif(mark, '') END AS clause FROM (SELECT * FROM p WHERE line % 3 = 2) q ASOF LEFT JOIN m ON m.document = q.document AND m.at <= q.base""",
     "passage_scores": f"WITH {_PASSAGES} SELECT document, page, part, score, n_chars FROM ps",
     "budget_prefix": f"""WITH {_PASSAGES}, b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY document ORDER BY score DESC, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
       row_number() OVER (PARTITION BY document ORDER BY score DESC, part) AS n FROM ps) SELECT document, page, part, score, CAST(least(n_chars, 8000 - before) AS BIGINT) AS n_chars FROM b WHERE n <= 80 AND before < 8000""",

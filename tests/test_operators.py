@@ -120,12 +120,6 @@ def test_quotes_over_pages(spark):
     assert {r.quote_id: r.verified for r in quotes.verify_quotes(rows).collect()} == {1: True, 2: False, 3: False}
 
 
-def test_fuzzy_hint(spark):
-    df = spark.createDataFrame([("цена договора включает налоги", "В договоре: цена договора включает налогн и сборы"), ("нет такого", "совсем другое")], "quote string, page_text string")
-    hints = [r.hint_score for r in quotes.fuzzy_hints(df).collect()]
-    assert hints[0] > 82 and (hints[1] is None or np.isnan(hints[1]))
-
-
 def _rule(spark, **more):
     row = {"rule": "r", "severity": "RED", "title": "T", "description": "D", "query": "срок поставки товара", "prompt": "Рекомендация: продлить срок", "marker": None, "exception": None, "guard": None} | more
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
