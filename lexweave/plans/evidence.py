@@ -34,7 +34,7 @@ LAID = """
 raw AS (SELECT doc_id AS document, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
 laid AS (SELECT document, line, CASE WHEN line % 6 = 0 THEN CAST(line // 6 % 90 + 1 AS VARCHAR) || '. ' || array_to_string(string_split(x, ' ')[1:3], ' ')
   WHEN line % 3 = 0 THEN CAST(line // 6 % 90 + 1 AS VARCHAR) || '.' || CAST(line % 6 // 3 + 1 AS VARCHAR) || ' ' || x ELSE x END AS text FROM raw)"""
-_LINES = LAID + """,
+LINES = LAID + """,
 lines AS (SELECT * FROM laid WHERE trim(regexp_replace(text, '\\s', ' ', 'g')) <> ''),
 shaped AS (SELECT *, nullif(regexp_extract(text, '^\\s*(\\d{1,2}(?:\\.\\d{1,3}){1,3})\\.?\\s+(\\S.*)$', 1), '') AS clause,
   regexp_matches(text, '(?i)^\\s*(?:(?:раздел|статья|глава)\\s+)?(\\d{1,2}|[IVXLC]{1,6})\\.?\\s+([\\p{L}][^\\n]{2,120})$') AS shape,
@@ -94,16 +94,16 @@ def vector_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranks.select("item_id", "doc_id", F.round("distance", 6).alias("distance"), F.col("vector_rank").cast("long"))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
+def fused(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fused(vector_rank(spark, d), lexical_rank(spark, d), "item_id", "doc_id", 12)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select("item_id", "doc_id", F.round("score", 9).alias("score"), "fts_hit", F.col("place").cast("long"))
+    return fused(spark, d).select("item_id", "doc_id", F.round("score", 9).alias("score"), "fts_hit", F.col("place").cast("long"))
 
 
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    found = _fused(spark, d)
+    found = fused(spark, d)
     texts = table(spark, d, "documents").join(found.select("doc_id"), "doc_id", "left_semi")
     candidates = found.join(retrieval.hash_embeddings(texts, "doc_id", "text"), "doc_id", "left").withColumn("content", F.lit(""))
     return retrieval.in_document_order(retrieval.mmr(candidates, "item_id", "doc_id"), "item_id", "doc_id")
@@ -257,16 +257,16 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _STEMS = "list_transform(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}_]{4,}'), lambda w: left(w, 6))"
-_LEXICAL = f"""
+LEXICAL = f"""
 q AS (SELECT DISTINCT item_id, unnest({_STEMS}) AS stem FROM benchmark),
 t AS (SELECT doc_id, stem, count(*) AS tf FROM (SELECT doc_id, unnest({_STEMS}) AS stem FROM documents) GROUP BY 1, 2),
 lex AS (SELECT * FROM (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS rank_value, row_number() OVER (PARTITION BY item_id ORDER BY sum(tf) DESC, doc_id) AS lexical_rank
   FROM q JOIN t USING (stem) GROUP BY item_id, doc_id) WHERE lexical_rank <= 12)"""
-_VECTOR = """
+VECTOR = """
 e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) AS vector_rank FROM (
   SELECT a.vec_id // 20 AS item_id, b.vec_id AS doc_id, 1 - list_cosine_similarity(a.v, b.v) AS distance FROM e a JOIN e b ON a.vec_id % 20 = 0) WHERE distance <= 0.8) WHERE vector_rank <= 12)"""
-_WORDS = r"list_distinct(regexp_extract_all(replace(lower(quote), 'ё', 'е'), '\p{L}{3,}'))"
+WORDS = r"list_distinct(regexp_extract_all(replace(lower(quote), 'ё', 'е'), '\p{L}{3,}'))"
 _PASSAGES = r"""
 z AS (SELECT doc_id AS document, text, unnest(range(CAST(ceil(length(text) / 3500.0) AS BIGINT))) AS part, string_split(text, chr(10))[1] AS ask FROM documents WHERE text <> ''),
 y AS (SELECT document, part, substr(text, part * 3500 + 1, 3500) AS content, ask FROM z),
@@ -280,34 +280,34 @@ def _norm(word: str) -> str:
 
 _TRIM = "«»\"''“”„()[]{}.,;:!?…"
 _TOKENS = f"list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> ''), lambda t: {_norm('t')}), lambda t: t <> '')"
-_BY_LINE = "x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)"
+BY_LINE = "x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents)"
 ORACLE_SQL = {
-    "lexical_rank": f"WITH {_LEXICAL} SELECT item_id, doc_id, rank_value, lexical_rank FROM lex",
-    "vector_rank": f"WITH {_VECTOR} SELECT item_id, doc_id, round(distance, 6) AS distance, vector_rank FROM vec",
-    "rrf_fusion": f"""WITH {_LEXICAL}, {_VECTOR}, m AS (SELECT item_id, doc_id, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0) AS score, lexical_rank IS NOT NULL AS fts_hit
+    "lexical_rank": f"WITH {LEXICAL} SELECT item_id, doc_id, rank_value, lexical_rank FROM lex",
+    "vector_rank": f"WITH {VECTOR} SELECT item_id, doc_id, round(distance, 6) AS distance, vector_rank FROM vec",
+    "rrf_fusion": f"""WITH {LEXICAL}, {VECTOR}, m AS (SELECT item_id, doc_id, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0) AS score, lexical_rank IS NOT NULL AS fts_hit
       FROM vec FULL JOIN lex USING (item_id, doc_id)), n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM m)
       SELECT item_id, doc_id, round(CAST(score AS DOUBLE), 9) AS score, fts_hit, place FROM n WHERE place <= 12""",
-    "carry_section": f"WITH {_LINES} SELECT document, line, clause, section, CAST(segment AS BIGINT) AS segment FROM carried",
-    "line_segments": f"""WITH {_LINES} SELECT document, CAST(segment AS BIGINT) AS segment, arg_min(clause, line) FILTER (WHERE true) AS clause, max(section) AS section,
+    "carry_section": f"WITH {LINES} SELECT document, line, clause, section, CAST(segment AS BIGINT) AS segment FROM carried",
+    "line_segments": f"""WITH {LINES} SELECT document, CAST(segment AS BIGINT) AS segment, arg_min(clause, line) FILTER (WHERE true) AS clause, max(section) AS section,
       regexp_replace(string_agg(trim(text), chr(10) ORDER BY line), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS text FROM carried GROUP BY document, segment""",
-    "outline_sections": f"""WITH {_LINES} SELECT document, section, CAST(1 AS BIGINT) AS page, count(c) AS n, coalesce(string_agg(c, ',' ORDER BY segment), '') AS clauses FROM
+    "outline_sections": f"""WITH {LINES} SELECT document, section, CAST(1 AS BIGINT) AS page, count(c) AS n, coalesce(string_agg(c, ',' ORDER BY segment), '') AS clauses FROM
       (SELECT document, section, segment, CASE WHEN regexp_matches(clause, '^\\d+\\.\\d+$') THEN clause END AS c FROM carried QUALIFY row_number() OVER (PARTITION BY document, segment ORDER BY line) = 1) GROUP BY document, section""",
     "law_count": r"""WITH c AS (SELECT doc_id, text || CASE lang WHEN 'en' THEN ' 44-ФЗ' WHEN 'de' THEN ' 223 - фз, № 44' ELSE '' END AS t FROM documents),
       n AS (SELECT doc_id, len(regexp_extract_all(t, '(?i)44\s*-\s*ФЗ|№\s*44\s*-?\s*ФЗ|от\s+05\.04\.2013')) AS a, len(regexp_extract_all(t, '(?i)223\s*-\s*ФЗ|№\s*223\s*-?\s*ФЗ|от\s+18\.07\.2011')) AS b FROM c)
       SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN a >= b THEN '44-FZ' ELSE '223-FZ' END AS law FROM n""",
     "rule_cache_key": "SELECT item_id, 'local-hash#' || left(sha256(text), 12) AS key FROM benchmark",
     "stem_sets": f"SELECT stem, count(*) AS n FROM (SELECT unnest(list_distinct({_STEMS})) AS stem FROM documents) GROUP BY stem",
-    "noise_filter": rf"""WITH {_BY_LINE}, s AS (SELECT *, length(regexp_replace(text, '[\s\p{{Z}}\x85\x0b]', '', 'g')) AS solid FROM x)
+    "noise_filter": rf"""WITH {BY_LINE}, s AS (SELECT *, length(regexp_replace(text, '[\s\p{{Z}}\x85\x0b]', '', 'g')) AS solid FROM x)
       SELECT doc_id, line, solid = 0 OR len(regexp_extract_all(text, '\p{{L}}')) < 0.55 * solid AS noise FROM s""",
-    "heading_filter": rf"""WITH {_BY_LINE}, s AS (SELECT doc_id, line, trim(text) AS t FROM x)
+    "heading_filter": rf"""WITH {BY_LINE}, s AS (SELECT doc_id, line, trim(text) AS t FROM x)
       SELECT doc_id, line, length(t) < 15 OR regexp_matches(t, '(?i)^(раздел|статья|приложение|глава|пункт|п\.|ст\.)\s*\d+[\.\d\s\p{{L}}\p{{N}}_\(\)]*$')
       OR (length(t) < 90 AND len(regexp_extract_all(t, '\p{{L}}')) > 0 AND len(regexp_extract_all(t, '\p{{L}}')) = len(regexp_extract_all(t, '\p{{Lu}}')))
       OR regexp_matches(t, '^[\p{{L}}\p{{N}}_\s]{{1,30}}:\s*(\d+(\.\d+)*\.?)?$') OR regexp_matches(t, '^[\d\.\s\(\)\-]+$') AS heading FROM s""",
     "phrase_search_count": f"""WITH h AS (SELECT doc_id, array_to_string({_TOKENS}, ' ') AS hay FROM documents), n AS (SELECT item_id, array_to_string({_TOKENS}, ' ') AS needle FROM benchmark)
       SELECT doc_id, item_id, CAST((length(hay) - length(replace(hay, needle, ''))) // length(needle) AS BIGINT) AS total, CAST(instr(hay, needle) - 1 AS BIGINT) AS first FROM h JOIN n ON needle <> '' AND contains(hay, needle)""",
-    "duplicate_pairs": rf"""WITH {_BY_LINE}, f AS (SELECT doc_id AS document, line AS seq, text AS quote, CASE WHEN line % 5 > 0 THEN line % 4 END AS page,
+    "duplicate_pairs": rf"""WITH {BY_LINE}, f AS (SELECT doc_id AS document, line AS seq, text AS quote, CASE WHEN line % 5 > 0 THEN line % 4 END AS page,
         CASE WHEN line % 3 = 0 THEN CAST(line % 5 AS VARCHAR) || CASE WHEN line % 2 = 0 THEN '.1' ELSE '' END END AS clause FROM x WHERE line % 4 <> 3),
-      w AS (SELECT *, {_WORDS} AS words FROM f),
+      w AS (SELECT *, {WORDS} AS words FROM f),
       p AS (SELECT a.document, a.seq AS a, b.seq AS b, a.clause AS ca, b.clause AS cb, a.page AS pa, b.page AS pb, CASE WHEN least(len(a.words), len(b.words)) > 0 THEN len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)) ELSE 0 END AS overlap
         FROM w a JOIN w b ON a.document = b.document AND a.seq < b.seq)
       SELECT document, a, b, round(overlap, 4) AS overlap FROM p WHERE overlap >= 0.7 OR coalesce(ca = cb AND CASE WHEN contains(ca, '.') THEN pa IS NULL OR pb IS NULL OR pa = pb ELSE overlap >= 0.35 END, false)""",
@@ -320,7 +320,7 @@ ORACLE_SQL = {
       y AS (SELECT doc_id, form, says, l[1] AS q, list_transform(l[2:3], lambda t: string_split(t, l[1])) AS cuts FROM x)
       SELECT doc_id, form, says AND list_min(list_transform(cuts, lambda c: CAST(len(list_filter(c[1:len(c) - 1], lambda b: NOT regexp_matches(b, '(?i)\n(не|ни|без)$')
         AND NOT (regexp_matches(q, '^\n\p{Nd}') AND regexp_matches(b, '\n[-+−±<>≤≥=]$')))) > 0 AS INT))) = 1 AS verified FROM y""",
-    "clause_of_quotes": f"""WITH {_LINES}, k AS (SELECT document, line, list_filter(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> ''), lambda t, i: {{'t': t, 'n': {_norm("t")}, 'i': i}}), lambda t: t.n <> '') AS words FROM lines),
+    "clause_of_quotes": f"""WITH {LINES}, k AS (SELECT document, line, list_filter(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> ''), lambda t, i: {{'t': t, 'n': {_norm("t")}, 'i': i}}), lambda t: t.n <> '') AS words FROM lines),
       p AS (SELECT *, coalesce(sum(len(words)) OVER (PARTITION BY document ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM k),
       m AS (SELECT document, base AS at, CASE WHEN regexp_matches(words[1].n, '^\\d{{1,2}}$') AND words[1].t LIKE '%.' THEN '' ELSE words[1].n END AS mark FROM p WHERE words[1].i = 1
         AND (regexp_matches(words[1].n, '^\\d{{1,2}}(\\.\\d{{1,3}}){{1,3}}$') OR regexp_matches(words[1].n, '^\\d{{1,2}}$') AND words[1].t LIKE '%.'))

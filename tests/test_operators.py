@@ -282,3 +282,24 @@ def test_notifications(spark):
     rows = [("f", t[0], "processing", None, 0), ("f", t[1], "processing", None, 0), ("f", t[2], "ready", None, 2), ("f", t[3], "ready", None, 2), ("g", t[0], "ready", None, 1)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, phase string, error string, critical int")
     assert [(r.k, r.ts, r.kind) for r in feeds.notifications(df, "k", ["ts"]).collect()] == [("f", t[2], "critical")]
+
+
+def test_mmr_by_vectors_equals_the_loop(spark):
+    rng = random.Random(31)
+    rows = []
+    for q in range(30):
+        for k in rng.sample(range(40), rng.randrange(1, 11)):
+            vector = None if rng.random() < 0.1 else [float(rng.randrange(-2, 3)) for _ in range(3)]
+            rows.append((q, k, rng.choice((0.0, 0.25, 0.5, 0.75)), vector))
+    candidates = spark.createDataFrame(rows, "q long, k long, score double, embedding array<double>")
+    for top_k in (0, 1, 4):
+        wanted = []
+        for q in range(30):
+            own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+            alike = np.zeros((len(own), len(own)))
+            for i, a in enumerate(own):
+                for j, b in enumerate(own):
+                    if a[3] and b[3] and any(a[3]) and any(b[3]):
+                        alike[i, j] = round(max(0.0, min(1.0, float(np.dot(a[3], b[3])) / float(np.linalg.norm(a[3]) * np.linalg.norm(b[3])))), 9)
+            wanted += [(q, own[i][1], own[i][2], n) for n, i in enumerate(retrieval.mmr_order([r[2] for r in own], alike, top_k))]
+        assert sorted(map(tuple, retrieval.mmr_by_vectors(candidates, "q", "k", top_k).collect())) == sorted(wanted)
