@@ -1,12 +1,7 @@
-"""Context for a question: scored passages, budgets, last messages, fingerprints, model answers."""
+"""Context for a question: scored passages, budgets, last messages, fingerprints."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,62 +92,3 @@ def fragments(chunks: DataFrame, by: str, order: str) -> DataFrame:
     block = F.concat(F.lit("[F"), place, F.lit("] ("), F.concat_ws(", ", pages, F.col("title")), F.lit(")\n"), F.col("content"))
     numbered = chunks.select(by, place.alias("n"), block.alias("block"))
     return numbered.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda r: r["block"]), "\n\n").alias("fragments"))
-
-
-VERDICTS = ("RISK", "OK", "NOT_FOUND", "UNKNOWN")
-
-
-def _no_repeats(pairs: list[tuple]) -> dict:
-    keys = [k for k, _ in pairs]
-    if len(set(keys)) < len(keys):
-        raise ValueError("a key is repeated")
-    return dict(pairs)
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(f"{name} is no JSON number")
-
-
-def read_answer(text: str | None) -> dict | None:
-    """The JSON object of a model's answer, bare or fenced; None if there is none or it breaks a rule."""
-    text = text or ""
-    fenced = re.search(r"```(?:json)?\s*(\{.*\})\s*```", text, re.S)
-    body = fenced[1] if fenced else text[text.find("{") : text.rfind("}") + 1]
-    try:
-        answer = json.loads(body, object_pairs_hook=_no_repeats, parse_constant=_no_constant)
-    except ValueError:
-        return None
-    return answer if valid_answer(answer) else None
-
-
-def valid_answer(answer: object) -> bool:
-    """Known fields of the right kind, at most three items in a list, and lists that suit the verdict."""
-    if not isinstance(answer, dict) or set(answer) - {"verdict", "issues", "evidence", "explanation"} or answer.get("verdict") not in VERDICTS:
-        return False
-    issues, evidence = answer.get("issues", []), answer.get("evidence", [])
-    if not isinstance(answer.get("explanation", ""), str) or not all(isinstance(x, list) and len(x) <= 3 for x in (issues, evidence)):
-        return False
-    texts = {"fragment", "quote", "summary", "comment", "recommendation"}
-    for issue in issues:
-        if not isinstance(issue, dict) or set(issue) - texts - {"severity", "confidence"} or issue.get("severity") not in ("RED", "YELLOW", "LOW"):
-            return False
-        confidence = issue.get("confidence")
-        if isinstance(confidence, bool) or not isinstance(confidence, int | float) or not 0 <= confidence <= 1:
-            return False
-        if not all(isinstance(issue.get(k, ""), str) for k in texts) or not {"fragment", "quote"} <= set(issue):
-            return False
-    for item in evidence:
-        if not isinstance(item, dict) or set(item) != {"fragment", "quote"} or not all(isinstance(v, str) for v in item.values()):
-            return False
-    return {"RISK": bool(issues) and not evidence, "OK": bool(evidence) and not issues}.get(answer["verdict"], not issues and not evidence)
-
-
-def parsed_answers(rows: DataFrame, column: str) -> DataFrame:
-    """Rows with ``answer``: the answer's JSON in one form, null where it is not valid."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [read_answer(t) for t in pdf[column]]
-            yield pdf.assign(answer=[None if a is None else json.dumps(a, ensure_ascii=False, sort_keys=True) for a in found])
-
-    return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", answer string")

@@ -57,6 +57,19 @@ def pattern_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, marker string, exception string, guard string")
 
 
+def marked_rules(text: Column) -> Column:
+    """The ids of the fixed rules whose marker stands in a text that no exception covers, sorted. The patterns are
+    literals, so each is compiled once."""
+    has = lambda pattern: text.rlike(f"(?iU){pattern}")
+    covered = lambda rule: has(EXCEPTIONS[rule]) if rule in EXCEPTIONS else F.lit(False)
+    return F.array_compact(F.array(*[F.when(has(MARKERS[rule]) & ~covered(rule), rule) for rule in sorted(MARKERS)]))
+
+
+def allowed_rules(text: Column) -> Column:
+    """The ids of the fixed rules with a guard that a text passes, sorted."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?iU){GUARDS[rule]}"), rule) for rule in sorted(GUARDS)]))
+
+
 def weaker(a: Column, b: Column) -> Column:
     """The lesser of two severities; unknown ones rank lowest, and the first wins a tie."""
     rank = lambda c: F.coalesce(*[F.when(c == s, F.lit(r)) for s, r in RANK.items()], F.lit(0))

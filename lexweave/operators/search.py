@@ -49,6 +49,17 @@ def owned(rows: DataFrame, owner: str, user: object, admin: bool = False) -> Dat
     return rows if admin else rows.where(F.col(owner).isNull() | (F.col(owner) == F.lit(user)))
 
 
+def owned_through(children: DataFrame, parents: DataFrame, key: str, owner: str, user: object, admin: bool = False) -> DataFrame:
+    """Children whose parent the user owns; a child without a parent is no one's."""
+    return children.join(owned(parents, owner, user, admin).select(key), key, "left_semi")
+
+
+def uploads_matching(rows: DataFrame, needle: str | None, status: str | None, columns: list[str], state: str) -> DataFrame:
+    """Rows of which a column holds the needle and whose state is the one asked for, written in any case; both optional."""
+    found = matching(rows, needle, columns) if needle else rows
+    return found.where(F.col(state) == status.upper()) if status else found
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page in order with the number of all rows; a page past the end is the last one."""
     total = rows.count()

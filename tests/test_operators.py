@@ -182,14 +182,6 @@ def test_fitting_skips_what_is_too_large(spark):
     assert [r.o for r in context.fitting(df, "k", ["o"], "size", 100).orderBy("o").collect()] == [1, 3]
 
 
-@pytest.mark.parametrize(
-    ("text", "good"),
-    [('{"verdict": "OK", "evidence": [{"fragment": "F1", "quote": "q"}]}', True), ('```json\n{"verdict": "NOT_FOUND"}\n```', True), ('{"verdict": "OK"}', False), ('{"verdict": "MAYBE"}', False), ('{"verdict": "UNKNOWN", "verdict": "OK"}', False), ('{"verdict": "UNKNOWN", "x": 1}', False), ("no json", False), (None, False), ('{"verdict": "RISK", "issues": [{"fragment": "F1", "quote": "q", "severity": "RED", "confidence": NaN}]}', False)],
-)
-def test_model_answers(text, good):
-    assert (context.read_answer(text) is not None) is good
-
-
 def test_archives(spark):
     inner, outer = io.BytesIO(), io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
