@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from lexweave.operators import answers, evaluate, reports, search
 from lexweave.plans import rollups
 from lexweave.plans.rollups import table
+from lexweave.plans.session import shared_dir
 from lexweave.sources import uploads
+from lexweave.streaming import feeds
 
 #: Documents that go into one archive.
 PACKED = 8
@@ -143,7 +146,35 @@ def heuristic_notes(spark: SparkSession, d: str) -> DataFrame:
     return reports.heuristic_note(rows, "document").select("document", "note", F.array_join("numbers", ",").alias("numbers"))
 
 
-QUERIES = {f.__name__: f for f in (uploaded_documents, model_answers, marked_terms, owned_documents, files_search, finding_labels, heuristic_notes)}
+def _snapshots(events: DataFrame) -> DataFrame:
+    """Events as the states of 4 files in each of 20 accounts."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    phase = F.when(kind == "purchase", "ready").when(kind == "error", "failed").otherwise("processing")
+    error = F.when(kind == "error", F.concat(F.lit("e"), k % 2)).when((kind == "purchase") & (k % 7 == 0), "late")
+    return events.select((F.col("user_id") % 20).alias("account"), (k % 4).alias("file"), F.col("ts").cast("timestamp").alias("ts"), "event_id", phase.alias("phase"), error.alias("error"), F.floor(F.col("value") / 50).alias("critical"))
+
+
+def _notice(found: DataFrame, time: str, event: str) -> DataFrame:
+    names = F.element_at(F.array(*[F.lit(k) for k in feeds.KINDS]), F.col("kind") + 1)
+    return found.select("account", "file", F.col(time).cast("timestamp_ntz").alias("ts"), F.col(event).alias("event_id"), names.alias("kind"), "place")
+
+
+def notices_kept(spark: SparkSession, d: str) -> DataFrame:
+    found = feeds.notices(_snapshots(table(spark, d, "events")), ["account", "file"], ["ts", "event_id"])
+    return _notice(feeds.last_notices(found, "account", "file", ["ts", "event_id", "kind"]), "ts", "event_id")
+
+
+def notices_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a streaming query that drains the table and stops."""
+    source, out = f"{d}/events.parquet", f"{shared_dir(spark)}/lexweave-stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    rings = feeds.notice_rings(_snapshots(events), "account", "file", "ts", "event_id")
+    query = rings.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _notice(feeds.last_of_rings(spark.read.schema(rings.schema).parquet(f"{out}/rows"), "account", "file"), "at", "event")
+
+
+QUERIES = {f.__name__: f for f in (notices_kept, notices_stream, uploaded_documents, model_answers, marked_terms, owned_documents, files_search, finding_labels, heuristic_notes)}
 
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -161,7 +192,15 @@ def _marked() -> str:
     return f"WITH x AS (SELECT doc_id, string_split(text, chr(10))[1] || chr(10) || [{terms}][doc_id % {len(TERMS)} + 1] AS t FROM documents) SELECT doc_id, CASE WHEN t IS NOT NULL THEN concat_ws(',', {', '.join(marked)}) END AS marked, CASE WHEN t IS NOT NULL THEN concat_ws(',', {', '.join(allowed)}) END AS allowed FROM x"
 
 
+_NOTICES = """WITH e AS (SELECT user_id % 20 AS account, event_id % 4 AS file, ts, event_id, CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' ELSE 'processing' END AS phase,
+        CASE WHEN event_type = 'error' THEN 'e' || event_id % 2 WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'late' ELSE '' END AS error, floor(value / 50) AS critical FROM events),
+      b AS (SELECT *, lag(phase) OVER w AS before, lag(error) OVER w AS old FROM e WINDOW w AS (PARTITION BY account, file ORDER BY ts, event_id)),
+      n AS (SELECT *, unnest(list_filter([CASE WHEN phase <> 'processing' AND error <> '' AND (before = 'processing' OR error <> old) THEN 1 END, CASE WHEN before = 'processing' AND phase = 'ready' AND error = '' THEN 2 END,
+        CASE WHEN before = 'processing' AND phase = 'ready' AND critical > 0 THEN 3 END], lambda k: k IS NOT NULL)) AS k FROM b WHERE before IS NOT NULL)
+      SELECT account, file, ts, event_id, ['error', 'completed', 'critical'][k] AS kind, row_number() OVER (PARTITION BY account ORDER BY ts DESC, event_id DESC, k DESC) AS place FROM n QUALIFY place <= 30"""
 ORACLE_SQL = {
+    "notices_kept": _NOTICES,
+    "notices_stream": _NOTICES,
     "uploaded_documents": rf"""WITH g AS (SELECT doc_id // {PACKED} AS k, count(*) FILTER (WHERE doc_id % 8 = 6) > 0 AS nested, count(*) FILTER (WHERE doc_id % 8 NOT IN (3, 4, 5, 6) AND NOT (doc_id % 8 = 2 AND doc_id % 16 > 8)) > 0 AS plain FROM documents GROUP BY 1),
       u AS (SELECT *, CASE WHEN k % 7 = 0 THEN CASE WHEN k % 11 = 5 THEN 'empty' ELSE 'wrong content' END WHEN k % 11 = 5 THEN 'empty' WHEN k % 11 = 4 THEN 'wrong content' WHEN k % 11 = 3 THEN 'not a ZIP' WHEN NOT nested AND NOT plain THEN 'no files' END AS error,
         'up' || k || CASE WHEN k % 7 = 0 THEN '.pdf' ELSE '.zip' END AS path FROM g),

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import io
 import json
+import random
+import time
 import zipfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import answers, evaluate, search
 from lexweave.sources import uploads
+from lexweave.streaming import feeds
 
 ISSUE = {"fragment": "F1", "quote": "q", "severity": "RED", "summary": "s", "comment": "c", "recommendation": "r", "confidence": 1}
 BARE = {"verdict": "UNKNOWN", "issues": [], "evidence": [], "explanation": " e "}
@@ -146,3 +150,40 @@ def test_ownership_and_status(spark):
     files = spark.createDataFrame([("Alpha", "a.pdf", "READY"), ("beta", None, "READY"), (None, "ALPHA.zip", "FAILED")], "t string, f string, s string")
     found = lambda *a: sorted(str(r.t) for r in search.uploads_matching(files, *a, ["t", "f"], "s").collect())
     assert found("alpha", None) == ["Alpha", "None"] and found("alpha", "ready") == ["Alpha"] and found(None, "failed") == ["None"] and len(found("", "")) == 3
+
+
+# --- notices
+
+
+def slow_notices(rows, kept):
+    """(account, file, at, event, kind) of the newest of each account."""
+    out, last = {}, {}
+    for account, file, at, event, phase, error, critical in sorted(rows, key=lambda r: (r[2], r[3])):
+        before, error = last.get((account, file)), error or ""
+        last[account, file] = (phase, error)
+        if before:
+            ran = before[0] in feeds.RUNNING
+            tests = (phase in feeds.FINISHED and error and (ran or error != before[1]), ran and phase == "ready" and not error, ran and phase == "ready" and critical > 0)
+            out.setdefault(account, []).extend((account, file, at, event, k) for k, test in enumerate(tests) if test)
+    return sorted(x for found in out.values() for x in found[-kept:])
+
+
+def test_notices_of_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    rng, start = random.Random(14), datetime(2025, 1, 1)
+    rows = [(rng.randrange(3), rng.randrange(5), start + timedelta(seconds=n, microseconds=n), n, rng.choice(("uploaded", "queued", "processing", "ready", "failed")), rng.choice((None, "", "a", "b")), rng.randrange(3)) for n in range(400)]
+    schema = "account long, file long, ts timestamp, event long, phase string, error string, critical int"
+    df = spark.createDataFrame(rows, schema)
+    wanted = slow_notices(rows, 7)
+    found = feeds.last_notices(feeds.notices(df, ["account", "file"], ["ts", "event"]), "account", "file", ["ts", "event", "kind"], 7)
+    assert sorted((r.account, r.file, r.ts, r.event, r.kind) for r in found.collect()) == wanted and len(wanted) == 21
+    for part in range(4):  # files of a stream, taken one by one
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    rings = feeds.notice_rings(stream, "account", "file", "ts", "event", 7)
+    query = rings.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.agg(F.max(F.size("ring"))).first()[0] <= 7 < written.agg(F.max("n")).first()[0]
+    kept = feeds.last_of_rings(written, "account", "file", 7)
+    assert sorted((r.account, r.file, r["at"], r.event, r.kind) for r in kept.collect()) == wanted
