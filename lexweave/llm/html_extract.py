@@ -1,11 +1,11 @@
 """Main text of web pages, with the template of a site removed.
 
-A page is parsed into a flat list of blocks, each with the hashes of the element subtrees around it. Spark counts the
-subtrees for each host; one that recurs on many different pages of its host is template, and the blocks inside it go,
-wherever they stand. Only single blocks inside an article are exempt, since sentences that sites repeat in articles are
-text. Where a host has too few pages to count, an article or main element that holds most of the text stands for the
-page. Elements that never hold the main text (menus, forms, scripts, comments of readers and the like) go by their names
-and class words.
+A page is parsed into a flat list of blocks, each with the hashes of the element subtrees around it, menus and footers
+included. Spark counts the subtrees for each host; one that recurs on many different pages of its host is template, and
+the blocks inside it go, wherever they stand. Only single blocks inside an article are exempt, since sentences that sites
+repeat in articles are text. What occurs too rarely to be counted out (an advert shown once, comments of readers, a form)
+then goes by the names and class words of its elements. Where a host has too few pages to count, an article or main
+element that holds most of the text stands for the page.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import frame, map_rows, stage, table
 
 #: A subtree is template if it is on at least this many pages of the host, different in their texts, and on this share
-#: of them.
+#: of them: of a single line of text much more than of a menu, a footer or a box, since pages also quote one another.
 MIN_PAGES = 3
-MIN_SHARE = 0.3
+MIN_SHARE = 0.01
+MIN_LINE_SHARE = 0.3
 #: (host, subtree) rows that are broadcast at most; about 20 bytes each. More are joined by page instead.
 MAX_BROADCAST = 1_000_000
 #: Stands among the subtrees of a host that has enough pages to count; no subtree has this hash but by chance.
@@ -39,6 +40,8 @@ HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|prom
 OUTER_HINT = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: With a single block, these are lines of text.
+LINES = frozenset("p li dt dd td th blockquote pre figcaption caption h1 h2 h3 h4 h5 h6".split()) | INLINE
 #: A new one of these ends an open one of the same family.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -47,10 +50,12 @@ _TEXT = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("in_article", "parts", "path")
+    """A run of text; ``named`` if an element around it goes by its name."""
 
-    def __init__(self, path: list[Node], in_article: bool) -> None:
-        self.path, self.in_article, self.parts = path, in_article, []
+    __slots__ = ("in_article", "named", "parts", "path")
+
+    def __init__(self, path: list[Node], in_article: bool, named: bool) -> None:
+        self.path, self.in_article, self.named, self.parts = path, in_article, named, []
 
 
 class Node:
@@ -74,28 +79,29 @@ def _dropped(name: str, attributes: str, article: bool) -> bool:
     return False
 
 
-def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
-    """(text, in an article or main, hashes of the countable subtrees around it) of each block, in page order.
+def parse(html: str | None) -> list[tuple[str, bool, list[int], bool]]:
+    """(text, in an article or main, hashes of the countable subtrees around it, in an element that goes by its name) of
+    each block, in page order.
 
-    All subtrees count but those of a single block inside an article. Elements that never hold main text are left out. An element without its end tag ends with its parent, a
-    paragraph at the next block, and a stray end tag is ignored.
+    All subtrees count but those of a single block inside an article; scripts, styles and the like have no blocks. The
+    hash of a line of text is odd, of any other subtree even. An
+    element without its end tag ends with its parent, a paragraph at the next block, and a stray end tag is ignored.
     """
     html = html or ""
     stack = [Node("", False, False, False)]
     blocks: list[Block] = []
-    open_block: Block | None = None
+    #: One that is main text and one that is not, since an inline element may go out of the middle of a paragraph.
+    open_blocks: list[Block | None] = [None, None]
     at = 0
 
     def text(piece: str) -> None:
-        nonlocal open_block
-        if not piece or stack[-1].dropped:
-            return
-        if open_block is None:
+        top = stack[-1]
+        if open_blocks[top.dropped] is None:
             if not piece.strip():
                 return
-            open_block = Block(list(stack), stack[-1].article)
-            blocks.append(open_block)
-        open_block.parts.append(piece)
+            open_blocks[top.dropped] = Block(list(stack), top.article, top.dropped)
+            blocks.append(open_blocks[top.dropped])
+        open_blocks[top.dropped].parts.append(piece)
 
     def close(node: Node) -> None:
         stack[-1].digest.update(node.digest.digest())
@@ -113,10 +119,11 @@ def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
             continue
         name = m[2].lower()
         if name not in INLINE:
-            open_block = None
+            open_blocks[:] = [None, None]
         if name == "br":
-            if open_block is not None:
-                open_block.parts.append(" ")
+            for block in open_blocks:
+                if block is not None:
+                    block.parts.append(" ")
             continue
         if m[1]:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].name == name), 0)
@@ -152,24 +159,30 @@ def parse(html: str | None) -> list[tuple[str, bool, list[int]]]:
         if words:
             kept.append((words, b))
             for n in b.path:
-                n.blocks += 1
+                n.blocks += n.dropped or not b.named
     found = []
     for words, b in kept:
         counted = [n for n in b.path if n.name not in ("", "html", "body") and not (n.prose and n.blocks == 1)]
-        found.append((words, b.in_article, [n.digest.intdigest() - (1 << 63) for n in counted]))
+        found.append((words, b.in_article, [(n.digest.intdigest() & -2 | (n.blocks == 1 and n.name in LINES)) - (1 << 63) for n in counted], b.named))
     return found
 
 
-def main_text(blocks: list[tuple[str, bool, list[int]]], template: set[int], judged: bool = False) -> str:
-    """All blocks outside the template, whatever their tags, if the host's pages were ``judged`` by counts.
+def main_text(blocks: list[tuple[str, bool, list[int], bool]], template: set[int], judged: bool = False, names: bool = True) -> str:
+    """All blocks outside the template, whatever their tags, if the host's pages were ``judged`` by counts; then without
+    those that go by name, if ``names``.
 
     A page with nothing but template keeps its article: it is a text that the host shows in several frames. Without
     counts the blocks of article and main stand for the page if they hold at least half of its characters.
     """
-    inside = [t for t, in_article, _ in blocks if in_article]
     if judged:
-        return "\n\n".join([t for t, _, around in blocks if template.isdisjoint(around)] or inside)
-    every = [t for t, _, _ in blocks]
+        unlike = [(t, named) for t, _, around, named in blocks if template.isdisjoint(around)]
+        if text := [t for t, named in unlike if not (names and named)]:
+            return "\n\n".join(text)
+    unnamed = [(t, in_article) for t, in_article, _, named in blocks if not (names and named)]
+    inside = [t for t, in_article in unnamed if in_article]
+    if judged:
+        return "\n\n".join(inside)
+    every = [t for t, _ in unnamed]
     return "\n\n".join(inside if 2 * sum(map(len, inside)) >= sum(map(len, every)) else every)
 
 
@@ -177,7 +190,7 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_line_share: float = MIN_LINE_SHARE) -> DataFrame:
     """(host, subtree) of the subtrees that recur on many pages of their host; a null subtree for each host with enough
     pages to judge by counts. Pages of a host with the same text are one page."""
 
@@ -187,8 +200,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 blocks = parse(html)
                 hosts.append(host)
-                contents.append(xxhash.xxh64("\0".join(t for t, _, _ in blocks).encode(errors="replace")).intdigest() - (1 << 63))
-                hashes.append(sorted({h for _, _, around in blocks for h in around}))
+                # pages that differ in what goes by name only are one page
+                contents.append(xxhash.xxh64("\0".join(t for t, _, _, named in blocks if not named).encode(errors="replace")).intdigest() - (1 << 63))
+                hashes.append(sorted({h for _, _, around, _ in blocks for h in around}))
             yield frame({"host": (hosts, pa.string()), "content": (contents, pa.int64()), "subtrees": (hashes, pa.list_(pa.int64()))})
 
     seen = map_rows(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")), subtrees, "host string, content long, subtrees array<long>")
@@ -196,12 +210,13 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     rows = seen.select("host", "content", F.explode(F.array_append("subtrees", F.lit(None).cast("long"))).alias("subtree")).distinct()
     counts = stage(rows.groupBy("host", "subtree").agg(F.count("*").alias("n")), "subtrees")
     sizes = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    enough = (F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))
+    share = F.when(F.col("subtree") % 2 == 0, min_share).otherwise(min_line_share)
+    enough = (F.col("n") >= min_pages) & (F.col("n") >= share * F.col("pages"))
     return counts.join(sizes, "host").where(enough).select("host", "subtree")
 
 
-def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per page row: page_id, url, text.
+def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST, names: bool = True) -> DataFrame:
+    """Per page row: page_id, url, text. Without ``names`` only the counts of the host decide.
 
     A null or empty html has an empty text. Pages whose url is null or has no host share one nameless host. Equal rows
     stay apart and count as one page, as do pages of a host with the same text; other columns are ignored.
@@ -223,7 +238,7 @@ def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [sent.value.get(h, ()) for h in b.column("host").to_pylist()] if sent else [set(x or ()) for x in b.column("subtrees").to_pylist()]
-            texts = [main_text(parse(h), set(t), JUDGED in t) for h, t in zip(b.column("html").to_pylist(), own, strict=True)]
+            texts = [main_text(parse(h), set(t), JUDGED in t, names) for h, t in zip(b.column("html").to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     id_type = dict(pages.dtypes)["page_id"]

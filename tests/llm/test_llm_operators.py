@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -530,3 +531,46 @@ def test_spans_of_one_long_text(spark):
     assert time.monotonic() - started < 60
     assert found[1] == [[10 * k + 2, 10 * k + 7] for k in range(n)]
     assert found[2] == [[0, 5]] and found[3] == [] == found[4] and found[5] == [[6 * k, 6 * k + 5] for k in range(256)]
+
+
+def site(n, host="http://site.com", pool=4):
+    rng, rows = random.Random(n), []
+    navs = ["<nav><ul>" + "".join(f"<li><a>{w}</a></li>" for w in words(rng, 5)) + "</ul></nav>" for _ in range(pool)]
+    boxes = [f'<div class="ad">{" ".join(words(rng, 9))}</div>' for _ in range(pool)]
+    ends = [f"<footer>&copy; {' '.join(words(rng, 6))}</footer>" for _ in range(pool)]
+    for i in range(n):
+        told = [" ".join([*words(rng, 12), f"u{i}{k}"]) for k in range(3)]
+        body = "".join(f"<p>{t}</p>" for t in told)
+        around = f"<article>{body}</article>" if i % 2 else f"<div class='content'>{body}</div>"
+        rows.append((i, f"{host}/{i}", f"<html><body>{rng.choice(navs)}{rng.choice(boxes)}{around}{rng.choice(ends)}</body></html>", "\n\n".join(told)))
+    return rows
+
+
+def test_counts_alone_find_the_text(spark):
+    rows = site(120)
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(4)
+    for names in (False, True):
+        assert {r.page_id: r.text for r in html_extract.extract(pages, names=names).collect()} == {r[0]: r[3] for r in rows}
+    assert html_extract.site_templates(pages).count() > 12
+
+
+def test_counts_alone_on_the_given_pages(spark):
+    data = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(data)
+    whole = html_extract.extract(pages).select("page_id", "text")
+    counted = html_extract.extract(pages, names=False).select("page_id", F.col("text").alias("counted"))
+    # hosts have 40 pages on average; what recurs on fewer than three of them is left to the names
+    same = whole.join(counted, "page_id").agg(F.count_if(F.col("text") == F.col("counted"))).first()[0]
+    assert same > 0.25 * pages.count()
+    assert html_extract.site_templates(pages).where("subtree IS NOT NULL").count() > 500
+
+
+def test_pages_of_odd_tables(spark):
+    long_text = "word " * 60_000
+    rows = [(1, "http://a.org/1", f"<div><p>{long_text}</p></div>"), (None, "http://a.org/1", "<p>x"), (1, "http://a.org/1", "<p>x"), (2, None, "<p>x" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("k").alias(c) for c in ("host", "text", "subtrees", "content", "n")])
+    found = html_extract.extract(pages)
+    assert found.columns == ["page_id", "url", "text"] and sorted(len(r.text) for r in found.collect()) == [1, 1, 3000 + 2 * 2999, len(long_text) - 1]
+    assert html_extract.extract(pages.where("false")).count() == 0
