@@ -1,9 +1,10 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of the
-distinct vote patterns of the whole corpus estimates the posterior probability of a good document, which replaces an
-all-must-pass filter. How each rule votes on good and on bad documents is counted over the labelled documents, where
-there are any; without labels, constraints keep a fault that one rule alone sees from being taken for that rule's noise.
+distinct vote patterns of the whole corpus estimates how often each rule votes bad on good and on bad documents, and with
+that the posterior probability of a good document, which replaces an all-must-pass filter: a rule that often errs costs
+no document by itself. Labelled documents are anchors whose class is known; the class of all others is estimated.
+Without labels, constraints keep a fault that one sharp rule alone sees from being taken for that rule's noise.
 There are at most 3 ** len(RULES) patterns, so the driver's share of the work does not grow with the corpus.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,14 @@ from lexweave.llm.common import frame, map_rows, stage, table
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "top_word")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "top_word", "n_echoes")
 FALSE_ALARM = 0.002
 MISSED = 0.75
-#: Share of bad votes on bad and on good documents before any label, and the votes that this is worth.
+#: Share of bad votes on bad and on good documents before any evidence, and the votes that this is worth.
 PRIOR = (0.125, 0.02)
 PRIOR_VOTES = 10.0
+#: Share of bad votes of a sharp rule on its own kind of bad documents before any evidence.
+OWN_FAULT = 0.9
 _UPPER = [chr(c) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]]
 
 
@@ -36,16 +40,20 @@ def _vote(value: float, good: float, bad: float) -> int:
     return 1 if value <= good else -1 if value > bad else 0
 
 
-#: (name, vote from a dict of the features); ratios are safe for documents without words.
+#: (name, vote from a dict of the features, whether the rule is sharp); ratios are safe for documents without words. A
+#: sharp rule is one that hardly ever votes bad on a good document; the others are hints, whose worth is left to the rounds.
 RULES = (
-    ("symbols", lambda f: _vote(f["n_symbols"] / max(1, f["word_chars"]), 0.02, 0.08)),
-    ("repeats", lambda f: _vote(f["n_repeat_words"] / max(1, f["n_words"]), 0.05, 0.20)),
-    ("lines", lambda f: 0 if f["n_lines"] < 3 else _vote(f["n_dup_lines"] / f["n_lines"], 0.20, 0.45)),
-    ("capitals", lambda f: _vote(f["n_upper"] / max(1, f["word_chars"]), 0.15, 0.40)),
-    ("shouting", lambda f: _vote(f["n_bang"] / max(1, f["n_words"]), 0.10, 0.50)),
-    ("dominant", lambda f: 0 if f["n_words"] < 30 else _vote(f["top_word"] / f["n_words"], 0.20, 0.35)),
-    ("word_size", lambda f: 0 if f["n_words"] < 10 else _vote(abs(f["word_chars"] / f["n_words"] - 6.5), 3.5, 8.0)),
-    ("length", lambda f: 1 if f["n_words"] >= 50 else 0 if f["n_words"] >= 10 else -1),
+    ("symbols", lambda f: _vote(f["n_symbols"] / max(1, f["word_chars"]), 0.02, 0.08), True),
+    ("repeats", lambda f: _vote(f["n_repeat_words"] / max(1, f["n_words"]), 0.05, 0.20), True),
+    ("lines", lambda f: 0 if f["n_lines"] < 3 else _vote(f["n_dup_lines"] / f["n_lines"], 0.20, 0.45), True),
+    ("capitals", lambda f: _vote(f["n_upper"] / max(1, f["word_chars"]), 0.15, 0.40), True),
+    ("shouting", lambda f: _vote(f["n_bang"] / max(1, f["n_words"]), 0.10, 0.50), True),
+    ("dominant", lambda f: 0 if f["n_words"] < 30 else _vote(f["top_word"] / f["n_words"], 0.20, 0.35), True),
+    ("word_size", lambda f: 0 if f["n_words"] < 10 else _vote(abs(f["word_chars"] / f["n_words"] - 6.5), 3.5, 8.0), True),
+    ("length", lambda f: 1 if f["n_words"] >= 50 else 0 if f["n_words"] >= 10 else -1, True),
+    ("echoes", lambda f: 0 if f["n_words"] < 10 else _vote(f["n_echoes"] / f["n_words"], 0.05, 0.15), False),
+    ("short", lambda f: _vote(-f["n_words"], -60, -60), False),
+    ("long_lines", lambda f: _vote(f["n_words"] / max(1, f["n_lines"]), 60, 60), False),
 )
 
 
@@ -87,35 +95,41 @@ def features(text: str | None) -> dict[str, int]:
         "n_upper": sum(map(text.count, _UPPER)),
         "n_bang": text.count("!"),
         "top_word": max(Counter(words).values(), default=0),
+        "n_echoes": sum(map(eq, words, words[1:])),
     }
 
 
 def votes(f: dict[str, int]) -> str:
     """One character a rule: + good, - bad, 0 abstains."""
-    return "".join("-0+"[rule(f) + 1] for _, rule in RULES)
+    return "".join("-0+"[rule(f) + 1] for _, rule, _ in RULES)
 
 
 def fit(patterns: dict[str, int], rounds: int = 100, smooth: float = 1.0) -> dict[str, float]:
-    """Posterior probability of a good document for each vote pattern, from the patterns' counts.
+    """Posterior probability of a good document for each vote pattern, from the patterns' counts alone.
 
     A rule sees one kind of fault only, so seven good votes must not outweigh one bad vote from the start: the first
-    belief is that a document with a bad vote is bad. Each round re-estimates the class shares and each rule's votes
-    by class under three constraints, without which the strongest correlation between rules takes over the classes:
-    a rule votes bad on at most ``FALSE_ALARM`` of the good documents, catches at least its share of the bad ones,
-    and votes good on a bad document at least ``MISSED`` times as often as on a good one.
+    belief is that a document with a bad vote of a sharp rule is bad. Each round re-estimates the class shares and each
+    rule's votes by class. Sharp rules have three constraints, without which the strongest correlation between rules
+    takes over the classes: such a rule votes bad on at most ``FALSE_ALARM`` of the good documents, catches at least its
+    share of the bad ones, and votes good on a bad document at least ``MISSED`` times as often as on a good one. The
+    votes of the other rules are used as they are estimated.
     """
     names = sorted(patterns)
     if not names:
         return {}
     count = np.array([patterns[p] for p in names], float)
     vote = np.array([[" -0+".index(c) - 1 for c in p] for p in names])
-    good = np.where((vote == 0).any(1), 0.02, 0.98)
+    sharp = np.array([s for _, _, s in RULES])
+    good = np.where((vote[:, sharp] == 0).any(1), 0.02, 0.98)
     for _ in range(rounds):
         share = np.clip((count * good).sum() / count.sum(), 0.05, 0.98)
         score = np.full(len(names), math.log(share / (1 - share)))
         for j in range(vote.shape[1]):
             by = np.array([[(count * w)[vote[:, j] == v].sum() + smooth for v in range(3)] for w in (1 - good, good)])
             on_bad, on_good = (x / x.sum() for x in by)
+            if not sharp[j]:
+                score += np.array([math.log(on_good[0] / on_bad[0]), 0.0, math.log(on_good[2] / on_bad[2])])[vote[:, j]]
+                continue
             alarm = math.log(min(on_good[0], FALSE_ALARM) / max(on_bad[0], 1 / vote.shape[1]))
             llr = np.array([alarm, 0.0, math.log(on_good[2] / max(on_bad[2], MISSED * on_good[2], 1e-9))])
             llr[2] = max(llr[2], 0.0)
@@ -127,39 +141,52 @@ def fit(patterns: dict[str, int], rounds: int = 100, smooth: float = 1.0) -> dic
     return {p: float(round(g, 6)) for p, g in zip(names, good, strict=True)}
 
 
-def fit_labelled(patterns: dict[str, int], labelled: dict[str, tuple[int, int]], rounds: int = 100) -> dict[str, float]:
-    """The posteriors as in ``fit``, with each rule's votes by class counted over labelled documents.
+def fit_anchored(patterns: dict[str, int], labelled: dict[str, tuple[int, int]], rounds: int = 100) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """Posteriors by pattern as in ``fit``, and for each rule its share of bad votes on bad and on good documents.
 
-    ``labelled`` has the bad and the good labelled documents of each pattern. Only the class shares of the corpus are
-    estimated in rounds; the votes are used as they were counted, so a rule that is noisy on good documents rejects none
-    of them on its own. Abstaining is no evidence.
+    Bad documents are of several kinds, one for each sharp rule and one for whatever no sharp rule sees, as a document
+    with one fault has good votes of all other rules. ``labelled`` has the bad and the good labelled documents of each
+    pattern, which are among those of ``patterns``. Their class is known, but not the kind of a bad one. In each round all
+    others get a class and a kind by the shares of votes so far, and all together give the next shares. The first ones
+    say that a kind is what its rule votes bad on. An abstaining rule is no evidence.
     """
     names = sorted(patterns)
     if not names:
-        return {}
-    count = np.array([patterns[p] for p in names], float)
+        return {}, {}
     vote = np.array([["-0+".index(c) for c in p] for p in names])
-    known = np.array([["-0+".index(c) for c in p] for p in labelled])
-    mass = np.array(list(labelled.values()), float)
-    evidence = np.zeros(len(names))
-    for j in range(vote.shape[1]):
-        by = np.array([[mass[known[:, j] == v, c].sum() for v in (0, 2)] for c in (0, 1)]) + PRIOR_VOTES * np.array([[b, 1 - b] for b in PRIOR])
-        on_bad, on_good = by / by.sum(1, keepdims=True)
-        evidence += np.array([math.log(on_good[0] / on_bad[0]), 0.0, math.log(on_good[1] / on_bad[1])])[vote[:, j]]
-    share = mass[:, 1].sum() / mass.sum()
+    is_bad, is_good = ((vote == v).astype(float) for v in (0, 2))
+    known = np.array([labelled.get(p, (0, 0)) for p in names], float)
+    open_count = np.maximum(np.array([patterns[p] for p in names], float) - known.sum(1), 0)
+    sharp = [j for j, (_, _, s) in enumerate(RULES) if s]
+    prior = np.full((len(sharp) + 2, len(RULES)), PRIOR[0])  # the good class first, then the kinds
+    prior[0] = PRIOR[1]
+    prior[range(1, len(sharp) + 1), sharp] = OWN_FAULT
+    share, alarm, good = np.array([0.5, *[0.5 / (len(sharp) + 1)] * (len(sharp) + 1)]), prior, np.zeros(len(names))
     for _ in range(rounds):
-        good = 1 / (1 + np.exp(-np.clip(evidence + math.log(share / (1 - share)), -500, 500)))
-        before, share = share, ((count * good).sum() + 1) / (count.sum() + 2)
-        if abs(share - before) < 1e-12:
+        score = np.log(share) + is_bad @ np.log(alarm).T + is_good @ np.log(1 - alarm).T
+        belief = np.exp(score - score.max(1, keepdims=True))
+        kinds = belief[:, 1:] / belief[:, 1:].sum(1, keepdims=True)
+        belief /= belief.sum(1, keepdims=True)
+        mass = open_count[:, None] * belief
+        mass[:, 0] += known[:, 1]
+        mass[:, 1:] += known[:, :1] * kinds
+        share = (mass.sum(0) + 1) / (mass.sum() + mass.shape[1])
+        bad, fine = mass.T @ is_bad, mass.T @ is_good
+        alarm = (bad + PRIOR_VOTES * prior) / (bad + fine + PRIOR_VOTES)
+        done, good = np.abs(belief[:, 0] - good).max() < 1e-9, belief[:, 0]
+        if done:
             break
-    return {p: float(round(g, 6)) for p, g in zip(names, good, strict=True)}
+    on_bad = (bad[1:].sum(0) + PRIOR_VOTES * PRIOR[0]) / ((bad + fine)[1:].sum(0) + PRIOR_VOTES)
+    shares = {rule: (float(on_bad[j]), float(alarm[0, j])) for j, (rule, _, _) in enumerate(RULES)}
+    return {p: float(round(g, 6)) for p, g in zip(names, good, strict=True)}, shares
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Per document row: doc_id, digest (of the text), the features, votes, posterior, base_failed, kept.
 
-    ``labels`` (doc_id, quality 0 or 1) trains the rules if it covers good and bad documents; a doc_id with both is left
-    out. All labels count: only sums by pattern reach the driver.
+    ``labels`` (doc_id, quality 0 or 1) anchor the rounds if they cover good and bad documents (``fit_anchored``), else
+    the counts of patterns alone decide (``fit``); a doc_id with both labels has none. All labels count: only sums by
+    pattern reach the driver.
 
     A null or empty text has no words and fails the base rule. Equal rows stay apart; other columns are ignored.
     """
@@ -179,7 +206,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         counts = measured.join(sure, "doc_id").groupBy("votes").agg(F.sum((F.col("lo") == 0).cast("long")).alias("bad"), F.sum((F.col("lo") == 1).cast("long")).alias("good"))
         known = {r["votes"]: (r["bad"], r["good"]) for r in counts.collect()}
     both = all(sum(n[c] for n in known.values()) for c in (0, 1))
-    fitted = spark.createDataFrame(list((fit_labelled(seen, known) if both else fit(seen)).items()), "votes string, posterior double")
+    fitted = spark.createDataFrame(list((fit_anchored(seen, known)[0] if both else fit(seen)).items()), "votes string, posterior double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.join(F.broadcast(fitted), "votes", "left").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 

@@ -191,7 +191,7 @@ def test_one_bad_vote_of_a_noisy_rule_rejects_nothing(spark):
     docs = docs_of(spark, clean + code + junk)
     labels = spark.createDataFrame([(i, int(i < 100), 0) for i in range(112) if i % 2 or 95 <= i < 98], "doc_id long, quality int, toxic int")
     found = {r.doc_id: r for r in quality_rules.score(docs, labels).collect()}
-    assert {found[i].votes.count("-") for i in range(95, 100)} == {1}
+    assert {found[i].votes[:8].count("-") for i in range(95, 100)} == {1}  # of the sharp rules
     assert all(found[i].kept for i in range(100)) and not any(found[i].kept for i in range(100, 112))
 
 
@@ -574,3 +574,50 @@ def test_pages_of_odd_tables(spark):
     found = html_extract.extract(pages)
     assert found.columns == ["page_id", "url", "text"] and sorted(len(r.text) for r in found.collect()) == [1, 1, 3000 + 2 * 2999, len(long_text) - 1]
     assert html_extract.extract(pages.where("false")).count() == 0
+
+
+def test_rounds_learn_what_the_rules_are_worth(spark):
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    # anchored by half of the labels, held against the other half
+    found = quality_rules.score(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed").select("kept", "votes", "quality").collect()
+    good = sum(r.quality for r in found)
+    right = lambda keep: (sum(r.quality for r in found if keep(r)) / sum(map(keep, found)), sum(r.quality for r in found if keep(r)) / good)
+    precision, recall = right(lambda r: r.kept)
+    assert precision > 0.999 and recall > 0.999 and len(found) > 1500
+    # all rules must pass: every fifth good document is lost
+    assert right(lambda r: "-" not in r.votes)[1] < 0.85
+
+
+def test_rounds_move_the_shares_of_votes():
+    good, bad, noisy = "+" * 11, "-" + "+" * 10, "+" * 9 + "-+"
+    patterns, labelled = {good: 700, noisy: 200, bad: 100}, {good: (0, 3), bad: (2, 0)}
+    post, shares = quality_rules.fit_anchored(patterns, labelled)
+    _, first = quality_rules.fit_anchored(patterns, labelled, rounds=1)
+    assert post[good] > 0.9 and post[noisy] > 0.5 > post[bad]
+    assert shares["symbols"][1] < 0.01 < 0.9 < shares["symbols"][0] and 0.15 < shares["short"][1] < 0.25
+    assert abs(first["short"][1] - shares["short"][1]) > 0.01
+    assert quality_rules.fit_anchored({}, {}) == ({}, {})
+
+
+def slow_base(text):
+    text = text or ""
+    found = re.findall(r"[^ \t-\r]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^ \t-\r]", x)]
+    windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+    hit = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+    repeats = len(hit)
+    return len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeats, len(found) < 10 or 100 * repeats > 20 * len(found)
+
+
+def test_base_columns_equal_brute_force(spark):
+    rng = random.Random(51)
+    pieces = ["a", "b", "c|", "#d", " ", "  ", "\n", "\n\n", "\t", "\x0b", "é", "日本", "\x85", "\xa0", "<x>", "\r\n", "one two three four five ", "one two three four five "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 60))) for _ in range(120)] + ["word " * 400, " lone"]
+    docs = docs_of(spark, texts).select("*", *[F.lit(3).alias(c) for c in ("votes", "posterior", "kept", "n_words", "digest")])
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    found = {r.doc_id: tuple(r[c] for c in base) for r in quality_rules.score(docs).collect()}
+    for i, t in [*enumerate(texts), (900, None), (901, "")]:
+        assert found[i] == slow_base(t), repr(t)
