@@ -32,6 +32,8 @@ PRIOR = (0.125, 0.02)
 PRIOR_VOTES = 10.0
 #: Share of bad votes of a sharp rule on its own kind of bad documents before any evidence.
 OWN_FAULT = 0.9
+#: Labelled documents that the belief in a pattern is worth.
+BELIEF = 2.0
 _UPPER = [chr(c) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]]
 
 
@@ -149,6 +151,9 @@ def fit_anchored(patterns: dict[str, int], labelled: dict[str, tuple[int, int]],
     pattern, which are among those of ``patterns``. Their class is known, but not the kind of a bad one. In each round all
     others get a class and a kind by the shares of votes so far, and all together give the next shares. The first ones
     say that a kind is what its rule votes bad on. An abstaining rule is no evidence.
+
+    Votes are taken for independent within a kind, which good documents of an odd make (code, say) are not. So what the
+    rounds believe of a pattern counts as much as ``BELIEF`` labelled documents, beside those that have this pattern.
     """
     names = sorted(patterns)
     if not names:
@@ -164,7 +169,7 @@ def fit_anchored(patterns: dict[str, int], labelled: dict[str, tuple[int, int]],
     share, alarm, good = np.array([0.5, *[0.5 / (len(sharp) + 1)] * (len(sharp) + 1)]), prior, np.zeros(len(names))
     for _ in range(rounds):
         score = np.log(share) + is_bad @ np.log(alarm).T + is_good @ np.log(1 - alarm).T
-        belief = np.exp(score - score.max(1, keepdims=True))
+        belief = np.exp(score - score.max(1, keepdims=True)) + 1e-300
         kinds = belief[:, 1:] / belief[:, 1:].sum(1, keepdims=True)
         belief /= belief.sum(1, keepdims=True)
         mass = open_count[:, None] * belief
@@ -178,7 +183,8 @@ def fit_anchored(patterns: dict[str, int], labelled: dict[str, tuple[int, int]],
             break
     on_bad = (bad[1:].sum(0) + PRIOR_VOTES * PRIOR[0]) / ((bad + fine)[1:].sum(0) + PRIOR_VOTES)
     shares = {rule: (float(on_bad[j]), float(alarm[0, j])) for j, (rule, _, _) in enumerate(RULES)}
-    return {p: float(round(g, 6)) for p, g in zip(names, good, strict=True)}, shares
+    posterior = (known[:, 1] + BELIEF * good) / (known.sum(1) + BELIEF)
+    return {p: float(round(g, 6)) for p, g in zip(names, posterior, strict=True)}, shares
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
