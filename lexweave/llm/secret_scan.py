@@ -10,9 +10,10 @@ All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import spans as S
@@ -29,8 +30,10 @@ SHORT = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Expected number of documents, chosen by a hash of their text, whose ordinary runs train the model.
 TRAIN_DOCS = 400
-#: Added to each pair's count: unseen pairs stay possible, and a model without samples is uniform.
+#: Added to each character's count: unseen ones stay possible, and a model without samples is uniform.
 SMOOTH = 0.5
+#: Pairs of a first character that the frequency of the second one is worth.
+BACKOFF = 16.0
 #: Least mean log-likelihood ratio of a character pair, in nats.
 MIN_RATIO = 0.5
 #: Least sum of them, in nats: that of the shortest run at the least mean. It decides how short a piece can be.
@@ -46,13 +49,18 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
+def _characters(value: Column) -> Column:
+    return F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+
+
 def _pairs(value: Column) -> Column:
-    """The character pairs of a string of the alphabet."""
-    return F.when(F.length(value) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(value, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """The character pairs of a string."""
+    but_one = lambda c, first: F.slice(c, F.lit(first), F.greatest(F.size(c) - 1, F.lit(0)))
+    return S.let(_characters(F.coalesce(value, F.lit(""))), lambda c: F.zip_with(but_one(c, 1), but_one(c, 2), lambda x, y: F.concat(x, y)))
 
 
-def fit(spark: SparkSession, random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """(pair, ratio) for every pair of the alphabet, from two tables of strings (column ``value``).
+def fit(random: DataFrame, ordinary: DataFrame) -> list[float]:
+    """The log-likelihood ratio of each pair of the alphabet, row by row, from two tables of strings (column ``value``).
 
     Only counts by pair reach the driver: at most the alphabet's size squared for each model.
     """
@@ -60,13 +68,28 @@ def fit(spark: SparkSession, random: DataFrame, ordinary: DataFrame) -> DataFram
     for sample in (random, ordinary):
         seen = sample.select(F.explode(_pairs(F.col("value"))).alias("pair")).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").agg(F.count("*").alias("n"))
         counts.append({r["pair"]: r["n"] for r in seen.collect()})
+    singles = [{b: sum(c.get(a + b, 0) for a in ALPHABET) + SMOOTH for b in ALPHABET} for c in counts]
     rows = []
     for a in ALPHABET:
-        sums = [sum(c.get(a + b, 0) for b in ALPHABET) + SMOOTH * len(ALPHABET) for c in counts]
+        after = [sum(c.get(a + b, 0) for b in ALPHABET) for c in counts]
         for b in ALPHABET:
-            p, q = ((c.get(a + b, 0) + SMOOTH) / s for c, s in zip(counts, sums, strict=True))
-            rows.append((a + b, math.log(p / q)))
-    return spark.createDataFrame(rows, "pair string, ratio double")
+            # a pair leans on the frequency of its second character, the more so the rarer its first one
+            p, q = ((c.get(a + b, 0) + BACKOFF * one[b] / sum(one.values())) / (n + BACKOFF) for c, one, n in zip(counts, singles, after, strict=True))
+            rows.append(math.log(p / q))
+    return rows
+
+
+def _score(value: Column, ratios: Column) -> Column:
+    """(sum, n) of the ratios of a string's pairs: one walk over its characters, whatever its length."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def step(acc: Column, c: Column) -> Column:
+        place = F.instr(F.lit(ALPHABET), c) - 1
+        counts = (acc["last"] >= 0) & (place >= 0)
+        ratio = F.get(ratios, acc["last"] * len(ALPHABET) + place)
+        return F.struct(place.alias("last"), (acc["sum"] + F.when(counts, ratio).otherwise(0.0)).alias("sum"), (acc["n"] + F.when(counts, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(_characters(value), start, step, lambda acc: F.struct(acc["sum"].alias("sum"), acc["n"].alias("n")))
 
 
 def _cut(run: Column, base: Column) -> Column:
@@ -83,19 +106,31 @@ def _cut(run: Column, base: Column) -> Column:
     return F.aggregate(inner, first, add, end)
 
 
-def random_spans(runs: DataFrame, model: DataFrame, min_ratio: float = MIN_RATIO, min_sum: float = MIN_SUM) -> DataFrame:
-    """From (row_id, run): (row_id, span) of the runs, or of stretches of their pieces, that look random."""
-    enough = (F.col("sum") >= min_sum) & (F.col("sum") >= min_ratio * F.col("n"))
-    score = lambda df, *keys: df.select(*keys, F.explode_outer(_pairs(F.col("value"))).alias("pair")).join(F.broadcast(model), "pair", "left").groupBy(*keys).agg(F.coalesce(F.sum("ratio"), F.lit(0.0)).alias("sum"), F.count("ratio").alias("n"))
-    whole = stage(score(runs.withColumn("value", F.col("run.value")), "row_id", "run").withColumn("random", enough), "runs")
-    cut = F.filter(S.find(F.col("run.value"), f"[^{SEPARATOR[1:]}+", 3, F.lit(True)), lambda s: s["end"] > s["start"])
-    pieces = whole.where(~F.col("random")).select("row_id", "run", F.posexplode(cut).alias("k", "p")).select("row_id", "run", "k", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.col("p.value").alias("value"))
-    # A piece of one character has no pair and breaks no stretch.
-    judged = score(pieces, "row_id", "run", "k", "start", "end", "value").withColumn("good", F.col("sum") >= min_ratio * F.col("n"))
-    order = Window.partitionBy("row_id", "run").orderBy("k")
-    stretches = judged.withColumn("island", F.sum((~F.col("good")).cast("int")).over(order)).where("good AND n > 0").groupBy("row_id", "run", "island").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("start").alias("lo"), F.max("end").alias("hi")).where(enough)
-    part = F.struct((F.col("run.start") + F.col("lo")).alias("start"), F.col("run.kind").alias("kind"), (F.col("run.start") + F.col("hi")).alias("end"), F.substring(F.col("run.value"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("value")).cast(S.SPAN)
-    return whole.where("random").select("row_id", F.col("run").alias("span")).unionByName(stretches.select("row_id", part.alias("span")))
+_STRETCH = "struct<sum:double,n:int,lo:bigint,hi:bigint>"
+
+
+def _stretches(pieces: Column, min_ratio: float, enough) -> Column:
+    """The stretches of good pieces with no bad one between, if there is enough of them. A piece of one character has no
+    pair and breaks no stretch."""
+    none, nothing = F.lit(None).cast(_STRETCH), F.array().cast(f"array<{_STRETCH}>")
+    flushed = lambda acc: F.when(enough(acc["open"]), F.array_append(acc["out"], acc["open"])).otherwise(acc["out"])
+
+    def step(acc: Column, p: Column) -> Column:
+        joined = F.struct((F.coalesce(acc["open"]["sum"], F.lit(0.0)) + p["score"]["sum"]).alias("sum"), (F.coalesce(acc["open"]["n"], F.lit(0)) + p["score"]["n"]).alias("n"), F.coalesce(acc["open"]["lo"], p["start"]).alias("lo"), p["end"].alias("hi")).cast(_STRETCH)
+        bad = p["score"]["sum"] < min_ratio * p["score"]["n"]
+        return F.struct(F.when(bad, none).when(p["score"]["n"] == 0, acc["open"]).otherwise(joined).alias("open"), F.when(bad, flushed(acc)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pieces, F.struct(none.alias("open"), nothing.alias("out")), step, flushed)
+
+
+def random_spans(runs: Column, ratios: Column, min_ratio: float = MIN_RATIO, min_sum: float = MIN_SUM) -> Column:
+    """Of an array of runs, those that look random; of the others, the stretches of their pieces that do."""
+    enough = lambda s: F.coalesce((s["sum"] >= min_sum) & (s["sum"] >= min_ratio * s["n"]), F.lit(False))
+    cut = lambda value: F.filter(S.find(value, f"[^{SEPARATOR[1:]}+", 3, F.lit(True)), lambda s: s["end"] > s["start"])
+    scored = lambda value: F.transform(cut(value), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), _score(p["value"], ratios).alias("score")))
+    part = lambda run, s: F.struct((run["start"] + s["lo"]).alias("start"), run["kind"].alias("kind"), (run["start"] + s["hi"]).alias("end"), F.substring(run["value"], (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")).alias("value")).cast(S.SPAN)
+    parts = lambda run: F.transform(_stretches(scored(run["value"]), min_ratio, enough), lambda s: part(run, s))
+    return F.flatten(F.transform(runs, lambda run: F.when(enough(_score(run["value"], ratios)), F.array(run)).otherwise(parts(run))))
 
 
 def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_RATIO) -> DataFrame:
@@ -104,22 +139,18 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_R
     A null or empty text has no spans. Equal rows stay apart; other columns are ignored. Without any random or ordinary
     sample the models are uniform and add nothing.
     """
-    spark = docs.sparkSession
     text = F.col("text")
     long_runs = S.find(text, RUN, 3, text.rlike(RUN))
     found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("sample"), F.unhex(F.sha2("text", 256)).alias("digest"), base_spans(text).alias("base"), long_runs.alias("runs"))
-    found = stage(found.withColumn("runs", F.flatten(F.transform("runs", lambda r: _cut(r, F.col("base"))))).withColumn("row_id", F.monotonically_increasing_id()), "secrets")
+    found = stage(found.withColumn("runs", F.flatten(F.transform("runs", lambda r: _cut(r, F.col("base"))))), "secrets")
 
     total = found.agg(F.count("*")).first()[0]
     chosen = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(17)), F.lit(max(1, total // train_docs))) == 0
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = docs.where(chosen).select(F.explode(F.regexp_extract_all(bare, F.lit(SHORT), F.lit(0))).alias("value"))
     random = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"))
-    model = fit(spark, random, ordinary)
-
-    runs = found.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("run"))
-    flagged = random_spans(runs, model, min_ratio).groupBy("row_id").agg(F.collect_list("span").alias("random"))
-    return found.join(flagged, "row_id", "left").select("doc_id", "digest", "base", F.array_sort(F.concat("base", F.coalesce("random", S.no_spans()))).alias("spans"))
+    ratios = F.from_json(F.lit(json.dumps(fit(random, ordinary))), "array<double>")
+    return found.select("doc_id", "digest", "base", F.when(F.size("runs") > 0, F.array_sort(F.concat("base", random_spans(F.col("runs"), ratios, min_ratio)))).otherwise(F.col("base")).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:

@@ -621,3 +621,38 @@ def test_base_columns_equal_brute_force(spark):
     found = {r.doc_id: tuple(r[c] for c in base) for r in quality_rules.score(docs).collect()}
     for i, t in [*enumerate(texts), (900, None), (901, "")]:
         assert found[i] == slow_base(t), repr(t)
+
+
+def random_token(rng, n):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+
+
+def identifier(rng, least):
+    names = ["user", "account", "list", "item", "value", "request", "handler", "config", "index", "table", "render", "update", "session", "parse"]
+    out = rng.choice(names)
+    while len(out) < least:
+        out += rng.choice(("_", "-", "/", "")) + rng.choice(names)
+    return out
+
+
+def test_held_out_secrets_are_told_from_identifiers(spark):
+    rng = random.Random(61)
+    train = [f"call {' '.join(identifier(rng, 4) for _ in range(20))} token = {random_token(rng, 40)}" for _ in range(60)]
+    secrets = [f"see {random_token(rng, rng.randrange(24, 60))} here" for _ in range(100)]
+    plain = [f"see {identifier(rng, rng.randrange(24, 60))} here" for _ in range(100)]
+    rows = secret_scan.scan(docs_of(spark, train + secrets + plain, [])).collect()
+    found = {r.doc_id for r in rows if any(s.kind == 3 for s in r.spans)}
+    recall = sum(i in found for i in range(60, 160)) / 100
+    alarms = sum(i in found for i in range(160, 260)) / 100
+    assert recall >= 0.95 and alarms <= 0.02
+
+
+def test_a_run_of_a_million_characters(spark):
+    rng = random.Random(62)
+    train = [f"call {' '.join(identifier(rng, 4) for _ in range(20))} token = {random_token(rng, 40)}" for _ in range(60)]
+    long_run, long_name, pieces = random_token(rng, 1_000_000), identifier(rng, 1_000_000), "_".join(identifier(rng, 30) for _ in range(20_000))
+    began = time.time()
+    rows = secret_scan.scan(docs_of(spark, [*train, f"x {long_run} y", long_name, pieces], [])).collect()
+    assert time.time() - began < 120
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in rows}
+    assert (found[60][0], found[60][-1]) == ((2, 1_000_002), (2, 1_000_002)) and not found[61] and not found[62]
