@@ -47,5 +47,5 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_a_row_for_each_input_row(spark, name):
     rows = registry.QUERIES[name](spark, DATA).count()
-    documents, pages = (table(spark, DATA, t).count() for t in ("documents", "pages"))
-    assert rows == {"op1_language_id": documents + pages, "op7_html_extract": pages}.get(name, documents)
+    documents, pages, vectors = (table(spark, DATA, t).count() for t in ("documents", "pages", "embeddings"))
+    assert rows == {"op1_language_id": documents + pages, "op7_html_extract": pages, "op13_centroids": vectors}.get(name, documents)
