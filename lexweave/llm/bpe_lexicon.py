@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import frame, make_room, map_rows, stage, table
 
 MAX_WORDS = 20_000
-#: Words in a worker's table of words met before; about 300 bytes each.
-CACHE_WORDS = 800_000
+#: Words in a worker's table of words met before, about 350 bytes each, and in a task's counter before it is emptied.
+CACHE_WORDS, COUNTED_WORDS = 400_000, 400_000
 #: Ids are packed in so many bits.
 _BITS = 20
 _MASK = (1 << _BITS) - 1
@@ -286,7 +286,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, max_words: int = MAX_WORDS)
         for b in batches:
             for text in b.column("text").to_pylist():
                 seen.update(model.words(model.normal(text or "")))
-                if len(seen) > CACHE_WORDS // 2:
+                if len(seen) > COUNTED_WORDS:
                     yield emit()
         yield emit()
 

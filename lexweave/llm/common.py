@@ -53,9 +53,15 @@ def spent(*staged: DataFrame) -> None:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches that stay small although texts can be long."""
+    """``mapInArrow`` with batches that stay small although texts can be long. Workers run many tasks: each gives back the
+    memory that Arrow has kept."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def make_room(cache: dict, most: int) -> None:
