@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import frame, make_room, map_rows, stage, table
+from lexweave.llm.common import frame, keeps_cache, make_room, map_rows, stage, table
 
 MAX_WORDS = 20_000
 #: Words in a worker's table of words met before, about 350 bytes each, and in a task's counter before it is emptied.
@@ -268,6 +268,9 @@ def encoder_for(tokenizer: str, lexicon: str) -> Encoder:
     return Encoder(bpe(tokenizer), Lexicon(lexicon))
 
 
+keeps_cache(__name__, encoder_for.cache_clear)
+
+
 def frequent_words(docs: DataFrame, tokenizer: str, max_words: int = MAX_WORDS) -> list[str]:
     """The most frequent pieces of all texts, at most ``max_words``; pieces of one frequency class go together."""
 

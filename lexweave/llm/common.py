@@ -52,12 +52,30 @@ def spent(*staged: DataFrame) -> None:
             fs.delete_dir(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(module: str, clear: Callable[[], None]) -> None:
+    """Tells how to empty what a module keeps in a worker from task to task."""
+    _caches[module] = clear
+
+
+def drop_other_caches(module: str) -> None:
+    """Empties what other modules keep: a worker that has moved on to another operator needs the memory."""
+    for owner, clear in _caches.items():
+        if owner != module:
+            clear()
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches that stay small although texts can be long. Workers run many tasks: each gives back the
     memory that Arrow has kept."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
+    module = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_other_caches(module)
         yield from fn(batches)
         pa.default_memory_pool().release_unused()
 
