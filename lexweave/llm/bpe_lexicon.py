@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import frame, keeps_cache, make_room, map_rows, stage, table
+from lexweave.llm.common import frame, keeps_cache, map_rows, stage, table
 
 MAX_WORDS = 20_000
-#: Words in a worker's table of words met before, about 350 bytes each, and in a task's counter before it is emptied.
-CACHE_WORDS, COUNTED_WORDS = 400_000, 400_000
+#: Words in a worker's tables of words met before, about 350 bytes each, and in a task's counter before it is emptied.
+CACHE_WORDS, COUNTED_WORDS = 440_000, 400_000
 #: Ids are packed in so many bits.
 _BITS = 20
 _MASK = (1 << _BITS) - 1
@@ -233,21 +233,29 @@ def place_lexicon(blob: bytes) -> str:
 
 
 class Encoder(dict):
-    """word -> (ids joined by spaces, tokens joined by spaces), filled as words are met and bounded."""
+    """word -> (ids joined by spaces, tokens joined by spaces), filled as words are met and bounded.
+
+    A full table becomes the old one, out of which words that are met again come back; the rest goes with the next turn.
+    """
 
     def __init__(self, model: Bpe, lexicon: Lexicon) -> None:
         super().__init__()
         self.model, self.lexicon = model, lexicon
+        self.old: dict[str, tuple[str, str]] = {}
 
     def piece_ids(self, piece: str) -> list[int]:
         ids = self.lexicon.get(piece)
         return self.model.merge(piece) if ids is None else ids
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        make_room(self, CACHE_WORDS)
-        ids = [i for piece in self.model.pieces(word) for i in self.piece_ids(piece)]
-        entry = (" ".join(map(str, ids)), self.model.decode(ids))
+        entry = self.old.get(word)
+        if entry is None:
+            ids = [i for piece in self.model.pieces(word) for i in self.piece_ids(piece)]
+            entry = (" ".join(map(str, ids)), self.model.decode(ids))
         if len(word) <= 64:
+            if len(self) >= CACHE_WORDS // 2:
+                self.old = dict(self)
+                self.clear()
             self[word] = entry
         return entry
 
