@@ -35,6 +35,7 @@ CACHE_WORDS, COUNTED_WORDS = 440_000, 400_000
 _BITS = 20
 _MASK = (1 << _BITS) - 1
 _NONE = 1 << 60
+_LATIN_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -72,9 +73,12 @@ class Bpe:
         self.spaces = regex.compile(f"[{_SPACE}]+")
 
     def normal(self, text: str) -> str:
-        """NFC, then lower case character by character (a final sigma is not special)."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return text
+        """NFC, then lower case character by character (a final sigma is not special). Latin texts have nothing to compose
+        and are lowered as bytes."""
+        try:
+            return text.encode("latin-1").translate(_LATIN_LOWER).decode("latin-1")
+        except UnicodeEncodeError:
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def words(self, text: str) -> list[str]:
         """What white space separates in a normalised text."""
@@ -262,7 +266,8 @@ class Encoder(dict):
     def __call__(self, text: str | None) -> tuple[str, str]:
         """The ids and the decoded text, each joined by spaces."""
         model, entries = self.model, []
-        for part in model.special.split(text or "") if model.special else [text or ""]:
+        text = text or ""
+        for part in model.special.split(text) if any(a in text for a in model.added) else (text,):
             if part in model.added:
                 entries.append((str(model.added[part]), part))
             elif part:
