@@ -272,7 +272,8 @@ class Encoder(dict):
                 entries.append((str(model.added[part]), part))
             elif part:
                 entries.extend(map(self.__getitem__, model.words(model.normal(part))))
-        return " ".join([e[0] for e in entries]), " ".join([e[1] for e in entries])
+        ids, tokens = zip(*entries, strict=True) if entries else ((), ())
+        return " ".join(ids), " ".join(tokens)
 
 
 @lru_cache(maxsize=1)
