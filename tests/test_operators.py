@@ -295,3 +295,31 @@ def test_mmr_by_vectors_equals_the_loop(spark):
                         alike[i, j] = round(max(0.0, min(1.0, float(np.dot(a[3], b[3])) / float(np.linalg.norm(a[3]) * np.linalg.norm(b[3])))), 9)
             wanted += [(q, own[i][1], own[i][2], n) for n, i in enumerate(retrieval.mmr_order([r[2] for r in own], alike, top_k))]
         assert sorted(map(tuple, retrieval.mmr_by_vectors(candidates, "q", "k", top_k).collect())) == sorted(wanted)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_duplicate_pairs_equal_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = [f"слово{chr(1072 + i)}" for i in range(14)]
+    rows = []
+    for document in (1, 2, None):
+        for seq in range(40):
+            words = rng.sample(vocabulary, rng.randint(0, 12))
+            quote = rng.choice([" ".join(words), None]) if not words else " ".join(words)
+            rows.append((document, seq, rng.choice(["RED", "YELLOW", "LOW", "GREEN", None]), quote, rng.choice([None, "", "п. 3", "3.1", "раздел 3.1"]), rng.choice([None, 1, 2])))
+    frame = spark.createDataFrame(rows, "document long, seq long, severity string, quote string, clause string, page long")
+    found = {(r["document"], r["a"], r["b"]): r["overlap"] for r in dedup.duplicate_pairs(frame).collect()}
+
+    wanted = {}
+    for d, a, severity, quote, clause, page in rows:
+        for e, b, other_severity, other, other_clause, other_page in rows:
+            if d is None or d != e or a >= b or not {severity, other_severity} <= {"RED", "YELLOW", "LOW"}:
+                continue
+            x, y = (set((t or "").split()) for t in (quote, other))
+            share = len(x & y) / min(len(x), len(y)) if x and y else 0.0
+            key, other_key = ((c or "").removeprefix("п. ").removeprefix("раздел ") or None for c in (clause, other_clause))
+            one_page = page is None or other_page is None or page == other_page
+            if share >= 0.7 or (key and key == other_key and (one_page if "." in key else share >= 0.35)):
+                wanted[d, a, b] = round(share, 4)
+    assert found == wanted
+    assert wanted
