@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators import context, dedup, evaluate, findings, quotes, reports, retrieval, structure, worklists
+from lexweave.operators import context, dedup, drafts, evaluate, findings, quotes, reports, retrieval, structure, worklists
 from lexweave.plans.rollups import table
 from lexweave.plans.session import shared_dir, staged
 from lexweave.streaming import feeds
@@ -233,20 +233,29 @@ def events_stream_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_chain(spark: SparkSession, d: str) -> DataFrame:
-    """The whole review: lines, segments, chunks, ranks, keyword findings, merged findings, then counts, score and light
-    of each document with a finding. Each rule looks at its best chunks of the corpus."""
-    parts = structure.segments(structure.lines_of(numbered_pages(spark, d)))
+    """The whole review: lines, segments, chunks, lexical and vector ranks and their fusion, keyword findings, quotes
+    verified in their chunk and its pages, merged findings, then counts, score and light of each document with a finding,
+    and how many of its findings have a verified quote. Each rule looks at its best chunks of the corpus. A document
+    without text, and one that no rule finds anything in, has no row."""
+    laid = numbered_pages(spark, d)
+    parts = structure.segments(structure.lines_of(laid))
     chunks = staged(structure.chunks(parts).withColumn("key", F.concat_ws("/", "document", "chunk")), "chunks")
-    ranks = retrieval.lexical_ranks(table(spark, d, "benchmark"), chunks.select("key", F.col("content").alias("text")), "item_id", "key", retrieval.candidates_for(retrieval.TOP_K))
-    contexts = ranks.join(chunks, "key").select("document", F.col("item_id").alias("rule"), "chunk", "content", F.col("rank_value").alias("score"), F.lit(True).alias("fts_hit"))
+    told = chunks.select("key", drafts.embedding_text(F.col("title"), F.col("content")).alias("text"))
+    asked, depth = table(spark, d, "benchmark"), retrieval.candidates_for(retrieval.TOP_K)
+    lexical = retrieval.lexical_ranks(asked, told, "item_id", "key", depth)
+    vectors = retrieval.vector_ranks(retrieval.hash_embeddings(asked, "item_id", "text"), retrieval.hash_embeddings(told, "key", "text"), "item_id", "key", depth)
+    ranks = retrieval.fused(vectors, lexical, "item_id", "key", depth)
+    contexts = ranks.join(chunks, "key").select("document", F.col("item_id").alias("rule"), "chunk", "content", "score", "fts_hit")
     rules = _rules(spark, d)
     found = evaluate.guarded(evaluate.keyword_findings(staged(contexts, "contexts"), rules))
-    placed = found.join(chunks.select("document", "chunk", "page", F.col("title").alias("place")), ["document", "chunk"]).join(rules.select("rule", "title"), "rule")
+    placed = found.join(chunks.select("document", "chunk", "page", "page_end", F.col("title").alias("place"), F.col("content").alias("fragment")), ["document", "chunk"]).join(rules.select("rule", "title"), "rule")
+    judged = quotes.verify_quotes(quotes.with_page_texts(placed.withColumn("quote_id", F.col("rule")), laid))
     clause = worklists.clause_label(F.lit(None).cast("string"), F.col("place"))
-    drafts = placed.select("document", F.col("rule").alias("seq"), "severity", "title", F.lit(None).cast("string").alias("reference"), "comment", "proposal", "page", clause.alias("clause"), "quote", F.array().cast("array<string>").alias("boxes"), F.lit(True).alias("verified"), "confidence")
-    merged = dedup.merged_findings(drafts).withColumn("rule", F.col("seq")).withColumn("review_status", F.lit("NEW"))
+    each = judged.select("document", F.col("rule").alias("seq"), "severity", "title", F.lit(None).cast("string").alias("reference"), "comment", "proposal", "page", clause.alias("clause"), "quote", F.array().cast("array<string>").alias("boxes"), "verified", "confidence")
+    merged = staged(dedup.merged_findings(each).withColumn("rule", F.col("seq")).withColumn("review_status", F.lit("NEW")), "merged")
     counts = findings.severity_counts(merged, "document")
-    return counts.select("document", "critical", "warning", "low", "rules_checked", findings.score().alias("score"), findings.light().alias("light"))
+    stand = merged.groupBy("document").agg(F.count_if("verified").alias("verified"))
+    return counts.join(stand, "document").select("document", "critical", "warning", "low", "rules_checked", "verified", findings.score().alias("score"), findings.light().alias("light"))
 
 
 QUERIES = {f.__name__: f for f in (

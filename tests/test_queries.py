@@ -6,9 +6,10 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lexweave.operators import quotes
+from lexweave.operators import quotes, retrieval
 from lexweave.plans import registry
 from tests.oracle import connect, same
 
@@ -75,3 +76,36 @@ def test_review_chain_of_two_documents(spark, tmp_path):
     assert [r.document for r in found] == [1]
     # both rules quote one sentence, so their findings are one
     assert (found[0].critical, found[0].warning, found[0].light) == (1, 0, "RED") and found[0].score > 0
+    assert found[0].verified == 1
+
+
+def test_review_chain_ranks_as_a_slow_fusion(spark):
+    """Chunks under keys of text, ranked by both ways and fused, against loops over all pairs."""
+    rng = random.Random(5)
+    words = [f"слово{i}" for i in range(40)]
+    items = [(i, " ".join(rng.sample(words, 4))) for i in range(6)]
+    chunks = [(f"{i // 3}/{i % 3}", " ".join(rng.choices(words, k=rng.choice([0, 5, 9])))) for i in range(30)]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    told = spark.createDataFrame(chunks, "key string, text string")
+    lexical = retrieval.lexical_ranks(asked, told, "item_id", "key", 12)
+    vectors = retrieval.vector_ranks(retrieval.hash_embeddings(asked, "item_id", "text"), retrieval.hash_embeddings(told, "key", "text"), "item_id", "key", 12)
+    found = {(r.item_id, r.key): (round(r.score, 9), r.fts_hit) for r in retrieval.fused(vectors, lexical, "item_id", "key", 12).collect()}
+
+    wanted = {}
+    for item, text in items:
+        stems = {w[:6] for w in text.split()}
+        hits = sorted((-n, k) for k, t in chunks if (n := sum(w[:6] in stems for w in t.split())))[:12]
+        q = retrieval.hash_vector(text).astype(float)
+        near = []
+        for k, t in chunks:
+            v = retrieval.hash_vector(t).astype(float)
+            if t and (gap := 1 - q @ v / np.linalg.norm(q) / np.linalg.norm(v)) <= retrieval.CUTOFF:
+                near.append((gap, k))
+        scores = {}
+        for ranked in (hits, sorted(near)[:12]):
+            for place, (_, k) in enumerate(ranked, 1):
+                scores[k] = scores.get(k, 0.0) + 1 / (60 + place)
+        best = sorted(scores, key=lambda k: (-scores[k], k))[:12]
+        wanted |= {(item, k): (round(scores[k], 9), k in {k for _, k in hits}) for k in best}
+    assert found == wanted
+    assert len(wanted) > 30
