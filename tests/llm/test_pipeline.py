@@ -49,3 +49,18 @@ def test_a_row_for_each_input_row(spark, name):
     rows = registry.QUERIES[name](spark, DATA).count()
     documents, pages, vectors = (table(spark, DATA, t).count() for t in ("documents", "pages", "embeddings"))
     assert rows == {"op1_language_id": documents + pages, "op7_html_extract": pages, "op13_centroids": vectors}.get(name, documents)
+
+
+@needs_data
+def test_masking_and_an_empty_benchmark_drop_nothing(spark, tmp_path):
+    clean = "eight words that hold no secret at all"
+    rows = [(1, None), (2, ""), (3, clean), (3, clean), (4, f"{clean} password=abcdefgh1")]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS long) AS n_chars"), "odd")
+    table(spark, DATA, "benchmark").where("false").write.parquet(str(tmp_path / "benchmark.parquet"))
+    steps = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r[0], r[1] or "")
+    kept = steps["decontaminated"](spark, docs, str(tmp_path))
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=key) == sorted(rows, key=key)
+    masked = sorted(map(tuple, steps["secrets"](spark, docs, str(tmp_path)).select("doc_id", "text").collect()), key=key)
+    assert masked[:4] == sorted(rows[:4], key=key)
+    assert masked[4][0] == 4 and masked[4][1].startswith(clean) and "abcdefgh1" not in masked[4][1]
