@@ -34,6 +34,15 @@ def test_dismissed_findings_are_no_risk(spark):
     assert (r.critical, r.unseen, r.rules_checked) == (0, 0, 1)
 
 
+@pytest.mark.parametrize("turned", [1, -1])
+def test_findings_with_one_line_number_are_numbered_by_status(spark, turned):
+    rows = [(1, 4, None, "YELLOW", s, 25, t) for s in ("CONFIRMED", "NEW", "RESOLVED") for t in ("a", "b")][::turned]
+    found = spark.createDataFrame(rows, "document long, line long, rule long, severity string, review_status string, page long, text string").coalesce(1)
+    rules = spark.createDataFrame([(7, 1)], "rule long, sort_order long")
+    numbered = findings.renumbered(found, rules).orderBy("sort_index").collect()
+    assert [(r.review_status, r.text) for r in numbered] == sorted((s, t) for *_, s, _, t in rows)
+
+
 def test_mmr_prefers_a_different_item():
     alike = np.array([[1.0, 0.95, 0.1], [0.95, 1.0, 0.1], [0.1, 0.1, 1.0]])
     assert retrieval.mmr_order([0.9, 0.85, 0.5], alike, 2) == [0, 2]
