@@ -80,7 +80,7 @@ def is_noise(sentence: Column) -> Column:
     """Fewer than 55 letters in 100 characters other than white space, or none at all."""
     solid = F.regexp_count(sentence, F.lit(r"(?U)\S"))
     letters = F.regexp_count(sentence, F.lit(r"\p{L}"))
-    return (solid == 0) | (letters < 0.55 * solid)
+    return (solid == 0) | (100 * letters < 55 * solid)  # whole numbers, as 0.55 * 20 is more than 11
 
 
 def is_heading_quote(quote: Column) -> Column:

@@ -151,6 +151,13 @@ def test_marker_patterns_compile(spark):
     assert {"unconditional_bg_claim", "unreasonable_penalty"} <= hits
 
 
+def test_noise_at_55_letters_in_100(spark):
+    texts = ["a" * n + "1 " * (m - n) for m in range(1, 201) for n in {55 * m // 100 + d for d in (-1, 0, 1)} if 0 <= n <= m]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("noise", evaluate.is_noise(F.col("text"))).collect()
+    wanted = {t: 100 * t.count("a") < 55 * len(t.replace(" ", "")) for t in texts}
+    assert {r.text: r.noise for r in found} == wanted
+
+
 def test_guards(spark):
     rows = [("RED", "Раздел 5", "c", 0.9), ("RED", "A sentence that is long enough.", "нарушений: риск не выявлен", 0.9), ("RED", "A sentence that is long enough.", "c", 0.1), ("RED", "A sentence that is long enough.", "c", 0.9), ("GREEN", None, "c", None)]
     df = spark.createDataFrame(rows, "severity string, quote string, comment string, confidence double")
