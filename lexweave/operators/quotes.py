@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ FUZZY = 82
 BACK, INSIDE = 600, 64
 #: Phrases of one automaton, about 1 kB each.
 PHRASES = 20_000
+#: Bits of one row that compares stretches of a text, 8 kB.
+LANES = 1 << 16
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 LEXEME = rf"[+\-−]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*[%‰]?|{_LETTER}+|(?U)[^\p{{L}}\p{{N}}_\s]|_"
 #: A word that a hyphen cuts at the end of a line, if the rest is in lower case; a negation with a hyphen is no such word.
@@ -146,27 +149,42 @@ class Likeness:
     """The longest common subsequence of a quote with stretches of a text, by bit rows, and their Indel likeness."""
 
     def __init__(self, quote: str, text: str) -> None:
-        self.quote, self.text, self.full = quote, text, (1 << len(quote)) - 1
-        self.where: dict[str, int] = {}
-        for i, c in enumerate(quote):
-            self.where[c] = self.where.get(c, 0) | 1 << i
+        self.quote = quote
+        codes = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = np.unique(codes(quote))
+        self.letters = {chr(c): i for i, c in enumerate(signs.tolist())}
+        told = np.minimum(np.searchsorted(signs, codes(text)), len(signs) - 1)
+        #: The text as numbers of the quote's characters; another character is one more than there are.
+        self.codes = np.where(signs[told] == codes(text), told, len(signs)).astype(np.uint8 if len(signs) < 256 else np.uint32)
 
     def common(self, start: int, end: int) -> int:
-        row, get = self.full, self.where.get
-        for c in self.text[start:end]:
-            hit = row & get(c, 0)
-            row = ((row + hit) | (row - hit)) & self.full
-        return len(self.quote) - row.bit_count()
+        return int(self.commons(np.array([start]), np.array([end]))[0])
+
+    def commons(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``common`` of many stretches at once: each has a lane of the row, with a free bit for what an addition carries."""
+        width = int((ends - starts).max()) // 8 + 1
+        at = starts[:, None] + np.arange(8 * width)
+        inside = at < ends[:, None]
+        codes = np.where(inside, self.codes[np.minimum(at, len(self.codes) - 1)], len(self.letters)).reshape(-1).astype(self.codes.dtype)
+        packed = np.packbits(codes == np.arange(len(self.letters), dtype=codes.dtype)[:, None], axis=1, bitorder="little")
+        where = [int.from_bytes(r.tobytes(), "little") for r in packed]
+        row = full = int.from_bytes(np.packbits(inside.reshape(-1), bitorder="little").tobytes(), "little")
+        for c in self.quote:
+            hit = row & where[self.letters[c]]
+            row = ((row + hit) | (row - hit)) & full
+        left = np.frombuffer(row.to_bytes(width * len(starts), "little"), np.uint8).reshape(len(starts), width)
+        return ends - starts - np.bitwise_count(left).sum(axis=1, dtype=np.int64)
 
 
 def seeded(quote: str, text: str, size: int = 6) -> int | None:
-    """Where the quote would begin by most of the shingles that it shares with the text."""
-    where: dict[str, list[int]] = {}
-    for i in range(0, len(quote) - size + 1):
-        where.setdefault(quote[i : i + size], []).append(i)
+    """Where the quote would begin by most of its pieces that stand in the text."""
     votes: dict[int, int] = {}
-    for at in range(0, len(text) - size + 1):
-        for i in where.get(text[at : at + size], ())[:4]:
+    for i in range(0, len(quote) - size + 1, size):
+        piece, at = quote[i : i + size], -1
+        for _ in range(4):
+            at = text.find(piece, at + 1)
+            if at < 0:
+                break
             votes[(at - i) // 8] = votes.get((at - i) // 8, 0) + 1
     return max(votes, key=lambda k: (votes[k], -k)) * 8 if votes else None
 
@@ -177,9 +195,10 @@ def best_stretch(quote: str, text: str, least: float = FUZZY) -> tuple[int, int,
     Stretches have the quote's length, or less where the text begins or ends; if the text is the shorter one, it is
     compared with stretches of the quote and found as a whole. The score is the Indel likeness, 0 to 100.
 
-    Moving a stretch by one place changes the common subsequence by one at most, so that stretches too near to a bad one
-    are passed over. Where most shared shingles point is tried first, which bars what can't be better. The score is
-    the best of all stretches nonetheless, and for a given quote the time is linear in the text.
+    Where most pieces of the quote point is tried first, which raises the bar. Stretches that begin near each other are
+    then compared as one longer stretch, which has as much in common as any of them; those that reach the bar are parted
+    and compared again, down to single ones. The score is the best of all stretches, and for a given quote the time is
+    linear in the text.
     """
     if not quote or not text:
         return None
@@ -198,25 +217,46 @@ def best_stretch(quote: str, text: str, least: float = FUZZY) -> tuple[int, int,
         left, right = common * best[1], best[0] * (m + size)
         return left > right or left == right and at < best[2]
 
-    guess = seeded(quote, text)
-    order = [] if guess is None else [x for x in range(guess, guess + 8) if -m < x < n]
-    known: dict[int, int] = {}
-    for at in order:
+    def try_at(common: int, at: int) -> None:
+        nonlocal best
         start, end = bounds(at)
-        known[at] = common = likeness.common(start, end)
         if reaches(common, end - start, at):
             best = (common, m + end - start, at)
-    room, at = 1, 1 - m  # how much the stretch at ``at`` can have in common at most
-    while at < n:
-        start, end = bounds(at)
-        if reaches(min(room, end - start), end - start, at):
-            room = known.get(at)
-            if room is None:
-                room = likeness.common(start, end)
-            if reaches(room, end - start, at):
-                best = (room, m + end - start, at)
-        room += 1
-        at += 1
+
+    guess = seeded(quote, text)
+    near = np.array([] if guess is None else [at for at in range(guess, guess + 8) if -m < at < n], np.int64)
+    if len(near):
+        for common, at in zip(likeness.commons(np.maximum(near, 0), np.minimum(near + m, n)).tolist(), near.tolist(), strict=True):
+            try_at(common, at)
+
+    # blocks of ``step`` stretches that begin at ``low`` and after; the shortest one of a block asks for least
+    step = max(1, m // 2)
+    low = np.arange(1 - m, n, step, dtype=np.int64)
+    while len(low):
+        high = np.minimum(low + step, n) - 1
+        starts, ends = np.maximum(low, 0), np.minimum(high + m, n)
+        kept = []
+        lanes = max(1, LANES // (m + step))
+        for k in range(0, len(low), lanes):
+            a, z, lo, hi = (x[k : k + lanes] for x in (starts, ends, low, high))
+            shortest = np.minimum(np.minimum(lo + m, n) - np.maximum(lo, 0), np.minimum(hi + m, n) - np.maximum(hi, 0))
+            most = np.minimum(z - a, m)
+            bar = (least / 200 if best is None else best[0] / best[1]) * (m + shortest) - 1e-6
+            open_ = np.nonzero(most >= bar)[0]
+            if not len(open_):
+                continue
+            common = likeness.commons(a[open_], z[open_])
+            taken = common >= bar[open_]
+            if step == 1:
+                for c, at in zip(common[taken].tolist(), lo[open_][taken].tolist(), strict=True):
+                    try_at(c, at)
+            else:
+                kept.append(lo[open_][taken])
+        if step == 1 or not kept:
+            break
+        inner = max(1, step // 6)
+        parts = np.concatenate(kept)[:, None] + np.arange(0, step, inner)
+        low, step = np.unique(parts[parts < n]), inner
     if best is None:
         return None
     start, end = bounds(best[2])

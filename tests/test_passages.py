@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.operators import asof, located, passages, quotes
 from lexweave.plans import passages as plans
 from lexweave.plans import registry
+from tests.oracle import same
 
 TOKENS = "document long, position long, page long, token string, norm string, starts_line boolean, boxes array<struct<line:int,x0:double,y0:double,x1:double,y1:double>>, words array<string>"
 
@@ -75,6 +78,22 @@ def test_a_long_page_costs_in_proportion():
     assert counted[1] < 8 * counted[0] + 100 and counted[1] < 0.2 * len(" ".join(words))
 
 
+def test_many_stretches_are_compared_in_one_row(monkeypatch):
+    rng, rows = random.Random(4), []
+    monkeypatch.setattr(quotes, "LANES", 4096)
+    commons = quotes.Likeness.commons
+    monkeypatch.setattr(quotes.Likeness, "commons", lambda self, a, z: rows.append(int((z - a).sum())) or commons(self, a, z))
+    text = "".join(rng.choice("abcdefgh ") for _ in range(6_000))
+    assert quotes.best_stretch("".join(rng.choice("abcdefgh ") for _ in range(200)), text) is None
+    # a row each for what begins near, none for each place; all of a page in a few times its length
+    assert len(rows) < 20 and sum(rows) < 8 * len(text)
+    quote = text[4000:4100] + "+" + text[4101:4200]
+    assert quotes.best_stretch(quote, text) == (4000, 4200, 99.5)
+    starts, ends = np.array([0, 3, 7]), np.array([0, 9, 11])
+    likeness = quotes.Likeness("xyя𝄞y", "ax𝄞yyяxzyyzя")
+    assert likeness.commons(starts, ends).tolist() == [common("xyя𝄞y", "ax𝄞yyяxzyyzя"[a:z]) for a, z in zip(starts, ends, strict=True)]
+
+
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_last_mark_equals_brute_force(spark, block):
     rng = random.Random(block)
@@ -181,6 +200,19 @@ def slow_hint(tokens, quote, page, page_end):
     return None
 
 
+def test_phrases_of_items_with_line_breaks(spark, tmp_path):
+    docs = [(1, "\n".join(["one two three four", "some alpha beta gamma here", "and alpha beta", "x", "y", "alpha beta gamma"]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "alpha\nbeta gamma delta"), (2, " \tthree  four"), (3, "alone"), (4, ""), (5, None), (6, "some\n\nalpha zeta")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = registry.QUERIES["phrase_passages"](spark, str(tmp_path))
+    assert {(r.item_id, r.hit): r.text for r in found.collect()}.keys() >= {(1, 0), (1, 1), (6, 0)}
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    same(found, db, registry.ORACLE_SQL["phrase_passages"])
+
+
 def test_hints_equal_a_slow_search(spark):
     rng = random.Random(12)
     contracts = {d: contract(rng, 5) for d in range(5)}
