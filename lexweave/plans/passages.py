@@ -22,9 +22,10 @@ def _boxes(boxes: Column) -> Column:
 
 
 def phrase_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The first two words of each benchmark item as a phrase."""
+    """The first two words of each benchmark item as a phrase; words end at any white space, line breaks too."""
+    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
     tokens = contract_tokens(spark, d)
-    phrases = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
+    phrases = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 2), " ").alias("text"))
     hits = staged(passages.found_phrases(tokens, phrases, "item_id"), "hits")
     spans = hits.withColumn("quote_id", F.struct("item_id", "hit"))
     return passages.described(spans, tokens).select("document", "item_id", F.col("hit").cast("long").alias("hit"), "total", "page", "clause", "text", "snippet", _boxes(F.col("boxes")).alias("boxes"))
@@ -60,7 +61,7 @@ _L = "l AS (SELECT document, line, text AS x FROM laid),"
 ORACLE_SQL = {
     "phrase_passages": rf"""WITH {evidence.LAID}, {_L}{drafted.TOKENS},
       y AS (SELECT document, string_agg(norm, ' ' ORDER BY position) AS hay, count(*) AS n_tokens FROM t GROUP BY document),
-      a AS (SELECT item_id, array_to_string(list_filter(list_transform(list_filter(string_split(text, ' ')[1:2], lambda v: v <> ''), lambda v: {drafted.norm("v")}), lambda v: v <> ''), ' ') AS needle FROM benchmark),
+      a AS (SELECT item_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(text, '[\s\p{{Z}}\x85\x0b]+'), lambda v: v <> '')[1:2], lambda v: {drafted.norm("v")}), lambda v: v <> ''), ' ') AS needle FROM benchmark),
       c1 AS (SELECT document, item_id, hay, n_tokens, length(needle) AS size, string_split(hay, needle) AS parts FROM y JOIN a ON needle <> '' AND contains(hay, needle)),
       h1 AS (SELECT *, unnest(range(least(len(parts) - 1, 20))) AS hit FROM c1),
       h2 AS (SELECT *, CAST(list_sum(list_transform(parts[1 : hit + 1], lambda p: length(p))) + hit * size AS BIGINT) AS spot FROM h1),
