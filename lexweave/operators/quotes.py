@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexweave.operators.asof import last_mark
+from lexweave.operators.columns import let
 
 # Characters stripped from tokens, the fuzzy threshold, lexemes of strict comparison, and negations.
 STRIP = "«»\"'“”„()[]{}.,;:!?…"
@@ -27,8 +28,10 @@ LEXEME = rf"[+\-−]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*[%‰]?|{_LETTER}+|(?U)[^\p{{L
 #: A word that a hyphen cuts at the end of a line, if the rest is in lower case; a negation with a hyphen is no such word.
 WRAPPED = rf"((?<!{_LETTER})(?!(?iu:без)[-\u00AD]){_LETTER}{{3,}}+)[-\u00AD][ \t]*\r?\n[ \t]*(?=\p{{Ll}})"
 SOFT_HYPHEN = rf"(?<={_LETTER})\u00AD(?={_LETTER})"
-NO_NEGATION = r"(?<!\n(?iu:не|ни|без))"
-NO_SIGN = r"(?<!\n[-+−±<>≤≥=])"
+#: Without such a place the joining of words across lines changes nothing.
+WRAPS = r"[-\u00AD][ \t]*\r?\n[ \t]*\p{Ll}"
+NEGATION = r"\n(?iu:не|ни|без)"
+SIGN = r"\n[-+−±<>≤≥=]"
 
 
 def normal_token(token: Column) -> Column:
@@ -114,27 +117,35 @@ def lexeme_line(text: Column, join_wraps: bool) -> Column:
     With ``join_wraps`` a word that a hyphen cuts at the end of a line is one lexeme.
     """
     whole = F.regexp_replace(text, WRAPPED, "$1") if join_wraps else text
-    lexemes = F.regexp_extract_all(F.regexp_replace(whole, SOFT_HYPHEN, ""), F.lit(LEXEME), F.lit(0))
-    return F.concat(F.lit("\n"), F.array_join(lexemes, "\n"), F.lit("\n"))
+    solid = F.when(F.contains(text, F.lit("\u00ad")), F.regexp_replace(whole, SOFT_HYPHEN, "")).otherwise(whole)
+    return F.concat(F.lit("\n"), F.array_join(F.regexp_extract_all(solid, F.lit(LEXEME), F.lit(0)), "\n"), F.lit("\n"))
 
 
 def stands_in(quote: Column, text: Column) -> Column:
-    """Whether a line of lexemes stands in another one, with no negation before it and no sign before its number."""
-    unsigned = F.when(quote.rlike(r"^\n[\p{Nd}²³¹⁰⁴-⁹₀-₉]"), F.lit(NO_SIGN)).otherwise(F.lit(""))
-    return F.rlike(text, F.concat(F.lit(NO_NEGATION), unsigned, F.lit("\\Q"), quote, F.lit("\\E")))
+    """Whether a line of lexemes stands in another one, with no negation before it and no sign before its number.
+
+    The pattern begins with the quote itself, so that only places where it stands are looked at any further.
+    """
+    own = F.concat(F.lit("\\Q"), quote, F.lit("\\E"))
+    bare = lambda before: F.concat(F.lit(f"(?<!{before}"), own, F.lit(")"))
+    unsigned = F.when(quote.rlike(r"^\n[\p{Nd}²³¹⁰⁴-⁹₀-₉]"), bare(SIGN)).otherwise(F.lit(""))
+    return F.rlike(text, F.concat(own, bare(NEGATION), unsigned))
 
 
 def verify_quotes(quotes: DataFrame) -> DataFrame:
     """Rows (quote, fragment, page_text) with ``verified``: the quote stands word for word in both other texts.
 
     It may do so as it is written or with words joined across lines, in both texts alike. A missing part verifies
-    nothing, nor does a quote without a letter or a digit.
+    nothing, nor does a quote without a letter or a digit. The shorter text is looked at first and the longer one only
+    if the quote stands in it, equal texts once, and joined words only where a hyphen ends a line.
     """
-    names = ("quote", "fragment", "page_text")
-    ways = [{c: lexeme_line(F.col(c), join_wraps) for c in names} for join_wraps in (False, True)]
-    found = [stands_in(w["quote"], w["fragment"]) & stands_in(w["quote"], w["page_text"]) for w in ways]
+    fragment, page = F.col("fragment"), F.col("page_text")
+    both = F.when(F.octet_length(page) < F.octet_length(fragment), F.array(page, fragment)).otherwise(F.array(fragment, page))
+    texts = F.when(fragment == page, F.array(fragment)).otherwise(both)
+    stands = lambda join_wraps: let(lexeme_line(F.col("quote"), join_wraps), lambda q: F.forall(texts, lambda t: stands_in(q, lexeme_line(t, join_wraps))))
+    wraps = F.col("quote").rlike(WRAPS) | fragment.rlike(WRAPS) | page.rlike(WRAPS)
     says = F.regexp_replace("quote", SOFT_HYPHEN, "").rlike(r"[\p{L}\p{N}]")
-    return quotes.withColumn("verified", F.coalesce(says & (found[0] | found[1]), F.lit(False)))
+    return quotes.withColumn("verified", F.coalesce(says & (stands(False) | (wraps & stands(True))), F.lit(False)))
 
 
 def with_page_texts(quotes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -154,6 +154,26 @@ def test_strict_quotes(spark, quote, text, verified):
     assert found == {1: verified} | dict.fromkeys(range(2, 7), False)
 
 
+def test_a_text_is_cut_into_lexemes_once_for_a_quote(spark):
+    """Equal texts are one, and a way of reading that changes nothing is not taken: two cuts a way, of quote and text."""
+    texts = ["не цена", "цена", "Цена 7%", "-7 %", "+7", "7", "сро-\nка цена", "срока", "со\u00adгласие", "согласие", "без-\nопасно", "\\E a.b", "a.b", "_x", "𝔸 b", "b"]
+    rows = [(f"{i}/{j}/{k}", q, t, t if k else f"{t} {q}") for i, q in enumerate(texts) for j, t in enumerate([*texts, " ".join(texts), "\n".join(texts)]) for k in (0, 1)]
+    asked = spark.createDataFrame(rows, "id string, quote string, fragment string, page_text string")
+
+    def plain(row, join_wraps):
+        line = lambda c: quotes.lexeme_line(F.col(c), join_wraps)
+        before = F.when(line("quote").rlike(r"^\n[\p{Nd}²³¹⁰⁴-⁹₀-₉]"), F.lit(f"(?<!{quotes.SIGN})")).otherwise(F.lit(""))
+        return F.rlike(line(row), F.concat(F.lit(f"(?<!{quotes.NEGATION})"), before, F.lit("\\Q"), line("quote"), F.lit("\\E")))
+
+    says = F.regexp_replace("quote", quotes.SOFT_HYPHEN, "").rlike(r"[\p{L}\p{N}]")
+    wanted = says & ((plain("fragment", False) & plain("page_text", False)) | (plain("fragment", True) & plain("page_text", True)))
+    found = quotes.verify_quotes(asked.withColumn("wanted", wanted))
+    rows = found.select("id", "verified", "wanted").collect()
+    assert [r.id for r in rows if r.verified != r.wanted] == [] and len({r.verified for r in rows}) == 2
+    plan = quotes.verify_quotes(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4
+
+
 def test_quotes_over_pages(spark):
     pages = spark.createDataFrame([(1, 1, "Срок испол-"), (1, 2, "нения договора"), (1, 3, "иное")], "document long, page long, text string")
     asked = spark.createDataFrame([(1, 1, 1, 2, "исполнения договора"), (1, 2, 2, 3, "исполнения договора"), (1, 3, 9, 9, "иное")], "document long, quote_id long, page long, page_end long, quote string")
