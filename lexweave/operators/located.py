@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.operators.quotes import normal_token, normal_tokens
+from lexweave.operators.quotes import has_norm, normal_token, normal_tokens
 from lexweave.operators.structure import cleaned
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -17,12 +17,13 @@ def laid_out_words(scanned: DataFrame) -> DataFrame:
     ``scanned`` has document, page, seq (reading order), word, block, line and a box. Words are cleaned, empty ones go,
     boxes are rounded to one decimal, and lines are numbered from 0 in the order in which a page first shows them.
     """
-    solid = scanned.withColumn("word", F.btrim(cleaned(F.col("word")), F.lit(" \n\r"))).where("word <> ''")
+    # all that follows is within a document, so its words are shuffled once
+    solid = scanned.withColumn("word", F.btrim(cleaned(F.col("word")), F.lit(" \n\r"))).where("word <> ''").repartition("document")
     page = Window.partitionBy("document", "page")
     seen = F.min("seq").over(Window.partitionBy("document", "page", "block", "line"))
-    numbered = solid.withColumn("seen", seen).withColumn("at", F.row_number().over(page.orderBy("seq")) - 1)
-    line = F.dense_rank().over(page.orderBy("seen")) - 1
-    return numbered.select("document", "page", "at", "word", line.alias("line"), *[F.round(c, 1).alias(c) for c in BOX])
+    lined = solid.withColumn("seen", seen).withColumn("line", F.dense_rank().over(page.orderBy("seen")) - 1)
+    at = F.row_number().over(page.orderBy("seq")) - 1
+    return lined.select("document", "page", at.alias("at"), "word", "line", *[F.round(c, 1).alias(c) for c in BOX])
 
 
 def page_texts(words: DataFrame) -> DataFrame:
@@ -52,15 +53,15 @@ def positioned_tokens(words: DataFrame) -> DataFrame:
         F.lead("word").over(page).alias("rest"),
         (~F.lag("line").over(page).eqNullSafe(F.col("line"))).alias("starts_line"),
     )
-    alike = Window.partitionBy("document", "page", "cut")
-    run = seen.withColumn("run", F.col("at") - F.row_number().over(alike.orderBy("at")))
-    nth = F.row_number().over(Window.partitionBy("document", "page", "cut", "run").orderBy("at"))
-    heads = run.withColumn("head", F.col("cut") & (nth % 2 == 1))
+    # of a run of cut words every second one starts no token: they are counted from the last word that is not cut
+    whole = F.max(F.when(~F.col("cut"), F.col("at"))).over(page.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nth = F.col("at") - F.coalesce(whole, F.lit(-1))
+    heads = seen.withColumn("head", F.col("cut") & (nth % 2 == 1))
     taken = heads.withColumn("taken", F.coalesce(F.lag("head").over(page), F.lit(False))).where("NOT taken")
     token = F.when(F.col("head"), F.concat(F.substring("word", F.lit(1), F.length("word") - 1), "rest")).otherwise(F.col("word"))
     boxes = F.when(F.col("head"), F.array("own", "next")).otherwise(F.array("own"))
     written = F.when(F.col("head"), F.array("word", "rest")).otherwise(F.array("word"))
-    tokens = taken.select("document", "page", "at", token.alias("token"), "starts_line", boxes.alias("boxes"), written.alias("words")).withColumn("norm", normal_token(F.col("token"))).where("norm <> ''")
+    tokens = taken.select("document", "page", "at", token.alias("token"), "starts_line", boxes.alias("boxes"), written.alias("words")).where(has_norm(F.col("token"))).withColumn("norm", normal_token(F.col("token")))
     position = F.row_number().over(Window.partitionBy("document").orderBy("page", "at")) - 1
     return tokens.select("document", position.alias("position"), "page", "token", "norm", "starts_line", "boxes", "words")
 

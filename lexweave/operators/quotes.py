@@ -36,12 +36,18 @@ SIGN = r"\n[-+−±<>≤≥=]"
 
 def normal_token(token: Column) -> Column:
     """Lower case, ё as е, no quotes or punctuation around, dashes as hyphens."""
-    bare = F.btrim(F.translate(F.lower(token), "ё", "е"), F.lit(STRIP))
-    return F.translate(bare, "–—", "--")
+    swap = lambda text, old, new: F.replace(text, F.lit(old), F.lit(new))
+    bare = F.btrim(swap(F.lower(token), "ё", "е"), F.lit(STRIP))
+    return swap(swap(bare, "–", "-"), "—", "-")
+
+
+def has_norm(token: Column) -> Column:
+    """Whether a token has a normal form, without making it: neither case nor letters change what is left to strip."""
+    return F.btrim(token, F.lit(STRIP)) != ""
 
 
 def normal_tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != ""), normal_token), lambda t: t != "")
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), has_norm), normal_token)
 
 
 @lru_cache(maxsize=4)

@@ -45,7 +45,7 @@ def page_scan_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def word_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokens = located.positioned_tokens(_words(spark, d))
-    return tokens.select("document", F.col("position").cast("long").alias("position"), "page", "norm", "starts_line", F.size("boxes").cast("long").alias("n_words"))
+    return tokens.select("document", F.col("position").cast("long").alias("position"), "page", "norm", "starts_line", F.size("words").cast("long").alias("n_words"))
 
 
 def quote_boxes(spark: SparkSession, d: str) -> DataFrame:

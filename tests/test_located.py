@@ -67,6 +67,16 @@ def test_words_texts_and_tokens_equal_brute_force(spark):
     assert located.positioned_tokens(words.where("false")).count() == 0
 
 
+def test_words_are_shuffled_once_and_normalised_once(spark):
+    """A scan's words become tokens by one exchange, and a token's normal form is made once, not to be tested first."""
+    rows = [(1, 1, k, 1.0, 2.0, 3.0, 4.0, w, 0, k // 3) for k, w in enumerate(["Ёлка–Ель", "«»", "СУП-", "plier", "a-", "b-", "c", "—", "ΌΣΟΣ", "…İ…"])]
+    tokens = located.positioned_tokens(located.laid_out_words(spark.createDataFrame(rows, SCAN)))
+    assert [r.norm for r in tokens.orderBy("position").collect()] == ["елка-ель", "supplier".replace("sup", "суп"), "a-", "b-", "c", "-", "όσος", "i\u0307"]
+    plan = tokens._jdf.queryExecution().sparkPlan().toString()
+    executed = tokens._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1 and executed.count("Exchange hashpartitioning") == 1
+
+
 def test_quotes_stand_where_all_their_tokens_do(spark):
     text = [["Pay", "the", "sup-"], ["plier", "the", "fee."], ["The", "fee", "is", "due"]]
     rows = [(1, 1 + k // 2, 10 * k + i, 10.0 * i, 10.0 * k, 10.0 * i + 8, 10.0 * k + 8, w, 0, k) for k, line in enumerate(text) for i, w in enumerate(line)]
