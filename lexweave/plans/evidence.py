@@ -212,7 +212,7 @@ def clause_of_quotes(spark: SparkSession, d: str) -> DataFrame:
     lines = structure.lines_of(numbered_pages(spark, d))
     # positions number the tokens of a document through all its lines; a token without a normal form has none
     written = F.transform(F.filter(F.split("text", r"\s+"), lambda t: t != ""), lambda t, i: F.struct(t.alias("token"), (i == 0).alias("starts_line")))
-    solid = lines.withColumn("tokens", F.filter(written, lambda t: quotes.normal_token(t["token"]) != ""))
+    solid = lines.withColumn("tokens", F.filter(written, lambda t: quotes.has_norm(t["token"])))
     before = Window.partitionBy("document").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, -1)
     placed = solid.withColumn("base", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)).cast("long"))
     tokens = placed.select("document", "base", F.posexplode("tokens").alias("at", "t")).select("document", (F.col("base") + F.col("at")).alias("position"), "t.token", "t.starts_line")
