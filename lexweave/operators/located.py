@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.operators.columns import let
 from lexweave.operators.quotes import has_norm, normal_token, normal_tokens
 from lexweave.operators.structure import cleaned
 
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def laid_out_words(scanned: DataFrame) -> DataFrame:
+def laid_out_words(scanned: DataFrame, digits: int | None = 1) -> DataFrame:
     """(document, page, at, word, line, x0, y0, x1, y1) from the words of a page scan.
 
     ``scanned`` has document, page, seq (reading order), word, block, line and a box. Words are cleaned, empty ones go,
-    boxes are rounded to one decimal, and lines are numbered from 0 in the order in which a page first shows them.
+    boxes are rounded to one decimal (None: not yet), and lines are numbered from 0 in the order in which a page first shows them.
     """
     # all that follows is within a document, so its words are shuffled once
     solid = scanned.withColumn("word", F.btrim(cleaned(F.col("word")), F.lit(" \n\r"))).where("word <> ''").repartition("document")
@@ -23,7 +24,7 @@ def laid_out_words(scanned: DataFrame) -> DataFrame:
     seen = F.min("seq").over(Window.partitionBy("document", "page", "block", "line"))
     lined = solid.withColumn("seen", seen).withColumn("line", F.dense_rank().over(page.orderBy("seen")) - 1)
     at = F.row_number().over(page.orderBy("seq")) - 1
-    return lined.select("document", "page", at.alias("at"), "word", "line", *[F.round(c, 1).alias(c) for c in BOX])
+    return lined.select("document", "page", at.alias("at"), "word", "line", *[c if digits is None else F.round(c, digits).alias(c) for c in BOX])
 
 
 def page_texts(words: DataFrame) -> DataFrame:
@@ -66,23 +67,45 @@ def positioned_tokens(words: DataFrame) -> DataFrame:
     return tokens.select("document", position.alias("position"), "page", "token", "norm", "starts_line", "boxes", "words")
 
 
+def _found(tokens: DataFrame, quotes: DataFrame, *more: str) -> DataFrame:
+    """(document, quote_id, first, last, span): the first place where all tokens of a quote stand one after the other, with
+    ``more`` columns of its tokens. The tokens of a document are one row, and so are its quotes: none is repeated for another."""
+    line = lambda norms: F.concat(F.lit("\n"), F.array_join(norms, "\n"), F.lit("\n"))
+    in_order = F.sort_array(F.collect_list(F.struct("position", "norm", *more)))
+    hay = tokens.groupBy("document").agg(in_order.alias("t")).withColumn("hay", line(F.transform("t", lambda t: t["norm"])))
+    asked = quotes.select("document", "quote_id", normal_tokens(F.col("quote")).alias("q")).where(F.size("q") > 0)
+    whole = asked.groupBy("document").agg(F.collect_list(F.struct("quote_id", F.size("q").alias("n"), line(F.col("q")).alias("q"))).alias("asked"))
+    stands = lambda q: F.struct(q["quote_id"].alias("quote_id"), q["n"].alias("n"), F.left("hay", F.instr("hay", q["q"])).alias("before"))
+    # a line break stands before each token
+    first = lambda f: F.length(f["before"]) - F.length(F.replace(f["before"], F.lit("\n"), F.lit(""))) - 1
+    span = lambda f, k: F.struct(f["quote_id"].alias("quote_id"), k.alias("first"), (k + f["n"] - 1).alias("last"), F.slice("t", k + 1, f["n"]).alias("span"))
+    found = F.transform(F.filter(F.transform("asked", stands), lambda f: f["before"] != ""), lambda f: let(first(f), lambda k: span(f, k)))
+    return hay.join(whole.hint("shuffle_hash"), "document").select("document", F.explode(found).alias("f")).select("document", "f.*")
+
+
 def located_quotes(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
     """(document, quote_id, first, last): the first positions where all tokens of a quote stand one after the other.
 
     Quotes without a token and quotes that stand nowhere have no row.
     """
-    in_order = F.array_sort(F.collect_list(F.struct("position", "norm")))
-    line = lambda norms: F.concat(F.lit("\n"), F.array_join(norms, "\n"), F.lit("\n"))
-    hay = tokens.groupBy("document").agg(in_order.alias("t")).select("document", line(F.transform("t", lambda t: t["norm"])).alias("hay"))
-    asked = quotes.select("document", "quote_id", normal_tokens(F.col("quote")).alias("q")).where(F.size("q") > 0)
-    found = asked.join(hay, "document").withColumn("at", F.instr("hay", line(F.col("q")))).where("at > 0")
-    first = F.size(F.split(F.left("hay", F.col("at")), "\n")) - 2
-    return found.select("document", "quote_id", first.alias("first"), (first + F.size("q") - 1).alias("last"))
+    return _found(tokens, quotes).select("document", "quote_id", "first", "last")
+
+
+def boxes_of_quotes(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``quote_boxes`` of ``located_quotes``: the tokens are read once, and a quote takes its boxes where it is found. Boxes
+    are rounded here, which gives the same as rounding those of all words before."""
+    words = _found(tokens, quotes, "page", "boxes").select("document", "quote_id", F.explode("span").alias("w"))
+    found = _boxes(words.select("document", "quote_id", "w.page", F.explode("w.boxes").alias("b")))
+    return found.select("document", "quote_id", "page", "line", *[F.round(c, 1).alias(c) for c in BOX])
 
 
 def quote_boxes(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """(document, quote_id, page, line, x0, y0, x1, y1): one box around the words of a located quote on each line."""
     spans = found.select("document", "quote_id", F.explode(F.sequence("first", "last")).alias("position"))
     words = spans.join(tokens.select("document", "position", "page", "boxes"), ["document", "position"]).select("document", "quote_id", "page", F.explode("boxes").alias("b"))
+    return _boxes(words)
+
+
+def _boxes(words: DataFrame) -> DataFrame:
     corners = [F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1")]
     return words.groupBy("document", "quote_id", "page", F.col("b.line").alias("line")).agg(*corners)

@@ -12,11 +12,11 @@ from lexweave.plans.rollups import table
 PAGE = 10
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    return scanned(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"))
+def _words(spark: SparkSession, d: str, digits: int | None = 1) -> DataFrame:
+    return scanned(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"), digits)
 
 
-def scanned(pages: DataFrame) -> DataFrame:
+def scanned(pages: DataFrame, digits: int | None = 1) -> DataFrame:
     """Texts (document, text) as scans: ten lines a page, and a hyphen after the last word of every third line."""
     lines = pages.select("document", F.posexplode(F.split("text", "\n")).alias("line", "x"))
     split = lines.withColumn("words", F.split("x", " "))
@@ -35,7 +35,8 @@ def scanned(pages: DataFrame) -> DataFrame:
             (row + 0.04).alias("y0"),
             (at + 8.96).alias("x1"),
             (row + 8.96).alias("y1"),
-        )
+        ),
+        digits,
     )
 
 
@@ -50,10 +51,10 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def quote_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Of every fifth line the second to the fifth word as a quote."""
-    tokens = located.positioned_tokens(_words(spark, d))
+    tokens = located.positioned_tokens(_words(spark, d, None))
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("quote_id", "x")).where("quote_id % 5 = 1")
     quotes = lines.select("document", "quote_id", F.array_join(F.slice(F.split("x", " "), 2, 4), " ").alias("quote"))
-    boxes = located.quote_boxes(located.located_quotes(tokens, quotes), tokens)
+    boxes = located.boxes_of_quotes(tokens, quotes)
     return boxes.select("document", F.col("quote_id").cast("long").alias("quote_id"), "page", F.col("line").cast("long").alias("line"), *located.BOX)
 
 

@@ -89,6 +89,20 @@ def test_quotes_stand_where_all_their_tokens_do(spark):
     assert boxes == [(1, 1, 0, 10.0, 0.0, 28.0, 8.0), (1, 1, 1, 0.0, 10.0, 8.0, 18.0), (8, 1, 1, 20.0, 10.0, 28.0, 18.0), (8, 2, 0, 0.0, 20.0, 28.0, 28.0)]
 
 
+def test_quotes_take_their_boxes_where_they_are_found(spark):
+    """The words of a scan are shuffled once for both, and a document is not repeated for each of its quotes."""
+    rows = [(d, 1 + k // 4, 10 * k + i, 10.04 * i, 10.04 * k, 10.04 * i + 8.96, 10.04 * k + 8.96, w, 0, k) for d in (1, 2) for k in range(8) for i, w in enumerate(f"a{k % 3} b{k % 2} sup- plier{k} Fee".split()[: 3 + k % 3])]
+    asked = [(d, n, q) for d in (1, 2, 3) for n, q in enumerate(["a1 b1", "supplier", "fee a0", "plier1", "nothing", "", None, "b0 sup- a1"])]
+    quotes = spark.createDataFrame(asked + [(1, 0, "a1 b1")], "document long, quote_id int, quote string")
+    tokens = located.positioned_tokens(located.laid_out_words(spark.createDataFrame(rows, SCAN)))
+    raw = located.positioned_tokens(located.laid_out_words(spark.createDataFrame(rows, SCAN), None))
+    wanted = located.quote_boxes(located.located_quotes(tokens, quotes), tokens)
+    got = located.boxes_of_quotes(raw, quotes)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) != []
+    assert got.schema == wanted.schema
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD[document") == 2
+
+
 CLAIM = "struct<fragment: string, quote: string, severity: string, comment: string, confidence: double>"
 
 
