@@ -173,7 +173,7 @@ def _drafts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.duplicate_pairs(_drafts(spark, d))
+    return dedup.pairs_of(staged(dedup.keyed_risks(_drafts(spark, d)), "risks"))
 
 
 def dedup_greedy(spark: SparkSession, d: str) -> DataFrame:

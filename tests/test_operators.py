@@ -416,3 +416,15 @@ def test_duplicate_pairs_equal_all_pairs(spark, seed):
                 wanted[d, a, b] = round(share, 4)
     assert found == wanted
     assert wanted
+
+
+def test_pairs_read_stored_risks_and_order_words_once(spark):
+    """What the pairs read several times is stored words, not quotes; both sides of their join share one order of words."""
+    rows = [(1, k, "RED", 1, "1.1" if k % 2 else None, f"alpha beta gamma{k % 3} delta") for k in range(8)] + [(1, 8, "GREEN", 1, None, "alpha beta gamma0 delta")]
+    frame = spark.createDataFrame(rows, "document long, seq long, severity string, page long, clause string, quote string")
+    stored = dedup.keyed_risks(frame).localCheckpoint()
+    pairs = dedup.pairs_of(stored)
+    found = sorted(map(tuple, pairs.collect()))
+    assert found == sorted(map(tuple, dedup.duplicate_pairs(frame).collect())) and len(found) == 28
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "regexp_extract_all" not in plan and plan.count("collect_list") == 2 and "ReusedExchange" in plan
