@@ -9,9 +9,12 @@ import random
 from pathlib import Path
 
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
-from lexweave.operators import exports, reports
+from lexweave.operators import exports, findings, reports
+from lexweave.plans import registry
+from tests.oracle import connect, same
 
 ANALYSES = "analysis long, mode string, title string, original_filename string, generated_at string, author string, company string, traffic_light string, risk_score long, rules_checked long"
 DOCUMENTS = "analysis long, document long, file_name string, relative_path string, status string, total_pages int, law_type string, risk_score long, traffic_light string"
@@ -111,3 +114,54 @@ def test_appendix_lists_each_used_rule_once(spark):
     found = exports.rules_appendix(documents, findings, rules).orderBy("analysis", "sort_order").collect()
     assert [tuple(r) for r in found] == [(1, 1, 5, "A", "c", "RED", "—"), (2, 2, 6, "B", None, "LOW", "—")]
     assert exports.rules_appendix(documents.where(F.lit(False)), findings, rules).count() == 0
+
+
+def odd_tables(spark, folder, seed):
+    """Documents without findings, customers or rules, customers without documents, equal lines, parts that no table has."""
+    rng = random.Random(seed)
+    lines = [(o := rng.randrange(40), rng.randrange(12), rng.randrange(25), rng.choice((1, 1, 2, 3)), float(rng.choice((1, 3, 7, 45))), rng.choice((0.0, 0.07, 0.09)), rng.choice((0.0, 0.06)), rng.choice("RAN")) for _ in range(150)]
+    lines += [(39, 3, 7 * k, 1, 9.0, 0.0, 0.0, "N") for k in range(1, 4)]  # dismissed ones alone
+    made = {
+        "lineitem": (sorted(set(lines)), "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string"),
+        "part": ([(k, f"part {k % 3}", None if k == 4 else f"Brand#{k}", k) for k in range(1, 11)], "p_partkey long, p_name string, p_brand string, p_size int"),
+        "orders": ([(k, rng.randrange(14), rng.choice("FOP")) for k in (*range(46), 97, 194)], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        "customer": ([(k, f"C{k}", "S") for k in range(1, 18)], "c_custkey long, c_name string, c_mktsegment string"),
+    }
+    for name, (rows, schema) in made.items():
+        parquet.write_table(spark.createDataFrame(rows, schema).toArrow(), f"{folder}/{name}.parquet")
+
+
+@pytest.mark.parametrize("seed", [4, 6])
+def test_reports_of_odd_tables_are_as_by_sql(spark, tmp_path, seed):
+    odd_tables(spark, tmp_path, seed)
+    same(registry.QUERIES["json_reports"](spark, str(tmp_path)), connect(str(tmp_path)), registry.ORACLE_SQL["json_reports"])
+
+
+def test_reports_read_and_shuffle_findings_once(spark, tmp_path):
+    odd_tables(spark, tmp_path, 4)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["json_reports"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    # by rule, by document and by analysis, with what they are joined to
+    assert plan.count("FileScan parquet [l_") == 1
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_gathered_findings_are_those_numbered_and_counted(spark):
+    rng = random.Random(3)
+    made = [(rng.randrange(8), rng.randrange(4), rng.choice((None, *range(6))), rng.choice((*findings.SEVERITIES, "ODD")), rng.choice(("NEW", "DISMISSED", "RESOLVED")), rng.choice((None, 5, 10**6))) for _ in range(120)]
+    made.append((9, 1, 2, "RED", "DISMISSED", None))
+    found = spark.createDataFrame(sorted(set(made), key=str), "document long, line long, rule long, severity string, review_status string, page long")
+    rules = spark.createDataFrame([(k, k != 3, -k if k else None, f"t{k}", "c") for k in range(5)], "rule long, is_active boolean, sort_order long, title string, category string")
+    seen = findings.visible(found, rules)
+    got = findings.gathered(findings.visible_named(found, rules), "line", "rule", "page", "title").collect()
+    counted = {r.document: r for r in findings.severity_counts(seen, "document").collect()}
+    assert {r.document: [r[c] for c in findings.COUNTS] for r in got} == {k: [r[c] for c in findings.COUNTS] for k, r in counted.items()}
+    numbered = findings.renumbered(seen, rules).join(rules.select("rule", "title"), "rule", "left").where("review_status <> 'DISMISSED'").orderBy("document", "sort_index").collect()
+    fields = ("sort_index", "severity", "review_status", "line", "rule", "page", "title")
+    assert [(r.document, *[f[c] for c in fields]) for r in sorted(got, key=lambda r: r.document) for f in r.findings] == [(r.document, *[r[c] for c in fields]) for r in numbered]
+    assert {r.document: set(r.rules) for r in got} == {k: {r.rule for r in seen.collect() if r.document == k and r.rule is not None} for k in counted}
+    assert [r.findings for r in got if r.document == 9] == [[]]
