@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, label: str, **options: int) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors. ``options`` are
+    those of the writer, with _ for a dot."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,10 +68,14 @@ def drop_other_caches(module: str) -> None:
             clear()
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+def batch_rows(spark: SparkSession, rows: int | None = None) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows or BATCH_ROWS))
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with batches that stay small although texts can be long. Workers run many tasks: each gives back the
-    memory that Arrow has kept."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    memory that Arrow has kept. Batches of fewer ``rows`` hold for what runs until ``batch_rows`` sets another number."""
+    batch_rows(df.sparkSession, rows)
 
     module = fn.__module__
 

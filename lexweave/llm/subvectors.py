@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import frame, map_rows, spent, stage, table
+from lexweave.llm.common import batch_rows, frame, map_rows, spent, stage, table
 
 DIMS, CLUSTERS, ROUNDS, SCALE = 64, 8, 10, 1024
 #: Dimensions of a block.
 WIDTH = 4
-#: Vectors of a chunk, whose integers take 8 MB.
+#: Vectors of a chunk, whose integers take 4 MB.
 CHUNK = 16_384
-#: Beyond this size a squared distance of 64 components might not fit in a long.
+#: Chunks that are read at a time, which are those of a row group where they are stored.
+AT_ONCE = 4
+#: Beyond this size a squared distance of 64 components might not fit in a long; an int holds the component itself.
 LIMIT = 1 << 27
 CHUNKS = "vec_ids binary, known binary, codes array<binary>, dictionary array<binary>"
 
@@ -46,9 +48,9 @@ def encode(vec_ids: list[int | None], vectors: np.ndarray) -> dict[str, list]:
     """A chunk as a row: the distinct subvectors of each block, and for each vector its code in each block."""
     codes, dictionary = [], []
     for at in range(0, vectors.shape[1], WIDTH):
-        block = np.ascontiguousarray(vectors[:, at : at + WIDTH])
+        block = np.ascontiguousarray(vectors[:, at : at + WIDTH], np.int32)
         # equal bytes are equal subvectors
-        distinct, code = np.unique(block.view(np.dtype((np.void, block.shape[1] * 8))).ravel(), return_inverse=True)
+        distinct, code = np.unique(block.view(np.dtype((np.void, block.shape[1] * 4))).ravel(), return_inverse=True)
         codes.append(code.astype(np.uint16).tobytes())
         dictionary.append(distinct.tobytes())
     ids = np.array([i or 0 for i in vec_ids], np.int64)
@@ -82,9 +84,10 @@ def chunked(vectors: DataFrame, dims: int) -> DataFrame:
 
 def decoded(row: dict) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The ids of a chunk, which of them are known, and (codes, distinct subvectors) of each block."""
-    blocks = [(np.frombuffer(c, np.uint16), np.frombuffer(d, np.int64)) for c, d in zip(row["codes"], row["dictionary"], strict=True)]
+    blocks = [(np.frombuffer(c, np.uint16), np.frombuffer(d, np.int32).astype(np.int64)) for c, d in zip(row["codes"], row["dictionary"], strict=True)]
     ids = np.frombuffer(row["vec_ids"], np.int64)
-    return ids, np.frombuffer(row["known"], np.bool_), [(c, d.reshape(-1, len(d) // (c.max() + 1))) for c, d in blocks]
+    # a Python integer: a whole chunk of distinct subvectors has more components than a code can count
+    return ids, np.frombuffer(row["known"], np.bool_), [(c, d.reshape(int(c.max()) + 1, -1)) for c, d in blocks]
 
 
 def nearest(blocks: list[tuple[np.ndarray, np.ndarray]], centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def cluster_sums(chunks: DataFrame, centroids: np.ndarray) -> dict[int, tuple[in
                 cluster, dim = np.nonzero(np.repeat(counts[:, None] > 0, centroids.shape[1], axis=1))
                 yield frame({"cluster": (cluster, pa.int32()), "dim": (dim, pa.int32()), "n": (counts[cluster], pa.int64()), "total": (sums[cluster, dim], pa.int64())})
 
-    parts = map_rows(chunks, run, "cluster int, dim int, n long, total long")
+    parts = map_rows(chunks, run, "cluster int, dim int, n long, total long", AT_ONCE)
     found: dict[int, tuple[int, list[int]]] = {}
     for r in parts.groupBy("cluster", "dim").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("cluster", "dim").collect():
         found.setdefault(r["cluster"], (r["n"], []))[1].append(r["total"])
@@ -142,7 +145,7 @@ def assign(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
                 columns = [pa.array(ids, pa.int64(), mask=~known), pa.array(best, pa.int32()), pa.array(distance, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "cluster", "distance"])
 
-    return map_rows(chunks, run, "vec_id long, cluster int, distance long")
+    return map_rows(chunks, run, "vec_id long, cluster int, distance long", AT_ONCE)
 
 
 def centroid_digests(centroids: Iterable[Iterable[int]]) -> list[str]:
@@ -163,11 +166,12 @@ def cluster_vectors(embeddings: DataFrame, clusters: int = CLUSTERS, rounds: int
     centroids = first_centroids(kept, clusters)
     if not len(centroids):
         return spark.createDataFrame([], schema)
-    chunks = stage(chunked(kept, dims), "chunks")
+    chunks = stage(chunked(kept, dims), "chunks", parquet_block_row_count_limit=AT_ONCE)
     for _ in range(rounds):
         for cluster, (n, sums) in cluster_sums(chunks, centroids).items():
             centroids[cluster] = [s // n for s in sums]
     assigned = stage(assign(chunks, centroids), "assigned")
+    batch_rows(spark)
     inertia = {r["cluster"]: r["inertia"] for r in assigned.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
     spent(chunks)
     rows = [(c, inertia[c], sum(inertia.values()), digest) for c, digest in enumerate(centroid_digests(centroids)) if c in inertia]

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import merkle, subvectors, token_counts
+from lexweave.llm import common, merkle, subvectors, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -229,6 +229,22 @@ def test_dictionaries_lose_nothing():
     assert np.array_equal(np.concatenate([distinct[codes] for codes, distinct in blocks], axis=1), data)
 
 
+def test_a_chunk_of_distinct_subvectors_is_read_back():
+    data = np.random.default_rng(2).permutation(subvectors.CHUNK * 64).reshape(-1, 64)
+    row = subvectors.encode([*range(len(data))], data)
+    _, _, blocks = subvectors.decoded({k: v[0] for k, v in row.items()})
+    assert np.array_equal(np.concatenate([distinct[codes] for codes, distinct in blocks], axis=1), data)
+
+
+def test_clusters_of_full_chunks(spark, monkeypatch):
+    # 16,400 vectors in one task: a full chunk, whose first block holds each vector's own number, and another one
+    rows = spark.range(0, 16_400, 1, 1).select(F.col("id").alias("vec_id"), F.concat(F.array((F.col("id") / 1024).cast("float")), F.array_repeat(F.lit(0.0).cast("float"), 63)).alias("embedding"))
+    whole = sorted(map(tuple, subvectors.cluster_vectors(rows).collect()))
+    monkeypatch.setattr(subvectors, "CHUNK", 500)
+    assert [r[0] for r in whole] == [*range(16_400)] and whole == sorted(map(tuple, subvectors.cluster_vectors(rows).collect()))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(common.BATCH_ROWS)
+
+
 def test_huge_components_are_refused():
     with pytest.raises(OverflowError):
         subvectors.integers(np.array([[1e30]]))
