@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators.columns import let
-from lexweave.operators.quotes import has_norm, normal_token, normal_tokens
+from lexweave.operators.quotes import clause_mark, has_norm, normal_token, normal_tokens
 from lexweave.operators.structure import cleaned
 
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def laid_out_words(scanned: DataFrame, digits: int | None = 1) -> DataFrame:
+def laid_out_words(scanned: DataFrame, digits: int | None = 1, dealt: bool = False) -> DataFrame:
     """(document, page, at, word, line, x0, y0, x1, y1) from the words of a page scan.
 
     ``scanned`` has document, page, seq (reading order), word, block, line and a box. Words are cleaned, empty ones go,
     boxes are rounded to one decimal (None: not yet), and lines are numbered from 0 in the order in which a page first shows them.
+    With ``dealt`` the words were made from rows that are partitioned by document, and stay where they are.
     """
     # all that follows is within a document, so its words are shuffled once
-    solid = scanned.withColumn("word", F.btrim(cleaned(F.col("word")), F.lit(" \n\r"))).where("word <> ''").repartition("document")
+    solid = scanned.withColumn("word", F.btrim(cleaned(F.col("word")), F.lit(" \n\r"))).where("word <> ''")
+    solid = solid if dealt else solid.repartition("document")
     page = Window.partitionBy("document", "page")
     seen = F.min("seq").over(Window.partitionBy("document", "page", "block", "line"))
     lined = solid.withColumn("seen", seen).withColumn("line", F.dense_rank().over(page.orderBy("seen")) - 1)
@@ -67,12 +69,28 @@ def positioned_tokens(words: DataFrame) -> DataFrame:
     return tokens.select("document", position.alias("position"), "page", "token", "norm", "starts_line", "boxes", "words")
 
 
+def gathered(tokens: DataFrame) -> DataFrame:
+    """(document, t): the tokens of a document as one row, which needs no shuffle right after ``positioned_tokens``.
+
+    ``t`` holds page, norm, boxes and words in the order of the positions, which number it from 0, and the last number of a
+    clause ('' for a section) that began a line so far as ``mark``, with its position ``at``.
+    """
+    mark = F.when(F.col("starts_line"), clause_mark(F.col("token"), F.col("norm")))
+    so_far = Window.partitionBy("document").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = tokens.withColumn("told", F.last(F.when(mark.isNotNull(), F.struct(F.col("position").cast("long").alias("at"), mark.alias("mark"))), True).over(so_far))
+    row = F.struct("position", "page", "norm", "boxes", "words", "told.at", "told.mark")
+    whole = marked.groupBy("document").agg(F.sort_array(F.collect_list(row)).alias("t"))
+    return whole.select("document", F.transform("t", lambda w: w.dropFields("position")).alias("t"))
+
+
 def _found(tokens: DataFrame, quotes: DataFrame, *more: str) -> DataFrame:
     """(document, quote_id, first, last, span): the first place where all tokens of a quote stand one after the other, with
-    ``more`` columns of its tokens. The tokens of a document are one row, and so are its quotes: none is repeated for another."""
+    ``more`` columns of its tokens, which may be ``gathered``. The tokens of a document are one row, and so are its quotes:
+    none is repeated for another."""
     line = lambda norms: F.concat(F.lit("\n"), F.array_join(norms, "\n"), F.lit("\n"))
     in_order = F.sort_array(F.collect_list(F.struct("position", "norm", *more)))
-    hay = tokens.groupBy("document").agg(in_order.alias("t")).withColumn("hay", line(F.transform("t", lambda t: t["norm"])))
+    rows = tokens if "t" in tokens.columns else tokens.groupBy("document").agg(in_order.alias("t"))
+    hay = rows.withColumn("hay", line(F.transform("t", lambda t: t["norm"])))
     asked = quotes.select("document", "quote_id", normal_tokens(F.col("quote")).alias("q")).where(F.size("q") > 0)
     whole = asked.groupBy("document").agg(F.collect_list(F.struct("quote_id", F.size("q").alias("n"), line(F.col("q")).alias("q"))).alias("asked"))
     stands = lambda q: F.struct(q["quote_id"].alias("quote_id"), q["n"].alias("n"), F.left("hay", F.instr("hay", q["q"])).alias("before"))

@@ -1,43 +1,90 @@
-"""Phrases and quotes looked up in positioned tokens, with page, clause, snippet and boxes of what is found."""
+"""Phrases and quotes looked up in positioned tokens, with page, clause, snippet and boxes of what is found.
+
+Tokens are rows of ``positioned_tokens`` or documents of ``gathered``; the former are gathered first, by a shuffle.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
-from lexweave.operators.asof import last_mark
-from lexweave.operators.located import BOX, located_quotes, quote_boxes
-from lexweave.operators.quotes import FUZZY, best_stretch, clause_of_quotes, hits_in, normal_tokens
+from lexweave.operators.columns import let
+from lexweave.operators.located import BOX, gathered, located_quotes
+from lexweave.operators.quotes import BACK, FUZZY, PHRASES, automaton_of, best_stretch, needle_starts, needles_in_blocks, normal_tokens
 
 #: Tokens of a snippet before and after what it shows.
 AROUND = 12
 
 
-def _joined(tokens: DataFrame, *keys: str) -> DataFrame:
-    """(keys, hay, base): the normal forms of the tokens in order, with spaces between, and the first position."""
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("position", "norm"))), lambda t: t["norm"])
-    return tokens.groupBy(*keys).agg(F.array_join(in_order, " ").alias("hay"), F.min("position").cast("long").alias("base"))
+def _documents(tokens: DataFrame) -> DataFrame:
+    return tokens if "t" in tokens.columns else gathered(tokens)
+
+
+def _among(first: Column, last: Column) -> Column:
+    """The tokens of these positions; only they are touched."""
+    return F.transform(F.sequence(first, last), lambda i: F.get("t", i))
+
+
+def _joined(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, lambda w: w["norm"]), " ")
+
 
+def _asked_phrases(docs: DataFrame, phrases: DataFrame, phrase: str, limit: int, block: int) -> Iterator[DataFrame]:
+    """``docs`` with ``asked``, the places of phrases of one block in a document: (phrase, hit, total, first, last)."""
+    whole = pa.int64()
+    spans = pa.list_(pa.struct([(phrase, to_arrow_type(phrases.schema[phrase].dataType)), ("hit", pa.int32()), ("total", whole), ("first", whole), ("last", whole)]))
 
-def found_phrases(tokens: DataFrame, phrases: DataFrame, phrase: str, limit: int = 20) -> DataFrame:
+    def searching(sent: Broadcast) -> Callable[[pa.Array, pa.Array], pa.Array]:
+        def search(hays: pa.Array, lengths: pa.Array) -> pa.Array:
+            found: list[list[tuple]] = []
+            automaton = automaton_of(tuple(sent.value)) if sent.value else None
+            for hay, sizes in zip(hays.to_pylist(), lengths, strict=True):
+                found.append([])
+                starts = needle_starts(automaton, hay) if automaton and hay else ()
+                # where a token begins is a running sum; a place lies in the last token that begins at or before it
+                ends = np.cumsum(sizes.values.to_numpy() + 1) if starts else None
+                for needle, own in starts:
+                    at = np.array(own[:limit])
+                    first, last = (np.searchsorted(ends, x, "right").tolist() for x in (at, at + len(needle) - 1))
+                    found[-1].extend((p, hit, len(own), a, z) for p in sent.value[needle] for hit, (a, z) in enumerate(zip(first, last, strict=True)))
+            return pa.array(found, spans)
+
+        return search
+
+    for sent in needles_in_blocks(phrases, phrase, block):
+        # what Spark takes for another result each time is not computed twice
+        places = F.arrow_udf(searching(sent), from_arrow_type(spans)).asNondeterministic()
+        yield docs.withColumn("asked", places(_joined(F.col("t")), F.transform("t", lambda w: F.length(w["norm"]))))
+
+
+def found_phrases(tokens: DataFrame, phrases: DataFrame, phrase: str, limit: int = 20, block: int = PHRASES) -> DataFrame:
     """(document, phrase, hit, total, first, last): the first ``limit`` places of a phrase in a document's tokens, inside
     longer words too, numbered from 0, with the positions of the first and last token that it touches, and the number of
-    all places. ``phrases`` has the phrase's id and ``text``; it is the query set of ``phrase_hits``.
+    all places. ``phrases`` has the phrase's id and ``text``; it is the query set of ``phrase_hits``."""
+    each = [docs.select("document", F.explode("asked").alias("a")).select("document", "a.*") for docs in _asked_phrases(_documents(tokens), phrases, phrase, limit, block)]
+    return reduce(DataFrame.unionByName, each)
 
-    Where a token begins in the joined text is a running sum; a hit's first and last character find the last token that
-    begins at or before them.
-    """
-    hits = hits_in(_joined(tokens, "document"), phrases, "document", phrase, limit)
-    each = hits.select("document", phrase, "total", "size", F.posexplode("positions").alias("hit", "start"))
-    size = F.length("norm") + 1
-    begins = tokens.selectExpr("document", "position", "norm", "sum(length(norm) + 1) OVER (PARTITION BY document ORDER BY position ROWS UNBOUNDED PRECEDING) AS ends")
-    marks = begins.select("document", (F.col("ends") - size).alias("at"), (F.col("ends") - 1).alias("until"), F.col("position").cast("long").alias("mark"))
-    edges = F.explode(F.array(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at")
-    placed = last_mark(each.select("document", phrase, "hit", "total", edges), marks)
-    return placed.groupBy("document", phrase, "hit", "total").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+
+def described_phrases(tokens: DataFrame, phrases: DataFrame, phrase: str, limit: int = 20, around: int = AROUND, block: int = PHRASES) -> DataFrame:
+    """``found_phrases`` with page, clause, text, snippet and boxes as in ``described``. All of it is made where a document
+    is searched, so no token is shuffled for it."""
+    return reduce(DataFrame.unionByName, [_shown(docs, around) for docs in _asked_phrases(_documents(tokens), phrases, phrase, limit, block)])
+
+
+def _pages(docs: DataFrame) -> DataFrame:
+    """(document, page, hay, base): the normal forms of a page's tokens in order, with spaces between, and the first position."""
+    n, page = F.size("t"), lambda i: F.get("t", i)["page"]
+    starts = docs.select("document", "t", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (page(i) != page(i - 1))).alias("starts"))
+    own = lambda at, k: _among(at, F.coalesce(F.get("starts", k + 1), n) - 1)
+    each = F.transform("starts", lambda at, k: F.struct(page(at).alias("page"), _joined(own(at, k)).alias("hay"), at.cast("long").alias("base")))
+    return starts.select("document", F.explode(each).alias("p")).select("document", "p.*")
 
 
 def hinted_quotes(tokens: DataFrame, quotes: DataFrame, least: float = FUZZY) -> DataFrame:
@@ -48,9 +95,10 @@ def hinted_quotes(tokens: DataFrame, quotes: DataFrame, least: float = FUZZY) ->
     of 100; after that the whole document, for the tokens only. What is merely alike is never verified. Quotes without a
     token and quotes that are not found have no row; a hint of pages that the document does not have is no hint.
     """
+    docs = _documents(tokens)
     q = F.array_join(normal_tokens(F.col("quote")), " ")
     asked = quotes.select("document", "quote_id", "quote", q.alias("q"), (F.col("page") - 1).alias("low"), (F.col("page_end") + 1).alias("high")).where("q <> ''")
-    pages = _joined(tokens, "document", "page")
+    pages = _pages(docs)
     ends = pages.groupBy("document").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
     clamped = asked.where("low IS NOT NULL AND high IS NOT NULL").join(ends, "document").withColumn("low", F.greatest("low", "first_page")).withColumn("high", F.least("high", "last_page"))
     spread = clamped.where("low <= high").select("document", "quote_id", "q", F.explode(F.sequence("low", "high")).alias("page"))
@@ -76,7 +124,8 @@ def hinted_quotes(tokens: DataFrame, quotes: DataFrame, least: float = FUZZY) ->
     alike = scope.where("at = 0").select("document", "quote_id", "q", "hay", "base").mapInArrow(liken, f"document {kinds['document']}, quote_id {kinds['quote_id']}, verified boolean, first long, last long, score double")
     near = exact.unionByName(alike)
     rest = asked.join(near.select("document", "quote_id"), ["document", "quote_id"], "left_anti")
-    far = located_quotes(tokens, rest).select("document", "quote_id", F.lit(True).alias("verified"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.lit(100.0).alias("score"))
+    norms = docs.select("document", F.transform("t", lambda w: F.struct(w["norm"].alias("norm"))).alias("t"))
+    far = located_quotes(norms, rest).select("document", "quote_id", F.lit(True).alias("verified"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.lit(100.0).alias("score"))
     return near.unionByName(far)
 
 
@@ -84,21 +133,43 @@ def described(spans: DataFrame, tokens: DataFrame, around: int = AROUND) -> Data
     """``spans`` (document, quote_id, first, last, ...) with page, clause, text, snippet and boxes.
 
     ``page`` is that of the first token, ``text`` the words as written, ``snippet`` the same with ``around`` tokens before
-    and after and dots where the document goes on; ``boxes`` are sorted by page and line. A span meets the tokens that it
-    shows by their positions, so its cost is its length.
+    and after and dots where the document goes on; ``boxes`` are sorted by page and line. ``clause`` is that of
+    ``clause_of_quotes``. The spans of a document are one row and meet its tokens there; none is sent to the driver.
     """
-    keys = ["document", "quote_id"]
-    own = spans.select(*keys, "first", "last")
-    counts = tokens.groupBy("document").agg(F.count("*").alias("n"))
-    low, high = F.greatest(F.col("first") - around, F.lit(0)), F.least(F.col("last") + around, F.col("n") - 1)
-    shown = own.join(counts, "document").withColumn("low", low).withColumn("high", high)
-    words = shown.withColumn("position", F.explode(F.sequence("low", "high"))).join(tokens.select("document", F.col("position").cast("long").alias("position"), "page", "words"), ["document", "position"])
-    inside = F.col("position").between(F.col("first"), F.col("last"))
-    in_order = lambda rows: F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(rows)), lambda w: w["words"])), " ")
-    row = F.struct("position", "words")
-    texts = words.groupBy(*keys, "first", "low", "high", "last", "n").agg(F.min(F.when(F.col("position") == F.col("first"), F.col("page"))).alias("page"), in_order(F.when(inside, row)).alias("text"), in_order(row).alias("snippet"))
+    whole = spans.groupBy("document").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "document"])).alias("asked"))
+    return _shown(_documents(tokens).join(whole.hint("shuffle_hash"), "document"), around)
+
+
+def _shown(docs: DataFrame, around: int) -> DataFrame:
+    """What ``described`` says of the spans ``asked`` in the documents (document, t, asked)."""
+    n = F.size("t")
+    spoken = lambda tokens: F.array_join(F.flatten(F.transform(tokens, lambda w: w["words"])), " ")
     dots = lambda going_on, text: F.when(going_on, text).otherwise("")
-    snippet = F.concat(dots(F.col("low") > 0, "… "), "snippet", dots(F.col("high") < F.col("n") - 1, " …"))
-    clauses = clause_of_quotes(tokens, own.withColumnRenamed("quote_id", "quote")).withColumnRenamed("quote", "quote_id")
-    boxes = quote_boxes(own, tokens).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "line", *BOX))).alias("boxes"))
-    return spans.join(texts.select(*keys, "page", "text", snippet.alias("snippet")), keys).join(clauses, keys).join(boxes, keys)
+
+    def told(a: Column) -> Column:
+        low, high = F.greatest(a["first"] - around, F.lit(0)), F.least(a["last"] + around, n - 1)
+        head = F.get("t", a["first"])
+        snippet = F.concat(dots(low > 0, F.lit("… ")), spoken(_among(low, high)), dots(high < n - 1, F.lit(" …")))
+        before = F.when(a["first"] - head["at"] < BACK, F.nullif(head["mark"], F.lit("")))
+        own = [a[c].alias(c) for c in docs.schema["asked"].dataType.elementType.names]
+
+        def of(inside: Column) -> Column:
+            begun = F.get(F.filter(inside, lambda w, i: (w["at"] == a["first"] + i) & (w["mark"] != "")), F.lit(0))
+            return F.struct(*own, head["page"].alias("page"), F.coalesce(before, begun["mark"]).alias("clause"), spoken(inside).alias("text"), snippet.alias("snippet"), _lined(inside).alias("boxes"))
+
+        return let(_among(a["first"], a["last"]), of)
+
+    return docs.select("document", F.explode(F.transform("asked", told)).alias("s")).select("document", "s.*")
+
+
+def _lined(tokens: Column) -> Column:
+    """The boxes around the words of each line, sorted by page and line."""
+    every = F.flatten(F.transform(tokens, lambda w: F.transform(w["boxes"], lambda b: F.struct(w["page"].alias("page"), *[b[c].alias(c) for c in ("line", *BOX)]))))
+    line = lambda b: F.struct(b["page"].alias("page"), b["line"].alias("line"))
+
+    def around(key: Column, boxes: Column) -> Column:
+        corner = lambda c, most: most(F.transform(boxes, lambda b: b[c])).alias(c)
+        return F.struct(key["page"].alias("page"), key["line"].alias("line"), *[corner(c, F.array_min) for c in BOX[:2]], *[corner(c, F.array_max) for c in BOX[2:]])
+
+    lined = lambda boxes: F.transform(F.array_sort(F.array_distinct(F.transform(boxes, line))), lambda k: let(F.filter(boxes, lambda b: line(b).eqNullSafe(k)), lambda own: around(k, own)))
+    return let(every, lined)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,7 +52,7 @@ def normal_tokens(text: Column) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _automaton(needles: tuple[str, ...]):
+def automaton_of(needles: tuple[str, ...]):
     """One for each worker and block of phrases, as workers run many tasks."""
     import ahocorasick
 
@@ -62,6 +63,27 @@ def _automaton(needles: tuple[str, ...]):
     return automaton
 
 
+def needles_in_blocks(phrases: DataFrame, phrase: str, block: int = PHRASES) -> Iterator[Broadcast]:
+    """Normalised phrases with the ids that ask for them, sent to all workers in blocks of about ``block``; one block at least."""
+    needles = phrases.select(phrase, F.array_join(normal_tokens(F.col("text")), " ").alias("needle")).where("needle <> ''")
+    n_blocks = max(1, -(-needles.count() // block))
+    for k in range(n_blocks):
+        names: dict[str, list] = {}
+        for r in needles.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == k).toLocalIterator():
+            names.setdefault(r["needle"], []).append(r[phrase])
+        yield phrases.sparkSession.sparkContext.broadcast(names)
+
+
+def needle_starts(automaton, text: str) -> Iterable[tuple[str, list[int]]]:
+    """The needles that stand in a text, each with the places where it begins; those of one needle do not overlap."""
+    starts: dict[str, list[int]] = {}
+    for last, needle in automaton.iter(text):
+        at, own = last + 1 - len(needle), starts.setdefault(needle, [])
+        if not own or at >= own[-1] + len(needle):
+            own.append(at)
+    return starts.items()
+
+
 def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limit: int = 20, block: int = PHRASES) -> DataFrame:
     """(key, phrase, total, positions): non-overlapping occurrences of a phrase in the normalised text of a row, inside
     longer words too.
@@ -76,33 +98,20 @@ def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, phrase: str, limi
 
 def hits_in(hay: DataFrame, phrases: DataFrame, key: str, phrase: str, limit: int = 20, block: int = PHRASES) -> DataFrame:
     """``phrase_hits`` of rows (key, hay) whose texts are normalised already, with ``size``, the length of the phrase."""
-    spark = hay.sparkSession
     types = {key: dict(hay.dtypes)[key], phrase: dict(phrases.dtypes)[phrase]}
-    needles = phrases.select(phrase, F.array_join(normal_tokens(F.col("text")), " ").alias("needle")).where("needle <> ''")
     hay = hay.select(key, "hay").where("hay <> ''")
     asked = to_arrow_type(phrases.schema[phrase].dataType)
     found = None
-    n_blocks = max(1, -(-needles.count() // block))
-    for k in range(n_blocks):
-        part = needles.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == k)
-        names: dict[str, list] = {}
-        for r in part.toLocalIterator():
-            names.setdefault(r["needle"], []).append(r[phrase])
-        sent = spark.sparkContext.broadcast(names)
+    for sent in needles_in_blocks(phrases, phrase, block):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             if not sent.value:
                 return
-            automaton = _automaton(tuple(sent.value))
+            automaton = automaton_of(tuple(sent.value))
             for batch in batches:
                 out: list[tuple] = []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    starts: dict[str, list[int]] = {}
-                    for last, needle in automaton.iter(text):
-                        at, own = last + 1 - len(needle), starts.setdefault(needle, [])
-                        if not own or at >= own[-1] + len(needle):
-                            own.append(at)
-                    out.extend((i, p, len(own), own[:limit], len(needle)) for needle, own in starts.items() for p in sent.value[needle])
+                    out.extend((i, p, len(own), own[:limit], len(needle)) for needle, own in needle_starts(automaton, text) for p in sent.value[needle])
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 arrow = [batch.schema.field(0).type, asked, pa.int64(), pa.list_(pa.int64()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=[key, phrase, "total", "positions", "size"])
@@ -280,6 +289,12 @@ def best_stretch(quote: str, text: str, least: float = FUZZY) -> tuple[int, int,
     return start, end, 200 * best[0] / best[1]
 
 
+def clause_mark(token: Column, norm: Column) -> Column:
+    """The clause number that a token is, '' for a section's number, else null; both count at the start of a line only."""
+    section = norm.rlike(r"^\d{1,2}$") & F.endswith(token, F.lit("."))
+    return F.when(section, F.lit("")).when(norm.rlike(r"^\d{1,2}(?:\.\d{1,3}){1,3}$"), norm)
+
+
 def clause_of_quotes(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
     """(document, quote, clause): the clause number nearest before a quote, no further back than 600 tokens or a section;
     else the first one inside the quote.
@@ -288,12 +303,9 @@ def clause_of_quotes(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
     first and last position. Clauses that stand before are looked up as of the quote's start; for the other quotes the
     blocks of tokens that they cover meet the clauses in these blocks.
     """
-    norm = normal_token(F.col("token"))
-    lines = tokens.where("starts_line").withColumn("norm", norm)
-    clause = F.when(F.col("norm").rlike(r"^\d{1,2}(?:\.\d{1,3}){1,3}$"), F.col("norm"))
-    section = F.col("norm").rlike(r"^\d{1,2}$") & F.endswith("token", F.lit("."))
+    lines = tokens.where("starts_line").withColumn("norm", normal_token(F.col("token")))
     at = F.col("position").cast("long")
-    marks = lines.withColumn("mark", F.when(section, F.lit("")).otherwise(clause)).where("mark IS NOT NULL").select("document", at.alias("at"), (at + BACK - 1).alias("until"), "mark")
+    marks = lines.withColumn("mark", clause_mark(F.col("token"), F.col("norm"))).where("mark IS NOT NULL").select("document", at.alias("at"), (at + BACK - 1).alias("until"), "mark")
     asked = last_mark(quotes.select("document", "quote", F.col("first").cast("long").alias("at"), F.col("last").cast("long").alias("last")), marks)
     before = asked.where("mark <> ''").select("document", "quote", F.col("mark").alias("clause"))
     covered = F.sequence(F.floor(F.col("at") / INSIDE), F.floor(F.col("last") / INSIDE))

@@ -10,15 +10,25 @@ from lexweave.plans.rollups import table
 
 #: Lines that stand on one page.
 PAGE = 10
+#: Bytes of text in a partition whose words are laid out and sorted, which take over a hundred times as much memory there.
+PIECE = 2 << 20
 
 
 def _words(spark: SparkSession, d: str, digits: int | None = 1) -> DataFrame:
     return scanned(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"), digits)
 
 
-def scanned(pages: DataFrame, digits: int | None = 1) -> DataFrame:
-    """Texts (document, text) as scans: ten lines a page, and a hyphen after the last word of every third line."""
-    lines = pages.select("document", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+def parts(spark: SparkSession, d: str) -> int:
+    """How many partitions the documents fill, at ``PIECE`` bytes of text each; no fewer than there are cores."""
+    size = table(spark, d, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // PIECE))
+
+
+def scanned(pages: DataFrame, digits: int | None = 1, parts: int | None = None) -> DataFrame:
+    """Texts (document, text) as scans: ten lines a page, and a hyphen after the last word of every third line. With
+    ``parts`` the texts are shuffled into so many partitions by document, and none of their words."""
+    texts = pages.repartition(parts, "document") if parts else pages
+    lines = texts.select("document", F.posexplode(F.split("text", "\n")).alias("line", "x"))
     split = lines.withColumn("words", F.split("x", " "))
     words = split.select("document", "line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     cut = (F.col("line") % 3 == 0) & (F.col("i") == F.col("n") - 1) & (F.col("word") != "")
@@ -37,6 +47,7 @@ def scanned(pages: DataFrame, digits: int | None = 1) -> DataFrame:
             (row + 8.96).alias("y1"),
         ),
         digits,
+        dealt=parts is not None,
     )
 
 

@@ -13,7 +13,7 @@ from lexweave.plans.session import staged
 
 def contract_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The tokens of documents laid out as contracts and scanned word by word."""
-    return staged(located.positioned_tokens(drafted.scanned(evidence.numbered_pages(spark, d))), "tokens")
+    return located.positioned_tokens(drafted.scanned(evidence.numbered_pages(spark, d), parts=drafted.parts(spark, d)))
 
 
 def _boxes(boxes: Column) -> Column:
@@ -24,11 +24,9 @@ def _boxes(boxes: Column) -> Column:
 def phrase_passages(spark: SparkSession, d: str) -> DataFrame:
     """The first two words of each benchmark item as a phrase; words end at any white space, line breaks too."""
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    tokens = contract_tokens(spark, d)
     phrases = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 2), " ").alias("text"))
-    hits = staged(passages.found_phrases(tokens, phrases, "item_id"), "hits")
-    spans = hits.withColumn("quote_id", F.struct("item_id", "hit"))
-    return passages.described(spans, tokens).select("document", "item_id", F.col("hit").cast("long").alias("hit"), "total", "page", "clause", "text", "snippet", _boxes(F.col("boxes")).alias("boxes"))
+    found = passages.described_phrases(contract_tokens(spark, d), phrases, "item_id")
+    return found.select("document", "item_id", F.col("hit").cast("long").alias("hit"), "total", "page", "clause", "text", "snippet", _boxes(F.col("boxes")).alias("boxes"))
 
 
 def changed_lines(pages: DataFrame) -> DataFrame:
@@ -50,9 +48,9 @@ def changed_lines(pages: DataFrame) -> DataFrame:
 
 def quote_hints(spark: SparkSession, d: str) -> DataFrame:
     """Changed lines looked up in the scans: verified where they stand as they are, hints where they are only alike."""
-    tokens = contract_tokens(spark, d)
-    found = staged(passages.hinted_quotes(tokens, changed_lines(evidence.pages(spark, d))), "found")
-    return passages.described(found, tokens).select("document", "quote_id", "verified", F.round("score", 4).alias("score"), "page", "clause", "text", _boxes(F.col("boxes")).alias("boxes"))
+    docs = staged(located.gathered(contract_tokens(spark, d)), "tokens")
+    found = staged(passages.hinted_quotes(docs, changed_lines(evidence.pages(spark, d))), "found")
+    return passages.described(found, docs).select("document", "quote_id", "verified", F.round("score", 4).alias("score"), "page", "clause", "text", _boxes(F.col("boxes")).alias("boxes"))
 
 
 QUERIES = {f.__name__: f for f in (phrase_passages, quote_hints)}

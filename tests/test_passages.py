@@ -180,6 +180,33 @@ def test_phrases_equal_a_slow_search(spark):
     assert found == wanted and len(wanted) > 60
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_are_described_where_they_are_found(spark):
+    rng = random.Random(9)
+    tokens = frame_of(spark, {d: contract(rng, 4) for d in range(6)})
+    phrases = spark.createDataFrame([(f"p{i}", w) for i, w in enumerate(("alpha", "beta gamma", "a", "ma delt", "alpha", "nowhere", "..."))], "q string, text string")
+    hits = passages.found_phrases(tokens, phrases, "q", 3).withColumn("quote_id", F.struct("q", "hit"))
+    rows = lambda df: sorted((r.document, r.q, r.hit, r.total, r["first"], r["last"], details(r)) for r in df.collect())
+    wanted = rows(passages.described(hits, tokens))
+    assert len(wanted) > 40 and rows(passages.described_phrases(tokens, phrases, "q", 3)) == wanted
+    # in blocks of phrases, each over all documents
+    assert rows(passages.described_phrases(tokens, phrases, "q", 3, block=2)) == wanted
+
+
+def test_only_texts_are_shuffled_for_phrases(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(d, "one two three\nfour five six\n" * 9) for d in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "two three four"), (2, "four five")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = registry.QUERIES["phrase_passages"](spark, str(tmp_path))
+    exchanges = re.findall(r"(\w*Exchange) .*", plan_of(found))
+    assert exchanges == ["Exchange"] and found.count() == 40 * 18
+    # more text, more partitions: what a task sorts does not grow
+    monkeypatch.setattr("lexweave.plans.drafted.PIECE", 100)
+    assert re.findall(r"Exchange hashpartitioning\(document#\w+, (\d+)\)", plan_of(plans.contract_tokens(spark, str(tmp_path)))) == [str(-(-40 * 28 * 9 // 100))]
+
+
 def slow_hint(tokens, quote, page, page_end):
     wanted = [n for n in (w.lower().replace("ё", "е").strip(quotes.STRIP) for w in (quote or "").split()) if n]
     if not wanted:
