@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from lexweave.operators.columns import let
-from lexweave.operators.located import BOX, gathered, located_quotes
+from lexweave.operators.located import BOX, gathered
 from lexweave.operators.quotes import BACK, FUZZY, PHRASES, automaton_of, best_stretch, needle_starts, needles_in_blocks, normal_tokens
 
 #: Tokens of a snippet before and after what it shows.
@@ -78,13 +78,59 @@ def described_phrases(tokens: DataFrame, phrases: DataFrame, phrase: str, limit:
     return reduce(DataFrame.unionByName, [_shown(docs, around) for docs in _asked_phrases(_documents(tokens), phrases, phrase, limit, block)])
 
 
-def _pages(docs: DataFrame) -> DataFrame:
-    """(document, page, hay, base): the normal forms of a page's tokens in order, with spaces between, and the first position."""
+def _pages() -> Column:
+    """The pages of a document as (page, hay, base): the normal forms of their tokens with spaces between, and the first position."""
     n, page = F.size("t"), lambda i: F.get("t", i)["page"]
-    starts = docs.select("document", "t", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (page(i) != page(i - 1))).alias("starts"))
-    own = lambda at, k: _among(at, F.coalesce(F.get("starts", k + 1), n) - 1)
-    each = F.transform("starts", lambda at, k: F.struct(page(at).alias("page"), _joined(own(at, k)).alias("hay"), at.cast("long").alias("base")))
-    return starts.select("document", F.explode(each).alias("p")).select("document", "p.*")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (page(i) != page(i - 1)))
+    own = lambda starts, at, k: _among(at, F.coalesce(F.get(starts, k + 1), n) - 1)
+    return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(page(at).alias("page"), _joined(own(s, at, k)).alias("hay"), at.cast("long").alias("base"))))
+
+
+def _asked_quotes(docs: DataFrame, quotes: DataFrame, least: float, parts: int | None = None) -> DataFrame:
+    """``docs`` with ``asked``, what ``hinted_quotes`` finds in a document: (quote_id, verified, first, last, score).
+
+    The quotes of a document are one row and meet its tokens there.
+    """
+    words = normal_tokens(F.col("quote"))
+    each = quotes.select("document", "quote_id", (F.col("page") - 1).alias("low"), (F.col("page_end") + 1).alias("high"), words.alias("words")).where(F.size("words") > 0)
+    each = each.repartition(parts, "document") if parts else each
+    whole = each.groupBy("document").agg(F.collect_list(F.struct("quote_id", "low", "high", "words")).alias("quotes"))
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    lined = lambda words: F.concat(F.lit("\n"), F.array_join(words, "\n"), F.lit("\n"))
+
+    def hinted(a: Column, pages: Column) -> Column:
+        # the pages of the hint and their neighbours as one text, null without a hint or such pages
+        own = F.filter(pages, lambda p: (p["page"] >= a["low"]) & (p["page"] <= a["high"]))
+        hay = lambda own: F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda p: p["hay"]), " "))
+        scope = lambda own: F.struct(hay(own).alias("hay"), F.get(own, F.lit(0))["base"].alias("base"))
+        at = lambda s: F.instr(F.concat(F.lit(" "), s["hay"], F.lit(" ")), spaced(a["words"]))
+        return let(let(own, scope), lambda s: F.struct(*[a[c].alias(c) for c in ("quote_id", "words")], s["hay"].alias("hay"), s["base"].alias("base"), F.coalesce(at(s), F.lit(0)).alias("at")))
+
+    spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
+
+    def liken(asked: pa.Array) -> pa.Array:
+        def alike(q: str, hay: str | None, base: int | None) -> tuple[int, int, float] | None:
+            found = best_stretch(q, hay, least) if hay else None
+            return found and (base + hay.count(" ", 0, found[0]), base + hay.count(" ", 0, found[1] - 1), found[2])
+
+        return pa.array([[alike(**a) for a in own] for own in asked.to_pylist()], spans)
+
+    scoped = docs.join(whole.hint("shuffle_hash"), "document").withColumn("quotes", let(_pages(), lambda pages: F.transform("quotes", lambda a: hinted(a, pages))))
+    open_ = F.transform("quotes", lambda a: F.struct(F.array_join(a["words"], " ").alias("q"), F.when(a["at"] == 0, a["hay"]).alias("hay"), a["base"].alias("base")))
+    likened = scoped.withColumn("alike", F.arrow_udf(liken, from_arrow_type(spans)).asNondeterministic()(open_))
+
+    def told(a: Column, k: Column, line: Column) -> Column:
+        span = lambda verified, first, last, score: F.struct(a["quote_id"].alias("quote_id"), F.lit(verified).alias("verified"), first.cast("long").alias("first"), last.cast("long").alias("last"), score.alias("score"))
+        whole = lambda first: span(True, first, first + F.size(a["words"]) - 1, F.lit(100.0))
+        near = F.get("alike", k)
+        exact = a["base"] + F.size(F.split(F.left(a["hay"], a["at"] - 1), " ")) - 1
+        # a line break stands before each token
+        before = F.left(line, F.instr(line, lined(a["words"])))
+        far = let(before, lambda b: F.when(b != "", whole(F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))) - 1)))
+        return F.when(a["at"] > 0, whole(exact)).when(near.isNotNull(), span(False, near["first"], near["last"], near["score"])).otherwise(far)
+
+    every = let(lined(F.transform("t", lambda w: w["norm"])), lambda line: F.transform("quotes", lambda a, k: told(a, k, line)))
+    return likened.select("document", "t", F.filter(every, lambda a: a.isNotNull()).alias("asked"))
 
 
 def hinted_quotes(tokens: DataFrame, quotes: DataFrame, least: float = FUZZY) -> DataFrame:
@@ -95,38 +141,15 @@ def hinted_quotes(tokens: DataFrame, quotes: DataFrame, least: float = FUZZY) ->
     of 100; after that the whole document, for the tokens only. What is merely alike is never verified. Quotes without a
     token and quotes that are not found have no row; a hint of pages that the document does not have is no hint.
     """
-    docs = _documents(tokens)
-    q = F.array_join(normal_tokens(F.col("quote")), " ")
-    asked = quotes.select("document", "quote_id", "quote", q.alias("q"), (F.col("page") - 1).alias("low"), (F.col("page_end") + 1).alias("high")).where("q <> ''")
-    pages = _pages(docs)
-    ends = pages.groupBy("document").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    clamped = asked.where("low IS NOT NULL AND high IS NOT NULL").join(ends, "document").withColumn("low", F.greatest("low", "first_page")).withColumn("high", F.least("high", "last_page"))
-    spread = clamped.where("low <= high").select("document", "quote_id", "q", F.explode(F.sequence("low", "high")).alias("page"))
-    hay = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "hay"))), lambda p: p["hay"]), " ")
-    scope = spread.join(pages, ["document", "page"]).groupBy("document", "quote_id", "q").agg(hay.alias("hay"), F.min("base").alias("base"))
-    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    scope = scope.withColumn("at", F.instr(padded("hay"), padded("q")))
-    first = F.col("base") + F.size(F.split(F.left("hay", F.col("at") - 1), " ")) - 1
-    exact = scope.where("at > 0").select("document", "quote_id", F.lit(True).alias("verified"), first.alias("first"), (first + F.size(F.split("q", " ")) - 1).alias("last"), F.lit(100.0).alias("score"))
-
-    def liken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, (quote, text, base) in enumerate(zip(*(b.column(c).to_pylist() for c in ("q", "hay", "base")), strict=True)):
-                if found := best_stretch(quote, text, least):
-                    start, end, score = found
-                    rows.append((i, base + text.count(" ", 0, start), base + text.count(" ", 0, end - 1), score))
-            at, first, last, score = zip(*rows, strict=True) if rows else ((), (), (), ())
-            keys = [b.column(c).take(pa.array(at, pa.int64())) for c in ("document", "quote_id")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array([False] * len(at)), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(score, pa.float64())], names=["document", "quote_id", "verified", "first", "last", "score"])
-
-    kinds = dict(scope.dtypes)
-    alike = scope.where("at = 0").select("document", "quote_id", "q", "hay", "base").mapInArrow(liken, f"document {kinds['document']}, quote_id {kinds['quote_id']}, verified boolean, first long, last long, score double")
-    near = exact.unionByName(alike)
-    rest = asked.join(near.select("document", "quote_id"), ["document", "quote_id"], "left_anti")
-    norms = docs.select("document", F.transform("t", lambda w: F.struct(w["norm"].alias("norm"))).alias("t"))
-    far = located_quotes(norms, rest).select("document", "quote_id", F.lit(True).alias("verified"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.lit(100.0).alias("score"))
-    return near.unionByName(far)
+    asked = _asked_quotes(_documents(tokens), quotes, least)
+    return asked.select("document", F.explode("asked").alias("a")).select("document", "a.*")
+
+
+def described_quotes(tokens: DataFrame, quotes: DataFrame, least: float = FUZZY, around: int = AROUND, parts: int | None = None) -> DataFrame:
+    """``hinted_quotes`` with page, clause, text, snippet and boxes as in ``described``, made where a document is searched:
+    what is found is not shuffled, nor sent to the driver. If the tokens lie in ``parts`` partitions by document, the
+    quotes go there and the tokens stay."""
+    return _shown(_asked_quotes(_documents(tokens), quotes, least, parts), around)
 
 
 def described(spans: DataFrame, tokens: DataFrame, around: int = AROUND) -> DataFrame:

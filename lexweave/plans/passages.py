@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from lexweave.operators import located, passages
 from lexweave.plans import drafted, evidence
 from lexweave.plans.rollups import table
-from lexweave.plans.session import staged
 
 
-def contract_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The tokens of documents laid out as contracts and scanned word by word."""
-    return located.positioned_tokens(drafted.scanned(evidence.numbered_pages(spark, d), parts=drafted.parts(spark, d)))
+def contract_tokens(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """The tokens of documents laid out as contracts and scanned word by word, in ``parts`` partitions by document."""
+    return located.positioned_tokens(drafted.scanned(evidence.numbered_pages(spark, d), parts=parts or drafted.parts(spark, d)))
 
 
 def _boxes(boxes: Column) -> Column:
@@ -48,9 +47,9 @@ def changed_lines(pages: DataFrame) -> DataFrame:
 
 def quote_hints(spark: SparkSession, d: str) -> DataFrame:
     """Changed lines looked up in the scans: verified where they stand as they are, hints where they are only alike."""
-    docs = staged(located.gathered(contract_tokens(spark, d)), "tokens")
-    found = staged(passages.hinted_quotes(docs, changed_lines(evidence.pages(spark, d))), "found")
-    return passages.described(found, docs).select("document", "quote_id", "verified", F.round("score", 4).alias("score"), "page", "clause", "text", _boxes(F.col("boxes")).alias("boxes"))
+    parts = drafted.parts(spark, d)
+    found = passages.described_quotes(contract_tokens(spark, d, parts), changed_lines(evidence.pages(spark, d)), parts=parts)
+    return found.select("document", "quote_id", "verified", F.round("score", 4).alias("score"), "page", "clause", "text", _boxes(F.col("boxes")).alias("boxes"))
 
 
 QUERIES = {f.__name__: f for f in (phrase_passages, quote_hints)}

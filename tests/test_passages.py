@@ -263,6 +263,22 @@ def test_hints_equal_a_slow_search(spark):
     assert {r.quote_id: details(r) for r in passages.described(found, tokens).collect()} == {i: slow_details(contracts[next(d for d, q, *_ in asked if q == i)], h[1], h[2]) for i, h in wanted.items()}
 
 
+def test_nothing_found_goes_through_the_driver(spark, tmp_path):
+    rows = [(d, "\n".join(f"Line {n} of document {d} says what the buyer and the seller of these goods owe each other" for n in range(12))) for d in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # small tables, which Spark would rather broadcast; their positions are many more rows than it takes into account
+    plan = plan_of(registry.QUERIES["quote_hints"](spark, str(tmp_path)))
+    assert re.findall(r"(\w*Exchange) .*", plan) == ["Exchange"] * 2
+    tokens = plans.contract_tokens(spark, str(tmp_path)).localCheckpoint()
+    quotes = plans.changed_lines(spark.read.parquet(str(tmp_path / "documents.parquet")).select(F.col("doc_id").alias("document"), "text"))
+    found = passages.hinted_quotes(tokens, quotes).localCheckpoint()
+    described = passages.described(found, tokens)
+    assert "BroadcastExchange" not in plan_of(described)
+    columns = ["document", "quote_id", "verified", "first", "last", "score", "page", "clause", "text", "snippet", "boxes"]
+    assert sorted(map(str, described.select(columns).collect())) == sorted(map(str, passages.described_quotes(tokens, quotes).select(columns).collect()))
+    assert found.count() > 40 and {r.verified for r in found.collect()} == {True, False}
+
+
 def test_the_query_of_hints_equals_a_slow_search(spark, tmp_path):
     rng = random.Random(21)
     line = lambda: "Goods " + " ".join(rng.choice(("payment", "delivery", "penalty", "buyer", "seller", "Goods", "late.", "time,")) for _ in range(rng.randrange(6, 14)))
