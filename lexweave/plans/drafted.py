@@ -14,8 +14,8 @@ PAGE = 10
 PIECE = 2 << 20
 
 
-def _words(spark: SparkSession, d: str, digits: int | None = 1) -> DataFrame:
-    return scanned(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"), digits)
+def _words(spark: SparkSession, d: str, digits: int | None = 1, n: int | None = None) -> DataFrame:
+    return scanned(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"), digits, n or parts(spark, d))
 
 
 def parts(spark: SparkSession, d: str) -> int:
@@ -62,10 +62,12 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def quote_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Of every fifth line the second to the fifth word as a quote."""
-    tokens = located.positioned_tokens(_words(spark, d, None))
+    n = parts(spark, d)
+    tokens = located.positioned_tokens(_words(spark, d, None, n))
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("quote_id", "x")).where("quote_id % 5 = 1")
     quotes = lines.select("document", "quote_id", F.array_join(F.slice(F.split("x", " "), 2, 4), " ").alias("quote"))
-    boxes = located.boxes_of_quotes(tokens, quotes)
+    # the quotes go where the tokens are, which would be shuffled to them otherwise
+    boxes = located.boxes_of_quotes(tokens, quotes.repartition(n, "document"))
     return boxes.select("document", F.col("quote_id").cast("long").alias("quote_id"), "page", F.col("line").cast("long").alias("line"), *located.BOX)
 
 

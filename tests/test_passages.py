@@ -207,6 +207,13 @@ def test_only_texts_are_shuffled_for_phrases(spark, tmp_path, monkeypatch):
     assert re.findall(r"Exchange hashpartitioning\(document#\w+, (\d+)\)", plan_of(plans.contract_tokens(spark, str(tmp_path)))) == [str(-(-40 * 28 * 9 // 100))]
 
 
+@pytest.mark.parametrize("query, shuffles", [("word_tokens", 1), ("page_scan_texts", 1), ("quote_boxes", 2)])
+def test_words_of_scans_are_not_shuffled(spark, tmp_path, query, shuffles):
+    spark.createDataFrame([(d, "one two three\nfour five six seven\n" * 9) for d in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    shuffled = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, \d+\), (\w+)", plan_of(registry.QUERIES[query](spark, str(tmp_path))))
+    assert [s for s in shuffled if s[1] == "REPARTITION_BY_NUM"] == [("document", "REPARTITION_BY_NUM")] * shuffles and not [s for s in shuffled if s[1] == "REPARTITION_BY_COL"]
+
+
 def slow_hint(tokens, quote, page, page_end):
     wanted = [n for n in (w.lower().replace("ё", "е").strip(quotes.STRIP) for w in (quote or "").split()) if n]
     if not wanted:
